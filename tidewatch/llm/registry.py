@@ -1,7 +1,10 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
+from .fingerprints import op4_phrase_fingerprints
 from .language import op2_language_id
+from .packing import op6_packing
 from .sharding import op5_sharding
+from .simhash import op9_simhash
 
-QUERIES = {"op2_language_id": op2_language_id, "op5_sharding": op5_sharding}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_phrase_fingerprints, op5_sharding, op6_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
