@@ -5,6 +5,8 @@ from .language import op2_language_id
 from .packing import op6_packing
 from .sharding import op5_sharding
 from .simhash import op9_simhash
+from .topk import OP7_SQL, op7_topk
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_phrase_fingerprints, op5_sharding, op6_packing, op9_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_phrase_fingerprints, op5_sharding, op6_packing, op7_topk, op9_simhash)}
+ORACLES: dict[str, str] = {"op7_topk": OP7_SQL}
