@@ -98,9 +98,9 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, most: int = 1 <<
             stack.append((level - 1, i[ok], j[ok]))
 
 
-def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest position of each one's component."""
-    root = np.arange(n)
+def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> np.ndarray:
+    """Smallest position of each one's component; root: from earlier pairs."""
+    root = np.arange(n) if root is None else root
     for a, b in pairs:
         while (root[a] != root[b]).any():
             low = np.minimum(root[a], root[b])
@@ -169,6 +169,79 @@ def simhash_components(slim: DataFrame, radius: int = 3, key: str = "doc_id") ->
     return slim.join(by_fp, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNotNull(), F.col("component_id")).otherwise(F.col(key)))
 
 
+def candidate_links(fps: DataFrame, radius: int, tables: int = 96, bits: int = 14, seed: int = 5, rows_per_task: int = 200_000) -> DataFrame:
+    """Candidate pairs (a, b) of distinct fingerprints for radii that blocks are too many for.
+
+    Fingerprints are grouped by `bits` of their bits, chosen at random for each table; two that differ in d bits share a
+    group in one of the tables with probability 1 - (1 - (1 - d / 64) ** bits) ** tables, 0.95 for d = 14 as it stands.
+    In each group a Gray-order index finds all pairs within the radius. Of these, a link to the nearest and one to the
+    first of its cluster are returned for each fingerprint, so a dense group returns links, not all its pairs.
+    """
+    rng = np.random.default_rng(seed)
+    masks = [int(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(tables)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    fp = F.col("fp")
+    dealt = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("g"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("g").to_numpy(), b.column("fp").to_numpy()) for b in batches]
+        if not rows:
+            return
+        g, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+        u = v.view(np.uint64)
+        root, nearest = np.arange(len(v)), np.full(len(v), np.iinfo(np.int64).max)
+        for a, b in near_pairs(g, u, radius):
+            root = roots(len(v), iter([(a, b)]), root)
+            d = np.bitwise_count(u[a] ^ u[b]).astype(np.int64) << 40
+            np.minimum.at(nearest, a, d | b)
+            np.minimum.at(nearest, b, d | a)
+        i = np.flatnonzero(nearest < np.iinfo(np.int64).max)
+        other = nearest[i] & ((1 << 40) - 1)
+        a, b = np.concatenate([v[i], v[i]]), np.concatenate([v[other], v[root[i]]])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    parts = parts_for(fps.sparkSession, fps.count() * tables, rows_per_task)
+    return dealt.repartition(parts, "g").mapInArrow(search, "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, t, fp, root, component_id): t is a hash of the text; rows whose root agrees are near-duplicates, and
+    component_id is the smallest key among them.
+
+    Fingerprints within the radius are candidates, and linked if the Jaccard similarity of their shingle sets (32-bit
+    hashes of `words`-word shingles, from one text of each fingerprint) is at least `similarity`; equal fingerprints
+    are linked as they are. Texts without a word are a group of their own. Null keys go to the group of their fingerprint.
+    """
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("k", kind), T.StructField("t", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sets = [], []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), words)
+                fps.append(fingerprint(h))
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            shingles = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), shingles], names=schema.names)
+
+    slim = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    rows = saved(slim.mapInArrow(run, schema))
+    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k")).alias("one")))
+    pairs = saved(candidate_links(low, radius))
+    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(low, "fp").select("fp", "one.*")
+    sets = saved(rows.join(need, (rows["fp"] == need["fp"]) & (rows["t"] == need["t"]) & rows["k"].eqNullSafe(need["k"]), "left_semi").select("fp", "shingles").dropDuplicates(["fp"]))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    root = components(linked).withColumnRenamed("node", "fp")
+    united = low.select("fp", "low").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = united.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.select("k", "t", "fp").join(united.join(smallest, "root").select("fp", "root", "component_id"), "fp").select(F.col("k").alias(key), "t", "fp", "root", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 3 or fewer differing bits of 3-word fingerprints."""
     slim = saved(fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3))
