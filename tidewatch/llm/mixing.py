@@ -26,8 +26,9 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_domain: int = 2000, smoothing: float = 2.0, seed: int = 11) -> tuple[dict[str, float], DataFrame]:
-    """Log priors of the domains, and for each of BUCKETS buckets of word stems its log-likelihood in each domain.
+def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_domain: int = 2000, smoothing: float = 10.0, threshold: float = 0.7, seed: int = 11) -> tuple[dict[str, float], DataFrame]:
+    """Priors of the domains, and for each of BUCKETS buckets of word stems its log lift in each domain, drawn towards 0 by
+    threshold: what a language or a common word says about a domain is small, and adds up to nothing so.
 
     labels has the key and `domain`. About per_domain rows of each domain (all, if fewer), chosen by a hash of the key, are
     looked at; rows without key or domain are not. The table has at most BUCKETS rows and may be broadcast.
@@ -46,11 +47,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     sums = seen.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS]).first()
     every = sum(sums) + 1
     mean = sum((F.col(d) for d in DOMAINS), F.lit(0)) / every
-    weights = seen.select("bucket", *[F.log((F.col(d) + smoothing * BUCKETS * (mean + 1e-9) / 10) / (sums[d] + smoothing * BUCKETS / 10)).alias(d) for d in DOMAINS])
+    lift = {d: F.log((F.col(d) + smoothing) / (mean * sums[d] + smoothing)) for d in DOMAINS}
+    weights = seen.select("bucket", *[(F.signum(x) * F.greatest(F.abs(x) - threshold, F.lit(0.0))).alias(d) for d, x in lift.items()])
     return prior, saved(weights)
 
 
-def domain_posteriors(docs: DataFrame, prior: dict[str, float], weights: DataFrame, text: str = "text", key: str = "doc_id", evidence: float = 100.0) -> DataFrame:
+def domain_posteriors(docs: DataFrame, prior: dict[str, float], weights: DataFrame, text: str = "text", key: str = "doc_id", evidence: float = 500.0) -> DataFrame:
     """One row for each different (key, text): key, t (hash of the text), copies, n_tokens and p_<domain>.
 
     Naive Bayes over word stems; a longer text's evidence counts as that of `evidence` words. A text without words gets
