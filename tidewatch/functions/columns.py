@@ -64,18 +64,17 @@ def poisson_power(rate: Column, min_reads: int) -> Column:
     return 1 - F.exp(-rate) * total
 
 
-def kmers(seq: Column, k: int, alphabet: str = "ACGT", rna: bool = False) -> Column:
-    """All substrings of k letters of the alphabet, in order; rna reads U as T."""
-    s = F.upper(seq)
+def kmers(seq: Column, k: int, alphabet: str = "ACGT", rna: bool = False, fold: bool = True) -> Column:
+    """All substrings of k letters of the alphabet, in order; rna reads U as T; fold reads lower case as upper. One pass, however long the sequence."""
+    s = F.upper(seq) if fold else seq
     s = F.translate(s, "U", "T") if rna else s
-    every = F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))
-    return F.filter(F.when(F.length(s) >= k, every).otherwise(F.array().cast("array<string>")), lambda x: F.regexp_like(x, F.lit(f"^[{alphabet}]+$")))
+    return F.regexp_extract_all(s, F.lit(f"(?=([{alphabet}]{{{k}}}))"), F.lit(1))
 
 
 def read_windows(seq: Column, length: int = 150, stride: int = 75) -> Column:
     """Windows of a sequence; a short one is its only window."""
-    n = F.length(seq)
-    return F.when(n <= length, F.array(seq)).otherwise(F.transform(F.sequence(F.lit(0), n - length, F.lit(stride)), lambda i: F.substring(seq, i + 1, F.lit(length))))
+    every = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{length}}})).{{{stride}}}"), F.lit(1))
+    return F.when(F.length(seq) <= length, F.array(seq)).otherwise(every)
 
 
 def sample_date(code: Column) -> Column:

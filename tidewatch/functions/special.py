@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_sf2(z: float) -> float:
@@ -108,7 +109,7 @@ def log_depths(total: float, points: int) -> list[int]:
     return sorted({int(d) for d in np.geomspace(1, total, n)} | {int(total)}) if n > 1 else [1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(rho: pd.Series, n: pd.Series) -> pd.Series:
     """p of a rank correlation rho of n pairs; 1 where it is undefined."""
     def one(r: float, m: float) -> float:
@@ -119,17 +120,17 @@ def t_pvalue(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, m) for r, m in zip(rho, n, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(normal_sf2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(h: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(x, d) for x, d in zip(h, df, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def richness_at(counts: pd.Series, depth: pd.Series) -> pd.Series:
     return pd.Series([expected_richness(c, d) for c, d in zip(counts, depth, strict=True)], dtype=float)
 

@@ -23,7 +23,16 @@ def fit_blocks(adj: np.ndarray, k: int, seed: int, rounds: int = 300, self_terms
 
     self_terms keeps a node's pair with itself in the updates."""
     n = len(adj)
-    q = np.random.default_rng([k, seed]).dirichlet(np.ones(k), n)
+    rng = np.random.default_rng([k, seed])
+    if seed == 0:  # from the leading eigenvectors: the nearest of k rows that lie far apart
+        values, vectors = np.linalg.eigh(adj)
+        rows = vectors[:, np.argsort(-np.abs(values))[:k]] * np.sort(np.abs(values))[::-1][:k]
+        centres = [int((rows**2).sum(1).argmax())]
+        while len(centres) < k:
+            centres.append(int(((rows[:, None] - rows[centres]) ** 2).sum(2).min(1).argmax()))
+        q = np.eye(k)[((rows[:, None] - rows[centres]) ** 2).sum(2).argmin(1)] * 0.9 + 0.1 / k
+    else:
+        q = rng.dirichlet(np.full(k, 0.2), n)
     absent = 1 - adj - (0 if self_terms else np.eye(n))
     like = -np.inf
     for _ in range(rounds):

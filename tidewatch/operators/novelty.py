@@ -70,10 +70,10 @@ def cohort_novelty(values: DataFrame, value: str = "clr", trees: int = 200, seed
     return iso.join(cohort_spikes(values, value), "sample").select("sample", clip(0.6 * F.col("iso") + 0.4 * F.col("spike"), 0, 1).alias("novelty"))
 
 
-def kmer_profiles(reads: DataFrame, k: int = 6, alphabet: str = "ACGT") -> DataFrame:
+def kmer_profiles(reads: DataFrame, k: int = 6, alphabet: str = "ACGT", fold: bool = True) -> DataFrame:
     """(sample, kmer, freq): mean over a sample's reads (sample, read_no, seq) of the shares of k-mers in each. A read
     without a k-mer counts as all zero. Shares are added up before the exchange: no row for a k-mer of a read crosses it."""
-    rows = reads.select("sample", kmers(F.col("seq"), k, alphabet).alias("ks"))
+    rows = reads.select("sample", kmers(F.col("seq"), k, alphabet, fold=fold).alias("ks"))
     n = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n_reads"))
     each = rows.where(F.size("ks") > 0).select("sample", (1 / F.size("ks")).alias("w"), F.explode("ks").alias("kmer"))
     return each.groupBy("sample", "kmer").agg(F.sum("w").alias("w")).join(n, "sample").select("sample", "kmer", (F.col("w") / F.col("n_reads")).alias("freq"))

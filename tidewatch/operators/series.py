@@ -31,7 +31,7 @@ def rolling_baseline(series: DataFrame, window: int = 8, z_threshold: float = 2.
     z = F.when(few, 0.0).otherwise((F.col("x") - F.col("m")) / (F.col("s") + 1e-10))
     mean = F.when(few, F.col("x")).otherwise(F.col("m"))
     pct = F.when(few, 0.0).otherwise((F.col("x") - F.col("m")) / (F.col("m") + 1e-10) * 100)
-    return out.select("site", "t", "x", "n_history", F.round(mean, 4).alias("baseline_mean"), F.round(F.when(few, 0.0).otherwise(F.col("s")), 4).alias("baseline_std"), F.round(z, 3).alias("z_score"), F.round(pct, 1).alias("pct_above_baseline"), (z >= z_threshold).alias("is_anomaly"))
+    return out.select("site", "t", "x", "n_history", mean.alias("baseline_mean"), F.when(few, 0.0).otherwise(F.col("s")).alias("baseline_std"), z.alias("z_score"), pct.alias("pct_above_baseline"), (z >= z_threshold).alias("is_anomaly"))
 
 
 def cusum(series: DataFrame, k: float = 0.5, h: float = 4.0) -> DataFrame:
@@ -49,7 +49,7 @@ def cusum(series: DataFrame, k: float = 0.5, h: float = 4.0) -> DataFrame:
     z = (F.col("x") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
     rows = rows.withColumn("z", F.when(F.col("n") < 3, 0.0).otherwise(z))
     rows = rows.withColumns({"up": F.sum(F.col("z") - k).over(so_far), "down": F.sum(-F.col("z") - k).over(so_far)})
-    level = lambda c: F.round(F.when(F.col("n") < 3, 0.0).otherwise(F.col(c) - F.least(F.lit(0.0), F.min(c).over(so_far))), 4)
+    level = lambda c: F.when(F.col("n") < 3, 0.0).otherwise(F.col(c) - F.least(F.lit(0.0), F.min(c).over(so_far)))
     rows = rows.withColumns({"cusum_upper": level("up"), "cusum_lower": level("down")})
     streak = F.col("i") - F.coalesce(F.max(F.when(F.col("cusum_upper") <= 0, F.col("i"))).over(so_far), F.lit(0))
     strength = F.when(F.col("cusum_upper") < 0.5 * h, "none").when(F.col("cusum_upper") < h, "weak").when(F.col("cusum_upper") < 2 * h, "moderate").otherwise("strong")

@@ -53,7 +53,7 @@ def dimension(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str, by: str = "event_type") -> DataFrame:
-    rows = load(spark, sf, "events").select(F.col(by).cast("string").alias("site"), F.to_date("ts").alias("t"), "value")
+    rows = load(spark, sf, "events").select(F.col(by).cast("string").alias("site"), F.date_format("ts", "yyyy-MM-dd").alias("t"), "value")
     return rows.groupBy("site", "t").agg((F.avg("value") / 500).alias("x"))
 
 
@@ -79,7 +79,7 @@ BASE = """base AS (
 
 
 def points_sql(by: str = "event_type") -> str:
-    return f"p AS (SELECT CAST({by} AS VARCHAR) AS site, CAST(ts AS DATE) AS t, avg(value) / 500 AS x FROM events GROUP BY 1, 2)"
+    return f"p AS (SELECT CAST({by} AS VARCHAR) AS site, strftime(ts, '%Y-%m-%d') AS t, avg(value) / 500 AS x FROM events GROUP BY 1, 2)"
 
 
 LEVEL = "CASE WHEN {0} >= 0.8 THEN 'CRITICAL' WHEN {0} >= 0.6 THEN 'HIGH' WHEN {0} >= 0.3 THEN 'MODERATE' ELSE 'LOW' END"
@@ -217,18 +217,19 @@ SERIES_COLUMNS = ("site", "t", "x")
 
 
 @query(f"""WITH {points_sql('user_id')}, w AS (SELECT *, count(*) OVER b AS n, avg(x) OVER b AS m, stddev_samp(x) OVER b AS s FROM p WINDOW b AS (PARTITION BY site ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
-SELECT site, t, n AS n_history, round(CASE WHEN n < 2 THEN x ELSE m END, 4) AS baseline_mean, round(CASE WHEN n < 2 THEN 0 ELSE (x - m) / (s + 1e-10) END, 3) AS z_score, CASE WHEN n < 2 THEN false ELSE (x - m) / (s + 1e-10) >= 2 END AS is_anomaly FROM w""")
+SELECT site, t, n AS n_history, round(CASE WHEN n < 2 THEN x ELSE m END, 9) AS baseline_mean, round(CASE WHEN n < 2 THEN 0 ELSE (x - m) / (s + 1e-10) END, 6) AS z_score, CASE WHEN n < 2 THEN false ELSE (x - m) / (s + 1e-10) >= 2 END AS is_anomaly FROM w""")
 def rolling_z(spark, sf):  # noqa: ANN001, ANN201
-    return series.rolling_baseline(points(spark, sf, "user_id")).select("site", "t", "n_history", "baseline_mean", "z_score", "is_anomaly")
+    return series.rolling_baseline(points(spark, sf, "user_id")).select("site", "t", "n_history", F.round("baseline_mean", 9).alias("baseline_mean"), F.round("z_score", 6).alias("z_score"), "is_anomaly")
 
 
 @query(f"""WITH RECURSIVE {points_sql('user_id')}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i, count(*) OVER (PARTITION BY site) AS n FROM p),
 b AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTITION BY site) AS m, stddev_samp(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTITION BY site) AS s FROM i),
 z AS (SELECT *, CASE WHEN n < 3 THEN 0 ELSE (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END END AS z FROM b),
-c AS (SELECT site, i, n, greatest(0, z - .5) AS u, greatest(0, -z - .5) AS d FROM z WHERE i = 1 UNION ALL SELECT z.site, z.i, z.n, greatest(0, u + z - .5), greatest(0, d - z - .5) FROM c JOIN z ON z.site = c.site AND z.i = c.i + 1)
-SELECT z.site, z.t, round(CASE WHEN c.n < 3 THEN 0 ELSE u END, 4) AS cusum_upper, round(CASE WHEN c.n < 3 THEN 0 ELSE d END, 4) AS cusum_lower, round(CASE WHEN c.n < 3 THEN 0 ELSE u END, 4) > 4 AS alert FROM c JOIN z USING (site, i)""")
+zm AS MATERIALIZED (SELECT * FROM z),
+c AS (SELECT site, i, n, greatest(0, z - .5) AS u, greatest(0, -z - .5) AS d FROM zm WHERE i = 1 UNION ALL SELECT zm.site, zm.i, zm.n, greatest(0, u + z - .5), greatest(0, d - z - .5) FROM c JOIN zm ON zm.site = c.site AND zm.i = c.i + 1)
+SELECT site, t, round(CASE WHEN c.n < 3 THEN 0 ELSE u END, 6) AS cusum_upper, round(CASE WHEN c.n < 3 THEN 0 ELSE d END, 6) AS cusum_lower, CASE WHEN c.n < 3 THEN 0 ELSE u END > 4 AS alert FROM c JOIN zm USING (site, i)""")
 def cusum_upper_lower(spark, sf):  # noqa: ANN001, ANN201
-    return series.cusum(points(spark, sf, "user_id")).select("site", "t", "cusum_upper", "cusum_lower", "alert")
+    return series.cusum(points(spark, sf, "user_id")).select("site", "t", F.round("cusum_upper", 6).alias("cusum_upper"), F.round("cusum_lower", 6).alias("cusum_lower"), "alert")
 
 
 @query(f"""WITH {points_sql('user_id')}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i FROM p), n AS (SELECT site, count(*) AS n FROM i GROUP BY 1),
@@ -262,10 +263,10 @@ def farrington(spark, sf):  # noqa: ANN001, ANN201
     return series.aberrations(points(spark, sf, "user_id"))
 
 
-@query(f"""WITH {points_sql()}, e AS (SELECT CAST(event_type AS VARCHAR) AS site, CAST(ts AS DATE) AS t, count(*) AS v FROM events GROUP BY 1, 2), m AS (SELECT site, count(*) AS n, corr(x, v) AS r FROM p JOIN e USING (site, t) GROUP BY 1)
+@query(f"""WITH {points_sql()}, e AS (SELECT CAST(event_type AS VARCHAR) AS site, strftime(ts, '%Y-%m-%d') AS t, count(*) AS v FROM events GROUP BY 1, 2), m AS (SELECT site, count(*) AS n, corr(x, v) AS r FROM p JOIN e USING (site, t) GROUP BY 1)
 SELECT site, n AS n_matched, round(r, 6) AS r, r >= .5 AS concordant FROM m""")
 def external_validation(spark, sf):  # noqa: ANN001, ANN201
-    outside = load(spark, sf, "events").groupBy(F.col("event_type").alias("site"), F.to_date("ts").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    outside = load(spark, sf, "events").groupBy(F.col("event_type").alias("site"), F.date_format("ts", "yyyy-MM-dd").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return series.validate_external(points(spark, sf), outside).select("site", "n_matched", F.round("r", 6).alias("r"), "concordant")
 
 
@@ -289,12 +290,12 @@ def bh_adjust(spark, sf):  # noqa: ANN001, ANN201
 
 @query()
 def cooccurrence_edges(spark, sf):  # noqa: ANN001, ANN201
-    return stats.cooccurrence(abundance.clr(full(spark, sf)), 0.1)
+    return stats.cooccurrence(abundance.clr(full(spark, sf)), 0.2, 1.0)
 
 
 @query()
 def sbm_membership(spark, sf):  # noqa: ANN001, ANN201
-    return graph.communities(stats.cooccurrence(abundance.clr(full(spark, sf)), 0.1, 0.5).select("a", "b"), 6, 4)
+    return graph.communities(stats.cooccurrence(abundance.clr(full(spark, sf)), 0.15, 1.0).select("a", "b"), 6, 4)
 
 
 @query(f"WITH {COUNTS} SELECT a.sample AS a, b.sample AS b, round(sum(abs(a.rel - b.rel)) / sum(a.rel + b.rel), 6) AS distance FROM fullrel a JOIN fullrel b ON a.taxon = b.taxon AND a.sample < b.sample GROUP BY 1, 2")
@@ -328,13 +329,14 @@ def iforest_novelty(spark, sf):  # noqa: ANN001, ANN201
     return novelty.cohort_novelty(abundance.clr(full(spark, sf)), trees=50)
 
 
-KMERS = """r AS (SELECT source AS sample, doc_id, lower(text) AS s FROM documents), e AS (SELECT sample, doc_id, unnest(list_filter(list_transform(range(1, length(s)), lambda i: substr(s, i, 2)), lambda x: regexp_full_match(x, '[a-z]{2}'))) AS kmer FROM r),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM e), n AS (SELECT sample, count(*) AS reads FROM r GROUP BY 1), prof AS (SELECT sample, kmer, sum(1.0 / c.n) / any_value(reads) AS freq FROM c JOIN n USING (sample) GROUP BY 1, 2)"""
+KMERS = """r AS (SELECT source AS sample, doc_id, lower(text) AS s FROM documents), e AS (SELECT sample, doc_id, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM r),
+k AS (SELECT sample, doc_id, c || lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS kmer FROM e), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[a-z]{2}')),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM f), n AS (SELECT sample, count(*) AS reads FROM r GROUP BY 1), prof AS (SELECT sample, kmer, sum(CAST(1 AS DOUBLE) / c.n) / any_value(reads) AS freq FROM c JOIN n USING (sample) GROUP BY 1, 2)"""
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
-    reads = load(spark, sf, "documents").select(F.col("source").alias("sample"), F.col("doc_id").alias("read_no"), F.col("text").alias("seq"))
-    return novelty.kmer_profiles(reads, 2, "A-Z").withColumn("kmer", F.lower("kmer"))
+    reads = load(spark, sf, "documents").select(F.col("source").alias("sample"), F.col("doc_id").alias("read_no"), F.lower("text").alias("seq"))
+    return novelty.kmer_profiles(reads, 2, "a-z", fold=False)
 
 
 @query(f"WITH {KMERS} SELECT sample, kmer, round(freq, 8) AS freq FROM prof")
@@ -473,15 +475,15 @@ def diff_samples(spark, sf):  # noqa: ANN001, ANN201
     return abundance.sample_difference(rel(spark, sf), "S1", "S2").select("class", "taxon", F.round("delta", 8).alias("delta"))
 
 
-@query("SELECT event_type AS site, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t, round(avg(value), 6) AS x, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS site, strftime(ts, '%Y-%m-%d') AS t, round(avg(value), 6) AS x, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_watch_available_now(spark, sf):  # noqa: ANN001, ANN201
     import uuid
 
     at = load(spark, sf, "events").schema
     name = f"daily_{uuid.uuid4().hex}"
-    source = spark.readStream.schema(at).parquet(f"{sf}/events.parquet*").select(F.col("event_type").alias("site"), "ts", "value")
+    source = spark.readStream.schema(at).parquet(f"{sf}/events.parquet*").select(F.col("event_type").alias("site"), F.col("ts").cast("timestamp").alias("ts"), "value")
     stream_daily_scores(source, "40 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("site", F.col("t").cast("timestamp").alias("t"), F.round("x", 6).alias("x"), "n")
+    return spark.table(name).select("site", F.date_format("t", "yyyy-MM-dd").alias("t"), F.round("x", 6).alias("x"), "n")
 
 
 @query()

@@ -24,9 +24,7 @@ def _stem(path: Column) -> Column:
 
 def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """(path, sample, line_no, line) of whole text files; a file is one row until it is cut into lines."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    files = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", _stem(F.col("path")).alias("sample"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
@@ -47,13 +45,15 @@ def kraken2(rows: DataFrame, rank: str = "G") -> DataFrame:
     return own.groupBy("sample", "taxon").agg(F.max_by("reads", "line_no").cast("double").alias("reads"))
 
 
-def bracken(rows: DataFrame, rank: str = "G") -> DataFrame:
-    """(sample, taxon, reads): re-estimated reads at the rank, summed by name. Columns are found by the header line."""
+def bracken(rows: DataFrame, rank: str = "G", strict: bool = True) -> DataFrame:
+    """(sample, taxon, reads): re-estimated reads at the rank, summed by name. Columns are found by the header line; a file
+    without them is an error, or none of it is read (not strict)."""
     heads = rows.where("line_no = 0").select("path", F.transform(F.split("line", "\t"), lambda x: F.trim(x)).alias("head"))
     body = rows.where("line_no > 0 and trim(line) <> ''").join(heads, "path")
     at = lambda c: F.try_element_at(F.split("line", "\t"), F.array_position("head", F.lit(c)).cast("int"))
     need = F.array(*[F.lit(c) for c in BRACKEN])
-    body = body.withColumn("ok", F.when(F.size(F.array_except(need, "head")) == 0, True).otherwise(F.raise_error(F.concat(F.lit("not a Bracken report: "), "path"))))
+    wrong = F.raise_error(F.concat(F.lit("not a Bracken report: "), "path")) if strict else F.lit(False)
+    body = body.withColumn("ok", F.when(F.size(F.array_except(need, "head")) == 0, True).otherwise(wrong))
     return total_reads(body.where(F.col("ok") & (F.trim(at("taxonomy_lvl")) == rank)).select("sample", F.trim(at("name")).alias("taxon"), at("new_est_reads").try_cast("double").alias("reads")))
 
 
@@ -81,7 +81,8 @@ def reports(spark: SparkSession, paths: str | list[str], rank: str = "G", format
         kinds = F.broadcast(formats(rows))
         tagged = rows.join(kinds, "path")
         usable = [k for k in PARSERS if k != "metaphlan" or rank in RANK_PREFIX]
-        parts = [PARSERS[k](tagged.where(F.col("format") == k), rank) for k in usable]
+        loose = {"bracken": {"strict": False}}
+        parts = [PARSERS[k](tagged.where(F.col("format") == k), rank, **loose.get(k, {})) for k in usable]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -116,7 +117,7 @@ def fastq(spark: SparkSession, paths: str | list[str], limit: int | None = None)
 
 def fasta(spark: SparkSession, paths: str | list[str], min_length: int = 0) -> DataFrame:
     """(sample, read_no, name, seq) of FASTA files: a record's lines joined, its name the header's first word."""
-    files = spark.read.option("wholetext", True).text(paths).select(_stem(F.col("_metadata.file_path")).alias("sample"), F.posexplode(F.split("value", r"(^|\n)>")).alias("read_no", "body"))
+    files = spark.read.text(paths, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("sample"), F.posexplode(F.split("value", r"(^|\n)>")).alias("read_no", "body"))
     record = F.split("body", r"\r?\n")
     seq = F.array_join(F.transform(F.slice(record, 2, 1 << 30), lambda x: F.trim(x)), "")
     rows = files.where("read_no > 0").select("sample", "read_no", F.split(F.trim(record[0]), r"\s+")[0].alias("name"), seq.alias("seq"))
@@ -191,7 +192,7 @@ def report_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def site_locations(spark: SparkSession, path: str) -> DataFrame:
     """(site, lat, lon, label) of a JSON object by site; keys that begin with _ are comments."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("site", "v")).where(~F.startswith("site", F.lit("_")))
     return parsed.select("site", F.from_json("v", "lat double, lon double, label string, collection_date string").alias("v")).select("site", "v.*")
 

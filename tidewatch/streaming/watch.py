@@ -35,7 +35,7 @@ def watch(spark: SparkSession, directory: str, state: str, process: Callable[[st
         new = [r["path"] for r in rows.select("path").join(settled, "path", "left_anti").distinct().orderBy("path").collect()]
         results = []
         for path in dict.fromkeys(again + new):
-            text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+            text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
             try:
                 process(path, text)
                 results.append((path, True))
