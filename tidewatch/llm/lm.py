@@ -76,6 +76,16 @@ def _all_grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.
     return [join(h, np.uint64) for h in hashes], [join(p, np.int64) for p in places], np.concatenate(sizes)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, so that the high ones, mostly zero, compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
 def backoff_scores(hashes: list[np.ndarray], places: list[np.ndarray], sizes: np.ndarray, grams: np.ndarray, totals: np.ndarray, n_words: int, alpha: float) -> np.ndarray:
     """Log score of each word. grams: sorted hashes of all n-grams here; totals: their counts in the corpus."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -126,7 +136,7 @@ def lm_scores(df: DataFrame, order: int = 2, alpha: float = ALPHA, text: str = "
             hashes, _, sizes = _all_grams(pa.chunked_array(held.pop(p)).combine_chunks(), order)
             grams, counts = np.unique(np.concatenate(hashes), return_counts=True)
             edges = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(grams)])
-            rows = [(r, p, grams[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            rows = [(r, p, _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype("<u4"))) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
             rows.append((-1, p, b"", np.array([sizes.sum()], "<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "part", "grams", "counts"])
 
@@ -136,7 +146,7 @@ def lm_scores(df: DataFrame, order: int = 2, alpha: float = ALPHA, text: str = "
         held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for b in batches:
             for r, p, g, c in zip(*(b.column(x).to_pylist() for x in b.schema.names), strict=True):
-                held.setdefault(r, []).append((p, np.frombuffer(g, "<u8"), np.frombuffer(c, "<u4" if r >= 0 else "<u8")))
+                held.setdefault(r, []).append((p, np.cumsum(_numbers(g, "<u8")), _numbers(c, "<u4")) if r >= 0 else (p, None, np.frombuffer(c, "<u8")))
         for r in list(held):
             rows = held.pop(r)
             if r < 0:  # the number of words: each part gets the sum of all
@@ -152,7 +162,7 @@ def lm_scores(df: DataFrame, order: int = 2, alpha: float = ALPHA, text: str = "
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, places, sizes = _all_grams(left.column("text").combine_chunks(), order)
         rows = sorted(zip(*(right.column(c).to_pylist() for c in ("range", "wide", "totals")), strict=True))
-        totals = [np.frombuffer(t, "<u8" if w else "<u4").astype(np.int64) for _, w, t in rows]
+        totals = [_numbers(t, "<u8" if w else "<u4").astype(np.int64) for _, w, t in rows]
         if not len(sizes):
             sizes = np.zeros(0, np.int64)
         per_word = backoff_scores(hashes, places, sizes, np.unique(np.concatenate(hashes)), np.concatenate([np.zeros(0, np.int64), *totals[1:]]), int(totals[0][0]), alpha)
@@ -166,7 +176,7 @@ def lm_scores(df: DataFrame, order: int = 2, alpha: float = ALPHA, text: str = "
 
 def _sums(r: int, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     wide = [bool(len(t) and t.max() >= 1 << 32) for _, t in rows]
-    packed = [t.astype("<u8" if w else "<u4").tobytes() for (_, t), w in zip(rows, wide, strict=True)]
+    packed = [_planes(t.astype("<u8" if w else "<u4")) for (_, t), w in zip(rows, wide, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([r] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array(wide), pa.array(packed, pa.binary())], names=["range", "part", "wide", "totals"])
 
 
