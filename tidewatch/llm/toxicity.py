@@ -27,7 +27,11 @@ def word_list(text: str | None) -> list[str]:
 
 
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hashes of the 3- to 5-character slices of all words (edges marked), and where each word's begin."""
+    """Hash of each word, hashes of the 3- to 5-character slices of all words (edges marked), and where each word's begin. Many words are taken in turn, to keep memory low."""
+    if len(words) > 20_000:
+        parts = [gram_hashes(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+        before = np.cumsum([0, *(len(g) for _, g, _ in parts[:-1])])
+        return np.concatenate([w for w, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), np.concatenate([b + n for (_, _, b), n in zip(parts, before, strict=True)])
     codes = np.frombuffer((_EDGE + _EDGE.join(words) + _EDGE).encode("utf-32-le", "surrogatepass"), np.uint32)
     prefix = _HASH.prefix(codes)
     edge = np.flatnonzero(codes == 2)
@@ -234,10 +238,9 @@ def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, r
         net.p["out"][:] = 0
         net.p["out_b"][:] = np.log((prior + 1e-3) / (1 - prior + 1e-3))
         return net
-    lists = [word_list(t) for t in texts]
-    vocab = sorted({w for ws in lists for w in ws})
-    place = {w: i for i, w in enumerate(vocab)}
-    docs = [np.array([place[w] for w in ws], np.int64) for ws in lists]
+    place: dict[str, int] = {}
+    docs = [np.array([place.setdefault(w, len(place)) for w in word_list(t)], np.int64) for t in texts]
+    vocab = list(place)
     word, gram, begin = gram_hashes(vocab) if vocab else (np.zeros(0, np.uint64),) * 3
     end = np.append(begin[1:], len(gram)).astype(np.int64)
     own = [np.unique(d) for d in docs]
