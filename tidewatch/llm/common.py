@@ -32,6 +32,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrowed(df: DataFrame, keys: DataFrame, on: Column, bound: int = 500_000, how: str = "left_semi") -> DataFrame:
+    """df joined (semi or anti) with keys where these are bound rows at most and so may be broadcast; otherwise a shuffle
+    does it, as it would anyway."""
+    return df.join(F.broadcast(keys) if keys.count() <= bound else keys.hint("merge"), on, how)
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """As many partitions as keep per_part rows each, the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

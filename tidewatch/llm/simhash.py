@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_for, saved, table
+from .common import narrowed, parts_for, saved, table
 from .components import components
 
 FAN = 8
@@ -181,7 +181,7 @@ def candidate_links(fps: DataFrame, radius: int, tables: int = 96, bits: int = 1
     masks = [int(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(tables)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     fp = F.col("fp")
-    dealt = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("g"))
+    dealt = fps.select("fp", F.explode(F.array(*[F.hash(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("g"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(b.column("g").to_numpy(), b.column("fp").to_numpy()) for b in batches]
@@ -213,26 +213,22 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radi
     hashes of `words`-word shingles, from one text of each fingerprint) is at least `similarity`; equal fingerprints
     are linked as they are. Texts without a word are a group of their own. Null keys go to the group of their fingerprint.
     """
-    kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField("k", kind), T.StructField("t", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+    docs = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    rows = saved(fingerprinted(docs, words))
+    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k")).alias("one")))
+    pairs = saved(candidate_links(low, radius))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(low, "fp").select("fp", F.col("one.t").alias("need_t"), F.col("one.k").alias("need_k"))
+    need = saved(need)
+    same = (F.col("t") == F.col("need_t")) & F.col("k").eqNullSafe(F.col("need_k"))
+    texts = narrowed(docs, need, same).join(need, same).select("fp", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sets = [], []
-            for t in b.column("text"):
-                h = shingle_hashes(t.as_py(), words)
-                fps.append(fingerprint(h))
-                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            sets = [np.unique((shingle_hashes(t.as_py(), words) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column("text")]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            shingles = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(np.array(fps, np.uint64).view(np.int64)), shingles], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *sets])))], names=["fp", "shingles"])
 
-    slim = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    rows = saved(slim.mapInArrow(run, schema))
-    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k")).alias("one")))
-    pairs = saved(candidate_links(low, radius))
-    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(low, "fp").select("fp", "one.*")
-    sets = saved(rows.join(need, (rows["fp"] == need["fp"]) & (rows["t"] == need["t"]) & rows["k"].eqNullSafe(need["k"]), "left_semi").select("fp", "shingles").dropDuplicates(["fp"]))
+    sets = saved(texts.mapInArrow(shingled, "fp long, shingles array<int>").dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     linked = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
