@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, fresh, mix64, parts_for, saved, table
+from .common import SliceHash, fresh, mix64, narrowed, parts_for, saved, table
 
 SEED = 32  # bytes of an anchor
 SEGMENT = 1 << 20  # window starts handled at once in a very long text
@@ -166,12 +166,38 @@ def _anchor_table(docs: DataFrame, size: int) -> DataFrame:
 FRAGMENT = ["g", "f", "n", "k", "t", "p", "lo", "hi", "x", "y", "content"]
 
 
+def _counted(every: DataFrame, rows: int = 500_000) -> DataFrame:
+    """(g, f, n, o) of anchors, added up within a task before they are exchanged; o is one occurrence."""
+    schema = T.StructType([*every.select("g", "f").schema, T.StructField("n", T.LongType()), T.StructField("o", every.select("k", "t", "p", "a", "b").schema)])
+
+    def group(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).append_column("i", pa.array(np.arange(sum(b.num_rows for b in held))))
+        by = whole.select(["g", "f", "i"]).group_by(["g", "f"]).aggregate([("i", "count"), ("i", "min")])
+        one = whole.take(by["i_min"]).combine_chunks()
+        o = pa.StructArray.from_arrays([one[c].combine_chunks() if isinstance(one[c], pa.ChunkedArray) else one[c] for c in ("k", "t", "p", "a", "b")], names=["k", "t", "p", "a", "b"])
+        return pa.RecordBatch.from_arrays([by["g"].combine_chunks(), by["f"].combine_chunks(), by["i_count"].combine_chunks(), o], names=["g", "f", "n", "o"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= rows:
+                yield group(held)
+                held = []
+        if held:
+            yield group(held)
+
+    return every.select("g", "f", "k", "t", "p", "a", "b").mapInArrow(run, schema)
+
+
 def _fragments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """wanted (g, f, n, k, t, p, a, b) with `content`, the bytes of the fragment, and lo and hi, its first and last window
     from the anchor, in place of a and b; x and y bound the window starts that its group is about."""
     kind = docs.schema["k"].dataType.simpleString()
     each = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("g", "f", "n", "p", "a", "b")).alias("at"))
-    joined = docs.join(each, (docs["k"].eqNullSafe(each["k"])) & (docs["t"] == each["t"])).select(docs["k"], docs["t"], "text", "at")
+    each = saved(each.withColumnsRenamed({"k": "own_k", "t": "own_t"}))
+    same = F.col("k").eqNullSafe(F.col("own_k")) & (F.col("t") == F.col("own_t"))
+    joined = narrowed(docs, each.select("own_k", "own_t"), same).join(each, same).select("k", "t", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,10 +267,11 @@ def _halved(groups: DataFrame, size: int) -> DataFrame:
 def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128) -> DataFrame:
     """Spans (k, t, a, e) that together cover what repeats in docs (k, t, text), t a hash of the text."""
     every = saved(_anchor_table(docs.where(F.octet_length("text") >= size), size))
-    per = every.groupBy("g", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "t", "p", "a", "b")).alias("o"))
+    parts = parts_for(docs.sparkSession, every.count(), 200_000)
+    per = _counted(every).repartition(parts, "g").groupBy("g", "f").agg(F.sum("n").alias("n"), F.min("o").alias("o"))
     about = per.groupBy("g").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("single"))
     repeated = saved(per.join(about.where("m > 1"), "g"))
-    spans = every.join(repeated.where("n > 1").select("g", "f"), ["g", "f"]).select("k", "t", "a", (F.col("b") + size).alias("e"))
+    spans = every.select("g", "f", "k", "t", "a", "b").join(repeated.where("n > 1").select("g", "f"), ["g", "f"]).select("k", "t", "a", (F.col("b") + size).alias("e"))
     rows = saved(_fragments(docs, repeated.where("d > 1 and single > 0").select("g", "f", "n", "o.*"), size))
     while True:
         counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("d"))
@@ -281,10 +308,14 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
     k, t, body = (fresh(df.columns, f"__{x}") for x in ("k", "t", "text"))
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    spans = repeat_spans(docs, size).distinct().groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias("__spans"))
-    spans = spans.select(F.col("k").alias(k), F.col("t").alias(t), "__spans")
-    keyed = df.withColumns({body: whole, t: F.xxhash64(whole)})
-    joined = keyed.join(spans, keyed[key].eqNullSafe(spans[k]) & (keyed[t] == spans[t]), "left").select(*[keyed[c] for c in df.columns], body, "__spans")
+    spans = repeat_spans(docs, size).groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("a", "e"))).alias("__spans"))
+    spans = saved(spans.select(F.col("k").alias(k), F.col("t").alias(t), "__spans"))
+    keyed = df.withColumns({body: whole, t + "_": F.xxhash64(whole)})
+    same = F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(t + "_") == F.col(t))
+    keys = spans.select(k, t)
+    hit = narrowed(keyed, keys, same).join(spans, same).select(*df.columns, body, "__spans")
+    rest = narrowed(keyed, keys, same, how="left_anti").select(*df.columns, body, F.lit(None).cast(spans.schema["__spans"].dataType).alias("__spans"))
+    joined = hit.unionByName(rest)
     schema = T.StructType([*df.schema, *T._parse_datatype_string("kept binary, spans array<struct<start: bigint, end: bigint>>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
