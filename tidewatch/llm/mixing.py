@@ -13,12 +13,13 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t-\r]+"), lambda w: w != "")
+def _stems(text: Column) -> Column:
+    """The first STEM characters of each word."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([^ \t-\r]{{1,{STEM}}})[^ \t-\r]*"), F.lit(1))
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, 1, STEM)), F.lit(BUCKETS)).cast("int")
+def _bucket(stem: Column) -> Column:
+    return F.pmod(F.xxhash64(stem), F.lit(BUCKETS)).cast("int")
 
 
 def label_domain() -> Column:
@@ -31,7 +32,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     threshold: what a language or a common word says about a domain is small, and adds up to nothing so.
 
     labels has the key and `domain`. About per_domain rows of each domain (all, if fewer), chosen by a hash of the key, are
-    looked at; rows without key or domain are not. The table has at most BUCKETS rows and may be broadcast.
+    looked at; rows without key or domain are not. The table has at most BUCKETS rows and may be broadcast; buckets that tell nothing
+    are not in it.
     """
     known = labels.where(F.col(key).isNotNull() & F.col("domain").isin(*DOMAINS)).select(F.col(key).alias("key"), "domain")
     counts = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
@@ -41,7 +43,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     for d in DOMAINS:
         share = F.when(F.col("domain") == d, min(1.0, per_domain / max(1, counts.get(d, 0)))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000 < share)
-    words = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("domain", F.explode(_words(F.col("text"))).alias("w"))
+    words = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("domain", F.explode(_stems(F.col("text"))).alias("w"))
     seen = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     seen = saved(seen)
     sums = seen.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS]).first()
@@ -49,20 +51,22 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     mean = sum((F.col(d) for d in DOMAINS), F.lit(0)) / every
     lift = {d: F.log((F.col(d) + smoothing) / (mean * sums[d] + smoothing)) for d in DOMAINS}
     weights = seen.select("bucket", *[(F.signum(x) * F.greatest(F.abs(x) - threshold, F.lit(0.0))).alias(d) for d, x in lift.items()])
-    return prior, saved(weights)
+    return prior, saved(weights.where(" or ".join(f"{d} <> 0" for d in DOMAINS)))
 
 
 def domain_posteriors(docs: DataFrame, prior: dict[str, float], weights: DataFrame, text: str = "text", key: str = "doc_id", evidence: float = 500.0) -> DataFrame:
     """One row for each different (key, text): key, t (hash of the text), copies, n_tokens and p_<domain>.
 
     Naive Bayes over word stems; a longer text's evidence counts as that of `evidence` words. A text without words gets
-    the priors. Words are pre-aggregated per row before the exchange; the table of weights is broadcast (its size is bounded).
+    the priors. Each row ends in a mark, which keeps and counts it; of its words only those that the table of weights (which
+    is broadcast; its size is bounded) has go on, and they are pre-aggregated per row before the exchange.
     """
-    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("k", F.xxhash64("text").alias("t"), F.explode_outer(_words(F.col("text"))).alias("w"))
-    found = own.select("k", "t", F.when(F.col("w").isNotNull(), _bucket(F.col("w"))).alias("bucket"), F.col("w").isNotNull().alias("is_word"))
-    sums = found.join(F.broadcast(weights), "bucket", "left").groupBy("k", "t").agg(F.count_if("is_word").alias("all_tokens"), *[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
-    copies = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")).groupBy("k", "t").agg(F.count(F.lit(1)).alias("copies"))
-    rows = sums.join(copies, sums["k"].eqNullSafe(copies["k"]) & (sums["t"] == copies["t"])).select(sums["k"], sums["t"], "copies", (F.col("all_tokens") / F.col("copies")).cast("long").alias("n_tokens"), *[(F.col(d) / F.col("copies")).alias(d) for d in DOMAINS])
+    own = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), _stems(F.col(text)).alias("stems"))
+    own = own.select("k", "t", F.size("stems").cast("long").alias("n_tokens"), F.explode(F.array_append("stems", F.lit(""))).alias("stem"))
+    marked = weights.unionByName(docs.sparkSession.createDataFrame([(-1, 0.0, 0.0, 0.0)], weights.schema))
+    hits = own.select("k", "t", "n_tokens", F.when(F.col("stem") == "", -1).otherwise(_bucket(F.col("stem"))).alias("bucket")).join(F.broadcast(marked), "bucket")
+    sums = hits.groupBy("k", "t").agg(F.max("n_tokens").alias("n_tokens"), F.count_if(F.col("bucket") == -1).alias("copies"), *[F.sum(d).alias(d) for d in DOMAINS])
+    rows = sums.select("k", "t", "copies", "n_tokens", *[(F.col(d) / F.col("copies")).alias(d) for d in DOMAINS])
     scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.lit(1), F.col("n_tokens")))
     logits = rows.withColumns({d: F.log(F.lit(prior[d])) + F.col(d) * scale for d in DOMAINS})
     top = F.greatest(*DOMAINS)
