@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrowed, parts_for, saved, table
+from .common import mix64, narrowed, parts_for, saved, table
 from .components import components
 
 FAN = 8
@@ -52,6 +52,19 @@ def fingerprinted(df: DataFrame, words: int = 5, text: str = "text") -> DataFram
     return df.select(*[f.name for f in kept], text).mapInArrow(run, schema)
 
 
+_ODD = np.random.default_rng(64).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_bits(hashes: np.ndarray) -> int:
+    """64 bits, one of each of 64 minimum hashes: two sets of similarity s agree in about half of them and half of s more."""
+    if not len(hashes):
+        return 0
+    low = np.full(64, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[i : i + 4096, None] * _ODD).min(0))
+    return int(np.packbits((mix64(low) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def gray_rank(v: np.ndarray) -> np.ndarray:
     """Place of each value in the reflected Gray code."""
     v = v.copy()
@@ -211,12 +224,24 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radi
 
     Fingerprints within the radius are candidates, and linked if the Jaccard similarity of their shingle sets (32-bit
     hashes of `words`-word shingles, from one text of each fingerprint) is at least `similarity`; equal fingerprints
-    are linked as they are. Texts without a word are a group of their own. Null keys go to the group of their fingerprint.
+    are linked as they are. Before the sets are made, candidates whose 64 minimum-hash bits agree in 12 (some five standard
+    deviations) fewer than the similarity leads to expect are dropped. Texts without a word are a group of their own. Null keys go to the group of their fingerprint.
     """
     docs = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    rows = saved(fingerprinted(docs, words))
-    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k")).alias("one")))
-    pairs = saved(candidate_links(low, radius))
+    schema = T.StructType([*docs.select("k", "t").schema, T.StructField("fp", T.LongType()), T.StructField("bits", T.LongType())])
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [(fingerprint(h), min_bits(h)) for h in (shingle_hashes(t.as_py(), words) for t in b.column("text"))]
+            fp, bits = (pa.array(np.array([x[i] for x in both], np.uint64).view(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), fp, bits], names=schema.names)
+
+    rows = saved(docs.mapInArrow(fingerprints, schema))
+    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k", "bits")).alias("one")))
+    bits = low.select("fp", F.col("one.bits").alias("bits"))
+    pairs = candidate_links(low, radius).join(bits.withColumnsRenamed({"fp": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"fp": "b", "bits": "y"}), "b")
+    agree = 64 - F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    pairs = saved(pairs.where(agree >= 32 + 32 * similarity - 12).select("a", "b"))
     need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(low, "fp").select("fp", F.col("one.t").alias("need_t"), F.col("one.k").alias("need_k"))
     need = saved(need)
     same = (F.col("t") == F.col("need_t")) & F.col("k").eqNullSafe(F.col("need_k"))
