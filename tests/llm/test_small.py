@@ -196,6 +196,29 @@ def test_near_duplicates(spark):
     assert sum(out[2 * i + 1] == 2 * i for i in range(30)) >= 29 and all(out[2 * i] == 2 * i for i in range(30))
 
 
+def test_near_duplicates_verifies_pairs_beyond_the_nearest(spark):
+    """Families of texts of which the likest pairs fall short of the similarity and a few others reach it: all are found."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(3):
+        base = rng.choice(vocab, 200)
+        for _ in range(60):
+            own = base.copy()
+            n = rng.integers(2, 5)
+            own[rng.choice(200, n, replace=False)] = rng.choice(vocab, n)
+            texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    a, b = np.array(near).T
+    want = simhash.roots(len(texts), iter([(a, b)]))
+    assert len(set(want.tolist())) > 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for thin in (1, 1000):
+        out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, radius=30, thin=thin).collect()}
+        assert sum(out[i] != want[i] for i in range(len(texts))) <= 3  # pairs that share no table
+
+
 def covered(texts, size):
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     out = []

@@ -182,85 +182,134 @@ def simhash_components(slim: DataFrame, radius: int = 3, key: str = "doc_id") ->
     return slim.join(by_fp, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNotNull(), F.col("component_id")).otherwise(F.col(key)))
 
 
-def candidate_links(fps: DataFrame, radius: int, tables: int = 96, bits: int = 14, seed: int = 5, rows_per_task: int = 200_000) -> DataFrame:
-    """Candidate pairs (a, b) of distinct fingerprints for radii that blocks are too many for.
+def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, thin: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different nodes `s` in a task's groups `g` whose fingerprints `fp` differ in at most radius bits,
+    whose minimum-hash bits `bits` agree in `agree` or more, and whose `root` differs, where it is given.
 
-    Fingerprints are grouped by `bits` of their bits, chosen at random for each table; two that differ in d bits share a
-    group in one of the tables with probability 1 - (1 - (1 - d / 64) ** bits) ** tables, 0.95 for d = 14 as it stands.
-    In each group a Gray-order index finds all pairs within the radius. Of these, a link to the nearest and one to the
-    first of its cluster are returned for each fingerprint, so a dense group returns links, not all its pairs.
+    thin: groups with over that many pairs a node return, for each node, its likest partner and the one with most partners
+    (ties: the smaller node, so that tables choose alike), and are named in `open`: their other pairs are still to come.
+    """
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    s = rows.column("s").to_numpy()
+    order = np.argsort(s, kind="stable")
+    s, g, v, x = s[order], rows.column("g").to_numpy()[order], rows.column("fp").to_numpy()[order].view(np.uint64), rows.column("bits").to_numpy()[order].view(np.uint64)
+    root = rows.column("root").to_numpy()[order] if "root" in rows.column_names else s
+    group = np.unique(g, return_inverse=True)[1]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b in near_pairs(g, v, radius, 1 << 18):
+            same = 64 - np.bitwise_count(x[a] ^ x[b]).astype(np.int64)
+            ok = (same >= agree) & (root[a] != root[b])
+            if ok.any():
+                yield a[ok], b[ok], same[ok]
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], names=["a", "b", "open"])
+
+    if thin is None:
+        for a, b, _ in found():
+            yield batch(s[a], s[b])
+        return
+    partners = np.zeros(len(s), np.int64)
+    for a, b, _ in found():
+        np.add.at(partners, a, 1)
+        np.add.at(partners, b, 1)
+    size = np.bincount(group)
+    dense = np.bincount(group, partners) > 2 * thin * size
+    likest, hub = np.full(len(s), -1), np.full(len(s), -1)
+    back = len(s) - 1
+    for a, b, same in found():
+        many = dense[group[a]]
+        if not many.all():
+            yield batch(s[a[~many]], s[b[~many]])
+        for i, j in ((a[many], b[many]), (b[many], a[many])):
+            np.maximum.at(likest, i, same[many] << 40 | (back - j))
+            np.maximum.at(hub, i, partners[j] << 40 | (back - j))
+    i = np.flatnonzero(likest >= 0)
+    if len(i):
+        other = [back - (best[i] & ((1 << 40) - 1)) for best in (likest, hub)]
+        yield batch(np.concatenate([s[i], s[i]]), np.concatenate([s[o] for o in other]))
+        first = np.unique(group, return_index=True)[1][dense]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64()), pa.array(g[first], pa.int32())], names=["a", "b", "open"])
+
+
+def candidates(nodes: DataFrame, radius: int, agree: float, thin: int | None = None, among: DataFrame | None = None, tables: int = 96, bits: int = 14, seed: int = 5, rows_per_task: int = 200_000) -> DataFrame:
+    """close_pairs of nodes (s, fp, bits, and root if given) for radii that blocks are too many for.
+
+    Nodes are grouped by `bits` of the fingerprint's bits, chosen at random without replacement for each table; two that
+    differ in d bits share a group in one of the tables with probability 1 - (1 - C(64 - d, bits) / C(64, bits)) ** tables,
+    0.85 for d = 14 as it stands. In each group a Gray-order index finds all pairs within the radius. among: only the groups in
+    its column `open`.
     """
     rng = np.random.default_rng(seed)
     masks = [int(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(tables)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     fp = F.col("fp")
-    dealt = fps.select("fp", F.explode(F.array(*[F.hash(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("g"))
+    keys = F.array(*[F.struct(F.hash(F.lit(i), fp.bitwiseAND(F.lit(m))).alias("g"), fp.alias("fp")) for i, m in enumerate(signed)])
+    own = [c for c in nodes.columns if c in ("s", "bits", "root")]
+    dealt = nodes.select(*own, F.explode(keys).alias("key")).select(*own, "key.*")
+    if among is not None:
+        dealt = narrowed(dealt, among, dealt["g"] == among["open"])
+    parts = parts_for(nodes.sparkSession, nodes.count() * tables, rows_per_task)
+    return dealt.repartition(parts, "g").mapInArrow(lambda batches: close_pairs(batches, radius, agree, thin), "a long, b long, open int")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column("g").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not rows:
-            return
-        g, v = (np.concatenate(x) for x in zip(*rows, strict=True))
-        u = v.view(np.uint64)
-        root, nearest = np.arange(len(v)), np.full(len(v), np.iinfo(np.int64).max)
-        for a, b in near_pairs(g, u, radius):
-            root = roots(len(v), iter([(a, b)]), root)
-            d = np.bitwise_count(u[a] ^ u[b]).astype(np.int64) << 40
-            np.minimum.at(nearest, a, d | b)
-            np.minimum.at(nearest, b, d | a)
-        i = np.flatnonzero(nearest < np.iinfo(np.int64).max)
-        other = nearest[i] & ((1 << 40) - 1)
-        a, b = np.concatenate([v[i], v[i]]), np.concatenate([v[other], v[root[i]]])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    parts = parts_for(fps.sparkSession, fps.count() * tables, rows_per_task)
-    return dealt.repartition(parts, "g").mapInArrow(search, "a long, b long").distinct()
-
-
-def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, text: str = "text", key: str = "doc_id", thin: int = 8) -> DataFrame:
     """(key, t, fp, root, component_id): t is a hash of the text; rows whose root agrees are near-duplicates, and
     component_id is the smallest key among them.
 
     Fingerprints within the radius are candidates, and linked if the Jaccard similarity of their shingle sets (32-bit
     hashes of `words`-word shingles, from one text of each fingerprint) is at least `similarity`; equal fingerprints
-    are linked as they are. Before the sets are made, candidates whose 64 minimum-hash bits agree in 12 (some five standard
-    deviations) fewer than the similarity leads to expect are dropped. Texts without a word are a group of their own. Null keys go to the group of their fingerprint.
+    are linked as they are. Candidates whose 64 minimum-hash bits agree in 12 (some five standard deviations) fewer than the
+    similarity leads to expect are dropped in the group's task. Of dense groups (over `thin` pairs a node) two links a node are verified
+    first; then every pair there that these have not united is. Texts without a word are a group of their own. Null keys
+    go to the group of their fingerprint.
     """
     docs = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    schema = T.StructType([*docs.select("k", "t").schema, T.StructField("fp", T.LongType()), T.StructField("bits", T.LongType())])
+    schema = T.StructType([*docs.select("k", "t").schema, T.StructField("s", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.LongType())])
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [(fingerprint(h), min_bits(h)) for h in (shingle_hashes(t.as_py(), words) for t in b.column("text"))]
             fp, bits = (pa.array(np.array([x[i] for x in both], np.uint64).view(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), fp, bits], names=schema.names)
-
-    rows = saved(docs.mapInArrow(fingerprints, schema))
-    low = saved(rows.groupBy("fp").agg(F.min("k").alias("low"), F.min(F.struct("t", "k", "bits")).alias("one")))
-    bits = low.select("fp", F.col("one.bits").alias("bits"))
-    pairs = candidate_links(low, radius).join(bits.withColumnsRenamed({"fp": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"fp": "b", "bits": "y"}), "b")
-    agree = 64 - F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    pairs = saved(pairs.where(agree >= 32 + 32 * similarity - 12).select("a", "b"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(low, "fp").select("fp", F.col("one.t").alias("need_t"), F.col("one.k").alias("need_k"))
-    need = saved(need)
-    same = (F.col("t") == F.col("need_t")) & F.col("k").eqNullSafe(F.col("need_k"))
-    texts = narrowed(docs, need, same).join(need, same).select("fp", "text")
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), fp, fp, bits], names=schema.names)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique((shingle_hashes(t.as_py(), words) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column("text")]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *sets])))], names=["fp", "shingles"])
-
-    sets = saved(texts.mapInArrow(shingled, "fp long, shingles array<int>").dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    root = components(linked).withColumnRenamed("node", "fp")
-    united = low.select("fp", "low").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            yield pa.RecordBatch.from_arrays([b.column("s"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *sets])))], names=["s", "shingles"])
+
+    rows = saved(docs.mapInArrow(fingerprints, schema))
+    nodes = saved(rows.groupBy("s").agg(F.min("k").alias("low"), F.min(F.struct("t", "k", "fp", "bits")).alias("one")).select("s", "low", "one.*"))
+    agree = 32 + 32 * similarity - 12
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as is asked."""
+        need = saved(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(nodes, "s").select("s", F.col("t").alias("need_t"), F.col("k").alias("need_k")))
+        same = (F.col("t") == F.col("need_t")) & F.col("k").eqNullSafe(F.col("need_k"))
+        texts = narrowed(docs, need, same).join(need, same).select("s", "text")
+        sets = saved(texts.mapInArrow(shingled, "s long, shingles array<int>").dropDuplicates(["s"]))
+        both = pairs.join(sets.select(F.col("s").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return saved(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+    found = saved(candidates(nodes, radius, agree, thin))
+    pairs = saved(found.where(F.col("open").isNull()).select("a", "b").distinct())
+    linked = verified(pairs)
+    root = components(linked)
+    dense = found.where(F.col("open").isNotNull()).select("open").distinct()
+    if not dense.isEmpty():
+        parted = nodes.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        more = candidates(saved(parted), radius, agree, among=saved(dense)).select("a", "b").distinct()
+        root = components(linked.unionByName(verified(saved(more.join(pairs, ["a", "b"], "left_anti")))))
+    united = nodes.select("s", "low").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     smallest = united.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("k", "t", "fp").join(united.join(smallest, "root").select("fp", "root", "component_id"), "fp").select(F.col("k").alias(key), "t", "fp", "root", "component_id")
+    return rows.select("k", "t", "fp", "s").join(united.join(smallest, "root").select("s", "root", "component_id"), "s").select(F.col("k").alias(key), "t", "fp", "root", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
