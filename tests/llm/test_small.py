@@ -219,6 +219,24 @@ def test_near_duplicates_verifies_pairs_beyond_the_nearest(spark):
         assert sum(out[i] != want[i] for i in range(len(texts))) <= 3  # pairs that share no table
 
 
+def test_near_duplicates_recall_at_the_similarity(spark):
+    """Pairs of texts at similarity 0.8 or just above, and of repeated shingles, are found."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(400):
+        words = rng.choice(vocab, 190)
+        copy = words.copy()
+        copy[[20, 60, 100, 140][: 4 if i % 2 else 3]] = "other"
+        line = " ".join(rng.choice(vocab, 3)) + " "
+        texts += [" ".join(words), line * (60 if i % 4 == 0 else 0) + " ".join(copy)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [i for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 350
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(out[i + 1] == i for i in near) >= 0.99 * len(near)
+
+
 def covered(texts, size):
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     out = []
