@@ -237,6 +237,25 @@ def test_near_duplicates_recall_at_the_similarity(spark):
     assert sum(out[i + 1] == i for i in near) >= 0.99 * len(near)
 
 
+def test_near_duplicates_verifies_equal_fingerprints(spark):
+    """A line repeated often fixes a fingerprint of all shingles, whatever else the texts hold; without it, equal fingerprints are no proof."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = ["one two three four five " * 200 + " ".join(rng.choice(vocab, 150)) for _ in range(6)]
+    texts += [texts[0].upper(), "  " + texts[1], "", None, "one two"]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts[:6]}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 8, 9: 8, 10: 10}
+    few = spark.createDataFrame([(0, "a b c d e f"), (1, "g h i j k l")], "doc_id long, text string")
+    equal = simhash.fingerprint_list
+    try:
+        simhash.fingerprint_list = lambda hashes, count: [0] * count
+        assert {r["component_id"] for r in simhash.near_duplicates(few).collect()} == {0, 1}
+    finally:
+        simhash.fingerprint_list = equal
+
+
 def covered(texts, size):
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     out = []

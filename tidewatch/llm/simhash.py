@@ -53,6 +53,13 @@ def fingerprinted(df: DataFrame, words: int = 5, text: str = "text") -> DataFram
     return df.select(*[f.name for f in kept], text).mapInArrow(run, schema)
 
 
+def set_hash(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set of hashes, given distinct and in order; 0 for none."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(hashes.astype("<u8").tobytes(), 42) if len(hashes) else 0
+
+
 def fingerprint_list(hashes: np.ndarray, count: int) -> list[int]:
     """`count` independent fingerprints of the hashes; the first is `fingerprint`."""
     return [fingerprint(mix64(hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if i else hashes) for i in range(count)]
@@ -270,11 +277,11 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radi
     component_id is the smallest key among them.
 
     Fingerprints are of the distinct shingles. Those within the radius are candidates, and linked if the Jaccard similarity of their shingle sets (32-bit
-    hashes of `words`-word shingles, from one text of each fingerprint) is at least `similarity`; equal fingerprints
-    are linked as they are. Candidates whose 64 minimum-hash bits agree in 12 (some five standard deviations) fewer than the
+    hashes of `words`-word shingles) is at least `similarity`. Only texts of equal shingle sets stand for each other; different
+    ones of equal fingerprints are candidates like any other. Candidates whose 64 minimum-hash bits agree in 12 (some five standard deviations) fewer than the
     similarity leads to expect are dropped in the group's task. Of dense groups (over `thin` pairs a node) two links a node are verified
     first; then every pair there that these have not united is. Texts without a word are a group of their own. Null keys
-    go to the group of their fingerprint.
+    go to the group of their text.
     """
     docs = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     schema = T.StructType([*docs.select("k", "t").schema, T.StructField("s", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType())])
@@ -285,7 +292,8 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radi
             fps = np.array([fingerprint_list(h, FINGERPRINTS) for h in sets], np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
             bits = np.array([min_bits(h) for h in sets], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * FINGERPRINTS), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(fps[:, 0]), lists, pa.array(bits)], names=schema.names)
+            same = np.array([set_hash(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(same), lists, pa.array(bits)], names=schema.names)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
