@@ -289,7 +289,45 @@ def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128) -> DataFrame
         rows = saved(per.join(about.where("d > 1 and single > 0").select("g"), "g", "left_semi").select("g", "f", "n", "o.*"))
 
 
-def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
+def word_windows(text: bytes, words: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (hash, start, end) of the windows of `words` words (ASCII whitespace parts them) that are under `size` bytes."""
+    codes = np.frombuffer(text, np.uint8)
+    word = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    if len(start) < words:
+        return
+    start, end = start[: len(start) - words + 1], end[words - 1 :]
+    short = end - start < size
+    start, end = start[short], end[short]
+    for base in np.unique(start // SEGMENT) * SEGMENT:
+        own = (start >= base) & (start < base + SEGMENT)
+        prefix = _HASH.prefix(codes[base : base + SEGMENT + size])
+        yield _HASH.slices(prefix, start[own] - base, end[own] - base).view(np.int64), start[own], end[own]
+
+
+def word_spans(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """Spans (k, t, a, e) of docs (k, t, text) that are windows of `words` words, under `size` bytes, which are there twice."""
+    kind = docs.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, parts = [], []
+            for i, t in enumerate(b.column("text")):
+                for x in word_windows(t.as_py().encode("utf-8", "surrogatepass"), words, size):
+                    rows.append(np.full(len(x[0]), i))
+                    parts.append(x)
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                h, a, e = (pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([h, b.column("k").take(take), b.column("t").take(take), a, e], names=["h", "k", "t", "a", "e"])
+
+    every = saved(docs.where(F.octet_length("text") >= 2 * words - 1).mapInArrow(run, f"h long, k {kind}, t long, a long, e long"))
+    twice = saved(every.groupBy("h").count().where("count > 1").select(F.col("h").alias("twice")))
+    return narrowed(every, twice, F.col("h") == F.col("twice")).select("k", "t", "a", "e")
+
+
+def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """df with `kept` (binary) and `spans` (array of start, end): the UTF-8 bytes of each text without every byte that a
     string of `size` bytes covers which also begins anywhere else, and the maximal runs of what is removed.
 
@@ -303,12 +341,18 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
     into a run-length Burrows-Wheeler index whose matching statistics tell where long matches begin. A group of over
     group_rows different fragments (a passage that very many rows share) is cut at the middle of its windows, and either
     half is grouped anew by the bytes common to its windows, until groups are small or equal.
+
+    words: strings of that many whole words go too where they are shorter than `size`; such windows are few and found by
+    their hashes.
     """
     df = df.drop("kept", "spans")
     k, t, body = (fresh(df.columns, f"__{x}") for x in ("k", "t", "text"))
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    spans = repeat_spans(docs, size).groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("a", "e"))).alias("__spans"))
+    spans = repeat_spans(docs, size)
+    if words:
+        spans = spans.unionByName(word_spans(docs, words, size))
+    spans = spans.groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("a", "e"))).alias("__spans"))
     spans = saved(spans.select(F.col("k").alias(k), F.col("t").alias(t), "__spans"))
     keyed = df.withColumns({body: whole, t + "_": F.xxhash64(whole)})
     same = F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(t + "_") == F.col(t))
