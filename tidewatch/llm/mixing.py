@@ -75,25 +75,28 @@ def domain_posteriors(docs: DataFrame, prior: dict[str, float], weights: DataFra
     return shares.select("k", "t", "copies", "n_tokens", *[(F.col(f"e_{d}") / whole).alias(f"p_{d}") for d in DOMAINS])
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after these steps, each a vector over the domains: rates begin at 1 and stay at 0 or above."""
+def _rate(steps: list[list[float]], most: float = float("inf")) -> Column:
+    """The rate after these steps, each a vector over the domains: rates begin at 1 and stay at 0 or above, and at most or below."""
     if not steps:
         return F.lit(1.0)
     path = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(path, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.element_at(s, i + 1) * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)), F.lit(0.0))))
+    return F.aggregate(path, F.lit(1.0), lambda r, s: F.least(F.lit(most), F.greatest(F.lit(0.0), r - sum((F.element_at(s, i + 1) * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)), F.lit(0.0)))))
 
 
-def mixing_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, rounds: int = 30, tolerance: float = 1e-4) -> tuple[DataFrame, list[list[float]]]:
+def mixing_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, rounds: int = 30, tolerance: float = 1e-4, keep: str | None = None, most: float = float("inf")) -> tuple[DataFrame, list[list[float]]]:
     """members (copies, n_tokens, p_<domain>) with `rate`, and the steps that led there.
 
     The rates minimise the sum over domains of (expected tokens - target)^2 / tokens at rate 1, by projected gradient from
     rate 1: expected tokens are the sum of rate x n_tokens x posterior; the gradient is taken per token; rates are kept at
     0 or above. With this scaling the step 1 is stable. A round sends the driver one sum for each domain. A domain without
-    tokens is left out. total: of all targets; the tokens at rate 1, if not given.
+    tokens is left out. total: of all targets; the tokens at rate 1, if not given;
+    keep: the domain whose tokens at rate 1 are to be its target, which gives the total. Rates stay at `most` or below.
     """
     weight = F.col("n_tokens") * F.col("copies")
     expected = [F.coalesce(F.sum(F.col("rate") * weight * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]
     start = members.withColumn("rate", F.lit(1.0)).agg(*expected).first()
+    if keep:
+        total = start[DOMAINS.index(keep)] * sum(targets.values()) / targets[keep]
     total = sum(start) if total is None else total
     goal = [targets[d] * total / sum(targets.values()) for d in DOMAINS]
     steps: list[list[float]] = []
@@ -103,15 +106,16 @@ def mixing_rates(members: DataFrame, targets: dict[str, float], total: float | N
         if max(map(abs, error)) < tolerance:
             break
         steps.append(error)
-        now = list(members.withColumn("rate", _rate(steps)).agg(*expected).first())
-    return members.withColumn("rate", _rate(steps)), steps
+        now = list(members.withColumn("rate", _rate(steps, most)).agg(*expected).first())
+    return members.withColumn("rate", _rate(steps, most)), steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, text: str = "text", key: str = "doc_id", seed: int = 23) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, text: str = "text", key: str = "doc_id", seed: int = 23, keep: str | None = None, most: float = float("inf")) -> DataFrame:
     """A row for each row of docs: key, t, n_tokens, p_<domain>, rate, and `repeats`, how often to take it: rate rounded up
-    or down by a hash of key and text, so that its mean is the rate. Empty docs give an empty result."""
+    or down by a hash of key and text, so that its mean is the rate. keep, most: as in
+    mixing_rates. Empty docs give an empty result."""
     prior, weights = fit_domains(docs, labels, text, key)
-    rated, _ = mixing_rates(saved(domain_posteriors(docs, prior, weights, text, key)), targets, total)
+    rated, _ = mixing_rates(saved(domain_posteriors(docs, prior, weights, text, key)), targets, total, keep=keep, most=most)
     draw = F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(1 << 30)) / F.lit(1 << 30)
     each = rated.withColumn("repeats", F.floor(F.col("rate") + draw).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
     return each.withColumnRenamed("k", key)
