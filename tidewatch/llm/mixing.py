@@ -58,7 +58,7 @@ def _shares(p: list[list[float]]) -> list[Column]:
     return [v / sum(e[1:], e[0]) for v in e]
 
 
-def _regression(rows: DataFrame, ridge: float = 1.0, rounds: int = 25) -> list[list[float]]:
+def _regression(rows: DataFrame, ridge: float = 0.1, rounds: int = 25) -> list[list[float]]:
     """Coefficients of a multinomial logistic regression of `domain` on the sums, by Newton steps; a step sends the driver
     the sums of gradient and curvature. The ridge keeps it finite where classes do not overlap or are not there."""
     n = len(DOMAINS) + 1
