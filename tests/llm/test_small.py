@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -219,6 +220,30 @@ def test_near_duplicates_verifies_pairs_beyond_the_nearest(spark):
         assert sum(out[i] != want[i] for i in range(len(texts))) <= 3  # pairs that share no table
 
 
+def test_near_duplicates_of_one_large_family(spark):
+    """Copies of one text with up to nine words changed: the near ones unite, the others are told apart within the groups; rows that are there twice, nulls and clashing names do no harm."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = rng.choice(vocab, 150)
+    texts = []
+    for i in range(400):
+        own = base.copy()
+        own[rng.choice(150, i % 10, replace=False)] = rng.choice(vocab[:40], i % 10)
+        texts.append(" ".join(own))
+    texts += [texts[5], None, "", " ".join(rng.choice(vocab, 150))]
+    rows = [*((i, t, 1, "x", 2) for i, t in enumerate(texts)), (5, texts[5], 1, "x", 2), (None, texts[7], 1, "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s int, fp string, root int")
+    sets = [set((simhash.shingle_hashes(t, 5) >> np.uint64(32)).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    a, b = np.array(near).T
+    want = simhash.roots(len(texts), iter([(a, b)]))
+    assert 50 < len(set(want.tolist())) < 350
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    out = {r["doc_id"]: r["component_id"] for r in got}
+    assert [out[i] for i in range(len(texts))] == want.tolist() and out[None] == want[7]
+
+
 def test_near_duplicates_recall_at_the_similarity(spark):
     """Pairs of texts at similarity 0.8 or just above, and of repeated shingles, are found."""
     rng = np.random.default_rng(3)
@@ -385,22 +410,74 @@ def test_toxicity(spark, docs, nothing, rows):
     assert toxicity.score_toxicity(docs, blank).where("score is null").count() == 0
 
 
+def evidence(text):
+    tokens = regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (text or "").lower())
+    own = set(tokens)
+    often = f"#{int(np.floor(2 * np.log2(len(tokens) / len(own))))}" if own else "#none"
+    return own | {"^" + w[: mixing.BEGINNING] for w in own if len(w) > mixing.BEGINNING} | {often}
+
+
 def test_mixing(spark, docs, nothing, rows):
     rng = np.random.default_rng(10)
-    kinds = {"good": ["fine", "clear"], "low": ["spam", "buy"], "toxic": ["nasty", "vile"]}
-    texts = [(i, " ".join([*rng.choice(WORDS, 40), *rng.choice(kinds[k], 5)]), None, None, None) for i, k in enumerate(np.repeat(list(kinds), [60, 30, 30]))]
-    labels = spark.createDataFrame([(i, k) for i, k in enumerate(np.repeat(list(kinds), [60, 30, 30]).tolist())], "doc_id long, domain string")
+    kinds = {"good": ["fine", "clearing"], "low": ["spam", "buying"], "toxic": ["nasty", "vilest"]}
+    own = np.repeat(list(kinds), [180, 90, 90])
+    texts = [(i, " ".join([*rng.choice(WORDS, 40), *rng.choice(kinds[k], 5)]), None, None, None) for i, k in enumerate(own)]
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(own.tolist())], "doc_id long, domain string")
     df = spark.createDataFrame(texts, DOCS)
     targets = {"good": 0.8, "low": 0.15, "toxic": 0.05}
     out = mixing.mixed(df, labels, targets).toPandas()
     mass = {d: (out["rate"] * out["n_tokens"] * out[f"p_{d}"]).sum() / out["n_tokens"].sum() for d in kinds}
-    assert all(abs(mass[d] - targets[d]) < 0.01 for d in kinds) and (out["rate"] >= 0).all()
-    members, steps = mixing.mixing_rates(spark.createDataFrame(out.assign(copies=1)[["copies", "n_tokens", "p_good", "p_low", "p_toxic"]]), targets)
-    p, n = out[["p_good", "p_low", "p_toxic"]].to_numpy(), out["n_tokens"].to_numpy()
-    r, goal, start = np.ones(len(p)), np.array(list(targets.values())) * n.sum(), n @ p
-    for _ in steps:
-        r = np.maximum(0, r - p @ (((r * n) @ p - goal) / start))
-    assert np.abs(np.sort(r) - np.sort(members.toPandas()["rate"])).max() < 1e-6
-    odd = mixing.mixed(docs, labels, targets)
+    assert all(abs(mass[d] - targets[d]) < 0.001 for d in kinds) and (out["rate"] >= 0).all()
+    odd = mixing.mixed(docs.withColumn("k", F.lit(1)).withColumn("copies", F.lit("x")), labels, targets)
     assert odd.count() == len(rows) and odd.where("rate is null or n_tokens is null").count() == 0
+    with pytest.warns(UserWarning, match="no document rates"):
+        assert mixing.mixed(df, labels.where("false"), targets).where("abs(p_good + p_low + p_toxic - 1) > 1e-9").count() == 0
     assert mixing.mixed(nothing, labels, targets).count() == 0
+
+
+def test_posteriors_against_brute_force(spark, docs, rows):
+    rng = np.random.default_rng(11)
+    kinds = {"good": ["fine", "clearing"], "low": ["spam!!", "buying"], "toxic": ["nasty", "vilest"]}
+    own = np.repeat(list(kinds), 60)
+    texts = [(1000 + i, " ".join([*rng.choice(WORDS, rng.integers(2, 40)), *rng.choice(kinds[k], 2)]), None, None, None) for i, k in enumerate(own)]
+    labels = spark.createDataFrame([(1000 + i, k) for i, k in enumerate(own.tolist())] + [(None, "low"), (1000, None)], "doc_id long, domain string")
+    every = docs.unionByName(spark.createDataFrame(texts, DOCS))
+    coefficients, weights = mixing.fit_domains(every, labels)
+    weight = {r["bucket"]: np.array([r[d] for d in mixing.DOMAINS]) for r in weights.collect()}
+    shown = sorted(set().union(*(evidence(r[1]) for r in [*rows, *texts])))
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in shown], "w string").select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
+    want = {}
+    for r in [*rows, *texts]:
+        x = np.append(sum((weight.get(bucket[w], np.zeros(3)) for w in evidence(r[1])), np.zeros(3)), 1.0)
+        z = np.exp(np.array([0.0, *(np.array(coefficients) @ x)]))
+        want[r[0], r[1] or ""] = (len(words_of(r[1])), z / z.sum())
+    got = every.select("doc_id", "text").distinct().join(mixing.domain_posteriors(every, coefficients, weights), F.expr("doc_id <=> k and xxhash64(coalesce(text, '')) = t")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, p = want[r["doc_id"], r["text"] or ""]
+        assert r["n_tokens"] == n and np.abs(p - [r[f"p_{d}"] for d in mixing.DOMAINS]).max() < 1e-9
+    labelled = [r for r in got if (r["doc_id"] or 0) >= 1000]
+    assert sum(max(kinds, key=lambda d: r[f"p_{d}"]) == own[r["doc_id"] - 1000] for r in labelled) > 0.95 * len(labelled)
+
+
+@pytest.mark.parametrize(("targets", "most"), [((0.8, 0.15, 0.05), None), ((0.34, 0.33, 0.33), None), ((0.9, 0.08, 0.02), 1.0), ((0.01, 0.01, 0.98), None)])
+def test_rates_are_optimal(spark, targets, most):
+    """No other solver gets a smaller objective: projected gradient from many steps, and the optimality conditions."""
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet([0.5, 0.3, 0.2], 300)
+    n = rng.integers(0, 500, 300)
+    df = spark.createDataFrame([(1, int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "copies long, n_tokens long, p_good double, p_low double, p_toxic double")
+    goal = dict(zip(mixing.DOMAINS, targets, strict=True))
+    out, at, residual = mixing.mixing_rates(df, goal, most=most)
+    got = out.toPandas()
+    p, n, r = got[["p_good", "p_low", "p_toxic"]].to_numpy(), got["n_tokens"].to_numpy(), got["rate"].to_numpy()
+    top = np.inf if most is None else most
+    assert np.allclose(r, np.clip(1 + p @ np.array(at), 0, top))
+    start, slack = n @ p, 1e-5
+    want = np.array(targets) * n.sum()
+    value = lambda r: (((r * n) @ p - want) ** 2 / start).sum() + slack * (n * (r - 1) ** 2).sum()
+    other = np.ones(300)
+    for _ in range(20_000):
+        other = np.clip(other - 0.3 * (p @ (((other * n) @ p - want) / start) + slack * (other - 1)), 0, top)
+    assert value(r) <= value(other) * 1.001 + 1e-6 * n.sum()
+    assert abs(residual - np.abs((r * n) @ p - want).max() / n.sum()) < 1e-9

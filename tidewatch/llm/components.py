@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,12 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+    written = state = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         step = state.join(near, "node").select("node", F.least("root", "low").alias("next"), "root")
         jump = state.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = saved(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
-        state = new.select("node", "root")
+        discard(written)
+        written, state = new, new.select("node", "root")
         if new.where("moved").isEmpty():
+            discard(both)
             return state

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, narrowed, parts_for, saved, table
+from .common import discard, mix64, narrowed, parts_for, saved, table
 from .components import components
 
 FAN = 8
@@ -195,12 +195,18 @@ def simhash_components(slim: DataFrame, radius: int = 3, key: str = "doc_id") ->
     return slim.join(by_fp, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNotNull(), F.col("component_id")).otherwise(F.col(key)))
 
 
-def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, thin: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different nodes `s` in a task's groups `g` whose fingerprints `fp` differ in at most radius bits,
-    whose minimum-hash bits `bits` agree in `agree` or more, and whose `root` differs, where it is given.
+LIKE, HUB = 1, 2  # kinds of proposals
 
-    thin: groups with over that many pairs a node return, for each node, its likest partner and the one with most partners
-    (ties: the smaller node, so that tables choose alike), and are named in `open`: their other pairs are still to come.
+
+def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, similarity: float, thin: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different nodes `s` in a task's groups `g` whose fingerprints `fp` differ in at most radius bits and
+    whose minimum-hash bits `bits` agree in `agree` or more; kind 0.
+
+    thin: groups with over that many pairs a node give, for each node a, its likest partner b (kind LIKE, weight: bits that agree) and the
+    one with most partners (kind HUB, weight: partners; ties: the smaller node, so that tables choose alike), and are named in `open`: their other
+    pairs are still to come. Without thin, nodes have `root`, `size`, `own` (how many of their shingles no other of these nodes has), `hub`
+    (another node) and `delta` (shingles of only one of node and hub, without the own): pairs of one root go, those of one
+    hub are returned only if they are as similar as is asked (weight 1), and those of two hubs if it is possible (weight 0).
     """
     held = list(batches)
     if not held:
@@ -208,31 +214,61 @@ def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, th
     rows = pa.Table.from_batches(held)
     s = rows.column("s").to_numpy()
     order = np.argsort(s, kind="stable")
-    s, g, v, x = s[order], rows.column("g").to_numpy()[order], rows.column("fp").to_numpy()[order].view(np.uint64), rows.column("bits").to_numpy()[order].view(np.uint64)
-    root = rows.column("root").to_numpy()[order] if "root" in rows.column_names else s
+    column = lambda name: rows.column(name).to_numpy()[order]
+    s, g, v, x = s[order], column("g"), column("fp").view(np.uint64), column("bits").view(np.uint64)
     group = np.unique(g, return_inverse=True)[1]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for a, b in near_pairs(g, v, radius, 1 << 18):
             same = 64 - np.bitwise_count(x[a] ^ x[b]).astype(np.int64)
-            ok = (same >= agree) & (root[a] != root[b])
+            ok = same >= agree
+            if thin is None:
+                ok &= root[a] != root[b]
+                for i, j in ((a, b), (b, a)):  # what the texts have in common, and what they hold together, by what only one of them has
+                    ok &= size[i] - own[i] >= similarity * (size[i] + own[j])
             if ok.any():
                 yield a[ok], b[ok], same[ok]
 
-    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles in common, of nodes of one hub."""
+        shared = np.zeros(len(a), np.int64)
+        edge = np.searchsorted(np.cumsum(many[a]), np.arange(0, many[a].sum(), 1 << 22)[1:])
+        for part in np.split(np.arange(len(a)), edge):
+            n = many[a[part]]
+            pair = np.repeat(np.arange(len(part)), n)
+            at = np.repeat(begin[a[part]] - (np.cumsum(n) - n), n) + np.arange(len(pair))
+            wanted = b[part][pair] << 32 | flat[at]
+            hit = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted if len(known) else np.zeros(0, bool)
+            shared[part] = np.bincount(pair[hit], minlength=len(part))
+        apart = many[a] + many[b] - 2 * shared + own[a] + own[b]
+        return (size[a] + size[b] - apart) // 2
+
+    def batch(a: np.ndarray, b: np.ndarray, weight: int = 0) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], names=["a", "b", "open"])
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, kinds[2]), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, weight, np.int64))], names=CLOSE)
 
     if thin is None:
+        root, size, own, hubs = (column(c) for c in ("root", "size", "own", "hub"))
+        lists = rows.column("delta").combine_chunks().take(pa.array(order))
+        flat, many = lists.flatten().to_numpy().view(np.uint32).astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+        begin = np.cumsum(many) - many
+        known = np.sort(np.repeat(np.arange(len(s)), many) << 32 | flat)
         for a, b, _ in found():
-            yield batch(s[a], s[b])
+            one = hubs[a] == hubs[b]
+            yield batch(s[a[~one]], s[b[~one]])
+            a, b = a[one], b[one]
+            both = common(a, b)
+            like = both >= similarity * (size[a] + size[b] - both)
+            yield batch(s[a[like]], s[b[like]], 1)
         return
     partners = np.zeros(len(s), np.int64)
     for a, b, _ in found():
         np.add.at(partners, a, 1)
         np.add.at(partners, b, 1)
-    size = np.bincount(group)
-    dense = np.bincount(group, partners) > 2 * thin * size
+    count = np.bincount(group)
+    dense = np.bincount(group, partners) > 2 * thin * count
     likest, hub = np.full(len(s), -1), np.full(len(s), -1)
     back = len(s) - 1
     for a, b, same in found():
@@ -243,15 +279,18 @@ def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, th
             np.maximum.at(likest, i, same[many] << 40 | (back - j))
             np.maximum.at(hub, i, partners[j] << 40 | (back - j))
     i = np.flatnonzero(likest >= 0)
+    for kind, best in ((LIKE, likest[i]), (HUB, hub[i])) if len(i) else ():
+        yield pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(s[back - (best & ((1 << 40) - 1))]), pa.nulls(len(i), kinds[2]), pa.array(np.full(len(i), kind, np.int32)), pa.array(best >> 40)], names=CLOSE)
     if len(i):
-        other = [back - (best[i] & ((1 << 40) - 1)) for best in (likest, hub)]
-        yield batch(np.concatenate([s[i], s[i]]), np.concatenate([s[o] for o in other]))
         first = np.unique(group, return_index=True)[1][dense]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64()), pa.array(g[first], pa.int32())], names=["a", "b", "open"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), k) if c != "open" else pa.array(g[first], pa.int32()) for c, k in zip(CLOSE, kinds, strict=True)], names=CLOSE)
+
 
+CLOSE = ["a", "b", "open", "kind", "weight"]
 
-def candidates(nodes: DataFrame, radius: int, agree: float, thin: int | None = None, among: DataFrame | None = None, tables: int = 16, bits: int = 14, seed: int = 5, rows_per_task: int = 200_000) -> DataFrame:
-    """close_pairs of nodes (s, fps, bits, and root if given) for radii that blocks are too many for.
+
+def candidates(nodes: DataFrame, radius: int, agree: float, similarity: float, thin: int | None = None, among: DataFrame | None = None, tables: int = 16, bits: int = 14, seed: int = 5, rows_per_task: int = 200_000) -> DataFrame:
+    """close_pairs of nodes (s, fps, bits, and root, size, own, hub and delta without thin) for radii that blocks are too many for.
 
     Nodes have FINGERPRINTS independent fingerprints, and for each are grouped by `bits` of its bits, chosen at random without
     replacement for each table; two whose fingerprints differ in d bits share a group in one of its tables with probability
@@ -264,24 +303,32 @@ def candidates(nodes: DataFrame, radius: int, agree: float, thin: int | None = N
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     fps = [F.col("fps")[i // tables] for i in range(len(masks))]
     keys = F.array(*[F.struct(F.hash(F.lit(i), fps[i].bitwiseAND(F.lit(m))).alias("g"), fps[i].alias("fp")) for i, m in enumerate(signed)])
-    own = [c for c in nodes.columns if c in ("s", "bits", "root")]
+    own = [c for c in nodes.columns if c in ("s", "bits", "root", "size", "own", "hub", "delta")]
     dealt = nodes.select(*own, F.explode(keys).alias("key")).select(*own, "key.*")
     if among is not None:
         dealt = narrowed(dealt, among, dealt["g"] == among["open"])
     parts = parts_for(nodes.sparkSession, nodes.count() * len(masks), rows_per_task)
-    return dealt.repartition(parts, "g").mapInArrow(lambda batches: close_pairs(batches, radius, agree, thin), "a long, b long, open int")
+    return dealt.repartition(parts, "g").mapInArrow(lambda batches: close_pairs(batches, radius, agree, similarity, thin), "a long, b long, open int, kind int, weight long")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, text: str = "text", key: str = "doc_id", thin: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, text: str = "text", key: str = "doc_id", thin: int = 1) -> DataFrame:
     """(key, t, fp, root, component_id): t is a hash of the text; rows whose root agrees are near-duplicates, and
     component_id is the smallest key among them.
 
     Fingerprints are of the distinct shingles. Those within the radius are candidates, and linked if the Jaccard similarity of their shingle sets (32-bit
     hashes of `words`-word shingles) is at least `similarity`. Only texts of equal shingle sets stand for each other; different
     ones of equal fingerprints are candidates like any other. Candidates whose 64 minimum-hash bits agree in 12 (some five standard deviations) fewer than the
-    similarity leads to expect are dropped in the group's task. Of dense groups (over `thin` pairs a node) two links a node are verified
-    first; then every pair there that these have not united is. Texts without a word are a group of their own. Null keys
-    go to the group of their text.
+    similarity leads to expect are dropped in the group's task.
+
+    Of dense groups (over `thin` pairs a node) two links a node are verified first: to its likest partner and to the partner
+    with most partners, over all tables. Then every pair there that these have not united is, in the groups' tasks, so that the many unlike pairs of a large
+    family are told apart without a join: texts that such links connect, verified or not, have one hub, the text to which most of them
+    point; by how each of two texts differs from the hub, it is known how they differ from each other. That difference is what is sent. Shingles that a single
+    text of all these holds are sent as a number; and as texts of m and n shingles, u and v of them their own, are at most
+    (m - u) / (m + v) similar, most pairs go without a look at their differences.
+
+    Null texts are empty ones; texts without a word are a group of their own. Null keys go to the group of their text; rows that are there twice are
+    both returned. Other columns play no part.
     """
     docs = df.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     schema = T.StructType([*docs.select("k", "t").schema, T.StructField("s", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType())])
@@ -305,25 +352,49 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, radi
     nodes = saved(rows.groupBy("s").agg(F.min("k").alias("low"), F.min(F.struct("t", "k", "fps", "bits")).alias("one")).select("s", "low", "one.*"))
     agree = 32 + 32 * similarity - 12
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are as similar as is asked."""
-        need = saved(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(nodes, "s").select("s", F.col("t").alias("need_t"), F.col("k").alias("need_k")))
+    def shingles(wanted: DataFrame) -> DataFrame:
+        """Shingle sets of the nodes in wanted (s)."""
+        need = saved(wanted.join(nodes, "s").select("s", F.col("t").alias("need_t"), F.col("k").alias("need_k")))
         same = (F.col("t") == F.col("need_t")) & F.col("k").eqNullSafe(F.col("need_k"))
         texts = narrowed(docs, need, same).join(need, same).select("s", "text")
-        sets = saved(texts.mapInArrow(shingled, "s long, shingles array<int>").dropDuplicates(["s"]))
+        out = saved(texts.mapInArrow(shingled, "s long, shingles array<int>").dropDuplicates(["s"]))
+        discard(need)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as is asked."""
+        sets = shingles(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         both = pairs.join(sets.select(F.col("s").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return saved(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
-
-    found = saved(candidates(nodes, radius, agree, thin))
-    pairs = saved(found.where(F.col("open").isNull()).select("a", "b").distinct())
+        out = saved(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        discard(sets)
+        return out
+
+    found = saved(candidates(nodes, radius, agree, similarity, thin))
+    proposed = saved(found.where("kind > 0").groupBy("a", "kind").agg(F.min(F.struct((-F.col("weight")).alias("w"), "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    first = found.where("kind = 0").select("a", "b").unionByName(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = saved(first.distinct())
     linked = verified(pairs)
     root = components(linked)
-    dense = found.where(F.col("open").isNotNull()).select("open").distinct()
+    dense = saved(found.where(F.col("open").isNotNull()).select("open").distinct())
     if not dense.isEmpty():
-        parted = nodes.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        more = candidates(saved(parted), radius, agree, among=saved(dense)).select("a", "b").distinct()
-        root = components(linked.unionByName(verified(saved(more.join(pairs, ["a", "b"], "left_anti")))))
+        parted = nodes.join(proposed.select(F.col("a").alias("s")).distinct(), "s").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        sets = shingles(parted.select("s"))
+        once = sets.select("s", F.explode("shingles").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).where("n = 1")
+        mine = saved(sets.join(once.groupBy("s").agg(F.collect_list("x").alias("mine")), "s", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<int>"))))
+        family = saved(components(proposed).withColumnRenamed("root", "family"))
+        votes = proposed.join(family, proposed["b"] == family["node"]).groupBy("family", "b").count().groupBy("family").agg(F.min(F.struct((-F.col("count")).alias("w"), "b")).alias("best"))
+        hub = votes.select("family", F.col("best.b").alias("hub"))
+        of = family.select(F.col("node").alias("s"), "family").join(hub, "family").select("s", "hub")
+        center = mine.select(F.col("s").alias("hub"), F.col("shingles").alias("center"), F.array_except("shingles", "mine").alias("rest")).join(of.select("hub").distinct(), "hub")
+        apart = F.concat(F.array_except(F.array_except("shingles", "center"), "mine"), F.array_except("rest", "shingles"))
+        delta = mine.join(of, "s").join(saved(center), "hub").select("s", "hub", F.size("shingles").cast("long").alias("size"), F.size("mine").cast("long").alias("own"), apart.alias("delta"))
+        parted = parted.join(delta.where(F.col("size") - F.col("own") >= similarity * F.col("size")), "s")
+        more = saved(candidates(saved(parted), radius, agree, similarity, among=dense).select("a", "b", "weight").distinct())
+        open_pairs = saved(more.where("weight = 0").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        root = components(linked.unionByName(more.where("weight = 1").select("a", "b")).unionByName(verified(open_pairs)))
+        discard(sets, mine, family, more, open_pairs)
+    discard(found, proposed, pairs, linked, dense)
     united = nodes.select("s", "low").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     smallest = united.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.select("k", "t", F.col("fps")[0].alias("fp"), "s").join(united.join(smallest, "root").select("s", "root", "component_id"), "s").select(F.col("k").alias(key), "t", "fp", "root", "component_id")
