@@ -296,20 +296,69 @@ def covered(texts, size):
 @pytest.mark.parametrize("size", [100, 400])
 def test_suffix(docs, nothing, rows, size):
     raw = [(r[1] or "").encode() for r in rows]
-    want = Counter((r[0], bytes(np.frombuffer(t, np.uint8)[~m])) for r, t, m in zip(rows, raw, covered(raw, size), strict=True))
+    want = Counter()
+    for r, t, m in zip(rows, raw, covered(raw, size), strict=True):
+        kept = bytes(np.frombuffer(t, np.uint8)[~m])
+        edge = [0, *(np.flatnonzero(np.diff(m)) + 1).tolist(), len(t)]
+        pieces = [t[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True) if j > i and not m[i]]
+        want[r[0], kept, "".join(p.decode("utf-8", "ignore") for p in pieces) if m.any() else r[1] or ""] += 1
     clash = docs.withColumn("kept", F.lit(1)).withColumn("k", F.lit("extra")).withColumn("t", F.lit(0))
-    assert bag(suffix.without_repeats(clash, size), "doc_id", "kept") == want
+    assert bag(suffix.without_repeats(clash, size), "doc_id", "kept", "kept_text") == want
     assert suffix.without_repeats(nothing, size).count() == 0
 
 
+def test_suffix_cuts_no_character_in_two(spark):
+    rng = np.random.default_rng(3)
+    core = "".join(rng.choice(list("abcdé漢😀 "), 200))
+    texts = ["x漢" + core + "漢y", "z字" + core + "字w", "é" + core, "è" + core]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["kept_text"] for r in suffix.without_repeats(df, 100).collect()}
+    raw = [t.encode() for t in texts]
+    for i, (t, m) in enumerate(zip(raw, covered(raw, 100), strict=True)):
+        edge = [0, *(np.flatnonzero(np.diff(m)) + 1).tolist(), len(t)]
+        assert out[i] == "".join(t[a:b].decode("utf-8", "ignore") for a, b in zip(edge[:-1], edge[1:], strict=True) if not m[a])
+
+
+@pytest.mark.parametrize("group_rows", [2, 128])
+def test_suffix_of_shared_anchors(spark, group_rows):
+    """Many different fragments about one anchor, matches of exactly the length and one byte less, a text twice, a text within itself."""
+    rng = np.random.default_rng(13)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    core = say(260)
+    texts = [say(rng.integers(0, 60)) + core[int(rng.integers(0, 60)) : 260 - int(rng.integers(0, 60))] + say(rng.integers(0, 60)) for _ in range(60)]
+    one, two, three = say(120), say(119), say(150)
+    texts += ["p" + one + "q", "r" + one + "s", "t" + two + "u", "v" + two + "w", texts[0], three + "-" + three, "a" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("t", F.xxhash64("text"))
+    raw = [t.encode() for t in texts]
+    masks = [np.zeros(len(t), bool) for t in raw]
+    for r in suffix.repeat_spans(df, 120, group_rows).collect():
+        masks[r["k"]][r["a"] : r["e"]] = True
+    assert [m.tolist() for m in masks] == [m.tolist() for m in covered(raw, 120)]
+
+
+def test_suffix_of_texts_beyond_a_segment(spark):
+    rng = np.random.default_rng(14)
+    long = rng.integers(97, 123, suffix.SEGMENT + 3000, dtype=np.uint8)
+    for at in (100, suffix.SEGMENT - 600, suffix.SEGMENT - 399, suffix.SEGMENT + 5, suffix.SEGMENT + 1500):
+        long[at : at + 500] = long[2000:2500]
+    texts = [bytes(long).decode(), bytes(long[suffix.SEGMENT - 1000 : suffix.SEGMENT + 700]).decode()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in suffix.without_repeats(df).collect()}
+    raw = [t.encode() for t in texts]
+    for i, (t, m) in enumerate(zip(raw, covered(raw, 400), strict=True)):
+        assert bytes(got[i]) == bytes(np.frombuffer(t, np.uint8)[~m])
+
+
 def test_run_index():
     rng = np.random.default_rng(6)
     core = bytes(rng.integers(97, 101, 300, dtype=np.uint8))
     texts = [bytes(rng.integers(97, 99, 40, dtype=np.uint8)) + core[i * 9 : i * 9 + 80] for i in range(15)] + [b"a" * 90]
-    for size in (8, 30):
-        got = suffix.RunIndex(texts).long_matches(size)
-        seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
-        assert [g.tolist() for g in got] == [[i for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1] for t in texts]
+    small = [[bytes(rng.integers(97, 99, rng.integers(0, 12), dtype=np.uint8)) for _ in range(rng.integers(1, 6))] for _ in range(300)]
+    for texts, sizes in [(texts, (8, 30)), *((t, (1, 3, 6)) for t in small)]:
+        for size in sizes:
+            got = suffix.RunIndex(texts).long_matches(size)
+            seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+            assert [g.tolist() for g in got] == [[i for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1] for t in texts]
 
 
 def test_topk(spark):

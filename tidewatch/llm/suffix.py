@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, fresh, mix64, narrowed, parts_for, saved, table
+from .common import SliceHash, discard, fresh, mix64, narrowed, parts_for, saved, table
 
 SEED = 32  # bytes of an anchor
 SEGMENT = 1 << 20  # window starts handled at once in a very long text
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 _HASH = SliceHash()
 
 
@@ -27,72 +27,82 @@ class RunIndex:
     A sample is a text position, and the length that it shares with its neighbour in suffix order. Within a run, moving on
     by a byte moves the neighbour on too, so the length shrinks by one: from the samples alone the matching statistics
     of the texts stream out.
+
+    Suffixes are ordered by doubling; only those that are not alone yet are sorted again. All texts end in the same sign, so a
+    length is cut at the end of its text; suffixes that agree to there stay in any order, and the greatest reach of all samples before
+    a position tells its match.
     """
 
     def __init__(self, texts: list[bytes]) -> None:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        n = int((self.sizes + 1).sum())
-        codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
-        codes[self.starts + self.sizes] = np.arange(len(texts))  # every text ends in a sign of its own
-        wide = 62 // int(codes.max() + 2).bit_length()  # signs that fit into a first key
-        key = np.zeros(n, np.int64)
-        for i in range(wide):
-            key = (key << (62 // wide)) + np.concatenate([codes[i:] + 1, np.zeros(min(i, n), np.int64)])[:n]
-        ranks, width = [self._ranked(key)], [wide]
-        while ranks[-1].max() + 1 < n:
-            last, w = ranks[-1], width[-1]
-            beyond = np.zeros(n, np.int64)
-            beyond[: n - w] = last[w:] + 1
-            ranks.append(self._ranked(last * (n + 1) + beyond))
-            width.append(2 * w)
-        ranks[:0], width[:0] = [codes] * (wide - 1), [1] * (wide - 1)
-        rank = ranks[-1]
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
-        bwt = codes[order - 1]
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        n = self.n = len(raw)
+        self.left = np.repeat(self.starts + self.sizes, self.sizes + 1) - np.arange(n)
+        code = np.cumsum(np.bincount(raw, minlength=256) > 0)[raw].astype(np.int64)
+        code[self.starts + self.sizes] = 0
+        bits = int(code.max()).bit_length()
+        wide = 62 // max(1, bits)  # signs that fit into a first key
+        ahead = np.concatenate([code, np.zeros(wide, np.int64)])
+        key = ahead[:n].copy()
+        for i in range(1, wide):
+            key = key << bits | ahead[i : n + i]
+        order = np.argsort(key)
+        head = np.ones(n, bool)
+        head[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        ranks, width = [rank], [wide]
+        while width[-1] < self.sizes.max():
+            slot = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(slot):
+                break
+            at, last = order[slot], ranks[-1]
+            beyond = np.where(at + width[-1] < n, last[np.minimum(at + width[-1], n - 1)].astype(np.int64) + 1, 0)
+            key2 = last[at].astype(np.int64) * (n + 1) + beyond
+            by = np.argsort(key2)
+            at, key2 = at[by], key2[by]
+            order[slot] = at
+            first = np.ones(len(slot), bool)
+            first[1:] = key2[1:] != key2[:-1]
+            head[slot] = first
+            rank = last.copy()
+            rank[at] = np.maximum.accumulate(np.where(first, slot, 0))
+            ranks.append(rank)
+            width.append(2 * width[-1])
+        bwt = code[order - 1]
         new = np.ones(n, bool)
-        new[1:] = bwt[1:] != bwt[:-1]
+        new[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
         self.run_heads = np.flatnonzero(new)
         self.run_symbols = bwt[self.run_heads]
-        self.n = n
         tails = np.append(self.run_heads[1:], n) - 1
         self.samples = []  # positions, and lengths shared with the neighbour before the run and after it
         for at, to in ((self.run_heads, self.run_heads - 1), (tails, tails + 1)):
             ok = (to >= 0) & (to < n)
             length = np.zeros(len(at), np.int64)
-            length[ok] = self._shared(order[at[ok]], order[to[ok]], ranks, width)
+            length[ok] = self._shared(order[at[ok]], order[to[ok]], ranks, width, key, bits)
             self.samples.append((order[at], length))
 
-    @staticmethod
-    def _ranked(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        step = np.zeros(len(keys), np.int64)
-        step[1:] = keys[order[1:]] != keys[order[:-1]]
-        out = np.empty(len(keys), np.int64)
-        out[order] = np.cumsum(step)
-        return out
-
-    def _shared(self, a: np.ndarray, b: np.ndarray, ranks: list[np.ndarray], width: list[int]) -> np.ndarray:
-        out = np.zeros(len(a), np.int64)
-        for r, w in zip(reversed(ranks), reversed(width), strict=True):
-            x, y = a + out, b + out
-            ok = (x < self.n) & (y < self.n)
-            same = np.zeros(len(a), bool)
-            same[ok] = r[x[ok]] == r[y[ok]]
-            out[same] += w
-        return out
+    def _shared(self, a: np.ndarray, b: np.ndarray, ranks: list[np.ndarray], width: list[int], key: np.ndarray, bits: int) -> np.ndarray:
+        """Bytes in common, as far as a's text goes: what each level of the doubling has in common, then sign by sign."""
+        same = ranks[-1][a] == ranks[-1][b]
+        out = np.where(same, width[-1], 0)
+        at = np.flatnonzero(~same)
+        x, y = a[at], b[at]
+        for rank, w in zip(reversed(ranks[:-1]), reversed(width[:-1]), strict=True):
+            out[at] += w * (rank[x] == rank[y])
+            x, y = np.minimum(a[at] + out[at], self.n - 1), np.minimum(b[at] + out[at], self.n - 1)
+        differ = key[x] ^ key[y]
+        for i in range(width[0]):
+            out[at] += (differ >> bits * i) == 0
+        return np.minimum(out, self.left[a])
 
     def statistics(self) -> np.ndarray:
         """For each position of the joined texts, how long a match beginning there also begins elsewhere."""
-        best = np.zeros(self.n, np.int64)
+        reach = np.zeros(self.n, np.int64)
         for position, length in self.samples:
-            at = np.zeros(self.n, np.int64)
-            value = np.zeros(self.n, np.int64)
-            at[position], value[position] = position, length
-            at = np.maximum.accumulate(at)
-            best = np.maximum(best, value[at] - (np.arange(self.n) - at))
-        return best
+            reach[position] = np.maximum(reach[position], position + length)
+        return np.maximum.accumulate(reach) - np.arange(self.n)
 
     def long_matches(self, size: int) -> list[np.ndarray]:
         """For each text, where a string of `size` bytes begins that also begins elsewhere in the texts."""
@@ -163,19 +173,24 @@ def _anchor_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"g long, f long, k {kind}, t long, p long, a long, b long")
 
 
-FRAGMENT = ["g", "f", "n", "k", "t", "p", "lo", "hi", "x", "y", "content"]
+FRAGMENT = ["g", "f", "w", "lo", "hi", "x", "y", "content"]
+FOUND = "g long, f long, first long, last long"
+PLACE = ["k", "t", "p", "a", "b"]
 
 
 def _counted(every: DataFrame, rows: int = 500_000) -> DataFrame:
-    """(g, f, n, o) of anchors, added up within a task before they are exchanged; o is one occurrence."""
-    schema = T.StructType([*every.select("g", "f").schema, T.StructField("n", T.LongType()), T.StructField("o", every.select("k", "t", "p", "a", "b").schema)])
+    """(g, f, n, o, q) of anchors, added up within a task before they are exchanged; o and q are two occurrences, if there are two."""
+    place = every.select(*PLACE).schema
+    schema = T.StructType([*every.select("g", "f").schema, T.StructField("n", T.LongType()), T.StructField("o", place), T.StructField("q", place)])
 
     def group(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).append_column("i", pa.array(np.arange(sum(b.num_rows for b in held))))
-        by = whole.select(["g", "f", "i"]).group_by(["g", "f"]).aggregate([("i", "count"), ("i", "min")])
-        one = whole.take(by["i_min"]).combine_chunks()
-        o = pa.StructArray.from_arrays([one[c].combine_chunks() if isinstance(one[c], pa.ChunkedArray) else one[c] for c in ("k", "t", "p", "a", "b")], names=["k", "t", "p", "a", "b"])
-        return pa.RecordBatch.from_arrays([by["g"].combine_chunks(), by["f"].combine_chunks(), by["i_count"].combine_chunks(), o], names=["g", "f", "n", "o"])
+        by = whole.select(["g", "f", "i"]).group_by(["g", "f"]).aggregate([("i", "count"), ("i", "min"), ("i", "max")])
+        two = []
+        for i in ("i_min", "i_max"):
+            one = whole.take(by[i]).combine_chunks()
+            two.append(pa.StructArray.from_arrays([one[c].combine_chunks() if isinstance(one[c], pa.ChunkedArray) else one[c] for c in PLACE], names=PLACE))
+        return pa.RecordBatch.from_arrays([by["g"].combine_chunks(), by["f"].combine_chunks(), by["i_count"].combine_chunks(), *two], names=["g", "f", "n", "o", "q"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,106 +202,117 @@ def _counted(every: DataFrame, rows: int = 500_000) -> DataFrame:
         if held:
             yield group(held)
 
-    return every.select("g", "f", "k", "t", "p", "a", "b").mapInArrow(run, schema)
+    return every.select("g", "f", *PLACE).mapInArrow(run, schema)
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (g, f, n, k, t, p, a, b) with `content`, the bytes of the fragment, and lo and hi, its first and last window
-    from the anchor, in place of a and b; x and y bound the window starts that its group is about."""
-    kind = docs.schema["k"].dataType.simpleString()
-    each = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("g", "f", "n", "p", "a", "b")).alias("at"))
+    """wanted (g, f, w, k, t, p, a, b) with `content`, the bytes of the fragment, and lo and hi, its first and last window
+    from the anchor, in place of its place; x and y bound the window starts that its group is about."""
+    each = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("g", "f", "w", "p", "a", "b")).alias("at"))
     each = saved(each.withColumnsRenamed({"k": "own_k", "t": "own_t"}))
     same = F.col("k").eqNullSafe(F.col("own_k")) & (F.col("t") == F.col("own_t"))
-    joined = narrowed(docs, each.select("own_k", "own_t"), same).join(each, same).select("k", "t", "text", "at")
+    joined = narrowed(docs, each.select("own_k", "own_t"), same).join(each, same).select("text", "at")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for k, t, text, at in zip(*(b.column(c) for c in ("k", "t", "text", "at")), strict=True):
-                raw, k, t = text.as_py().encode("utf-8", "surrogatepass"), k.as_py(), t.as_py()
-                out += [(x["g"], x["f"], x["n"], k, t, x["p"], x["a"] - x["p"], x["b"] - x["p"], SEED - size, 0, raw[x["a"] : x["b"] + size]) for x in at.as_py()]
-            columns = list(zip(*out, strict=True)) or [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.int64(), b.schema.field("k").type, *[pa.int64()] * 6, pa.binary()]
+            for text, at in zip(b.column("text"), b.column("at"), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                out += [(x["g"], x["f"], x["w"], x["a"] - x["p"], x["b"] - x["p"], SEED - size, 0, raw[x["a"] : x["b"] + size]) for x in at.as_py()]
+            columns = list(zip(*out, strict=True)) or [()] * len(FRAGMENT)
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=FRAGMENT)
 
-    return joined.mapInArrow(run, f"g long, f long, n long, k {kind}, t long, p long, lo long, hi long, x long, y long, content binary")
+    return joined.mapInArrow(run, "g long, f long, w int, lo long, hi long, x long, y long, content binary")
 
 
 def _search(groups: DataFrame, size: int) -> DataFrame:
-    """Spans (k, t, a, e) of the single fragments (n = 1) whose windows another fragment of their group has too."""
-    kind = groups.schema["k"].dataType.simpleString()
+    """(g, f, first, last): runs of windows, from the anchor, that a fragment shares with another one of its group; of the two that
+    stand for equal fragments, the first (w = 0) is told of."""
 
-    def batch(rows: list[tuple]) -> Iterator[tuple]:
-        found = RunIndex([r[6] for r in rows]).long_matches(size)
-        for (_, n, k, t, p, lo, _), starts in zip(rows, found, strict=True):
-            if n == 1:
-                for first, last in runs_of(starts):
-                    yield k, t, p + lo + first, p + lo + last + size
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        found = RunIndex([r[4] for r in rows]).long_matches(size) if rows else []
+        out = [(g, f, lo + first, lo + last) for (g, f, w, lo, _), starts in zip(rows, found, strict=True) if w == 0 for first, last in runs_of(starts)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4], names=["g", "f", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        total, kinds = 0, None
-        flush = lambda out: pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)], names=["k", "t", "a", "e"])
+        total = 0
         for b in batches:
-            kinds = [b.schema.field("k").type, pa.int64(), pa.int64(), pa.int64()]
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "n", "k", "t", "p", "lo", "content")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "f", "w", "lo", "content")), strict=True):
                 if total > INDEX_BYTES and r[0] != held[-1][0]:
-                    yield flush(list(batch(held)))
+                    yield batch(held)
                     held, total = [], 0
                 held.append(r)
-                total += len(r[6])
-        if held:
-            yield flush(list(batch(held)))
+                total += len(r[4])
+        yield batch(held)
 
-    return groups.mapInArrow(run, f"k {kind}, t long, a long, e long")
+    return groups.mapInArrow(run, FOUND)
 
 
 def _halved(groups: DataFrame, size: int) -> DataFrame:
-    """Each fragment for either half of its group's window starts, keyed anew by the bytes that all windows of the half
+    """Each fragment for either half of its group's window starts, keyed anew (g2, f2) by the bytes that all windows of the half
     contain: fragments that differ there share no window of that half. A group about one window start has no two
     different fragments, so halving ends."""
-    schema = groups.select(*FRAGMENT).schema
+    names = ["g2", "f2", *FRAGMENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for g, _, n, k, t, p, lo, hi, x, y, content in zip(*(b.column(c).to_pylist() for c in FRAGMENT), strict=True):
+            for g, f, w, lo, hi, x, y, content in zip(*(b.column(c).to_pylist() for c in FRAGMENT), strict=True):
                 prefix = _HASH.prefix(np.frombuffer(content, np.uint8))
                 for x2, y2 in ((x, (x + y) // 2), ((x + y) // 2 + 1, y)):
                     lo2, hi2 = max(x2, lo), min(y2, hi)
                     if lo2 <= hi2:
                         hashes = _HASH.slices(prefix, np.array([y2, lo2]) - lo, np.array([x2, hi2]) - lo + size)
                         g2, f2 = mix64(hashes + mix64(np.array([g + 31 * x2, lo2], np.int64).view(np.uint64))).view(np.int64).tolist()
-                        out.append((g2, f2, n, k, t, p, lo2, hi2, x2, y2, content[lo2 - lo : hi2 - lo + size]))
-            columns = list(zip(*out, strict=True)) or [()] * len(FRAGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(f).type) for c, f in zip(columns, FRAGMENT, strict=True)], names=FRAGMENT)
-
-    return groups.select(*FRAGMENT).mapInArrow(run, schema)
-
-
-def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128) -> DataFrame:
+                        out.append((g2, f2, g, f, w, lo2, hi2, x2, y2, content[lo2 - lo : hi2 - lo + size]))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            kinds = [pa.int64(), pa.int64(), *(b.schema.field(f).type for f in FRAGMENT)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return groups.select(*FRAGMENT).mapInArrow(run, "g2 long, f2 long, g long, f long, w int, lo long, hi long, x long, y long, content binary")
+
+
+def _matches(rows: DataFrame, size: int, group_rows: int) -> DataFrame:
+    """_search of fragments (two rows, w 0 and 1, for those that are there more than once): groups of over group_rows rows are halved
+    until they are small; what is found in a half is true of all fragments that are equal there."""
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    parts = parts_for(rows.sparkSession, rows.count(), 4096)
+    small = rows.join(counts.where(F.col("rows").between(2, group_rows)).select("g"), "g", "left_semi")
+    found = saved(_search(small.repartition(parts, "g").sortWithinPartitions("g"), size))
+    large = saved(rows.join(counts.where(F.col("rows") > group_rows).select("g"), "g", "left_semi"))
+    if large.isEmpty():
+        discard(large)
+        return found
+    halves = saved(_halved(large, size))
+    discard(large)
+    one = F.struct("g", "f", "w", "lo", "hi", "x", "y", "content")
+    two = halves.groupBy("g2", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("o"), F.max(one).alias("q"))
+    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("w"), F.col("o").alias("o")), F.struct(F.lit(1).alias("w"), F.col("q").alias("o")))).otherwise(F.array(F.struct(F.lit(0).alias("w"), F.col("o").alias("o"))))
+    next_rows = two.select("g2", "f2", F.explode(both).alias("e")).select(F.col("g2").alias("g"), F.col("f2").alias("f"), "e.w", *[F.col(f"e.o.{c}").alias(c) for c in ("lo", "hi", "x", "y", "content")])
+    below = _matches(saved(next_rows), size, group_rows)
+    own = halves.where("w = 0").select(F.col("g").alias("g0"), F.col("f").alias("f0"), F.col("g2").alias("g"), F.col("f2").alias("f"))
+    return found.unionByName(below.join(own, ["g", "f"]).select(F.col("g0").alias("g"), F.col("f0").alias("f"), "first", "last"))
+
+
+def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128, hot: int = 1000) -> DataFrame:
     """Spans (k, t, a, e) that together cover what repeats in docs (k, t, text), t a hash of the text."""
     every = saved(_anchor_table(docs.where(F.octet_length("text") >= size), size))
     parts = parts_for(docs.sparkSession, every.count(), 200_000)
-    per = _counted(every).repartition(parts, "g").groupBy("g", "f").agg(F.sum("n").alias("n"), F.min("o").alias("o"))
-    about = per.groupBy("g").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("single"))
-    repeated = saved(per.join(about.where("m > 1"), "g"))
-    spans = every.select("g", "f", "k", "t", "a", "b").join(repeated.where("n > 1").select("g", "f"), ["g", "f"]).select("k", "t", "a", (F.col("b") + size).alias("e"))
-    rows = saved(_fragments(docs, repeated.where("d > 1 and single > 0").select("g", "f", "n", "o.*"), size))
-    while True:
-        counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("d"))
-        parts = parts_for(docs.sparkSession, rows.count(), 4096)
-        small = rows.join(counts.where(F.col("d") <= group_rows).select("g"), "g", "left_semi")
-        spans = spans.unionByName(saved(_search(small.repartition(parts, "g").sortWithinPartitions("g"), size)))
-        large = saved(rows.join(counts.where(F.col("d") > group_rows).select("g"), "g", "left_semi"))
-        if large.isEmpty():
-            return spans
-        halves = saved(_halved(large, size))
-        per = halves.groupBy("g", "f").agg(F.sum("n").alias("n"), F.first(F.struct(*FRAGMENT[3:])).alias("o"))
-        twice = halves.where("n = 1").join(per.where("n > 1").select("g", "f"), ["g", "f"])
-        spans = spans.unionByName(twice.select("k", "t", (F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi") + size).alias("e")))
-        about = per.groupBy("g").agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("single"))
-        rows = saved(per.join(about.where("d > 1 and single > 0").select("g"), "g", "left_semi").select("g", "f", "n", "o.*"))
+    per = _counted(every).repartition(parts, "g").groupBy("g", "f").agg(F.sum("n").alias("n"), F.min("o").alias("o"), F.max("q").alias("q"))
+    about = per.groupBy("g").agg(F.sum("n").alias("m"))
+    repeated = saved(per.join(about.where("m > 1").select("g"), "g", "left_semi"))
+    ends = F.when(F.col("n") > 1, F.array("o", "q")).otherwise(F.array("o"))
+    wanted = repeated.select("g", "f", F.posexplode(ends).alias("w", "at")).select("g", "f", "w", "at.*")
+    rows = saved(_fragments(docs, wanted, size).dropDuplicates(["g", "f", "w"]))
+    found = saved(_matches(rows, size, group_rows).join(repeated.select("g", "f", "n"), ["g", "f"]).select(F.col("g").alias("g_"), F.col("f").alias("f_"), "n", "first", "last"))
+    same = (F.col("g") == F.col("g_")) & (F.col("f") == F.col("f_"))
+    if found.count() <= 500_000:
+        spans = every.join(F.broadcast(found), same)
+    else:  # fragments with many copies apart, so that no task gets all of one; they are few
+        spans = narrowed(every, found.where(F.col("n") > hot), same, how="inner").unionByName(every.join(found.where(F.col("n") <= hot).hint("merge"), same))
+    return spans.select("k", "t", (F.col("p") + F.col("first")).alias("a"), (F.col("p") + F.col("last") + size).alias("e"))
 
 
 def word_windows(text: bytes, words: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -328,24 +354,26 @@ def word_spans(docs: DataFrame, words: int, size: int) -> DataFrame:
 
 
 def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
-    """df with `kept` (binary) and `spans` (array of start, end): the UTF-8 bytes of each text without every byte that a
-    string of `size` bytes covers which also begins anywhere else, and the maximal runs of what is removed.
+    """df with `kept` (binary), `kept_text` (string) and `spans` (array of start, end): the UTF-8 bytes of each text without every byte
+    that a string of `size` bytes covers which also begins anywhere else; these as text, without characters that a cut went through;
+    and the maximal runs of what is removed.
 
     Strings are judged on the input; they may overlap, and lie in the same text; matches never cross rows. Null and short
     texts lose nothing; a row that is there twice loses all its windows; an empty df gives an empty result. Columns named
-    kept or spans are replaced.
+    kept, kept_text or spans are replaced.
 
     Each window of `size` bytes is owned by its anchor, the SEED-byte string in it of least hash, so equal windows have
     equal anchors at equal places, and only fragments (what the windows of one anchor cover) with the same anchor can share
-    a window. Fragments equal as a whole are counted, not compared. Groups of different fragments go, by the megabyte,
-    into a run-length Burrows-Wheeler index whose matching statistics tell where long matches begin. A group of over
-    group_rows different fragments (a passage that very many rows share) is cut at the middle of its windows, and either
+    a window. Of fragments that are equal as a whole (by two hashes of 64 bits) two stand for all. They and the different ones of
+    their groups go, by the quarter megabyte, into a run-length Burrows-Wheeler index whose matching statistics tell where long matches begin, and
+    what it finds is marked in every copy. A group of over
+    group_rows fragments (a passage that very many rows share) is cut at the middle of its windows, and either
     half is grouped anew by the bytes common to its windows, until groups are small or equal.
 
     words: strings of that many whole words go too where they are shorter than `size`; such windows are few and found by
     their hashes.
     """
-    df = df.drop("kept", "spans")
+    df = df.drop("kept", "kept_text", "spans")
     k, t, body = (fresh(df.columns, f"__{x}") for x in ("k", "t", "text"))
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
@@ -360,11 +388,11 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
     hit = narrowed(keyed, keys, same).join(spans, same).select(*df.columns, body, "__spans")
     rest = narrowed(keyed, keys, same, how="left_anti").select(*df.columns, body, F.lit(None).cast(spans.schema["__spans"].dataType).alias("__spans"))
     joined = hit.unionByName(rest)
-    schema = T.StructType([*df.schema, *T._parse_datatype_string("kept binary, spans array<struct<start: bigint, end: bigint>>").fields])
+    schema = T.StructType([*df.schema, *T._parse_datatype_string("kept binary, kept_text string, spans array<struct<start: bigint, end: bigint>>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, runs = [], []
+            kept, texts, runs = [], [], []
             for x, found in zip(b.column(body), b.column("__spans").to_pylist(), strict=True):
                 raw, merged = x.as_py().encode("utf-8", "surrogatepass"), []
                 for s in found or []:
@@ -373,10 +401,12 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
                     else:
                         merged.append([s["a"], s["e"]])
                 at = [0, *(y for m in merged for y in m), len(raw)]
-                kept.append(b"".join(raw[i:j] for i, j in zip(at[::2], at[1::2], strict=True)))
+                pieces = [raw[i:j] for i, j in zip(at[::2], at[1::2], strict=True)]
+                kept.append(b"".join(pieces))
+                texts.append("".join(p.decode("utf-8", "ignore") for p in pieces) if merged else x.as_py())
                 runs.append([{"start": i, "end": j} for i, j in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in df_columns], pa.array(kept, pa.binary()), pa.array(runs, kind)], names=[*df_columns, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in df_columns], pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(runs, kind)], names=[*df_columns, "kept", "kept_text", "spans"])
 
     df_columns = df.columns
     return joined.mapInArrow(cut, schema)
@@ -386,7 +416,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats over 400 bytes or more in all documents, removed."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
 OP8_SQL = """
@@ -407,11 +437,13 @@ WITH d AS (
   SELECT rid, a, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS b FROM m
 ), k AS (
   SELECT rid, sum(e - a) AS gone, count(*) AS spans, max(e) AS last,
-    string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head
+    string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head,
+    string_agg(regexp_replace(regexp_replace(substr(h, 2 * b + 1, 2 * (a - b)), '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY a) AS head_text
   FROM g JOIN d USING (rid) GROUP BY rid
 )
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
   CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256,
+  decode(unhex(CASE WHEN gone IS NULL THEN h ELSE head_text || regexp_replace(substr(h, 2 * last + 1), '^([89AB].)+', '') END)) AS text
 FROM d LEFT JOIN k USING (rid)
 """
