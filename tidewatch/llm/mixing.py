@@ -18,21 +18,25 @@ TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 _OTHERS = DOMAINS[1:]  # the classes of the regression; the first domain is its reference
 
 
-def _evidence(text: Column) -> Column:
-    """What a text shows, each once: its words and runs of signs, the beginnings of its longer words, and how often it repeats
-    itself (twice the binary logarithm of tokens over different tokens)."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s]+)"), F.lit(1))
-    distinct = F.array_distinct(tokens)
-    long = F.filter(distinct, lambda w: F.char_length(w) > BEGINNING)
-    starts = F.array_distinct(F.transform(long, lambda w: F.concat(F.lit("^"), F.substring(w, 1, BEGINNING))))
-    often = F.floor(2 * F.log2(F.size(tokens) / F.greatest(F.lit(1), F.size(distinct))))
-    return F.array_append(F.concat(distinct, starts), F.when(F.size(tokens) == 0, "#none").otherwise(F.concat(F.lit("#"), often.cast("string"))))
-
-
 def _bucket(shown: Column) -> Column:
     return F.pmod(F.xxhash64(shown), F.lit(BUCKETS)).cast("int")
 
 
+def _evidence(docs: DataFrame, text: str, *own: str) -> DataFrame:
+    """own, n_tokens (words that white space parts) and `evidence`: buckets of what the text shows, each once: its words and runs of signs, the
+    beginnings of its longer words, and how often it repeats itself (twice the binary logarithm of tokens over different ones).
+
+    Each step is a column of its own, so that no expression over a whole text is evaluated twice."""
+    whole = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    words = F.regexp_count("text", F.lit(r"[^ \t-\r]+")).cast("long").alias("n_tokens")
+    tokens = whole.select(*own, words, F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s]+)"), F.lit(1)).alias("tokens"))
+    long = F.filter("tokens", lambda w: F.char_length(w) > BEGINNING)
+    shown = tokens.select(*own, "n_tokens", F.transform("tokens", _bucket).alias("words"), F.transform(long, lambda w: _bucket(F.concat(F.lit("^"), F.substring(w, 1, BEGINNING)))).alias("starts"))
+    distinct = shown.select(*own, "n_tokens", "starts", F.size("words").alias("n"), F.array_distinct("words").alias("distinct"))
+    often = F.when(F.col("n") == 0, "#none").otherwise(F.concat(F.lit("#"), F.floor(2 * F.log2(F.col("n") / F.greatest(F.lit(1), F.size("distinct")))).cast("string")))
+    return distinct.select(*own, "n_tokens", F.array_distinct(F.array_append(F.concat("distinct", "starts"), _bucket(often))).alias("evidence"))
+
+
 def label_domain() -> Column:
     """Domain of a labelled row; null where the labels do not tell."""
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
@@ -43,8 +47,7 @@ def _sums(docs: DataFrame, weights: DataFrame, text: str, own: list[str]) -> Dat
 
     Each row ends in a mark, which keeps and counts it; of its evidence only what the table of weights (broadcast; its size
     is bounded) has goes on, and it is pre-aggregated before the exchange."""
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
-    each = docs.select(*own, words.alias("n_tokens"), F.explode(F.array_append(F.transform(_evidence(F.col(text)), _bucket), F.lit(-1))).alias("bucket"))
+    each = _evidence(docs, text, *own).select(*own, "n_tokens", F.explode(F.array_append("evidence", F.lit(-1))).alias("bucket"))
     marked = weights.unionByName(docs.sparkSession.createDataFrame([(-1, *[0.0] * len(DOMAINS))], weights.schema))
     sums = each.join(F.broadcast(marked), "bucket").groupBy(*own).agg(F.max("n_tokens").alias("n_tokens"), F.count_if(F.col("bucket") == -1).alias("copies"), *[F.sum(d).alias(d) for d in DOMAINS])
     return sums.select(*own, "copies", "n_tokens", *[(F.col(d) / F.col("copies")).alias(d) for d in DOMAINS])
@@ -99,7 +102,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000 < share).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(PARTS)))
     texts = saved(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key"))
     n = {(r[0], r[1]): r[2] for r in texts.groupBy("domain", "part").count().collect()}
-    shown = texts.select("domain", "part", F.explode(_evidence(F.col("text"))).alias("w")).groupBy(_bucket(F.col("w")).alias("bucket"))
+    shown = _evidence(texts, "text", "domain", "part").select("domain", "part", F.explode("evidence").alias("bucket")).groupBy("bucket")
     seen = saved(shown.agg(*[F.count_if((F.col("domain") == d) & (F.col("part") == f)).alias(f"{d}_{f}") for d in DOMAINS for f in range(PARTS)]))
 
     def weights(parts: list[int]) -> DataFrame:
