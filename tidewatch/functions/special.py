@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, erfc, exp, inf, lgamma, log, log1p, sqrt
+from math import ceil, erfc, exp, inf, lgamma, log, log1p, pi, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -82,9 +82,22 @@ def poisson_cdf(k: int, mean: float) -> float:
     return chi2_sf(2 * mean, 2 * (k + 1)) if mean > 0 else 1.0
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series from 16 on, below that by the recurrence."""
+    x = np.asarray(x, float)
+    up = np.where(x < 16, x + 16, x)
+    one = 1 / (up * up)
+    series = (1 / 12 - one * (1 / 360 - one * (1 / 1260 - one * (1 / 1680 - one / 1188)))) / up
+    out = (up - 0.5) * np.log(up) - up + 0.5 * log(2 * pi) + series
+    low = x < 16
+    if low.any():
+        product = np.prod(x[low][:, None] + np.arange(16), axis=1)
+        out[low] -= np.log(product)
+    return out
+
+
 def log_choose(n: np.ndarray, k: float) -> np.ndarray:
-    g = np.vectorize(lgamma, otypes=[float])
-    return g(n + 1) - lgamma(k + 1) - g(n - k + 1)
+    return log_gamma(n + 1) - lgamma(k + 1) - log_gamma(n - k + 1)
 
 
 def expected_richness(counts: np.ndarray, depth: float) -> float:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +33,9 @@ class History:
         return own if name == "runs" else own.join(self.table("runs").select("run_id"), "run_id", "left_semi")
 
     def record(self, run: dict, scores: DataFrame, abundances: DataFrame) -> int:
-        """Appends a run (a row of `runs` without its id) and returns its id."""
-        run_id = (self.table("runs").agg(F.max("run_id")).first()[0] or 0) + 1
+        """Appends a run (a row of `runs` without its id) and returns its id: the time in microseconds and twelve random bits, so that
+        two writers at once do not share one and later runs have larger ones."""
+        run_id = (time.time_ns() // 1000 << 12) + secrets.randbelow(1 << 12)
         for name, rows in (("scores", scores), ("abundances", abundances.where("rel_abund > 0"))):
             self._append(name, rows.withColumns({"org_id": F.lit(self.org), "run_id": F.lit(run_id).cast("long")}))
         self._append("runs", self.spark.createDataFrame([run | {"run_id": run_id, "org_id": self.org}], SCHEMAS["runs"]))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordered import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
@@ -30,21 +31,19 @@ def overall(metrics: DataFrame) -> DataFrame:
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr, precision) at each score, highest first. Equal scores are one point; the running sums
-    go over one row for each different score."""
+    """(threshold, tp, fp, tpr, fpr, precision) at each score, and the rates above it. Equal scores are one point; the running sums
+    go over one row for each different score, by ranges of it."""
     known = scored.where(F.col("label").isNotNull())
     steps = known.groupBy(F.col("score").alias("threshold")).agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    out = steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down), "pos": F.sum("p").over(every), "neg": F.sum("q").over(every)})
-    return out.select("threshold", "tp", "fp", _ratio(F.col("tp").cast("double"), F.col("pos")).alias("tpr"), _ratio(F.col("fp").cast("double"), F.col("neg")).alias("fpr"), _ratio(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"))
+    total = steps.agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    out = running(steps, "threshold", {"tp": F.col("p"), "fp": F.col("q")}).join(F.broadcast(total))
+    return out.select("threshold", "tp", "fp", _ratio(F.col("tp").cast("double"), F.col("pos")).alias("tpr"), _ratio(F.col("fp").cast("double"), F.col("neg")).alias("fpr"), _ratio(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"), _ratio((F.col("tp") - F.col("p")).cast("double"), F.col("pos")).alias("tpr_before"), _ratio((F.col("fp") - F.col("q")).cast("double"), F.col("neg")).alias("fpr_before"))
 
 
 def roc_summary(scored: DataFrame, sensitivity: float = 0.95, specificity: float = 0.95) -> DataFrame:
     """auroc, auprc, and the thresholds of Youden's index, of a target sensitivity and of a target specificity. Nulls
     where only one label is there."""
-    back = W.orderBy(F.desc("threshold"))
-    points = roc_points(scored).withColumns({"prev_t": F.coalesce(F.lag("tpr").over(back), F.lit(0.0)), "prev_f": F.coalesce(F.lag("fpr").over(back), F.lit(0.0))})
+    points = roc_points(scored).withColumns({"prev_t": F.col("tpr_before"), "prev_f": F.col("fpr_before")})
     return points.agg(
         F.sum((F.col("fpr") - F.col("prev_f")) * (F.col("tpr") + F.col("prev_t")) / 2).alias("auroc"),
         F.sum((F.col("tpr") - F.col("prev_t")) * F.col("precision")).alias("auprc"),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import clip, kmers
+from tidewatch.functions.columns import clip
 from tidewatch.operators.baseline import cohort_spikes
 
 
@@ -64,19 +66,82 @@ def cohort_novelty(values: DataFrame, value: str = "clr", trees: int = 200, seed
     if values.select("sample").distinct().count() < 4:
         return values.select("sample").distinct().withColumn("novelty", F.lit(0.0))
     iso = isolation_scores(values, value, trees, seed=seed)
-    every = W.partitionBy()
-    low, high = F.min("isolation").over(every), F.max("isolation").over(every)
-    iso = iso.withColumn("iso", (F.col("isolation") - low) / (high - low + 1e-10))
+    ends = iso.agg(F.min("isolation").alias("low"), F.max("isolation").alias("high"))
+    iso = iso.join(F.broadcast(ends)).withColumn("iso", (F.col("isolation") - F.col("low")) / (F.col("high") - F.col("low") + 1e-10))
     return iso.join(cohort_spikes(values, value), "sample").select("sample", clip(0.6 * F.col("iso") + 0.4 * F.col("spike"), 0, 1).alias("novelty"))
 
 
-def kmer_profiles(reads: DataFrame, k: int = 6, alphabet: str = "ACGT", fold: bool = True) -> DataFrame:
+def kmer_vocabulary(spark: SparkSession, k: int = 6, alphabet: str = "ACGT") -> DataFrame:
+    """(kmer, index) of all k-letter words of the alphabet, in order: the index is the word read as a number."""
+    n = len(alphabet)
+    letter = lambda i: F.substring(F.lit(alphabet), (F.floor(F.col("id") / n ** (k - 1 - i)) % n + 1).cast("int"), F.lit(1))
+    return spark.range(n**k).select(F.concat(*[letter(i) for i in range(k)]).alias("kmer"), F.col("id").cast("int").alias("index"))
+
+
+def letters(alphabet: str) -> bytes:
+    """The letters of an alphabet that is written as in a regular expression's class: ACGT, a-z."""
+    spans = re.findall(r"(.)-(.)|(.)", alphabet)
+    return bytes(sorted({c for a, b, one in spans for c in ([ord(one)] if one else range(ord(a), ord(b) + 1))}))
+
+
+def kmer_profiles(reads: DataFrame, k: int = 6, alphabet: str = "ACGT", fold: bool = True, most: int = 1 << 20) -> DataFrame:
     """(sample, kmer, freq): mean over a sample's reads (sample, read_no, seq) of the shares of k-mers in each. A read
-    without a k-mer counts as all zero. Shares are added up before the exchange: no row for a k-mer of a read crosses it."""
-    rows = reads.select("sample", kmers(F.col("seq"), k, alphabet, fold=fold).alias("ks"))
-    n = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("n_reads"))
-    each = rows.where(F.size("ks") > 0).select("sample", (1 / F.size("ks")).alias("w"), F.explode("ks").alias("kmer"))
-    return each.groupBy("sample", "kmer").agg(F.sum("w").alias("w")).join(n, "sample").select("sample", "kmer", (F.col("w") / F.col("n_reads")).alias("freq"))
+    without a k-mer counts as all zero. The alphabet is of ASCII letters.
+
+    Arrow batches count: a read's k-mers are numbers, its shares are added to its sample's sums, and only these leave the task (when over
+    `most` of them are held, and at its end), so a row is a k-mer of a sample, not of a read."""
+    known = letters(alphabet)
+    base = len(known)
+    if k * np.log2(base) > 62:
+        raise ValueError(f"{k} letters of {base} do not fit into a number")
+    code = np.full(256, -1, np.int64)
+    code[np.frombuffer(known, np.uint8)] = np.arange(base)
+    schema = f"sample {reads.schema['sample'].dataType.simpleString()}, code long, w double, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            names, codes, weights, counts = [], [], [], []
+            for s, (n, parts) in held.items():
+                own, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)]), return_inverse=True)
+                sums = np.bincount(place, weights=np.concatenate([np.zeros(0), *(w for _, w in parts)]), minlength=len(own))
+                names += [s] * (len(own) + 1)
+                codes += [np.array([-1]), own]
+                weights += [np.zeros(1), sums]
+                counts += [np.array([n]), np.zeros(len(own), np.int64)]
+            held.clear()
+            join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
+            return pa.RecordBatch.from_arrays([pa.array(names, kind), join(codes, pa.int64()), join(weights, pa.float64()), join(counts, pa.int64())], names=["sample", "code", "w", "n"])
+
+        size, kind = 0, None
+        for b in batches:
+            kind = b.schema.field("sample").type
+            for s, seq in zip(b.column("sample").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                n, parts = held.get(s, (0, []))
+                text = (seq or "").upper() if fold else seq or ""
+                digits = code[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+                if len(digits) >= k:
+                    value, ok = np.zeros(len(digits) - k + 1, np.int64), np.ones(len(digits) - k + 1, bool)
+                    for i in range(k):
+                        d = digits[i : len(digits) - k + 1 + i]
+                        value, ok = value * base + d, ok & (d >= 0)
+                    own, count = np.unique(value[ok], return_counts=True)
+                    if len(own):
+                        parts.append((own, count / count.sum()))
+                        size += len(own)
+                held[s] = (n + 1, parts)
+            if size > most:
+                yield flush(kind)
+                size = 0
+        if held:
+            yield flush(kind)
+
+    sums = reads.select("sample", "seq").mapInArrow(run, schema).groupBy("sample", "code").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    text = known.decode()
+    letter = lambda i: F.substring(F.lit(text), (F.floor(F.col("code") / base ** (k - 1 - i)) % base + 1).cast("int"), F.lit(1))
+    whole = sums.where("code = -1").select("sample", F.col("n").alias("n_reads"))
+    return sums.where("code >= 0").join(F.broadcast(whole), "sample").select("sample", F.concat(*[letter(i) for i in range(k)]).alias("kmer"), (F.col("w") / F.col("n_reads")).alias("freq"))
 
 
 def fit_kmer_reference(profiles: DataFrame, floor_quantile: float = 0.5) -> DataFrame:
@@ -119,6 +184,21 @@ def kmer_novelty(queries: DataFrame, background: DataFrame | None = None, k: int
     return found.join(F.broadcast(spread)).select("sample", F.round(clip((F.col("distance") - F.col("m")) / (F.col("s") + 1e-9), 0, 1), 4).alias("novelty"))
 
 
+def fused_novelty(cohort: DataFrame, *others: DataFrame) -> DataFrame:
+    """(sample, novelty): the largest novelty of any kind that a sample has; samples of the cohort only."""
+    out = cohort.select("sample", "novelty")
+    for more in others:
+        out = out.join(more.select("sample", F.col("novelty").alias("other")), "sample", "left").select("sample", F.greatest("novelty", F.coalesce("other", F.lit(0.0))).alias("novelty"))
+    return out
+
+
+def embedding_novelty(loss: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, novelty) of reconstruction losses (id, loss): by how much a loss exceeds that of known sequences, in their deviations, squashed to 0..1."""
+    stats = known.agg(F.avg("loss").alias("m"), F.coalesce(F.stddev_pop("loss"), F.lit(0.0)).alias("s"))
+    z = (F.col("loss") - F.col("m")) / (F.col("s") + 1e-8)
+    return loss.join(F.broadcast(stats)).select("id", clip(F.greatest(z, F.lit(0.0)) / 3, 0, 1).alias("novelty"))
+
+
 def nearest_codes(vectors: DataFrame, codes: DataFrame) -> DataFrame:
     """(vec_id, code, distance2): the nearest code (code, centre) of each vector (vec_id, v), ties to the smaller. codes is a
     codebook of fixed size."""

@@ -5,8 +5,10 @@ A series is (site, t, x): t orders a site's points and is unique in it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,19 +66,21 @@ def latest(points: DataFrame) -> DataFrame:
 def mann_kendall(series: DataFrame) -> DataFrame:
     """(site, n, s, tau, slope, p_value): Kendall's trend without tie correction, and the median of pairwise slopes.
 
-    Slopes are per step. Pairs are made within a site only; keep long histories to last_points first.
+    Slopes are per step. A site's points are one ordered array, and its pairs are made within that: one exchange, no join.
     """
-    rows = series.withColumn("i", F.row_number().over(W.partitionBy("site").orderBy("t")))
-    n = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    a, b = rows.select("site", F.col("i").alias("i"), F.col("x").alias("x")), rows.select("site", F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = a.join(b, "site").where("i < j")
-    stats = pairs.groupBy("site").agg(F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"), F.median((F.col("y") - F.col("x")) / (F.col("j") - F.col("i"))).alias("slope"))
-    out = n.join(stats, "site", "left")
+    rows = series.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda p: p["x"]).alias("xs"))
+    rows = rows.withColumn("n", F.size("xs").cast("long"))
+    steps = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.size("xs") - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(steps, lambda d: F.zip_with(F.slice("xs", 1, F.size("xs") - d), F.slice("xs", d + 1, F.size("xs") - d), lambda x, y: F.struct((y - x).alias("up"), d.alias("d")))))
+    rows = rows.select("site", "n", pairs.alias("pairs"))
+    slopes = rows.select("site", "n", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.signum(p["up"])).alias("s"), F.array_sort(F.transform("pairs", lambda p: p["up"] / p["d"])).alias("slopes"))
+    half = F.size("slopes") / 2
+    middle = (F.try_element_at("slopes", F.ceil(half).cast("int")) + F.try_element_at("slopes", (F.floor(half) + 1).cast("int"))) / 2
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
     z = F.when(F.col("s") > 0, F.col("s") - 1).when(F.col("s") < 0, F.col("s") + 1).otherwise(0.0) / F.sqrt(var)
-    few = (F.col("n") < 4) | F.col("s").isNull()
-    out = out.withColumn("z", F.when(few, 0.0).otherwise(z))
-    return out.select("site", "n", F.when(few, 0.0).otherwise(F.col("s")).alias("s"), F.when(few, 0.0).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"), F.when(few, 0.0).otherwise(F.col("slope")).alias("slope"), normal_pvalue("z").alias("p_value"))
+    few = F.col("n") < 4
+    out = slopes.withColumn("z", F.when(few, 0.0).otherwise(z))
+    return out.select("site", "n", F.when(few, 0.0).otherwise(F.col("s")).alias("s"), F.when(few, 0.0).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"), F.when(few, 0.0).otherwise(middle).alias("slope"), normal_pvalue("z").alias("p_value"))
 
 
 def holt_forecast(series: DataFrame, alpha: float = 0.3, beta: float = 0.1, steps: int = 1) -> DataFrame:
@@ -111,66 +115,110 @@ def trends(series: DataFrame, alpha: float = 0.05, tau_threshold: float = 0.3, g
     return out.select("site", "n", "trend", F.round("tau", 4).alias("tau"), F.round("p_value", 4).alias("p_value"), F.round("slope", 5).alias("sens_slope"), (kind != "insufficient").alias("enough"), (clear & (F.abs("tau") >= tau_threshold) & ~wide).alias("is_significant"), F.round("forecast_next", 4).alias("forecast_next"), F.round(F.when(wide, 0.0).otherwise(F.col("ci_low")), 4).alias("ci_low"), F.round(F.when(wide, 1.0).otherwise(F.col("ci_high")), 4).alias("ci_high"), text.alias("summary"))
 
 
-def _poisson_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted log-linear Poisson regression: coefficients, covariance, fitted means."""
-    mu = np.maximum(y, 0.5) if (y == 0).any() else y.copy()
-    eta = np.log(mu)
-    for _ in range(100):
-        z = eta + (y - mu) / mu
-        weight = (w * mu)[:, None]
-        info = x.T @ (weight * x)
-        coef = np.linalg.solve(info, x.T @ (weight[:, 0] * z))
-        new = x @ coef
-        done = np.abs(new - eta).max() < 1e-10
-        eta, mu = new, np.exp(new)
-        if done:
-            break
-    return coef, np.linalg.inv(x.T @ ((w * mu)[:, None] * x)), mu
+RESULTS = ("expected", "threshold", "dispersion", "trend_slope", "z", "exceedance", "alarm", "note")
 
 
-def aberration(history: list[float], current: float, alpha: float = 0.05, scale: float = 1.0, min_history: int = 4) -> dict:
-    """Farrington's test of the current value against a quasi-Poisson trend through the history, once reweighted so that
-    past outbreaks count less. Short or flat histories: alarm beyond half again the mean."""
-    y, now = np.asarray(history, float) * scale, float(current) * scale
-    n = len(y)
-    if n < min_history or (y == y[0]).all():
-        mean = float(y.mean()) if n else 0.0
-        limit = 1.5 * mean + 1e-6
-        return {"expected": mean / scale, "threshold": limit / scale, "dispersion": None, "trend_slope": None, "z": 0.0, "exceedance": 0.0, "alarm": bool(now > limit), "note": "short or flat history"}
-    x = np.stack([np.ones(n), np.arange(n)], axis=1)
-    weights, note = np.ones(n), ""
-    try:
+def _trend_fits(y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-linear Poisson trends of the rows of y with weights w, by reweighted least squares: level and slope, their variance at
+    the next step, fitted means, and which rows settled. The normal equations are 2 x 2, so all rows are solved at once."""
+    n = y.shape[1]
+    t = np.arange(n, dtype=float)
+    mu = np.where((y == 0).any(1, keepdims=True), np.maximum(y, 0.5), y)
+    eta = np.log(mu)
+    level, slope, open_ = np.zeros(len(y)), np.zeros(len(y)), np.ones(len(y), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(100):
+            v = w * mu
+            target = v * (eta + (y - mu) / mu)
+            s0, s1, s2, r0, r1 = v.sum(1), v @ t, v @ (t * t), target.sum(1), target @ t
+            det = s0 * s2 - s1 * s1
+            level, slope = np.where(open_, (s2 * r0 - s1 * r1) / det, level), np.where(open_, (s0 * r1 - s1 * r0) / det, slope)
+            new = level[:, None] + slope[:, None] * t
+            moved = np.abs(new - eta).max(1)
+            eta, mu = new, np.exp(new)
+            open_ &= ~(moved < 1e-10) & np.isfinite(moved)
+            if not open_.any():
+                break
+        v = w * mu
+        s0, s1, s2 = v.sum(1), v @ t, v @ (t * t)
+        spread = (s2 - 2 * n * s1 + n * n * s0) / (s0 * s2 - s1 * s1)
+    return np.stack([level, slope], axis=1), spread, mu, np.isfinite(level + slope + spread) & (spread >= 0)
+
+
+def aberrations_of(histories: np.ndarray, current: np.ndarray, alpha: float = 0.05, scale: float = 1.0, min_history: int = 4) -> dict[str, np.ndarray]:
+    """Farrington's test of current values against a quasi-Poisson trend through their histories (rows of equal length), once reweighted so
+    that past outbreaks count less. Short or flat histories: alarm beyond half again the mean."""
+    y, now = np.asarray(histories, float) * scale, np.asarray(current, float) * scale
+    m, n = y.shape
+    mean = y.mean(1) if n else np.zeros(m)
+    limit = 1.5 * mean + 1e-6
+    out: dict[str, np.ndarray] = {"expected": mean / scale, "threshold": limit / scale, "dispersion": np.full(m, np.nan), "trend_slope": np.full(m, np.nan), "z": np.zeros(m), "exceedance": np.zeros(m), "alarm": now > limit, "note": np.full(m, "insufficient or flat history", object)}
+    able = np.flatnonzero((y != y[:, :1]).any(1)) if n >= min_history else np.empty(0, int)
+    if not len(able):
+        return out
+    y, now = y[able], now[able]
+    with np.errstate(all="ignore"):
+        weights = np.ones_like(y)
         for turn in range(2):
-            coef, cov, mu = _poisson_fit(x, y, weights)
-            phi = max(1.0, float((weights * (y - mu) ** 2 / mu).sum() / max(n - 2, 1)))
+            (level, slope), spread, mu, sound = (lambda c, *rest: (c.T, *rest))(*_trend_fits(y, weights))
+            phi = np.maximum(1.0, (weights * (y - mu) ** 2 / mu).sum(1) / max(n - 2, 1))
             if turn == 0:
-                residual = 1.5 * (y ** (2 / 3) - np.maximum(mu, 1e-6) ** (2 / 3)) / np.maximum(mu, 1e-6) ** (1 / 6) / np.sqrt(phi)
-                weights = np.where(np.abs(residual) > 2.58, (2.58 / np.maximum(np.abs(residual), 1e-12)) ** 2, 1.0)
-        at = np.array([1.0, n])
-        mean, spread, slope = float(np.exp(at @ coef)), float(at @ cov @ at), float(coef[1])
-        if not np.isfinite([mean, spread, slope]).all():
-            raise FloatingPointError
-    except (np.linalg.LinAlgError, FloatingPointError):
-        slope, start = np.polyfit(np.arange(n), np.log(y + 0.5), 1)
-        mean, spread, slope, note = float(np.exp(start + slope * n)), 0.0, float(slope), "log-linear fallback"
-        phi = max(1.0, float(y.var() / (y.mean() + 1e-9)))
-    sd = 2 / 3 * mean ** (-1 / 3) * np.sqrt(max(phi * mean + mean * mean * spread, 1e-12))
-    limit = float((mean ** (2 / 3) + normal_quantile(1 - alpha) * sd) ** 1.5)
-    z = float((now ** (2 / 3) - mean ** (2 / 3)) / (sd + 1e-12))
-    return {"expected": mean / scale, "threshold": limit / scale, "dispersion": phi, "trend_slope": slope, "z": z, "exceedance": max(z, 0.0) / (max(z, 0.0) + 2), "alarm": bool(now > limit), "note": note}
-
-
-def aberrations(series: DataFrame, window: int = 16, scale: float = 100.0, alpha: float = 0.05, min_history: int = 4) -> DataFrame:
-    """aberration() of every point against the window points before it; each site in an Arrow-batched task of its own."""
-    schema = "site string, t timestamp, x double, expected double, threshold double, dispersion double, trend_slope double, z double, exceedance double, alarm boolean, note string"
-    schema = schema.replace("t timestamp", f"t {series.schema['t'].dataType.simpleString()}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").reset_index(drop=True)
-        rows = [aberration(pdf["x"].tolist()[max(0, i - window) : i], v, alpha, scale, min_history) for i, v in enumerate(pdf["x"])]
-        return pd.concat([pdf[["site", "t", "x"]], pd.DataFrame(rows)], axis=1).round({"expected": 6, "threshold": 6, "dispersion": 4, "trend_slope": 5, "z": 4, "exceedance": 4})
-
-    return series.select("site", "t", "x").groupBy("site").applyInPandas(run, schema)
+                safe = np.maximum(mu, 1e-6)
+                residual = np.abs(1.5 * (y ** (2 / 3) - safe ** (2 / 3)) / safe ** (1 / 6) / np.sqrt(phi)[:, None])
+                weights = np.where(residual > 2.58, (2.58 / np.maximum(residual, 1e-12)) ** 2, 1.0)
+                weights = np.where(np.isfinite(weights), weights, 1.0)
+        expected = np.exp(level + slope * n)
+        sound &= np.isfinite(expected)
+        t = np.arange(n) - (n - 1) / 2
+        logs = np.log(y + 0.5)
+        plain = logs @ t / (t @ t)
+        slope = np.where(sound, slope, plain)
+        expected = np.where(sound, expected, np.exp(logs.mean(1) + plain * (n - (n - 1) / 2)))
+        spread = np.where(sound, spread, 0.0)
+        phi = np.where(sound, phi, np.maximum(1.0, y.var(1) / (y.mean(1) + 1e-9)))
+        sd = 2 / 3 * expected ** (-1 / 3) * np.sqrt(np.maximum(phi * expected + expected * expected * spread, 1e-12))
+        limit = (expected ** (2 / 3) + normal_quantile(1 - alpha) * sd) ** 1.5
+        z = (now ** (2 / 3) - expected ** (2 / 3)) / (sd + 1e-12)
+    up = np.maximum(z, 0.0)
+    made = {"expected": expected / scale, "threshold": limit / scale, "dispersion": phi, "trend_slope": slope, "z": z, "exceedance": up / (up + 2), "alarm": now > limit, "note": np.where(sound, "ok", "log-linear fallback").astype(object)}
+    for k, v in made.items():
+        out[k][able] = v
+    return out
+
+
+def aberration(history: list[float], current: float, alpha: float = 0.05, scale: float = 1.0, min_history: int = 4) -> dict:
+    """aberrations_of one history; None where there is no trend."""
+    out = aberrations_of(np.array([history], float), np.array([current]), alpha, scale, min_history)
+    return {k: v[0] if k == "note" else bool(v[0]) if k == "alarm" else None if np.isnan(v[0]) else float(v[0]) for k, v in out.items()}
+
+
+def aberrations(series: DataFrame, window: int | None = 16, scale: float = 100.0, alpha: float = 0.05, min_history: int = 4, warmup: bool = False) -> DataFrame:
+    """Every point tested against the `window` points before it (None: all before it). warmup: points with fewer than min_history before them get
+    no expectation, no alarm and the note `warmup`.
+
+    A window gathers each point's history; Arrow batches of points then solve all of one length together, so sites of any size share tasks."""
+    kind = series.schema["t"].dataType.simpleString()
+    before = W.partitionBy("site").orderBy("t").rowsBetween(W.unboundedPreceding if window is None else -window, -1)
+    rows = series.select("site", "t", F.col("x").cast("double").alias("x"), F.collect_list(F.col("x").cast("double")).over(before).alias("past"))
+    schema = f"site string, t {kind}, x double, expected double, threshold double, dispersion double, trend_slope double, z double, exceedance double, alarm boolean, note string"
+    digits = {"expected": 6, "threshold": 6, "dispersion": 4, "trend_slope": 5, "z": 4, "exceedance": 4}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            past = b.column("past")
+            flat, size, x = past.flatten().to_numpy(zero_copy_only=False), past.value_lengths().to_numpy(zero_copy_only=False), b.column("x").to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            out = {k: np.full(len(x), np.nan) for k in RESULTS[:-2]} | {"alarm": np.zeros(len(x), bool), "note": np.full(len(x), "warmup", object)}
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                if warmup and n < min_history:
+                    out["z"][at] = out["exceedance"][at] = 0.0
+                    continue
+                for k, v in aberrations_of(flat[begin[at][:, None] + np.arange(n)], x[at], alpha, scale, min_history).items():
+                    out[k][at] = np.round(v, digits[k]) if k in digits else v
+            yield pa.RecordBatch.from_arrays([b.column("site"), b.column("t"), b.column("x"), *[pa.array(out[k], from_pandas=True) for k in RESULTS]], names=["site", "t", "x", *RESULTS])
+
+    return rows.mapInArrow(run, schema)
 
 
 def validate_external(series: DataFrame, external: DataFrame) -> DataFrame:
