@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,7 +174,7 @@ def _anchor_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"g long, f long, k {kind}, t long, p long, a long, b long")
 
 
-FRAGMENT = ["g", "f", "w", "lo", "hi", "x", "y", "content"]
+FRAGMENT = ["g", "f", "twice", "lo", "hi", "x", "y", "content"]
 FOUND = "g long, f long, first long, last long"
 PLACE = ["k", "t", "p", "a", "b"]
 
@@ -206,40 +207,42 @@ def _counted(every: DataFrame, rows: int = 500_000) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (g, f, w, k, t, p, a, b) with `content`, the bytes of the fragment, and lo and hi, its first and last window
-    from the anchor, in place of its place; x and y bound the window starts that its group is about."""
-    each = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("g", "f", "w", "p", "a", "b")).alias("at"))
+    """wanted (g, f, n, whole, k, t, p, a, b) with lo and hi, its first and last window from the anchor, in place of its place; `content`, the
+    bytes of the fragment, where whole is true; and `digest`, their SHA-256, where n is over 1."""
+    each = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("g", "f", "n", "whole", "p", "a", "b")).alias("at"))
     each = saved(each.withColumnsRenamed({"k": "own_k", "t": "own_t"}))
     same = F.col("k").eqNullSafe(F.col("own_k")) & (F.col("t") == F.col("own_t"))
     joined = narrowed(docs, each.select("own_k", "own_t"), same).join(each, same).select("text", "at")
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+    kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, at in zip(b.column("text"), b.column("at"), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                out += [(x["g"], x["f"], x["w"], x["a"] - x["p"], x["b"] - x["p"], SEED - size, 0, raw[x["a"] : x["b"] + size]) for x in at.as_py()]
-            columns = list(zip(*out, strict=True)) or [()] * len(FRAGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=FRAGMENT)
+                for x in at.as_py():
+                    part = raw[x["a"] : x["b"] + size]
+                    out.append((x["g"], x["f"], x["n"], x["a"] - x["p"], x["b"] - x["p"], part if x["whole"] else None, sha256(part).digest() if x["n"] > 1 else None))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["g", "f", "n", "lo", "hi", "content", "digest"])
 
-    return joined.mapInArrow(run, "g long, f long, w int, lo long, hi long, x long, y long, content binary")
+    return joined.mapInArrow(run, "g long, f long, n long, lo long, hi long, content binary, digest binary")
 
 
 def _search(groups: DataFrame, size: int) -> DataFrame:
-    """(g, f, first, last): runs of windows, from the anchor, that a fragment shares with another one of its group; of the two that
-    stand for equal fragments, the first (w = 0) is told of."""
+    """(g, f, first, last): runs of windows, from the anchor, that a fragment (other than those known to be there twice) shares with
+    another one of its group."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         found = RunIndex([r[4] for r in rows]).long_matches(size) if rows else []
-        out = [(g, f, lo + first, lo + last) for (g, f, w, lo, _), starts in zip(rows, found, strict=True) if w == 0 for first, last in runs_of(starts)]
+        out = [(g, f, lo + first, lo + last) for (g, f, twice, lo, _), starts in zip(rows, found, strict=True) if not twice for first, last in runs_of(starts)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4], names=["g", "f", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "f", "w", "lo", "content")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "f", "twice", "lo", "content")), strict=True):
                 if total > INDEX_BYTES and r[0] != held[-1][0]:
                     yield batch(held)
                     held, total = [], 0
@@ -259,41 +262,49 @@ def _halved(groups: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for g, f, w, lo, hi, x, y, content in zip(*(b.column(c).to_pylist() for c in FRAGMENT), strict=True):
+            for g, f, twice, lo, hi, x, y, content in zip(*(b.column(c).to_pylist() for c in FRAGMENT), strict=True):
                 prefix = _HASH.prefix(np.frombuffer(content, np.uint8))
                 for x2, y2 in ((x, (x + y) // 2), ((x + y) // 2 + 1, y)):
                     lo2, hi2 = max(x2, lo), min(y2, hi)
                     if lo2 <= hi2:
                         hashes = _HASH.slices(prefix, np.array([y2, lo2]) - lo, np.array([x2, hi2]) - lo + size)
                         g2, f2 = mix64(hashes + mix64(np.array([g + 31 * x2, lo2], np.int64).view(np.uint64))).view(np.int64).tolist()
-                        out.append((g2, f2, g, f, w, lo2, hi2, x2, y2, content[lo2 - lo : hi2 - lo + size]))
+                        out.append((g2, f2, g, f, twice, lo2, hi2, x2, y2, content[lo2 - lo : hi2 - lo + size]))
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             kinds = [pa.int64(), pa.int64(), *(b.schema.field(f).type for f in FRAGMENT)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return groups.select(*FRAGMENT).mapInArrow(run, "g2 long, f2 long, g long, f long, w int, lo long, hi long, x long, y long, content binary")
+    return groups.select(*FRAGMENT).mapInArrow(run, "g2 long, f2 long, g long, f long, twice boolean, lo long, hi long, x long, y long, content binary")
+
+
+def _clash(kind: str) -> Column:
+    return F.raise_error(F.lit("two different fragments have equal hashes; choose another base of SliceHash")).cast(kind)
+
+
+def _open_groups(classes: DataFrame) -> DataFrame:
+    """(g) of the groups in which a fragment is left that is not known to be there twice, and another one."""
+    return classes.groupBy("g").agg(F.count(F.lit(1)).alias("d"), F.count_if(~F.col("twice")).alias("single")).where("d > 1 and single > 0").select("g")
 
 
 def _matches(rows: DataFrame, size: int, group_rows: int) -> DataFrame:
-    """_search of fragments (two rows, w 0 and 1, for those that are there more than once): groups of over group_rows rows are halved
-    until they are small; what is found in a half is true of all fragments that are equal there."""
-    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    """_search of fragments in open groups. Groups of over group_rows fragments are halved until they are small; what is equal in a half is there twice."""
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("d"))
     parts = parts_for(rows.sparkSession, rows.count(), 4096)
-    small = rows.join(counts.where(F.col("rows").between(2, group_rows)).select("g"), "g", "left_semi")
+    small = rows.join(counts.where(F.col("d") <= group_rows).select("g"), "g", "left_semi")
     found = saved(_search(small.repartition(parts, "g").sortWithinPartitions("g"), size))
-    large = saved(rows.join(counts.where(F.col("rows") > group_rows).select("g"), "g", "left_semi"))
+    large = saved(rows.join(counts.where(F.col("d") > group_rows).select("g"), "g", "left_semi"))
     if large.isEmpty():
         discard(large)
         return found
     halves = saved(_halved(large, size))
     discard(large)
-    one = F.struct("g", "f", "w", "lo", "hi", "x", "y", "content")
-    two = halves.groupBy("g2", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("o"), F.max(one).alias("q"))
-    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("w"), F.col("o").alias("o")), F.struct(F.lit(1).alias("w"), F.col("q").alias("o")))).otherwise(F.array(F.struct(F.lit(0).alias("w"), F.col("o").alias("o"))))
-    next_rows = two.select("g2", "f2", F.explode(both).alias("e")).select(F.col("g2").alias("g"), F.col("f2").alias("f"), "e.w", *[F.col(f"e.o.{c}").alias(c) for c in ("lo", "hi", "x", "y", "content")])
-    below = _matches(saved(next_rows), size, group_rows)
-    own = halves.where("w = 0").select(F.col("g").alias("g0"), F.col("f").alias("f0"), F.col("g2").alias("g"), F.col("f2").alias("f"))
-    return found.unionByName(below.join(own, ["g", "f"]).select(F.col("g0").alias("g"), F.col("f0").alias("f"), "first", "last"))
+    classes = halves.groupBy("g2", "f2").agg((F.bool_or("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.min("content").alias("content"), F.max("content").alias("other"), *[F.min(c).alias(c) for c in ("lo", "hi", "x", "y")])
+    classes = classes.select(F.col("g2").alias("g"), F.col("f2").alias("f"), "twice", "lo", "hi", "x", "y", F.when(F.col("content") == F.col("other"), F.col("content")).otherwise(_clash("binary")).alias("content"))
+    classes = saved(classes)
+    own = halves.where("not twice").select(F.col("g").alias("g0"), F.col("f").alias("f0"), F.col("g2").alias("g"), F.col("f2").alias("f"))
+    equal = own.join(classes.where("twice").select("g", "f", F.col("lo").alias("first"), F.col("hi").alias("last")), ["g", "f"])
+    below = own.join(_matches(saved(classes.join(_open_groups(classes), "g", "left_semi")), size, group_rows), ["g", "f"])
+    return found.unionByName(equal.unionByName(below).select(F.col("g0").alias("g"), F.col("f0").alias("f"), "first", "last"))
 
 
 def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128, hot: int = 1000) -> DataFrame:
@@ -301,17 +312,21 @@ def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128, hot: int = 1
     every = saved(_anchor_table(docs.where(F.octet_length("text") >= size), size))
     parts = parts_for(docs.sparkSession, every.count(), 200_000)
     per = _counted(every).repartition(parts, "g").groupBy("g", "f").agg(F.sum("n").alias("n"), F.min("o").alias("o"), F.max("q").alias("q"))
-    about = per.groupBy("g").agg(F.sum("n").alias("m"))
-    repeated = saved(per.join(about.where("m > 1").select("g"), "g", "left_semi"))
+    about = per.groupBy("g").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1")
+    repeated = saved(per.join(about.select("g", ((F.col("d") > 1) & (F.col("single") > 0)).alias("open")), "g"))
     ends = F.when(F.col("n") > 1, F.array("o", "q")).otherwise(F.array("o"))
-    wanted = repeated.select("g", "f", F.posexplode(ends).alias("w", "at")).select("g", "f", "w", "at.*")
-    rows = saved(_fragments(docs, wanted, size).dropDuplicates(["g", "f", "w"]))
-    found = saved(_matches(rows, size, group_rows).join(repeated.select("g", "f", "n"), ["g", "f"]).select(F.col("g").alias("g_"), F.col("f").alias("f_"), "n", "first", "last"))
-    same = (F.col("g") == F.col("g_")) & (F.col("f") == F.col("f_"))
+    wanted = repeated.select("g", "f", "n", "open", F.posexplode(ends).alias("i", "at")).select("g", "f", "n", (F.col("open") & (F.col("i") == 0)).alias("whole"), "at.*")
+    parts_of = saved(_fragments(docs, wanted, size))
+    same = parts_of.where("n > 1").groupBy("g", "f").agg(F.min("digest").alias("u"), F.max("digest").alias("v"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    equal = same.select("g", "f", F.when(F.col("u") == F.col("v"), F.col("lo")).otherwise(_clash("long")).alias("first"), F.col("hi").alias("last"))
+    rows = parts_of.where("content is not null").select("g", "f", (F.col("n") > 1).alias("twice"), "lo", "hi", F.lit(SEED - size).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "content").dropDuplicates(["g", "f"])
+    singles = _matches(saved(rows), size, group_rows)
+    found = saved(equal.unionByName(singles).join(repeated.select("g", "f", "n"), ["g", "f"]).select(F.col("g").alias("g_"), F.col("f").alias("f_"), "n", "first", "last"))
+    own = (F.col("g") == F.col("g_")) & (F.col("f") == F.col("f_"))
     if found.count() <= 500_000:
-        spans = every.join(F.broadcast(found), same)
+        spans = every.join(F.broadcast(found), own)
     else:  # fragments with many copies apart, so that no task gets all of one; they are few
-        spans = narrowed(every, found.where(F.col("n") > hot), same, how="inner").unionByName(every.join(found.where(F.col("n") <= hot).hint("merge"), same))
+        spans = narrowed(every, found.where(F.col("n") > hot), own, how="inner").unionByName(every.join(found.where(F.col("n") <= hot).hint("merge"), own))
     return spans.select("k", "t", (F.col("p") + F.col("first")).alias("a"), (F.col("p") + F.col("last") + size).alias("e"))
 
 
@@ -364,10 +379,10 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
 
     Each window of `size` bytes is owned by its anchor, the SEED-byte string in it of least hash, so equal windows have
     equal anchors at equal places, and only fragments (what the windows of one anchor cover) with the same anchor can share
-    a window. Of fragments that are equal as a whole (by two hashes of 64 bits) two stand for all. They and the different ones of
-    their groups go, by the quarter megabyte, into a run-length Burrows-Wheeler index whose matching statistics tell where long matches begin, and
-    what it finds is marked in every copy. A group of over
-    group_rows fragments (a passage that very many rows share) is cut at the middle of its windows, and either
+    a window. Fragments with equal hashes are verified to be equal by their SHA-256 (an error, where they are not), and are there
+    twice or more. Groups with other fragments beside
+    go, by the quarter megabyte, into a run-length Burrows-Wheeler index whose matching statistics tell where long matches begin. A group of over
+    group_rows different fragments (a passage that very many rows share) is cut at the middle of its windows, and either
     half is grouped anew by the bytes common to its windows, until groups are small or equal.
 
     words: strings of that many whole words go too where they are shorter than `size`; such windows are few and found by
