@@ -89,6 +89,19 @@ def lat_lon(text: Column) -> Column:
     return F.when(part(1) != "", F.struct(signed(1, 2, "S").alias("lat"), signed(3, 4, "W").alias("lon")))
 
 
+def accession(name: Column) -> Column:
+    """The run accession (SRR, ERR or DRR and digits) in a file's name, or null."""
+    found = F.regexp_extract(name, r"([SED]RR\d+)", 1)
+    return F.when(found != "", found)
+
+
+def place_label(geo: Column, date: Column, otherwise: Column) -> Column:
+    """'Wisconsin, (2026-01-05)' of 'USA: Wisconsin' and a date; what is missing is left out, and with nothing left `otherwise`."""
+    place = F.regexp_replace(F.coalesce(geo, F.lit("")), r"^[A-Z]+:\s*", "")
+    parts = F.array_compact(F.array(F.when(place != "", place), F.when(F.coalesce(date, F.lit("")) != "", F.concat(F.lit("("), date, F.lit(")")))))
+    return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise(otherwise)
+
+
 def mate(name: Column) -> Column:
     """(base, mate) of a paired file's stem: base_1, base.R2; mate is null for an unpaired one."""
     base = F.regexp_extract(name, r"^(.+?)[._](R?)([12])$", 1)

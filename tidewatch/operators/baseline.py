@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,39 @@ def resolve(values: DataFrame, controls: DataFrame | None = None, history: DataF
     return "self", fit(values)
 
 
+def sample_log_ratios(rel: DataFrame, base: DataFrame, pseudocount: float = 1e-6) -> DataFrame:
+    """rel with `clr`: log-ratios of each sample over the baseline's taxa and those that it brings along itself. A baseline taxon that a sample
+    lacks counts as the pseudocount, so it needs no row: how many they are is enough."""
+    here = rel.where("rel > 0")
+    in_base = here.join(base.select("taxon", F.lit(1).alias("hit")), "taxon", "left").withColumn("log", F.log(F.col("rel") + pseudocount))
+    n = base.count()
+    sums = in_base.groupBy("sample").agg(F.sum("log").alias("s"), F.count(F.lit(1)).alias("m"), F.count("hit").alias("both"))
+    missing = F.lit(n) - F.col("both")
+    mean = (F.col("s") + missing * F.log(F.lit(pseudocount))) / (F.col("m") + missing)
+    return in_base.join(sums.select("sample", mean.alias("mean")), "sample").withColumn("clr", F.col("log") - F.col("mean")).drop("log", "mean", "hit")
+
+
+def save(base: DataFrame, root: str, site: str, org: str | None = None, space: str = "relative") -> str:
+    """Writes a baseline (taxon, median, scale) for an organisation's site; one that is there is replaced. Returns its path."""
+    path = _place(root, site, org)
+    base.select("taxon", "median", "scale", F.lit(space).alias("space")).coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load(spark: SparkSession, root: str, site: str, org: str | None = None) -> DataFrame | None:
+    """The saved baseline of a site, or None."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_place(root, site, org))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("taxon string, median double, scale double, space string").json(at.toString())
+
+
+def _place(root: str, site: str, org: str | None) -> str:
+    if "/" in site or ".." in site or (org and ("/" in org or ".." in org)):
+        raise ValueError(f"not a name: {site}, {org}")
+    return f"{root.rstrip('/')}/{org or '_selfhosted'}/{site}.baseline"
+
+
 def with_baseline(rel: DataFrame, base: DataFrame, space: str = "relative") -> DataFrame:
     """rel with median and scale; taxa that the baseline lacks get 0 and NOVEL_SCALE, or in log-ratio space the least
     median and the middle scale."""

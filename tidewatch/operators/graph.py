@@ -54,6 +54,27 @@ def fit_blocks(adj: np.ndarray, k: int, seed: int, rounds: int = 300, self_terms
     return like, like - entropy - free / 2 * np.log(max(n * (n - 1) / 2, 1)), q
 
 
+def block_matrix(adj: np.ndarray, labels: list[int]) -> np.ndarray:
+    """Share of linked pairs within and between blocks."""
+    q = np.eye(max(labels) + 1)[labels]
+    pairs = q.T @ (1 - np.eye(len(adj))) @ q
+    return q.T @ adj @ q / np.maximum(pairs, 1)
+
+
+def degenerate(adj: np.ndarray, labels: list[int], least: float = 0.05) -> bool:
+    """Whether all blocks are linked much alike, so that communities may mean nothing."""
+    return bool(np.std(block_matrix(adj, labels)) < least)
+
+
+def pair_stability(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(together, probability, spread) over pairs of taxa that labels (taxon, label) puts together or apart: how often the resamples
+    (rep, taxon, label) that hold both put them into one block."""
+    a, b = runs.select("rep", F.col("taxon").alias("a"), F.col("label").alias("x")), runs.select("rep", F.col("taxon").alias("b"), F.col("label").alias("y"))
+    pairs = a.join(b, "rep").where("a < b").groupBy("a", "b").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("p"))
+    own = pairs.join(labels.select(F.col("taxon").alias("a"), F.col("label").alias("u")), "a").join(labels.select(F.col("taxon").alias("b"), F.col("label").alias("v")), "b")
+    return own.groupBy((F.col("u") == F.col("v")).alias("together")).agg(F.avg("p").alias("probability"), F.stddev_pop("p").alias("spread"))
+
+
 def communities(edges: DataFrame, max_k: int = 12, starts: int = 10) -> DataFrame:
     """(taxon, label, k, icl): the block of each taxon that has an edge, under the number of blocks of largest ICL (the
     smallest of equal ones). Each (k, start) is a row of the grid and runs as a task of its own. No edge: no row."""
@@ -80,7 +101,7 @@ def communities(edges: DataFrame, max_k: int = 12, starts: int = 10) -> DataFram
     return best.select("m.k", "m.icl", F.explode(F.arrays_zip(names.alias("taxon"), F.col("m.labels").alias("label"))).alias("z")).select("z.taxon", "z.label", "k", "icl")
 
 
-def bootstrap_stability(values: DataFrame, reps: int = 20, rho_threshold: float = 0.45, max_k: int = 6, seed: int = 0) -> DataFrame:
+def bootstrap_stability(values: DataFrame, reps: int = 100, rho_threshold: float = 0.45, max_k: int = 6, seed: int = 0) -> DataFrame:
     """(rep, k, taxon, label): communities of resampled samples (with replacement), a rep in each task; values: dense clr."""
     wide = values.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("taxon", "clr"))).alias("v"))
     rows = wide.orderBy("sample").collect()

@@ -192,11 +192,9 @@ def fused_novelty(cohort: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
-def embedding_novelty(loss: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, novelty) of reconstruction losses (id, loss): by how much a loss exceeds that of known sequences, in their deviations, squashed to 0..1."""
-    stats = known.agg(F.avg("loss").alias("m"), F.coalesce(F.stddev_pop("loss"), F.lit(0.0)).alias("s"))
-    z = (F.col("loss") - F.col("m")) / (F.col("s") + 1e-8)
-    return loss.join(F.broadcast(stats)).select("id", clip(F.greatest(z, F.lit(0.0)) / 3, 0, 1).alias("novelty"))
+def embedding_novelty(losses: DataFrame, novel: float = 0.05, full: float = 0.1) -> DataFrame:
+    """losses (..., loss) with `novelty` (the loss over `full`, 0 to 1) and `is_novel` (beyond `novel`)."""
+    return losses.withColumns({"novelty": clip(F.col("loss") / full, 0, 1), "is_novel": F.col("loss") > novel})
 
 
 def nearest_codes(vectors: DataFrame, codes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
-from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats
+from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats, temporal
 from tidewatch.streaming.watch import stream_daily_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,20 @@ def points_sql(by: str = "event_type") -> str:
     return f"p AS (SELECT CAST({by} AS VARCHAR) AS site, strftime(ts, '%Y-%m-%d') AS t, avg(value) / 500 AS x FROM events GROUP BY 1, 2)"
 
 
+def two_sided(z: str) -> str:
+    """SQL of the normal distribution's two-sided tail, from the series of the error function."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"CASE WHEN abs({z}) > 6 THEN 0 WHEN {z} = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln({x}) - lgamma(k + 1)) / (2 * k + 1))) END"
+
+
+def student(rho: str, n: str) -> str:
+    """SQL of Student's two-sided tail of a rank correlation, from the finite series of whole degrees of freedom."""
+    c = f"(1 - {rho} * {rho})"  # the squared cosine of the angle whose tangent is t / sqrt(degrees)
+    even = f"abs({rho}) * (1 + list_sum(list_transform(range(1, greatest(2, ({n} - 2) // 2)), lambda k: CASE WHEN ({n} - 2) // 2 > 1 THEN exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) + k * ln({c})) ELSE 0 END)))"
+    odd = f"2 / pi() * (asin(abs({rho})) + abs({rho}) * sqrt({c}) * (1 + list_sum(list_transform(range(1, greatest(2, ({n} - 3) // 2)), lambda k: CASE WHEN ({n} - 3) // 2 > 1 THEN exp(2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2) + k * ln({c})) ELSE 0 END))))"
+    return f"CASE WHEN {rho} = 0 THEN 1 ELSE greatest(1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END, 0) END"
+
+
 LEVEL = "CASE WHEN {0} >= 0.8 THEN 'CRITICAL' WHEN {0} >= 0.6 THEN 'HIGH' WHEN {0} >= 0.3 THEN 'MODERATE' ELSE 'LOW' END"
 
 
@@ -163,12 +177,19 @@ def controls_fit(spark, sf):  # noqa: ANN001, ANN201
     return baseline.fit_controls(full(spark, sf), controls).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
 
 
+def _signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of two suppliers in three, made of their nation and balance."""
+    own = load(spark, sf, "supplier").where("s_suppkey % 3 > 0")
+    return own.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample"), (F.col("s_nationkey") % 2).cast("double").alias("community"), (F.col("s_nationkey") / 25).alias("novelty"), (F.greatest("s_acctbal", F.lit(0)) / 5000).cast("double").alias("temporal_z"))
+
+
 @query(f"""WITH {COUNTS}, {DIM}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY contribution DESC, taxon) AS i FROM det),
 g AS (SELECT sample, least(sum(contribution), 1) AS ab, count(*) AS n, CASE WHEN count(*) >= 2 THEN sum(contribution) FILTER (i <= 4) ELSE 0 END AS load, max(risk_weight) FILTER (i = 1) AS w, max(rel) FILTER (i = 1) AS a, max(taxon) FILTER (i = 1) AS top_taxon FROM r GROUP BY 1),
-s AS (SELECT g.*, greatest(CASE WHEN w >= .85 AND a >= .05 THEN .85 WHEN w >= .7 AND a >= .15 THEN .65 WHEN w >= .7 AND a >= .05 THEN .4 WHEN w >= .5 AND a >= .2 THEN .35 ELSE 0 END, CASE WHEN n < 2 THEN 0 WHEN load >= .1 THEN .62 WHEN load >= .04 THEN .38 ELSE 0 END) AS direct FROM g)
-SELECT sample, round(ab, 6) AS abundance_score, round(load, 6) AS load, CAST(direct AS DOUBLE) AS direct, top_taxon, round(greatest(.5 * ab, direct), 6) AS score, {LEVEL.format('greatest(.5 * ab, direct)')} AS level FROM s""")
+sg AS (SELECT 'S' || s_suppkey AS sample, s_nationkey % 2 AS community, s_nationkey / 25.0 AS novelty FROM supplier WHERE s_suppkey % 3 > 0),
+s AS (SELECT g.*, .25 * coalesce(community, 0) + .25 * coalesce(novelty, 0) AS extra, greatest(CASE WHEN w >= .85 AND a >= .05 THEN .85 WHEN w >= .7 AND a >= .15 THEN .65 WHEN w >= .7 AND a >= .05 THEN .4 WHEN w >= .5 AND a >= .2 THEN .35 ELSE 0 END, CASE WHEN n < 2 THEN 0 WHEN load >= .1 THEN .62 WHEN load >= .04 THEN .38 ELSE 0 END) AS direct FROM g LEFT JOIN sg USING (sample))
+SELECT sample, round(ab, 6) AS abundance_score, round(load, 6) AS load, CAST(direct AS DOUBLE) AS direct, top_taxon, round(greatest(.5 * ab + extra, direct), 6) AS score, {LEVEL.format('greatest(.5 * ab + extra, direct)')} AS level FROM s""")
 def score_absolute(spark, sf):  # noqa: ANN001, ANN201
-    out = scoring.score_absolute(rel(spark, sf), dimension(spark, sf))
+    out = scoring.score_absolute(rel(spark, sf), dimension(spark, sf), _signals(spark, sf))
     return out.select("sample", F.round("abundance_score", 6).alias("abundance_score"), F.round("load", 6).alias("load"), "direct", "top_taxon", F.round("score", 6).alias("score"), "level")
 
 
@@ -176,15 +197,17 @@ RELATIVE = f"""{COUNTS}, {DIM}, {BASE}, c AS (SELECT sample, taxon, least(greate
 e AS (SELECT sample, taxon, z / (z + 3) * (.5 + .5 * risk_weight) AS part FROM c), b AS (SELECT sample, max(part) AS elevation, arg_min(taxon, (-part, taxon)) AS driver FROM e GROUP BY 1),
 t AS (SELECT DISTINCT sample FROM rel JOIN dim ON genus = split_part(taxon, ' ', 1) WHERE rel >= .02 + risk_weight / 100),
 q AS (SELECT sample, elevation, driver, CASE WHEN t.sample IS NULL THEN 0 ELSE .85 END AS tripwire FROM b LEFT JOIN t USING (sample)),
-scored AS (SELECT *, greatest(elevation, tripwire) AS score FROM q)"""
+sg AS (SELECT 'S' || s_suppkey AS sample, greatest(s_acctbal, 0) / 5000 AS tz, s_nationkey / 25.0 AS novelty FROM supplier WHERE s_suppkey % 3 > 0),
+u AS (SELECT q.*, .5 * coalesce(tz / (tz + 2), 0) + .5 * coalesce(novelty, 0) AS corroboration FROM q LEFT JOIN sg USING (sample)),
+scored AS (SELECT *, greatest(elevation + (1 - elevation) * .4 * corroboration, tripwire) AS score FROM u)"""
 
 
-@query(f"WITH {RELATIVE} SELECT sample, round(score, 6) AS score, {LEVEL.format('score')} AS level, round(elevation, 6) AS elevation, driver, CAST(tripwire AS DOUBLE) AS tripwire FROM scored")
+@query(f"WITH {RELATIVE} SELECT sample, round(score, 6) AS score, {LEVEL.format('score')} AS level, round(elevation, 6) AS elevation, driver, CAST(tripwire AS DOUBLE) AS tripwire, round(corroboration, 6) AS corroboration FROM scored")
 def score_relative(spark, sf):  # noqa: ANN001, ANN201
     dim = dimension(spark, sf)
     wires = dim.select("genus", (0.02 + F.col("risk_weight") / 100).alias("min_rel"))
-    out = scoring.score_relative(rel(spark, sf), baseline.fit(full(spark, sf)), dim, wires)
-    return out.select("sample", F.round("score", 6).alias("score"), "level", F.round("elevation", 6).alias("elevation"), "driver", "tripwire")
+    out = scoring.score_relative(rel(spark, sf), baseline.fit(full(spark, sf)), dim, wires, _signals(spark, sf))
+    return out.select("sample", F.round("score", 6).alias("score"), "level", F.round("elevation", 6).alias("elevation"), "driver", "tripwire", F.round("corroboration", 6).alias("corroboration"))
 
 
 @query(f"WITH {RELATIVE} SELECT {LEVEL.format('score')} AS level, count(*) AS n FROM scored GROUP BY 1")
@@ -227,16 +250,18 @@ b AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTITI
 z AS (SELECT *, CASE WHEN n < 3 THEN 0 ELSE (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END END AS z FROM b),
 zm AS MATERIALIZED (SELECT * FROM z),
 c AS (SELECT site, i, n, greatest(0, z - .5) AS u, greatest(0, -z - .5) AS d FROM zm WHERE i = 1 UNION ALL SELECT zm.site, zm.i, zm.n, greatest(0, u + z - .5), greatest(0, d - z - .5) FROM c JOIN zm ON zm.site = c.site AND zm.i = c.i + 1)
-SELECT site, t, round(CASE WHEN c.n < 3 THEN 0 ELSE u END, 6) AS cusum_upper, round(CASE WHEN c.n < 3 THEN 0 ELSE d END, 6) AS cusum_lower, CASE WHEN c.n < 3 THEN 0 ELSE u END > 4 AS alert FROM c JOIN zm USING (site, i)""")
+SELECT site, t, round(CASE WHEN c.n < 3 THEN 0 ELSE u END, 6) AS cusum_upper, round(CASE WHEN c.n < 3 THEN 0 ELSE d END, 6) AS cusum_lower, CASE WHEN c.n < 3 THEN 0 ELSE u END > 4 AS alert,
+  CAST(i - coalesce(max(CASE WHEN CASE WHEN c.n < 3 THEN 0 ELSE u END <= 0 THEN i END) OVER (PARTITION BY site ORDER BY i), 0) AS INTEGER) AS streak FROM c JOIN zm USING (site, i)""")
 def cusum_upper_lower(spark, sf):  # noqa: ANN001, ANN201
-    return series.cusum(points(spark, sf, "user_id")).select("site", "t", F.round("cusum_upper", 6).alias("cusum_upper"), F.round("cusum_lower", 6).alias("cusum_lower"), "alert")
+    return series.cusum(points(spark, sf, "user_id")).select("site", "t", F.round("cusum_upper", 6).alias("cusum_upper"), F.round("cusum_lower", 6).alias("cusum_lower"), "alert", "streak")
 
 
 @query(f"""WITH {points_sql('user_id')}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i FROM p), n AS (SELECT site, count(*) AS n FROM i GROUP BY 1),
 s AS (SELECT a.site, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM i a JOIN i b ON a.site = b.site AND a.i < b.i GROUP BY 1)
-SELECT site, n, CAST(CASE WHEN n < 4 THEN 0 ELSE s END AS DOUBLE) AS s, round(CASE WHEN n < 4 THEN 0 ELSE s / (n * (n - 1) / 2) END, 6) AS tau, round(CASE WHEN n < 4 THEN 0 ELSE slope END, 6) AS slope FROM n LEFT JOIN s USING (site)""")
+SELECT site, n, CAST(CASE WHEN n < 4 THEN 0 ELSE s END AS DOUBLE) AS s, round(CASE WHEN n < 4 THEN 0 ELSE s / (n * (n - 1) / 2) END, 6) AS tau, round(CASE WHEN n < 4 THEN 0 ELSE slope END, 6) AS slope,
+  round({two_sided("(CASE WHEN n < 4 THEN 0 ELSE (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) END)")}, 6) AS p_value FROM n LEFT JOIN s USING (site)""")
 def mann_kendall(spark, sf):  # noqa: ANN001, ANN201
-    return series.mann_kendall(points(spark, sf, "user_id")).select("site", "n", "s", F.round("tau", 6).alias("tau"), F.round("slope", 6).alias("slope"))
+    return series.mann_kendall(points(spark, sf, "user_id")).select("site", "n", "s", *[F.round(c, 6).alias(c) for c in ("tau", "slope", "p_value")])
 
 
 @query(f"""WITH RECURSIVE {points_sql()}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i FROM p),
@@ -253,9 +278,21 @@ def history_last_n(spark, sf):  # noqa: ANN001, ANN201
     return series.last_points(points(spark, sf, "user_id"), 10).select("site", "t", F.round("x", 6).alias("x"))
 
 
-@query()
+TRENDS = f"""{points_sql('user_id')}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i FROM p), n AS (SELECT site, count(*) AS n, arg_max(x, i) AS cur FROM i GROUP BY 1),
+s AS (SELECT a.site, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM i a JOIN i b ON a.site = b.site AND a.i < b.i GROUP BY 1),
+mk AS (SELECT n.site, n.n, cur, CASE WHEN n.n < 4 THEN 0 ELSE s / (n.n * (n.n - 1) / 2) END AS tau, CASE WHEN n.n < 4 THEN 0 ELSE slope END AS slope, CASE WHEN n.n < 4 THEN 0 ELSE (s - sign(s)) / sqrt(n.n * (n.n - 1) * (2 * n.n + 5) / 18) END AS z FROM n LEFT JOIN s ON n.site = s.site),
+mp AS (SELECT *, {two_sided('z')} AS p FROM mk),
+hh AS (SELECT a.site, CAST(1 AS BIGINT) AS i, a.x AS level, b.x - a.x AS trend, CAST(NULL AS DOUBLE) AS res FROM i a JOIN i b ON a.site = b.site AND a.i = 1 AND b.i = 2
+UNION ALL SELECT hh.site, i.i, .3 * x + .7 * (level + trend), .1 * (.3 * x + .7 * (level + trend) - level) + .9 * trend, x - (level + .1 * (.3 * x + .7 * (level + trend) - level) + .9 * trend) FROM hh JOIN i ON hh.site = i.site AND i.i = hh.i + 1),
+hl AS (SELECT site, least(greatest(arg_max(level + trend, i), 0), 1) AS f, 1.281551565545 * stddev_pop(res) AS half FROM hh GROUP BY 1),
+tr AS (SELECT mp.*, coalesce(f, least(greatest(cur, 0), 1)) AS f, CASE WHEN f IS NULL THEN .1 ELSE half END AS half, CASE WHEN n < 3 THEN 'insufficient' WHEN p < .05 AND tau >= .3 THEN 'increasing' WHEN p < .05 AND tau <= -.3 THEN 'decreasing' ELSE 'stable' END AS trend FROM mp LEFT JOIN hl ON mp.site = hl.site)"""
+
+
+@query(f"""WITH RECURSIVE {TRENDS}
+SELECT site, n, trend, round(tau, 4) AS tau, round(p, 4) AS p_value, trend <> 'insufficient' AS enough, p < .05 AND abs(tau) >= .3 AND n >= 3 AS is_significant, round(f, 4) AS forecast_next,
+  round(CASE WHEN n < 3 THEN 0 ELSE least(greatest(f - half, 0), 1) END, 4) AS ci_low, round(CASE WHEN n < 3 THEN 1 ELSE least(greatest(f + half, 0), 1) END, 4) AS ci_high FROM tr""")
 def trend_report(spark, sf):  # noqa: ANN001, ANN201
-    return series.trends(points(spark, sf, "user_id"))
+    return series.trends(points(spark, sf, "user_id")).drop("summary", "sens_slope")
 
 
 @query()
@@ -263,6 +300,42 @@ def farrington(spark, sf):  # noqa: ANN001, ANN201
     return series.aberrations(points(spark, sf, "user_id"))
 
 
+SHORT = f"""{points_sql('user_id')}, w AS (SELECT site, t, x * 1.0266940451745 AS x, coalesce(avg(x * 1.0266940451745) OVER b, 0) AS m FROM p WINDOW b AS (PARTITION BY site ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {SHORT} SELECT site, t, round(m, 6) AS expected, round(1.5 * m + 1e-8, 6) AS threshold, 100 * x > 1.5 * 100 * m + 1e-6 AS alarm FROM w")
+def farrington_short_history(spark, sf):  # noqa: ANN001, ANN201
+    return series.aberrations(points(spark, sf, "user_id").withColumn("x", F.col("x") * 1.0266940451745), window=3).select("site", "t", "expected", "threshold", "alarm")
+
+
+@query(f"""WITH {points_sql('user_id')}, i AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t) AS i FROM p)
+SELECT site, t, i <= 500 AS warming, CASE WHEN i <= 500 THEN 'warmup' ELSE 'ok' END AS note FROM i""")
+def farrington_warmup(spark, sf):  # noqa: ANN001, ANN201
+    out = series.aberrations(points(spark, sf, "user_id"), window=None, min_history=500, warmup=True)
+    return out.select("site", "t", F.col("expected").isNull().alias("warming"), "note")
+
+
+@query(f"""WITH RECURSIVE {TRENDS}, nw AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY t DESC) AS j FROM p), sh AS (SELECT site, t, x, row_number() OVER (PARTITION BY site ORDER BY t) AS i, count(*) OVER (PARTITION BY site) AS n FROM nw WHERE j <= 2001),
+rb AS (SELECT site, i, n, x, count(*) OVER b AS k, avg(x) OVER b AS m, stddev_samp(x) OVER b AS sd FROM sh WINDOW b AS (PARTITION BY site ORDER BY i ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)),
+bl AS (SELECT site, x, CASE WHEN k < 2 THEN 0 ELSE (x - m) / (sd + 1e-10) END AS z, x > 1.5 * coalesce(m, 0) + 1e-8 AS fa FROM rb WHERE i = n),
+cb AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTITION BY site) AS m, stddev_samp(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTITION BY site) AS sd FROM sh),
+cz AS (SELECT site, i, n, CASE WHEN n < 3 THEN 0 ELSE (x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END END AS z FROM cb),
+cs AS (SELECT site, i, n, sum(z - .5) OVER (PARTITION BY site ORDER BY i) AS up FROM cz), cu AS (SELECT site, i, n, CASE WHEN n < 3 THEN 0 ELSE up - least(0, min(up) OVER (PARTITION BY site ORDER BY i)) END AS c FROM cs),
+ft AS (SELECT bl.site, bl.z, c, tr.trend, tau, f, fa, list_filter([CASE WHEN bl.z >= 2 THEN 'baseline' END, CASE WHEN c > 4 THEN 'cusum' END, CASE WHEN fa THEN 'farrington' END, CASE WHEN tr.trend = 'increasing' THEN 'trend' END], lambda v: v IS NOT NULL) AS flags FROM bl JOIN cu ON bl.site = cu.site AND cu.i = cu.n JOIN tr ON bl.site = tr.site)
+SELECT CAST(c_custkey AS VARCHAR) AS sample, round(c_acctbal / 10000, 6) AS score, coalesce(round(z, 3), 0) AS z_score, coalesce(z >= 2, false) AS baseline_anomaly, coalesce(round(c, 3), 0) AS cusum, coalesce(c > 4, false) AS cusum_alert, coalesce(fa, false) AS farrington_alarm, coalesce(trend, 'none') AS trend, coalesce(round(tau, 3), 0) AS trend_tau, coalesce(round(f, 4), 0) AS forecast_next, coalesce(array_to_string(flags, ','), '') AS flags,
+  CASE WHEN c_acctbal / 10000 >= .6 THEN 'rule' WHEN len(flags) > 0 THEN 'temporal' ELSE 'none' END AS alert FROM customer LEFT JOIN ft ON ft.site = CAST(c_custkey AS VARCHAR)""")
+def temporal_report(spark, sf):  # noqa: ANN001, ANN201
+    """The report's join: scores of customers, temporal signals of users where there are any, alerts of rules and of signals alone."""
+    score = F.col("c_acctbal") / 10000
+    scores = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sample"), score.cast("double").alias("score"), C.risk_level(score).alias("level"))
+    signals = temporal.temporal_signals(points(spark, sf, "user_id"), window=1000, min_history=2001)
+    report = temporal.with_temporal(scores, signals).join(signals.select(F.col("site").alias("sample"), "flags"), "sample", "left")
+    fired = scoring.alerts(scores.withColumns({"novelty": F.lit(0.0), "cusum_alert": F.lit(False), "z_score": F.lit(0.0)}))
+    merged = temporal.merged_alerts(fired, scores, signals).select("sample", F.when(F.startswith(F.col("reasons")[0], F.lit("temporal")), "temporal").otherwise("rule").alias("alert"))
+    names = {"z_score": 0.0, "baseline_anomaly": False, "cusum": 0.0, "cusum_alert": False, "farrington_alarm": False, "trend": "none", "trend_tau": 0.0, "forecast_next": 0.0}
+    return report.join(merged, "sample", "left").select("sample", F.round("score", 6).alias("score"), *[F.coalesce(F.col(f"temporal.{c}"), F.lit(v)).alias(c) for c, v in names.items()], F.coalesce(F.array_join("flags", ","), F.lit("")).alias("flags"), F.coalesce("alert", F.lit("none")).alias("alert"))
+
+
 @query(f"""WITH {points_sql()}, e AS (SELECT CAST(event_type AS VARCHAR) AS site, strftime(ts, '%Y-%m-%d') AS t, count(*) AS v FROM events GROUP BY 1, 2), m AS (SELECT site, count(*) AS n, corr(x, v) AS r FROM p JOIN e USING (site, t) GROUP BY 1)
 SELECT site, n AS n_matched, round(r, 6) AS r, r >= .5 AS concordant FROM m""")
 def external_validation(spark, sf):  # noqa: ANN001, ANN201
@@ -288,14 +361,27 @@ def bh_adjust(spark, sf):  # noqa: ANN001, ANN201
     return stats.adjusted(tests).select("p_partkey", F.round("p_adj", 8).alias("p_adj"))
 
 
-@query()
+LINKED = f"""{COUNTS}, lk AS (SELECT sample, taxon, (reads + 1) * CASE WHEN length(taxon) % 4 = 0 THEN 1 + CAST(substr(sample, 2) AS BIGINT) % 7 ELSE 1 END AS x FROM grid),
+rk AS (SELECT sample, taxon, rank() OVER (PARTITION BY taxon ORDER BY x) + (count(*) OVER (PARTITION BY taxon, x) - 1) / 2 AS r FROM lk),
+pr AS (SELECT a.taxon AS a, b.taxon AS b, count(*) AS n, corr(a.r, b.r) AS rho FROM rk a JOIN rk b ON a.sample = b.sample AND a.taxon < b.taxon GROUP BY 1, 2),
+pv AS (SELECT *, {student("rho", "n")} AS p FROM pr), o AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS i, count(*) OVER () AS m FROM pv),
+q AS (SELECT *, least(min(p * m / i) OVER (ORDER BY i DESC), 1) AS p_adj FROM o)"""
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts in which some taxa follow one course over the samples."""
+    course = F.when(F.length("taxon") % 4 == 0, 1 + F.substring("sample", 2, 20).cast("long") % 7).otherwise(1)
+    return full(spark, sf).select("sample", "taxon", ((F.col("reads") + 1) * course).alias("x"))
+
+
+@query(f"WITH {LINKED} SELECT a, b, n, round(rho, 6) AS rho, round(p, 6) AS p, round(p_adj, 6) AS p_adj FROM q WHERE p_adj <= .05 AND abs(rho) >= .2")
 def cooccurrence_edges(spark, sf):  # noqa: ANN001, ANN201
-    return stats.cooccurrence(abundance.clr(full(spark, sf)), 0.2, 1.0)
+    return stats.cooccurrence(_linked(spark, sf), 0.2, 0.05, "x").select("a", "b", "n", *[F.round(c, 6).alias(c) for c in ("rho", "p", "p_adj")])
 
 
 @query()
 def sbm_membership(spark, sf):  # noqa: ANN001, ANN201
-    return graph.communities(stats.cooccurrence(abundance.clr(full(spark, sf)), 0.15, 1.0).select("a", "b"), 6, 4)
+    return graph.communities(stats.cooccurrence(_linked(spark, sf), 0.2, 0.05, "x").select("a", "b"), 12, 10)
 
 
 @query(f"WITH {COUNTS} SELECT a.sample AS a, b.sample AS b, round(sum(abs(a.rel - b.rel)) / sum(a.rel + b.rel), 6) AS distance FROM fullrel a JOIN fullrel b ON a.taxon = b.taxon AND a.sample < b.sample GROUP BY 1, 2")
@@ -306,11 +392,14 @@ def bray_curtis_pairs(spark, sf):  # noqa: ANN001, ANN201
 @query(f"""WITH {COUNTS}, g AS (SELECT 'S' || s_suppkey AS sample, s_nationkey % 3 AS label FROM supplier), v AS (SELECT sample, taxon, reads AS x, label FROM grid JOIN g USING (sample)),
 k AS (SELECT taxon, label, x, rank() OVER (PARTITION BY taxon ORDER BY x) + (count(*) OVER (PARTITION BY taxon, x) - 1) / 2 AS r FROM v),
 n AS (SELECT taxon, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY 1), q AS (SELECT taxon, sum(s * s / m) AS q FROM (SELECT taxon, label, sum(r) AS s, count(*) AS m FROM k GROUP BY 1, 2) GROUP BY 1),
-t AS (SELECT taxon, sum(t * t * t - t) AS ties FROM (SELECT taxon, x, count(*) AS t FROM k GROUP BY 1, 2) GROUP BY 1)
-SELECT taxon, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) AS h FROM n JOIN q USING (taxon) JOIN t USING (taxon)""")
+t AS (SELECT taxon, sum(t * t * t - t) AS ties FROM (SELECT taxon, x, count(*) AS t FROM k GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT taxon, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM n JOIN q USING (taxon) JOIN t USING (taxon)),
+p AS (SELECT *, round(exp(-h / 2), 6) AS p_value FROM h), o AS (SELECT *, row_number() OVER (ORDER BY p_value, taxon) AS i, count(*) OVER () AS m FROM p),
+mn AS (SELECT taxon, max(m) / (min(m) + 1e-10) AS fold FROM (SELECT taxon, label, avg(x) AS m FROM k GROUP BY 1, 2) GROUP BY 1)
+SELECT taxon, round(h, 5) AS h, p_value, round(least(min(p_value * m / i) OVER (ORDER BY i DESC), 1), 6) AS p_adj, least(min(p_value * m / i) OVER (ORDER BY i DESC), 1) <= .05 AS significant, round(fold, 6) AS fold_change FROM o JOIN mn USING (taxon)""")
 def kruskal_h(spark, sf):  # noqa: ANN001, ANN201
     groups = load(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample"), (F.col("s_nationkey") % 3).alias("label"))
-    return stats.kruskal(full(spark, sf), groups, "reads").select("taxon", F.round("h", 5).alias("h"))
+    return stats.kruskal(full(spark, sf), groups, "reads").select("taxon", F.round("h", 5).alias("h"), "p_value", F.round("p_adj", 6).alias("p_adj"), "significant", F.round("fold_change", 6).alias("fold_change"))
 
 
 @query()
@@ -326,7 +415,7 @@ def average_linkage_outbreaks(spark, sf):  # noqa: ANN001, ANN201
 
 @query()
 def iforest_novelty(spark, sf):  # noqa: ANN001, ANN201
-    return novelty.cohort_novelty(abundance.clr(full(spark, sf)), trees=50)
+    return novelty.cohort_novelty(abundance.clr(full(spark, sf)))
 
 
 KMERS = """r AS (SELECT source AS sample, doc_id, lower(text) AS s FROM documents), e AS (SELECT sample, doc_id, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM r),
@@ -344,7 +433,13 @@ def kmer_profile(spark, sf):  # noqa: ANN001, ANN201
     return _profiles(spark, sf).select("sample", "kmer", F.round("freq", 8).alias("freq"))
 
 
-@query()
+@query(f"""WITH {KMERS}, m AS (SELECT kmer, sum(freq) / any_value(n) AS mean, sum(freq * freq) / any_value(n) AS sq FROM prof CROSS JOIN (SELECT count(DISTINCT sample) AS n FROM prof) GROUP BY 1),
+s AS (SELECT kmer, mean, sqrt(greatest(sq - mean * mean, 0)) AS sd FROM m), fl AS (SELECT greatest(quantile_cont(sd, .5), 1e-9) AS f FROM s WHERE sd > 0), kp AS (SELECT kmer, mean, sd FROM s, fl WHERE sd > f),
+z AS (SELECT a.sample, kp.kmer, least(greatest((coalesce(freq, 0) - mean) / sd, -8), 8) AS z FROM (SELECT DISTINCT sample FROM prof) a CROSS JOIN kp LEFT JOIN prof p ON p.sample = a.sample AND p.kmer = kp.kmer),
+d AS (SELECT x.sample, y.sample AS other, sqrt(sum((x.z - y.z) * (x.z - y.z))) AS d FROM z x JOIN z y ON x.kmer = y.kmer AND x.sample <> y.sample GROUP BY 1, 2),
+nn AS (SELECT sample, avg(d) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY d, other) AS i FROM d) WHERE i <= 5 GROUP BY 1),
+cal AS (SELECT median(distance) AS md, 3 * 1.4826 * mad(distance) + 1e-9 AS sc FROM nn)
+SELECT sample, round(least(greatest((distance - md) / (sc + 1e-9), 0), 1), 4) AS novelty FROM nn, cal""")
 def kmer_knn_novelty(spark, sf):  # noqa: ANN001, ANN201
     return novelty.kmer_novelty(_profiles(spark, sf))
 
@@ -486,6 +581,76 @@ def stream_watch_available_now(spark, sf):  # noqa: ANN001, ANN201
     return spark.table(name).select("site", F.date_format("t", "yyyy-MM-dd").alias("t"), F.round("x", 6).alias("x"), "n")
 
 
+@query("SELECT array_to_string(list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda i: substr('ACGT', i + 1, 1)), '') AS kmer, CAST(k AS INTEGER) AS index FROM (SELECT unnest(range(0, 256)) AS k)")
+def kmer_vocabulary(spark, sf):  # noqa: ANN001, ANN201
+    return novelty.kmer_vocabulary(spark, 4)
+
+
+@query("SELECT doc_id, least(n_chars / 4000.0, 1) AS novelty, n_chars / 40000.0 > .05 AS is_novel FROM documents")
+def embedding_novelty(spark, sf):  # noqa: ANN001, ANN201
+    losses = load(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 40000.0).alias("loss"))
+    return novelty.embedding_novelty(losses).select("doc_id", F.round("novelty", 12).alias("novelty"), "is_novel")
+
+
+@query(f"""WITH {COUNTS}, {BASE}, b AS (SELECT taxon FROM base WHERE median > .005), pr AS (SELECT sample, taxon, ln(rel + 1e-6) AS l, rel FROM rel WHERE rel > 0), u AS (SELECT sample, sum(l) AS s, count(*) AS m, count(*) FILTER (taxon IN (SELECT taxon FROM b)) AS h FROM pr GROUP BY 1)
+SELECT sample, taxon, round(l - (s + ((SELECT count(*) FROM b) - h) * ln(1e-6)) / (m + (SELECT count(*) FROM b) - h), 6) AS clr FROM pr JOIN u USING (sample)""")
+def clr_sample(spark, sf):  # noqa: ANN001, ANN201
+    base = baseline.fit(full(spark, sf)).where("median > 0.005")
+    return baseline.sample_log_ratios(rel(spark, sf), base).select("sample", "taxon", F.round("clr", 6).alias("clr"))
+
+
+@query(f"""WITH {COUNTS}, g AS (SELECT 'S' || s_suppkey AS sample, s_nationkey % 3 AS label FROM supplier), m AS (SELECT taxon, label, round(avg(rel), 6) AS m FROM fullrel JOIN g USING (sample) GROUP BY 1, 2)
+SELECT taxon, array_to_string(list(label || ':' || CAST(CAST(round(m * 1e6) AS BIGINT) AS VARCHAR) ORDER BY label), ',') AS means, round(max(m) / (min(m) + 1e-10), 6) AS fold_change FROM m GROUP BY 1""")
+def cluster_profiles(spark, sf):  # noqa: ANN001, ANN201
+    groups = load(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample"), (F.col("s_nationkey") % 3).alias("label"))
+    out = stats.cluster_profiles(full(spark, sf), groups)
+    means = F.array_join(F.transform(F.map_entries("cluster_means"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.round(e["value"] * 1e6).cast("long").cast("string"))), ",")
+    return out.select("taxon", means.alias("means"), F.round("fold_change", 6).alias("fold_change"))
+
+
+@query("""WITH a AS (SELECT vec_id AS sample, vec_id % 100 / 100.0 AS x, vec_id % 37 / 37.0 AS y FROM embeddings)
+SELECT sample, round(greatest(x, CASE WHEN sample % 2 = 0 THEN y ELSE 0 END), 9) AS novelty FROM a""")
+def novelty_fusion(spark, sf):  # noqa: ANN001, ANN201
+    base = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"))
+    cohort, more = base.withColumn("novelty", F.col("sample") % 100 / 100), base.where("sample % 2 = 0").withColumn("novelty", F.col("sample") % 37 / 37)
+    return novelty.fused_novelty(cohort, more).select("sample", F.round("novelty", 9).alias("novelty"))
+
+
+@query("""WITH g AS (SELECT c_custkey, c_acctbal / 500.0 AS e, c_nationkey / 25.0 AS w, CASE WHEN c_custkey % 9 = 0 THEN .85 ELSE 0 END AS t, c_acctbal > 3000 AS label FROM customer WHERE c_acctbal >= 0), k AS (SELECT unnest([.75, 1, 1.25, 1.5, 2, 2.5, 3]) AS k),
+s AS (SELECT k, label, greatest(e / (e + k) * (.5 + .5 * w), t) AS score FROM g, k), c AS (SELECT k, count(*) FILTER (score >= .6 AND label) AS tp, count(*) FILTER (score >= .6 AND NOT label) AS fp, count(*) FILTER (score < .6 AND NOT label) AS tn, count(*) FILTER (score < .6 AND label) AS fn FROM s GROUP BY 1)
+SELECT CAST(k AS DOUBLE) AS k, tp, fp, tn, fn, round(tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE) - 1, 6) AS youden FROM c""")
+def squash_calibration(spark, sf):  # noqa: ANN001, ANN201
+    from tidewatch.synth import calibrate_squash
+
+    own = load(spark, sf, "customer").where("c_acctbal >= 0")
+    rows = own.select((F.col("c_acctbal") / 500.0).cast("double").alias("exceedance"), (F.col("c_nationkey") / 25.0).cast("double").alias("risk_weight"), F.when(F.col("c_custkey") % 9 == 0, 0.85).otherwise(0.0).alias("tripwire"), (F.col("c_acctbal") > 3000).alias("label"))
+    return calibrate_squash(spark, rows).select("k", "tp", "fp", "tn", "fn", F.round("youden", 6).alias("youden"))
+
+
+@query(f"""WITH {points_sql()}, s AS (SELECT site || t AS sample, x AS score, CAST(t AS DATE) AS date FROM p WHERE site = 'view'), i AS (SELECT *, row_number() OVER (ORDER BY date, sample) AS i, count(*) OVER () AS n FROM s),
+b AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN score END) OVER () AS m, stddev_samp(CASE WHEN i <= greatest(2, n // 2) THEN score END) OVER () AS sd FROM i),
+u AS (SELECT *, sum((score - m) / sd - .5) OVER (ORDER BY i) AS up FROM b)
+SELECT sample, strftime(date, '%Y-%m-%d') AS date, i - 1 AS run_index, round(up - least(0, min(up) OVER (ORDER BY i)), 6) AS cusum FROM u""")
+def chronological_cusum(spark, sf):  # noqa: ANN001, ANN201
+    own = points(spark, sf).where("site = 'view'").select(F.concat("site", "t").alias("sample"), F.col("x").alias("score"), F.to_date("t").alias("date"))
+    out = temporal.chronological(own.select("sample", "score"), own.select("sample", "date"))
+    return out.select("sample", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("run_index").cast("long").alias("run_index"), F.round("cusum", 6).alias("cusum"))
+
+
+@query()
+def benchmark_comparison(spark, sf):  # noqa: ANN001, ANN201
+    from tidewatch.synth import multi_seed
+
+    return multi_seed(spark, seeds=3)
+
+
+@query()
+def abundance_sweep(spark, sf):  # noqa: ANN001, ANN201
+    from tidewatch.synth import abundance_sweep
+
+    return abundance_sweep(spark)
+
+
 @query()
 def synthetic_benchmark(spark, sf):  # noqa: ANN001, ANN201
     from tidewatch.synth import benchmark

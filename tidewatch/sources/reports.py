@@ -203,3 +203,15 @@ def newest_runs(accessions: DataFrame, prefix: str, model: str, n: int) -> DataF
 
     own = accessions.where(F.startswith("sample_name", F.lit(prefix)) & (F.col("model") == model))
     return own.withColumn("date", sample_date(F.col("sample_name"))).orderBy(F.desc("date"), F.desc("sample_name")).limit(n).orderBy("date", "sample_name")
+
+
+def sample_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, attributes) of XML files of sample records: a map of attribute names to values for each record with an accession."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<SAMPLE\b.*?</SAMPLE>|<BioSample\b.*?</BioSample>)"), F.lit(1))).alias("x"))
+    tags = F.regexp_extract_all("x", F.lit(r"(?s)<TAG>(.*?)</TAG>"), F.lit(1))
+    values = F.regexp_extract_all("x", F.lit(r"(?s)<VALUE>(.*?)</VALUE>"), F.lit(1))
+    named = F.regexp_extract_all("x", F.lit(r'(?s)<Attribute\b[^>]*attribute_name="([^"]*)"[^>]*>.*?</Attribute>'), F.lit(1))
+    named_values = F.regexp_extract_all("x", F.lit(r"(?s)<Attribute\b[^>]*>(.*?)</Attribute>"), F.lit(1))
+    pairs = F.arrays_zip(F.concat(tags, named).alias("k"), F.concat(values, named_values).alias("v"))
+    kept = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(p["k"]).alias("key"), F.trim(p["v"]).alias("value"))), lambda p: p["key"] != "")
+    return text.select(F.regexp_extract("x", r'accession="([^"]+)"', 1).alias("accession"), F.map_from_entries(F.aggregate(kept, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.when(F.exists(a, lambda q: q["key"] == p["key"]), a).otherwise(F.array_append(a, p)))).alias("attributes")).where("accession <> ''")
