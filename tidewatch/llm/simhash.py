@@ -233,7 +233,7 @@ def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, si
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Shingles in common, of nodes of one hub."""
         shared = np.zeros(len(a), np.int64)
-        edge = np.searchsorted(np.cumsum(many[a]), np.arange(0, many[a].sum(), 1 << 22)[1:])
+        edge = np.searchsorted(np.cumsum(many[a]), np.arange(0, many[a].sum(), 1 << 19)[1:])
         for part in np.split(np.arange(len(a)), edge):
             n = many[a[part]]
             pair = np.repeat(np.arange(len(part)), n)

@@ -179,7 +179,7 @@ FOUND = "g long, f long, first long, last long"
 PLACE = ["k", "t", "p", "a", "b"]
 
 
-def _counted(every: DataFrame, rows: int = 500_000) -> DataFrame:
+def _counted(every: DataFrame, rows: int = 200_000) -> DataFrame:
     """(g, f, n, o, q) of anchors, added up within a task before they are exchanged; o and q are two occurrences, if there are two."""
     place = every.select(*PLACE).schema
     schema = T.StructType([*every.select("g", "f").schema, T.StructField("n", T.LongType()), T.StructField("o", place), T.StructField("q", place)])
