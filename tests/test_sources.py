@@ -69,11 +69,13 @@ def test_history_and_analysis(spark, tmp_path):
     assert history.run_count() == 0
     from datetime import date, datetime
 
+    ids = []
     for day in range(1, 4):
         out = analyse(spark, counts, Config(trees=10, with_network=day == 3, scorer="absolute"))
         scores = out["scores"].select("sample", "score", "level").withColumnsRenamed({"sample": "site", "score": "risk_score", "level": "risk_level"})
         rel = out["rel"].selectExpr("sample site", "taxon", "rel rel_abund")
-        assert history.record({"run_date": date(2026, 1, day), "run_ts": datetime(2026, 1, 5 - day)}, scores, rel) == day
+        ids.append(history.record({"run_date": date(2026, 1, day), "run_ts": datetime(2026, 1, 5 - day)}, scores, rel))
+    assert ids == sorted(set(ids))
     assert history.run_count() == 3 and history.sites().count() == 8
     assert History(spark, str(tmp_path / "h"), "other").run_count() == 0
     line = history.series(site="WW_site_01", last=2)
@@ -84,6 +86,12 @@ def test_history_and_analysis(spark, tmp_path):
     document = outputs.report_document(outputs.report_rows(full["scores"], full["detected"], full["resistance"]), {"run": 1}).first()["json"]
     assert '"Vibrio"' in document and '"summary"' in document
     assert outputs.csv_rows(outputs.report_rows(full["scores"], full["detected"], full["resistance"])).where("top_pathogen = 'Vibrio'").count() == 8
+    assert outputs.csv_rows(full["report"]).columns == list(outputs.EXPORT)
+    rows = {r["sample"]: r for r in full["report"].collect()}
+    assert all(r["temporal"]["cusum"] is not None and r["temporal"]["trend"] for r in rows.values())
+    assert full["alerts"].count() == 8 and set(full["external"].columns if "external" in full else []) == set()
+    none = analyse(spark, counts, Config(trees=10, with_network=False, scorer="absolute"))
+    assert none["report"].first()["temporal"]["cusum"] is None
 
 
 def test_manifest_tells_tampering(spark, folder):

@@ -322,7 +322,7 @@ cb AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN x END) OVER (PARTIT
 cz AS (SELECT site, i, n, CASE WHEN n < 3 THEN 0 ELSE (x - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END END AS z FROM cb),
 cs AS (SELECT site, i, n, sum(z - .5) OVER (PARTITION BY site ORDER BY i) AS up FROM cz), cu AS (SELECT site, i, n, CASE WHEN n < 3 THEN 0 ELSE up - least(0, min(up) OVER (PARTITION BY site ORDER BY i)) END AS c FROM cs),
 ft AS (SELECT bl.site, bl.z, c, tr.trend, tau, f, fa, list_filter([CASE WHEN bl.z >= 2 THEN 'baseline' END, CASE WHEN c > 4 THEN 'cusum' END, CASE WHEN fa THEN 'farrington' END, CASE WHEN tr.trend = 'increasing' THEN 'trend' END], lambda v: v IS NOT NULL) AS flags FROM bl JOIN cu ON bl.site = cu.site AND cu.i = cu.n JOIN tr ON bl.site = tr.site)
-SELECT CAST(c_custkey AS VARCHAR) AS sample, round(c_acctbal / 10000, 6) AS score, coalesce(round(z, 3), 0) AS z_score, coalesce(z >= 2, false) AS baseline_anomaly, coalesce(round(c, 3), 0) AS cusum, coalesce(c > 4, false) AS cusum_alert, coalesce(fa, false) AS farrington_alarm, coalesce(trend, 'none') AS trend, coalesce(round(tau, 3), 0) AS trend_tau, coalesce(round(f, 4), 0) AS forecast_next, coalesce(array_to_string(flags, ','), '') AS flags,
+SELECT CAST(c_custkey AS VARCHAR) AS sample, round(c_acctbal / 10000, 6) AS score, coalesce(round(z, 3), 0) AS z_score, coalesce(z >= 2, false) AS baseline_anomaly, coalesce(round(c, 3), 0) AS cusum, coalesce(c > 4, false) AS cusum_alert, coalesce(fa, false) AS farrington_alarm, coalesce(trend, 'none') AS trend, coalesce(round(f, 4), 0) AS forecast_next, coalesce(array_to_string(flags, ','), '') AS flags,
   CASE WHEN c_acctbal / 10000 >= .6 THEN 'rule' WHEN len(flags) > 0 THEN 'temporal' ELSE 'none' END AS alert FROM customer LEFT JOIN ft ON ft.site = CAST(c_custkey AS VARCHAR)""")
 def temporal_report(spark, sf):  # noqa: ANN001, ANN201
     """The report's join: scores of customers, temporal signals of users where there are any, alerts of rules and of signals alone."""
@@ -332,7 +332,7 @@ def temporal_report(spark, sf):  # noqa: ANN001, ANN201
     report = temporal.with_temporal(scores, signals).join(signals.select(F.col("site").alias("sample"), "flags"), "sample", "left")
     fired = scoring.alerts(scores.withColumns({"novelty": F.lit(0.0), "cusum_alert": F.lit(False), "z_score": F.lit(0.0)}))
     merged = temporal.merged_alerts(fired, scores, signals).select("sample", F.when(F.startswith(F.col("reasons")[0], F.lit("temporal")), "temporal").otherwise("rule").alias("alert"))
-    names = {"z_score": 0.0, "baseline_anomaly": False, "cusum": 0.0, "cusum_alert": False, "farrington_alarm": False, "trend": "none", "trend_tau": 0.0, "forecast_next": 0.0}
+    names = {"z_score": 0.0, "baseline_anomaly": False, "cusum": 0.0, "cusum_alert": False, "farrington_alarm": False, "trend": "none", "forecast_next": 0.0}
     return report.join(merged, "sample", "left").select("sample", F.round("score", 6).alias("score"), *[F.coalesce(F.col(f"temporal.{c}"), F.lit(v)).alias(c) for c, v in names.items()], F.coalesce(F.array_join("flags", ","), F.lit("")).alias("flags"), F.coalesce("alert", F.lit("none")).alias("alert"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import abundance, baseline, cluster, graph, novelty, scoring, series, stats, temporal
 from tidewatch.operators.history import History
+from tidewatch.operators.tables import cut
 from tidewatch.sinks import outputs
 from tidewatch.sources import dims
 
@@ -72,14 +73,14 @@ class Config:
 
 def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None, history: History | None = None, controls: DataFrame | None = None, prior: DataFrame | None = None, frozen: DataFrame | None = None, reads: DataFrame | None = None, external: DataFrame | None = None) -> dict[str, DataFrame | str]:
     """Scores, detections, network, communities, clusters and what differs between them, outbreaks, annotations, temporal signals, report
-    rows and alerts of counts (sample, taxon, reads). Each is a lazy DataFrame; a sample's name is its site in the history.
+    rows and alerts of counts (sample, taxon, reads). Each is a DataFrame; what several of them need is written once. A sample's name is its site in the history.
 
     frozen: a saved baseline, which comes before controls, history and the prior. reads: k-mer novelty of samples joins the cohort's by the
     larger. external: an outside signal (site, t as a date, value)."""
     config = config or Config()
-    kept = abundance.filter_taxa(counts, config.min_prevalence, config.min_total_reads, config.rank_bump)
-    rel = abundance.normalized(kept)
-    full = abundance.normalized(abundance.dense(kept))
+    kept = cut(abundance.filter_taxa(counts, config.min_prevalence, config.min_total_reads, config.rank_bump))
+    rel = cut(abundance.normalized(kept))
+    full = cut(abundance.normalized(abundance.dense(kept)))
     ratio = abundance.clr(full)
     pathogens, tripwires = dims.pathogens(spark), dims.tripwires(spark)
     out: dict[str, DataFrame | str] = {"config": str(asdict(config)), "rel": rel}
@@ -87,12 +88,12 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
     if reads is not None:
         signals = novelty.fused_novelty(signals, novelty.kmer_novelty(novelty.kmer_profiles(reads)))
     if config.with_network:
-        edges = stats.cooccurrence(ratio, config.rho_threshold, config.alpha)
-        members = graph.communities(edges, config.max_k, config.starts)
+        edges = cut(stats.cooccurrence(ratio, config.rho_threshold, config.alpha))
+        members = cut(graph.communities(edges, config.max_k, config.starts))
         flagged = scoring.pathogen_communities(members, pathogens)
         signals = signals.join(scoring.community_signal(rel, members, flagged), "sample", "left")
         out |= {"edges": edges, "communities": members}
-    out["signals"] = signals
+    out["signals"] = signals = cut(signals)
     if config.scorer == "relative":
         known = full.select("taxon").distinct().join(F.broadcast(pathogens), abundance.genus("taxon") == F.col("genus")).select("taxon")
         past = history.abundance_columns() if history else None
@@ -103,11 +104,12 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
         absolute = scoring.score_absolute(rel, pathogens, signals)
         again = baseline.recalibrated(absolute)
         out["scores"] = again.withColumn("level", scoring.risk_level(F.col("score")))
-    out["scores"] = out["scores"].orderBy(F.desc("score"), "sample")
-    found = scoring.detected(rel, pathogens)
+    scores = cut(out["scores"])
+    out["scores"] = scores.orderBy(F.desc("score"), "sample")
+    found = cut(scoring.detected(rel, pathogens))
     distances = stats.bray_curtis(full)
-    alarming = out["scores"].where(F.col("level").isin("HIGH", "CRITICAL")).select("sample")
-    clusters = cluster.ward_clusters(ratio)
+    alarming = scores.where(F.col("level").isin("HIGH", "CRITICAL")).select("sample")
+    clusters = cut(cluster.ward_clusters(ratio))
     out |= {
         "detected": found,
         "resistance": scoring.annotate_resistance(found, dims.resistance(spark)).orderBy("sample", F.desc("amr_score"), "genus"),
@@ -116,18 +118,18 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
         "differential": stats.kruskal(full, clusters.select("sample", "label"), alpha=config.alpha).orderBy("p_adj", "taxon"),
         "outbreaks": cluster.outbreak_clusters(distances, alarming, config.outbreak_distance),
     }
-    reported = out["scores"].join(signals.drop(*[c for c in signals.columns if c != "sample" and c in out["scores"].columns]), "sample", "left")
+    reported = scores.join(signals.drop(*[c for c in signals.columns if c != "sample" and c in scores.columns]), "sample", "left")
     if history:
-        now = out["scores"].select(F.col("sample").alias("site"), F.struct(F.to_date(F.lit(config.run_date or dt.date.today().isoformat())).alias("run_date"), F.current_timestamp().alias("run_ts"), F.lit((1 << 63) - 1).cast("long").alias("run_id")).alias("t"), F.col("score").alias("x"))
-        line = history.series(last=2 * config.temporal_window).unionByName(now)
-        out["temporal"] = temporal.temporal_signals(line, config.temporal_window, config.cusum_k, config.cusum_h).join(now.select("site"), "site", "left_semi")
+        now = scores.select(F.col("sample").alias("site"), F.struct(F.to_date(F.lit(config.run_date or dt.date.today().isoformat())).alias("run_date"), F.current_timestamp().alias("run_ts"), F.lit((1 << 63) - 1).cast("long").alias("run_id")).alias("t"), F.col("score").alias("x"))
+        line = cut(history.series(last=2 * config.temporal_window).unionByName(now))
+        out["temporal"] = cut(temporal.temporal_signals(line, config.temporal_window, config.cusum_k, config.cusum_h).join(now.select("site"), "site", "left_semi"))
         out |= {"rolling": series.latest(series.rolling_baseline(line, config.temporal_window)), "cusum": series.latest(series.cusum(line, config.cusum_k, config.cusum_h)), "trends": series.trends(line)}
         if external is not None:
             out["external"] = series.validate_external(line.select("site", F.col("t.run_date").alias("t"), "x"), external)
-    out["report"] = temporal.with_temporal(outputs.report_rows(reported, found, out["resistance"], lineages=out["lineages"]), out.get("temporal"))
+    out["report"] = cut(temporal.with_temporal(outputs.report_rows(reported, found, out["resistance"], lineages=out["lineages"]), out.get("temporal"))).orderBy(F.desc("score"), "sample")
     flat = out["report"].select("sample", "level", "score", *([F.col("novelty")] if "novelty" in reported.columns else [F.lit(0.0).alias("novelty")]), F.lit(False).alias("cusum_alert"), F.lit(0.0).alias("z_score"))
     fired = scoring.alerts(flat, min_score=config.min_score)
-    out["alerts"] = temporal.merged_alerts(fired, out["scores"], out["temporal"]) if history else fired.select("sample", "level", "score", "reasons")
+    out["alerts"] = temporal.merged_alerts(fired, scores, out["temporal"]) if history else fired.select("sample", "level", "score", "reasons")
     return out
 
 
