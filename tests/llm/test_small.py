@@ -425,7 +425,7 @@ def test_language(spark, docs, nothing, rows):
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)
-    ids = np.sort(rng.integers(0, 6, (3, 16)), 1)[:, ::-1].copy()
+    ids = np.sort(rng.integers(0, 6, (3, toxicity.WINDOW)), 1)[:, ::-1].copy()
     x = (rng.standard_normal((5, toxicity.FIXED + toxicity.WORD_DIM + toxicity.CHAR_DIM)) * 0.5).astype(np.float32)
     weights = np.array([1, -2, 0.5], np.float32)
     value = lambda: float((net.run(ids, {s: net.gates(x, s) for s in "fb"}) * weights).sum())
@@ -443,6 +443,37 @@ def test_toxicity_gradients():
         assert (up - down) / 2e-2 == pytest.approx(float(grads[k][at]), rel=0.02, abs=1e-4)
 
 
+def naive_logit(net, x):
+    """One window's logit, word by word; x: the words' input vectors, at least one (or none: a window of padding)."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((max(len(x), 1), 2 * h))
+    for k, side in enumerate("fb"):
+        s = np.zeros(h)
+        for t in range(len(x)) if side == "f" else reversed(range(len(x))):
+            g, u = x[t] @ p[f"x{side}"] + p[f"b{side}"], p[f"u{side}"]
+            z, r = sig(g[:h] + s @ u[:, :h]), sig(g[h : 2 * h] + s @ u[:, h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(g[2 * h :] + r * (s @ u[:, 2 * h :]))
+            states[t, k * h : (k + 1) * h] = s
+    a = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+    return float(a / a.sum() @ states @ p["out"] + p["out_b"][0])
+
+
+def test_toxicity_scores_every_window(rows):
+    rng = np.random.default_rng(15)
+    texts = [r[1] for r in rows if r[1] is None or len(r[1]) < 1500]
+    net = toxicity.train(texts[:40], rng.integers(0, 2, 40), 0.3, rounds=2, steps=20)
+    got = toxicity.Scorer(net)(texts)
+    for t, g in zip(texts, got, strict=True):
+        x = net.embed(*net.inputs(toxicity.word_list(t))).astype(float)
+        want = max(naive_logit(net, x[i : i + toxicity.WINDOW]) for i in range(max(1, len(x) - toxicity.WINDOW + 1)))
+        assert g == pytest.approx(want, abs=2e-3)
+    assert toxicity.Scorer(net)(["", None, "one two"]).shape == (3,) and len(toxicity.Scorer(net)([])) == 0
+    long = " ".join(rng.choice(WORDS, 45_000))
+    words = long.split()
+    assert toxicity.Scorer(net)([long])[0] == pytest.approx(max(toxicity.Scorer(net)([" ".join(words[i : i + 5010]) for i in range(0, 45_000, 5000)])), abs=1e-4)
+
+
 def test_toxicity(spark, docs, nothing, rows):
     rng = np.random.default_rng(9)
     text = lambda bad: " ".join([*rng.choice(WORDS, rng.integers(20, 120)), *(["grimble" + rng.choice(["a", "ox", "ing"])] if bad else []), *rng.choice(WORDS, 20)])
@@ -455,6 +486,10 @@ def test_toxicity(spark, docs, nothing, rows):
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert toxicity.score_toxicity(docs, net).count() == len(rows)
     assert toxicity.score_toxicity(nothing, net).count() == 0
+    few = toxicity.fit_toxicity(every, labels, most_bytes=20_000)
+    assert np.isfinite(few.p["out_b"]).all()
+    clash = every.withColumn("score", F.lit("x")).withColumn("predicted", F.lit(7)).withColumn("key", F.lit(1))
+    assert toxicity.score_toxicity(clash, net).where("score between 0 and 1").count() == every.count()
     blank = toxicity.fit_toxicity(nothing, labels.where("false"))
     assert toxicity.score_toxicity(docs, blank).where("score is null").count() == 0
 

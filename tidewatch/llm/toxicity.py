@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from .common import SliceHash, held_out, table
 
-WINDOW, STRIDE = 16, 8
+WINDOW = 5  # words; a window begins at every word
+FOLDS = 4  # of the training documents, for their log-odds
 HIDDEN, ATTENTION, WORD_DIM, CHAR_DIM, FIXED = 8, 4, 4, 4, 3
 TABLE = 1 << 16
 WORD_ROWS, CHAR_ROWS = 4096, 8192
@@ -131,6 +132,42 @@ class Network:
             keep.append((states, e, a, pooled))
         return pooled @ self.p["out"] + self.p["out_b"][0]
 
+    def slide(self, words: np.ndarray, gates: dict[str, list[np.ndarray]]) -> np.ndarray:
+        """run() of the windows that begin at every word of a row of words: their steps are stretches of the same gate inputs, and the first
+        step, from the empty state, is made once a word."""
+        n, h, half = len(words) - WINDOW + 1, HIDDEN, np.float32(0.5)
+        if n < 1:
+            return np.zeros(0, np.float32)
+        states = np.empty((WINDOW, n, 2 * h), np.float32)
+        for k, side in enumerate("fb"):
+            u = self.p[f"u{side}"]
+            uz, ur, un = u[:, :h] * half, u[:, h : 2 * h] * half, np.ascontiguousarray(u[:, 2 * h :])
+            gz, gr, gn = (g[words] for g in gates[side])
+            begin = np.tanh(gn) * (half - half * np.tanh(gz))
+            order = range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)
+            s = begin[order[0] : order[0] + n]
+            states[order[0], :, k * h : (k + 1) * h] = s
+            for t in order[1:]:
+                z, r = gz[t : t + n] + s @ uz, gr[t : t + n] + s @ ur
+                for gate in (z, r):
+                    np.tanh(gate, out=gate)
+                    gate *= half
+                    gate += half
+                r *= s @ un
+                r += gn[t : t + n]
+                np.tanh(r, out=r)
+                new = s - r
+                new *= z
+                new += r
+                s = new
+                states[t, :, k * h : (k + 1) * h] = s
+        e = states.reshape(-1, 2 * h) @ self.p["att"]
+        e += self.p["att_b"]
+        a = np.tanh(e, out=e).reshape(WINDOW, n, -1) @ self.p["att_v"]
+        a = np.exp(a - a.max(0))
+        a /= a.sum(0)
+        return np.einsum("tn,tn->n", a, states @ self.p["out"]) + self.p["out_b"][0]
+
     def grads(self, ids: np.ndarray, x: np.ndarray, d_logit: np.ndarray, keep: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters, and of x, for those of the logits."""
         p, h = self.p, HIDDEN
@@ -169,17 +206,36 @@ class Network:
         return out, d_x
 
 
-def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All overlapping windows of each document's word rows (one window of padding, if it has none), and where they begin."""
-    out, begin, n = [], [], 0
-    for r in rows:
-        k = max(1, -(-(len(r) - (WINDOW - STRIDE)) // STRIDE))
-        wide = np.zeros((k - 1) * STRIDE + WINDOW, np.int64)
-        wide[: len(r)] = r
-        out.append(np.lib.stride_tricks.sliding_window_view(wide, WINDOW)[::STRIDE])
-        begin.append(n)
-        n += k
-    return np.concatenate(out), np.array(begin)
+def joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' word rows one after the other, each padded by zeros to a window at least; where each begins, and how many windows it has."""
+    sizes = np.array([max(len(r), WINDOW) for r in rows], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.int64)
+    for r, b in zip(rows, begin, strict=True):
+        out[b : b + len(r)] = r
+    return out, begin, sizes - WINDOW + 1
+
+
+def largest(net: Network, gates: dict[str, list[np.ndarray]], rows: list[np.ndarray], step: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: the largest logit of its overlapping windows (one begins at every word), where that window begins in the joined words; and these words.
+
+    Windows without padding are read off the joined words, all that begin in a stretch at once; windows that lie over two documents
+    are made, and left out. A document shorter than a window is its own, padded."""
+    words, begin, count = joined(rows)
+    logit = np.full(len(words), -np.inf, np.float32)
+    for i in range(0, len(words) - WINDOW + 1, step):
+        logit[i : i + min(step, len(words) - WINDOW + 1 - i)] = net.slide(words[i : i + step + WINDOW - 1], gates)
+    short = np.array([i for i, r in enumerate(rows) if len(r) < WINDOW], np.int64)
+    for i in range(0, len(short), 4096):
+        at = begin[short[i : i + 4096]]
+        logit[at] = net.run(words[at[:, None] + np.arange(WINDOW)], gates)
+    inside = np.zeros(len(words), bool)
+    inside[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())] = True
+    logit = np.where(inside, logit, -np.inf)
+    best = np.maximum.reduceat(logit, begin)
+    where = np.flatnonzero(logit == np.repeat(best, count + WINDOW - 1))
+    owner = np.searchsorted(begin, where, "right") - 1
+    return best, where[np.unique(owner, return_index=True)[1]], words
 
 
 class Scorer:
@@ -207,32 +263,33 @@ class Scorer:
         find = self.index.__getitem__
         return [np.fromiter(map(find, ws), np.int64, len(ws)) for ws in lists]
 
-    def window_logits(self, ids: np.ndarray, step: int = 4096) -> np.ndarray:
-        """Windows without padding are run apart, as they need no masks."""
-        out = np.empty(len(ids), np.float32)
-        whole = ids[:, -1] > 0
-        for part in (np.flatnonzero(whole), np.flatnonzero(~whole)):
-            for i in range(0, len(part), step):
-                out[part[i : i + step]] = self.net.run(ids[part[i : i + step]], self.gates)
-        return out
-
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        ids, begin = windows(self.rows(texts))
-        return np.maximum.reduceat(self.window_logits(ids), begin).astype(np.float64)
-
-
-def _log_odds(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each bucket: log of the share of toxic documents with it over that of the others, drawn to 0 where rare."""
-    n = [np.zeros(TABLE), np.zeros(TABLE)]
-    for h, k in zip(hashes, y, strict=True):
-        n[k] += np.bincount(np.unique(h % np.uint64(TABLE)).astype(np.int64), minlength=TABLE) > 0
-    total = [max(1, (y == 0).sum()), max(1, (y == 1).sum())]
-    return np.log((n[1] / total[1] + 4 / sum(total)) / (n[0] / total[0] + 4 / sum(total))).astype(np.float32)
-
-
-def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, rounds: int = 4, steps: int = 160, batch: int = 64, rate: float = 0.02) -> Network:
+        if not len(texts):
+            return np.zeros(0)
+        return largest(self.net, self.gates, self.rows(texts))[0].astype(np.float64)
+
+
+def _log_odds(hashes: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+    """Of each bucket: log of the share of toxic documents with it over that of the others, drawn to 0 where rare; by the documents
+    of all other folds for each fold, and last by all."""
+    seen = np.zeros((FOLDS, 2, TABLE))
+    size = np.zeros((FOLDS, 2))
+    for h, k, f in zip(hashes, y, fold, strict=True):
+        seen[f, k, np.unique(h % np.uint64(TABLE)).astype(np.int64)] += 1
+        size[f, k] += 1
+    out = []
+    for f in range(FOLDS + 1):
+        n, total = seen.sum(0), np.maximum(size.sum(0), 1)
+        if f < FOLDS:
+            n, total = n - seen[f], np.maximum(size.sum(0) - size[f], 1)
+        out.append(np.log((n[1] / total[1] + 4 / total.sum()) / (n[0] / total[0] + 4 / total.sum())).astype(np.float32))
+    return out
+
+
+def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, rounds: int = 5, steps: int = 200, batch: int = 64, rate: float = 0.02) -> Network:
     """Fits on documents' labels: each round takes every document's largest window (at first by the log-odds) and trains
-    on these. prior: the share of toxic documents, which the last bias is set for."""
+    on these. A document's log-odds come from the other folds' documents, so the network learns how far to trust them on texts that they have
+    not seen; those of all documents stay in it. prior: the share of toxic documents, which the last bias is set for."""
     net, rng, y = Network(seed), np.random.default_rng(seed), np.asarray(y, np.int64)
     if not len(y) or y.min() == y.max():
         net.p["out"][:] = 0
@@ -240,40 +297,50 @@ def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, r
         return net
     place: dict[str, int] = {}
     docs = [np.array([place.setdefault(w, len(place)) for w in word_list(t)], np.int64) for t in texts]
-    vocab = list(place)
-    word, gram, begin = gram_hashes(vocab) if vocab else (np.zeros(0, np.uint64),) * 3
+    vocab = list(place) or ["\x02"]
+    word, gram, begin = gram_hashes(vocab)
     end = np.append(begin[1:], len(gram)).astype(np.int64)
     own = [np.unique(d) for d in docs]
-    net.word_odds = _log_odds([word[u] for u in own], y)
-    net.gram_odds = _log_odds([np.concatenate([gram[begin[i] : end[i]] for i in u]) if len(u) else gram[:0] for u in own], y)
-    fixed, wrow, grow, begin = net.inputs(vocab)
-    ids, at = windows([d + 1 for d in docs])
-    last = np.append(at[1:], len(ids))
-    score = np.concatenate([[0.0], fixed[:, 0] + fixed[:, 1]])[ids].max(1)
+    fold = rng.permutation(len(docs)) % FOLDS
+    word_odds = _log_odds([word[u] for u in own], y, fold)
+    gram_odds = _log_odds([np.concatenate([gram[begin[i] : end[i]] for i in u]) if len(u) else gram[:0] for u in own], y, fold)
+    fixed = []
+    for net.word_odds, net.gram_odds in zip(word_odds, gram_odds, strict=True):  # those of all come last and stay
+        f, wrow, grow, begin = net.inputs(vocab)
+        fixed.append(f)
+    fixed = np.concatenate(fixed[:FOLDS])
+    n = len(vocab)
+    rows = [d + 1 + f * n for d, f in zip(docs, fold, strict=True)]
+    words, first, count = joined(rows)
     slot = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for turn in range(rounds):
         if turn:
-            x = net.embed(fixed, wrow, grow, begin)
-            gates = {side: net.gates(x, side) for side in "fb"}
-            score = np.concatenate([net.run(ids[i : i + 4096], gates) for i in range(0, len(ids), 4096)])
-        chosen = np.array([a + score[a:b].argmax() for a, b in zip(at, last, strict=True)])
+            x = np.tile(net.embed(fixed[:n], wrow, grow, begin), (FOLDS, 1))
+            x[:, :FIXED] = fixed
+            at = largest(net, {side: net.gates(x, side) for side in "fb"}, rows)[1]
+        else:
+            odds = np.concatenate([[0.0], fixed[:, 0] + fixed[:, 1]])[words]
+            best = np.lib.stride_tricks.sliding_window_view(odds, WINDOW).max(1)
+            at = np.array([a + best[a : a + c].argmax() for a, c in zip(first, count, strict=True)])
+        chosen = words[at[:, None] + np.arange(WINDOW)]
         for _ in range(-(-steps * batch // len(y))):
             order = rng.permutation(len(y))
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
-                w = ids[chosen[part]]
+                w = chosen[part]
                 used, inverse = np.unique(w[w > 0] - 1, return_inverse=True)
                 local = np.zeros_like(w)
                 local[w > 0] = inverse + 1
-                size = end[used] - begin[used]
-                grams = grow[np.repeat(begin[used] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(used) else grow[:0]
-                x = net.embed(fixed[used], wrow[used], grams, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(used) else begin[:0])
+                bare = used % n
+                size = end[bare] - begin[bare]
+                grams = grow[np.repeat(begin[bare] - (np.cumsum(size) - size), size) + np.arange(size.sum())] if len(used) else grow[:0]
+                x = net.embed(fixed[used], wrow[bare], grams, (np.cumsum(size) - size).astype(np.int64))
                 keep: list = []
                 logit = net.run(local, {side: net.gates(x, side) for side in "fb"}, keep)
                 grad, d_x = net.grads(local, x, ((_sigmoid(logit) - y[part]) / len(part)).astype(np.float32), keep)
                 grad["words"], grad["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
-                np.add.at(grad["words"], wrow[used], d_x[:, FIXED : FIXED + WORD_DIM])
+                np.add.at(grad["words"], wrow[bare], d_x[:, FIXED : FIXED + WORD_DIM])
                 np.add.at(grad["chars"], grams, np.repeat(d_x[:, FIXED + WORD_DIM :] / size[:, None], size, axis=0).astype(np.float32))
                 step += 1
                 for k, g in grad.items():
@@ -286,8 +353,9 @@ def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, r
     return net
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = 2000, seed: int = 0) -> Network:
-    """Trains on about per_class labelled documents of either label (all, if fewer), chosen by a hash of the key.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = 2000, most_bytes: int = 48 << 20, seed: int = 0) -> Network:
+    """Trains on about per_class labelled documents of either label (all, if fewer), chosen by a hash of the key, and of these, in the hash's
+    order, on as many as most_bytes of whole texts hold; a longer text than what is left of them is passed over.
 
     Rows without key or label take no part; a key labelled twice counts twice. The driver gets these texts only.
     """
@@ -296,8 +364,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     share = {k: min(1.0, per_class / max(1, counts.get(k, 0))) for k in (0, 1)}
     place = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1_000_000
     chosen = rows.where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    found = sorted(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").collect(), key=lambda r: (r["key"], r["y"], r["text"] or ""))
-    return train([r["text"] for r in found], np.array([r["y"] for r in found], np.int64), counts.get(1, 0) / max(1, sum(counts.values())), seed)
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").withColumns({"t": F.xxhash64("text"), "place": place})
+    left, take = most_bytes, []
+    for r in sorted(found.select("key", "t", "place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct().collect(), key=lambda r: (r["place"], r["key"], r["t"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            take.append((r["key"], r["t"]))
+    if len(take) < found.select("key", "t").distinct().count():
+        kept = docs.sparkSession.createDataFrame(take, found.select("key", "t").schema)
+        found = found.join(F.broadcast(kept), ["key", "t"], "left_semi")
+    texts = sorted(found.select("key", "y", "text").collect(), key=lambda r: (r["key"], r["y"], r["text"] or ""))
+    return train([r["text"] for r in texts], np.array([r["y"] for r in texts], np.int64), counts.get(1, 0) / max(1, sum(counts.values())), seed)
 
 
 def score_toxicity(df: DataFrame, net: Network, text: str = "text", threshold: float = 0.7) -> DataFrame:
