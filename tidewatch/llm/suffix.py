@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SliceHash, discard, fresh, mix64, narrowed, parts_for, saved, table
+from .common import SliceHash, discard, fresh, mix64, narrowed, parts_for, saved, sliced, table
 
 SEED = 32  # bytes of an anchor
 SEGMENT = 1 << 20  # window starts handled at once in a very long text
@@ -216,7 +216,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text, at in zip(b.column("text"), b.column("at"), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
@@ -323,7 +323,7 @@ def repeat_spans(docs: DataFrame, size: int, group_rows: int = 128, hot: int = 1
     singles = _matches(saved(rows), size, group_rows)
     found = saved(equal.unionByName(singles).join(repeated.select("g", "f", "n"), ["g", "f"]).select(F.col("g").alias("g_"), F.col("f").alias("f_"), "n", "first", "last"))
     own = (F.col("g") == F.col("g_")) & (F.col("f") == F.col("f_"))
-    if found.count() <= 500_000:
+    if found.count() <= 250_000:
         spans = every.join(F.broadcast(found), own)
     else:  # fragments with many copies apart, so that no task gets all of one; they are few
         spans = narrowed(every, found.where(F.col("n") > hot), own, how="inner").unionByName(every.join(found.where(F.col("n") <= hot).hint("merge"), own))
@@ -406,7 +406,7 @@ def without_repeats(df: DataFrame, size: int = 400, text: str = "text", key: str
     schema = T.StructType([*df.schema, *T._parse_datatype_string("kept binary, kept_text string, spans array<struct<start: bigint, end: bigint>>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             kept, texts, runs = [], [], []
             for x, found in zip(b.column(body), b.column("__spans").to_pylist(), strict=True):
                 raw, merged = x.as_py().encode("utf-8", "surrogatepass"), []
