@@ -565,3 +565,36 @@ def test_rates_are_optimal(spark, targets, most):
         other = np.clip(other - 0.3 * (p @ (((other * n) @ p - want) / start) + slack * (other - 1)), 0, top)
     assert value(r) <= value(other) * 1.001 + 1e-6 * n.sum()
     assert abs(residual - np.abs((r * n) @ p - want).max() / n.sum()) < 1e-9
+
+
+def test_tokens_of_random_unicode():
+    """The fast path gives what the tokenizer gives, whatever the characters."""
+    rng = np.random.default_rng(16)
+    pools = [(32, 127), (0, 32), (0xA0, 0x250), (0x2010, 0x2028), (0x370, 0x600), (0x1E00, 0x2100), (0x3040, 0x3100), (0x4E00, 0x5000), (0x1F300, 0x1F700), (0x0, 0xD800)]
+    encoder = packing.Encoder()
+    for i in range(600):
+        low, high = pools[i % len(pools)]
+        text = "".join(chr(c) for c in rng.integers(low, high, rng.integers(0, 60)) if not 0xD800 <= c < 0xE000)
+        text = text + rng.choice(["", " ", "  \n", "'s ", " <|endoftext|> "]) + "".join(rng.choice(list("ab 1'.\t"), 10))
+        assert encoder(text) == np.array(encoder.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_language_of_held_out_documents(spark):
+    out = language.op2_language_id(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
+    held = [r for r in out if r["held_out"] and r["lang"] is not None and r["lang_pred"] != "und"]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert len(held) > 20 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in out)
+
+
+def test_shards_are_drawn_uniformly(spark):
+    """Over many seeds a row falls into each shard, and into each slot of it, about equally often."""
+    df = spark.range(12).cache()
+    shard, slot = np.zeros((12, 3)), np.zeros((12, 4))
+    for seed in range(40):
+        for r in sharding.shuffled_shards(df, 3, seed=1000 * seed, rows_per_part=5, rows_per_run=2).collect():
+            shard[r["id"], r["shard"]] += 1
+            slot[r["id"], r["slot"]] += 1
+    for seen in (shard, slot):
+        expected = 40 / seen.shape[1]
+        assert ((seen - expected) ** 2 / expected).sum() < 12 * (seen.shape[1] - 1) * 1.9

@@ -102,7 +102,10 @@ def shuffled_shards(df: DataFrame, n_shards: int, seed: int = 17, rows_per_part:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards whose row counts differ by one at most (law `rows`)."""
+    """All documents in 40 shards whose row counts differ by one at most (law `rows`).
+
+    Groups of equal texts (told by text_crc32) are dealt row by row: the method is a uniform shuffle with exact shard sizes, under which a group
+    larger than a shard must be parted, and smaller ones lie in one shard by chance only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return shuffled_shards(saved(slim), 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
