@@ -143,31 +143,38 @@ def _blocks(n: int, bits: int) -> list[tuple[int, int]]:
     return [(edge[i], edge[i + 1] - edge[i]) for i in range(n)]
 
 
-def simhash_links(fps: DataFrame, radius: int = 3, group_rows: int = 2048, rows_per_task: int = 100_000) -> DataFrame:
+def simhash_links(fps: DataFrame, radius: int = 3, group_rows: int = 2048, rows_per_task: int = 100_000, levels: int = 4) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints `fp` as all pairs within the radius would.
 
     Each fingerprint goes to a group for each of radius + 1 blocks of its bits (the topmost nodes: two within the radius
     agree in a block), where a Gray-order index finds the pairs. Groups of over group_rows are dealt again by each of
-    radius + 1 blocks of the other bits, which loses no pair either. A task unites what it finds and returns a link to
+    radius + 1 blocks of the bits that are left, `levels` times in all, which loses no pair either; after that, those in a group agree in most of their bits.
+    A task unites what it finds and returns a link to
     the smallest for each fingerprint, so dense groups do not return all their pairs. Null fingerprints are ignored.
     """
     fps = fps.where(F.col("fp").isNotNull()).select("fp")
-    blocks = _blocks(radius + 1, 64)
-    fp = F.col("fp")
-
-    def bits(value: F.Column, shift: int, width: int) -> F.Column:
-        return F.shiftrightunsigned(value, shift).bitwiseAND((1 << width) - 1)
-
-    def rest(s: int, w: int) -> F.Column:
-        above = F.shiftleft(F.shiftrightunsigned(fp, s + w), s) if s + w < 64 else F.lit(0).cast("long")
-        return above.bitwiseOR(bits(fp, 0, s)) if s else above
-
-    first = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), bits(fp, s, w).alias("b"), rest(s, w).alias("rest")) for i, (s, w) in enumerate(blocks)])).alias("k")).select("fp", "k.*")
-    large = first.groupBy("t", "b").count().where(F.col("count") > group_rows).select("t", "b", F.lit(True).alias("large"))
-    inner = _blocks(radius + 1, 64 - max(w for _, w in blocks))
-    again = F.when(F.col("large"), F.array(*[F.struct(F.lit(i + 1).alias("u"), bits(F.col("rest"), s, w).alias("c")) for i, (s, w) in enumerate(inner)]))
-    dealt = first.join(large, ["t", "b"], "left").select("fp", "t", "b", F.explode(F.coalesce(again, F.array(F.struct(F.lit(0).alias("u"), F.lit(0).cast("long").alias("c"))))).alias("k"))
-    dealt = dealt.select(F.xxhash64("t", "b", "k.u", "k.c").alias("g"), "fp")
+    spark, rest, width, done = fps.sparkSession, F.col("rest"), 64, None
+
+    def bits(shift: int, size: int) -> F.Column:
+        return F.shiftrightunsigned(rest, shift).bitwiseAND((1 << size) - 1)
+
+    def without(shift: int, size: int) -> F.Column:
+        above = F.shiftleft(F.shiftrightunsigned(rest, shift + size), shift) if shift + size < 64 else F.lit(0).cast("long")
+        return above.bitwiseOR(bits(0, shift)) if shift else above
+
+    rows = fps.select("fp", F.lit(0).cast("long").alias("g"), F.col("fp").alias("rest"))
+    for level in range(levels):
+        blocks = _blocks(radius + 1, width)
+        keys = F.array(*[F.struct(F.xxhash64(F.lit(level), "g", F.lit(i), bits(s, w)).alias("g"), without(s, w).alias("rest")) for i, (s, w) in enumerate(blocks)])
+        rows = rows.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
+        width -= max(w for _, w in blocks)
+        large = saved(rows.groupBy("g").count().where(F.col("count") > group_rows).select(F.col("g").alias("large")))
+        last = level == levels - 1 or width <= radius or large.isEmpty()
+        part = rows if last else narrowed(rows, large, rows["g"] == large["large"], how="left_anti")
+        done = part.select("g", "fp") if done is None else done.unionByName(part.select("g", "fp"))
+        if last:
+            break
+        rows = saved(narrowed(rows, large, rows["g"] == large["large"]).select("fp", "g", "rest"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(b.column("g").to_numpy(), b.column("fp").to_numpy()) for b in batches]
@@ -177,8 +184,8 @@ def simhash_links(fps: DataFrame, radius: int = 3, group_rows: int = 2048, rows_
             a, b = v, v[root]
             yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    parts = parts_for(fps.sparkSession, fps.count() * (radius + 1), rows_per_task)
-    return dealt.repartition(parts, "g").mapInArrow(search, "a long, b long")
+    parts = parts_for(spark, fps.count() * (radius + 1), rows_per_task)
+    return done.repartition(parts, "g").mapInArrow(search, "a long, b long")
 
 
 def simhash_components(slim: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFrame:
