@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -244,6 +245,31 @@ def test_near_duplicates_of_one_large_family(spark):
     assert [out[i] for i in range(len(texts))] == want.tolist() and out[None] == want[7]
 
 
+def test_near_pairs_leave_out_what_is_united():
+    rng = np.random.default_rng(17)
+    fps = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    group, root = rng.integers(0, 3, 400), rng.integers(0, 4, 400)
+    got = {tuple(sorted(p)) for a, b in simhash.near_pairs(group, fps, 3, root=root) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if near[i, j] and group[i] == group[j] and root[i] != root[j]}
+    assert want <= got and all(root[i] != root[j] or (i, j) in got for i, j in want)
+    assert {p for p in got if root[p[0]] != root[p[1]]} == want
+
+
+def test_large_groups_are_cut_into_chunks(monkeypatch):
+    """Chunks with pivots propose links that unite a family, and the second look at what they left finds all other pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", 40)
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 2**63, 1, dtype=np.uint64)
+    fps = base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    table = pa.table({"s": np.arange(300), "g": np.zeros(300, np.int32), "fp": fps.view(np.int64), "bits": np.zeros(300, np.int64)})
+    out = pa.Table.from_batches(list(simhash.close_pairs(iter(table.to_batches()), 4, 40, 0.8, 1))).to_pandas()
+    links = out[out["kind"] > 0]
+    assert set(links["a"]) == set(range(300)) and out["open"].notna().sum() == 1
+    a, b = links["a"].to_numpy(int), links["b"].to_numpy(int)
+    assert len(set(simhash.roots(300, iter([(a, b)])).tolist())) == 1 and (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
+
+
 def test_near_duplicates_recall_at_the_similarity(spark):
     """Pairs of texts at similarity 0.8 or just above, and of repeated shingles, are found."""
     rng = np.random.default_rng(3)

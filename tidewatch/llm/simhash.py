@@ -86,23 +86,25 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, most: int = 1 << 20, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all pairs in the same group whose fingerprints differ in at most radius bits.
 
     The entries are sorted by group and Gray rank. Each FAN neighbours share a node, which holds the bits that all of them
     have in common (mask and pattern); nodes of FAN nodes hold what these have in common, up to a root. Pairs of nodes are
     opened from the root down; a pair goes, with all below it, once the differences in the bits shared on both sides
-    exceed the radius, or if no group reaches into both.
+    exceed the radius, or if no group reaches into both. root: pairs of entries with one root are left out; entries are sorted by it within
+    their group, so that pairs of nodes with one root go too, and what is united costs nothing.
     """
-    order = np.lexsort((gray_rank(fps), group))
-    g, v = group[order], fps[order]
-    levels = [(v, np.full(len(v), ~np.uint64(0)), g, g)]
+    one = np.arange(len(fps)) if root is None else root
+    order = np.lexsort((gray_rank(fps), group) if root is None else (gray_rank(fps), one, group))
+    g, v, u = group[order], fps[order], one[order]
+    levels = [(v, np.full(len(v), ~np.uint64(0)), g, g, u, u)]
     while len(levels[-1][0]) > 1:
-        p, m, lo, hi = levels[-1]
+        p, m, lo, hi, least, last = levels[-1]
         at = np.arange(0, len(p), FAN)
         first = np.repeat(p[at], np.diff([*at, len(p)]))
         mask = np.bitwise_and.reduceat(m & ~(p ^ first), at)
-        levels.append((p[at] & mask, mask, lo[at], hi[np.minimum(at + FAN, len(p)) - 1]))
+        levels.append((p[at] & mask, mask, lo[at], hi[np.minimum(at + FAN, len(p)) - 1], np.minimum.reduceat(least, at), np.maximum.reduceat(last, at)))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(v) > 1 else []
     step = np.arange(FAN)
     while stack:
@@ -114,12 +116,14 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, radius: int, most: int = 1 <<
             half = len(a) // 2
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
-        p, m, lo, hi = levels[level - 1]
+        p, m, lo, hi, least, last = levels[level - 1]
         i = np.repeat(a * FAN, FAN * FAN) + np.tile(np.repeat(step, FAN), len(a))
         j = np.repeat(b * FAN, FAN * FAN) + np.tile(step, FAN * len(a))
         ok = (i < len(p)) & (j < len(p)) & ((i < j) if level == 1 else (i <= j))
         i, j = i[ok], j[ok]
         ok = (lo[j] <= hi[i]) & (np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) <= radius)
+        if root is not None:
+            ok &= (least[i] != last[j]) | (last[i] != least[j])
         if ok.any():
             stack.append((level - 1, i[ok], j[ok]))
 
@@ -203,13 +207,15 @@ def simhash_components(slim: DataFrame, radius: int = 3, key: str = "doc_id") ->
 
 
 LIKE, HUB = 1, 2  # kinds of proposals
+CHUNK, PIVOTS = 4096, 32
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, similarity: float, thin: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of different nodes `s` in a task's groups `g` whose fingerprints `fp` differ in at most radius bits and
     whose minimum-hash bits `bits` agree in `agree` or more; kind 0.
 
-    thin: groups with over that many pairs a node give, for each node a, its likest partner b (kind LIKE, weight: bits that agree) and the
+    thin: groups of over CHUNK nodes are cut into chunks, which share PIVOTS of their nodes, and only pairs within chunks are looked at yet. Those groups
+    and groups with over that many pairs a node give, for each node a, its likest partner b (kind LIKE, weight: bits that agree) and the
     one with most partners (kind HUB, weight: partners; ties: the smaller node, so that tables choose alike), and are named in `open`: their other
     pairs are still to come. Without thin, nodes have `root`, `size`, `own` (how many of their shingles no other of these nodes has), `hub`
     (another node) and `delta` (shingles of only one of node and hub, without the own): pairs of one root go, those of one
@@ -226,8 +232,26 @@ def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, si
     group = np.unique(g, return_inverse=True)[1]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
+    size_of = np.bincount(group)
+    large = np.flatnonzero(size_of > CHUNK) if thin is not None else size_of[:0]
+    place, part = np.arange(len(s)), group.astype(np.int64)
+    if len(large):  # chunks, each with the same pivots
+        mixed = mix64(s.view(np.uint64))
+        chunk = (mixed % np.maximum(1, size_of[group] // CHUNK).astype(np.uint64)).astype(np.int64)
+        part = part << 32 | chunk
+        more = []
+        for k in large:
+            own = np.flatnonzero(group == k)
+            pivots = own[np.argsort(mixed[own], kind="stable")[:PIVOTS]]
+            for c in range(size_of[k] // CHUNK):
+                extra = pivots[chunk[pivots] != c]
+                more.append((extra, np.full(len(extra), int(k) << 32 | c)))
+        place = np.concatenate([place, *(m[0] for m in more)])
+        part = np.concatenate([part, *(m[1] for m in more)])
+
     def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for a, b in near_pairs(g, v, radius, 1 << 18):
+        for a, b in near_pairs(part, v[place], radius, 1 << 18, root[place] if thin is None else None):
+            a, b = place[a], place[b]
             same = 64 - np.bitwise_count(x[a] ^ x[b]).astype(np.int64)
             ok = same >= agree
             if thin is None:
@@ -275,7 +299,7 @@ def close_pairs(batches: Iterator[pa.RecordBatch], radius: int, agree: float, si
         np.add.at(partners, a, 1)
         np.add.at(partners, b, 1)
     count = np.bincount(group)
-    dense = np.bincount(group, partners) > 2 * thin * count
+    dense = (np.bincount(group, partners) > 2 * thin * count) | (count > CHUNK)
     likest, hub = np.full(len(s), -1), np.full(len(s), -1)
     back = len(s) - 1
     for a, b, same in found():
