@@ -310,20 +310,24 @@ def train(texts: list[str | None], y: np.ndarray, prior: float, seed: int = 0, r
         fixed.append(f)
     fixed = np.concatenate(fixed[:FOLDS])
     n = len(vocab)
-    rows = [d + 1 + f * n for d, f in zip(docs, fold, strict=True)]
-    words, first, count = joined(rows)
     slot = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    chosen = np.zeros((len(docs), WINDOW), np.int64)
     for turn in range(rounds):
-        if turn:
-            x = np.tile(net.embed(fixed[:n], wrow, grow, begin), (FOLDS, 1))
-            x[:, :FIXED] = fixed
-            at = largest(net, {side: net.gates(x, side) for side in "fb"}, rows)[1]
-        else:
-            odds = np.concatenate([[0.0], fixed[:, 0] + fixed[:, 1]])[words]
-            best = np.lib.stride_tricks.sliding_window_view(odds, WINDOW).max(1)
-            at = np.array([a + best[a : a + c].argmax() for a, c in zip(first, count, strict=True)])
-        chosen = words[at[:, None] + np.arange(WINDOW)]
+        for f in range(FOLDS):  # one fold's gate inputs at a time, to keep memory low
+            part = np.flatnonzero(fold == f)
+            if not len(part):
+                continue
+            rows, own_fixed = [docs[i] + 1 for i in part], fixed[f * n : (f + 1) * n]
+            if turn:
+                x = net.embed(own_fixed, wrow, grow, begin)
+                at, words = largest(net, {side: net.gates(x, side) for side in "fb"}, rows)[1:]
+            else:
+                words, first, count = joined(rows)
+                best = np.lib.stride_tricks.sliding_window_view(np.concatenate([[0.0], own_fixed[:, 0] + own_fixed[:, 1]])[words], WINDOW).max(1)
+                at = np.array([a + best[a : a + c].argmax() for a, c in zip(first, count, strict=True)])
+            ids = words[at[:, None] + np.arange(WINDOW)]
+            chosen[part] = np.where(ids > 0, ids + f * n, 0)
         for _ in range(-(-steps * batch // len(y))):
             order = rng.permutation(len(y))
             for i in range(0, len(order), batch):
