@@ -185,7 +185,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, pivo
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *c])) for c in out], names=["query_id", "vec_id", "score"])
 
     def searched(routed: DataFrame) -> DataFrame:
-        return annuli.select("block", "ids", "rows").join(routed, "block").drop("block").mapInArrow(search, "query_id long, vec_id long, score long")
+        # a merge, as both sides grow with the vectors: neither may be broadcast
+        return annuli.select("block", "ids", "rows").join(routed.hint("merge"), "block").drop("block").mapInArrow(search, "query_id long, vec_id long, score long")
 
     packet = "block long, q_ids binary, q_rows binary"
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
