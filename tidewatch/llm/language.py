@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, table
+from .common import held_out, small_batches, table
 
 CLASSES = 128  # 0: no letter; 1 to 26: a to z; the rest: other letters, by code point
 DIM = 512
@@ -78,6 +78,7 @@ def fit_language(df: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     Rows without text, language or letters take no part. The driver gets a vector for each language and task.
     """
+    small_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
@@ -114,6 +115,7 @@ def predict_language(df: DataFrame, langs: list[str], prototypes: np.ndarray, te
     Texts that are null, empty or without a letter get `und` and 0.0, as all do if no language was learned. Only the
     text is looked at. Rows stay where they are: no exchange. Columns named lang_pred or score are replaced.
     """
+    small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
     schema = T.StructType([*df.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
