@@ -18,7 +18,7 @@ def small_batches(spark: SparkSession) -> None:
     """From now on Arrow batches of this session hold BATCH_BYTES at most (or what it has set, if less; a longer row is a batch of its own), so that
     the memory of a task does not grow with the length of 10,000 rows' texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
+    now = spark.conf.get(name, "64m")
     if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
         spark.conf.set(name, str(BATCH_BYTES))
 
