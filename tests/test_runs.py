@@ -15,7 +15,7 @@ from tidewatch.operators.history import History
 from tidewatch.plans.run import Config, replay
 from tidewatch.sinks import outputs
 from tidewatch.sources import dims, reports
-from tidewatch.streaming.watch import running_cusum
+from tidewatch.streaming.watch import first_runs, running_cusum
 
 KRAKEN = "{a:.2f}\t{n}\t{n}\tG\t561\t  Escherichia\n20.00\t2000\t2000\tG\t816\t  Bacteroides\n30.00\t3800\t3800\tG\t590\t  Salmonella\n30.00\t3800\t3800\tG\t286\t  Pseudomonas\n"
 
@@ -265,6 +265,14 @@ def test_streamed_cusum(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
+def test_first_run_of_a_date(spark, tmp_path):
+    rows = [("a", "2026-01-01", 1, 0.1), ("a", "2026-01-01", 2, 0.2), ("a", "2026-01-02", 90_000, 0.3), ("b", "2026-01-01", 3, 0.4)]
+    spark.createDataFrame(rows, "site string, run_date string, s long, x double").selectExpr("site", "run_date", "timestamp_seconds(s) ts", "x").write.parquet(str(tmp_path / "in"))
+    stream = first_runs(spark.readStream.schema("site string, run_date string, ts timestamp, x double").parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("first_runs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("first_runs").select("site", "run_date").distinct().count() == spark.table("first_runs").count() == 3
+
+
 def test_abundance_stays_long(spark):
     c = spark.createDataFrame([("s", "A", 3.0)], "sample string, taxon string, reads double")
     assert abundance.normalized(c).first()["rel"] == 1.0

@@ -118,3 +118,5 @@ def test_watch_marks_only_success(spark, folder, tmp_path):
     (folder / "d.report").write_text(KRAKEN)
     watch(spark, str(folder), state, process, "*.report").awaitTermination()
     assert sorted(seen[3:]) == ["b.report", "d.report"]
+    log = spark.read.parquet(f"{state}/processed").where("not ok").collect()
+    assert [r["error"] for r in log] == ["RuntimeError: first time"]

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+LOG = "path string, ok boolean, error string"
+
+
 def watch(spark: SparkSession, directory: str, state: str, process: Callable[[str, DataFrame], None], pattern: str = "*", interval: str | None = None, run_on_start: bool = True) -> StreamingQuery:
     """Calls process(path, lines) for each new text file below directory, lines being its (line_no, line).
 
     state holds the stream's checkpoint and `processed`, a table of what has succeeded: an input is marked only then, so
-    one that fails does not stop others and is tried again with the next batch. interval: a processing-time trigger;
+    one that fails does not stop others, is kept with its error, and is tried again with the next batch. interval: a processing-time trigger;
     without it all that is there is processed and the query ends. run_on_start=False marks what is there as processed.
     """
     source = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
@@ -23,13 +26,13 @@ def watch(spark: SparkSession, directory: str, state: str, process: Callable[[st
     exists = lambda p: hpath(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath(p))
     first_start = not exists(marks)
     if first_start:
-        spark.createDataFrame([], "path string, ok boolean").write.parquet(marks)
+        spark.createDataFrame([], LOG).write.parquet(marks)
     if first_start and not run_on_start:
         now = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(directory).select("path")
-        now.select("path", F.lit(True).alias("ok")).write.mode("append").parquet(marks)
+        now.select("path", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).write.mode("append").parquet(marks)
 
     def batch(rows: DataFrame, _: int) -> None:
-        log = spark.read.schema("path string, ok boolean").parquet(marks)
+        log = spark.read.schema(LOG).parquet(marks)
         settled = log.where("ok").select("path")
         again = [r["path"] for r in log.where("not ok").join(settled, "path", "left_anti").select("path").distinct().collect()]
         new = [r["path"] for r in rows.select("path").join(settled, "path", "left_anti").distinct().orderBy("path").collect()]
@@ -38,11 +41,11 @@ def watch(spark: SparkSession, directory: str, state: str, process: Callable[[st
             text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
             try:
                 process(path, text)
-                results.append((path, True))
-            except Exception:  # noqa: BLE001  what an input raises must not stop the stream
-                results.append((path, False))
+                results.append((path, True, None))
+            except Exception as error:  # noqa: BLE001  what an input raises must not stop the stream
+                results.append((path, False, f"{type(error).__name__}: {error}"[:1000]))
         if results:
-            spark.createDataFrame(results, "path string, ok boolean").write.mode("append").parquet(marks)
+            spark.createDataFrame(results, LOG).write.mode("append").parquet(marks)
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -53,6 +56,11 @@ def stream_daily_scores(events: DataFrame, lateness: str = "2 days") -> DataFram
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "site").agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n")).select("site", F.col("window.start").alias("t"), "x", "n")
 
 
+def first_runs(runs: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """A stream of runs (site, run_date, ts, ...) with each site's first run of a date only; later ones within the lateness are dropped."""
+    return runs.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["site", "run_date"])
+
+
 def running_cusum(scores: DataFrame, k: float = 0.5, h: float = 4.0, baseline: int = 8) -> DataFrame:
     """(site, t, x, cusum_upper, alert) of a stream of scores (site, t, x): the state of a site is the sums of its baseline,
     its first points, and the CUSUM since."""
