@@ -76,14 +76,14 @@ def pair_stability(runs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, max_k: int = 12, starts: int = 10) -> DataFrame:
-    """(taxon, label, k, icl): the block of each taxon that has an edge, under the number of blocks of largest ICL (the
-    smallest of equal ones). Each (k, start) is a row of the grid and runs as a task of its own. No edge: no row."""
+    """(taxon, label, k, icl, degenerate): the block of each taxon that has an edge, under the number of blocks of largest ICL (the
+    smallest of equal ones), and whether those blocks are linked much alike. Each (k, start) is a row of the grid and runs as a task of its own. No edge: no row."""
     spark = edges.sparkSession
     pairs = [(r["a"], r["b"]) for r in edges.select("a", "b").collect()]
     taxa = sorted({t for p in pairs for t in p})
-    schema = "k int, start int, likelihood double, icl double, labels array<int>"
+    schema = "k int, start int, likelihood double, icl double, labels array<int>, degenerate boolean"
     if len(taxa) < 3:
-        return spark.createDataFrame([(t, 0, 1, 0.0) for t in taxa], "taxon string, label int, k int, icl double")
+        return spark.createDataFrame([(t, 0, 1, 0.0, False) for t in taxa], "taxon string, label int, k int, icl double, degenerate boolean")
     adj = adjacency(pairs, taxa)
     grid = spark.createDataFrame([(k, s) for k in range(2, min(max_k, len(taxa) - 1) + 1) for s in range(starts)], "k int, start int")
 
@@ -92,13 +92,14 @@ def communities(edges: DataFrame, max_k: int = 12, starts: int = 10) -> DataFram
             rows = []
             for k, s in zip(f["k"], f["start"], strict=True):
                 like, icl, q = fit_blocks(adj, int(k), int(s))
-                rows.append((k, s, like, icl, q.argmax(1).astype(int).tolist()))
-            yield pd.DataFrame(rows, columns=["k", "start", "likelihood", "icl", "labels"])
+                labels = q.argmax(1).astype(int).tolist()
+                rows.append((k, s, like, icl, labels, degenerate(adj, labels)))
+            yield pd.DataFrame(rows, columns=["k", "start", "likelihood", "icl", "labels", "degenerate"])
 
     fits = grid.repartition(grid.count()).mapInPandas(run, schema)
-    best = fits.groupBy("k").agg(F.max_by(F.struct("icl", "labels"), F.struct("likelihood", -F.col("start"))).alias("f")).agg(F.max_by(F.struct("k", "f.icl", "f.labels"), F.struct("f.icl", -F.col("k"))).alias("m"))
+    best = fits.groupBy("k").agg(F.max_by(F.struct("icl", "labels", "degenerate"), F.struct("likelihood", -F.col("start"))).alias("f")).agg(F.max_by(F.struct("k", "f.icl", "f.labels", "f.degenerate"), F.struct("f.icl", -F.col("k"))).alias("m"))
     names = F.array(*[F.lit(t) for t in taxa])
-    return best.select("m.k", "m.icl", F.explode(F.arrays_zip(names.alias("taxon"), F.col("m.labels").alias("label"))).alias("z")).select("z.taxon", "z.label", "k", "icl")
+    return best.select("m.k", "m.icl", "m.degenerate", F.explode(F.arrays_zip(names.alias("taxon"), F.col("m.labels").alias("label"))).alias("z")).select("z.taxon", "z.label", "k", "icl", "degenerate")
 
 
 def bootstrap_stability(values: DataFrame, reps: int = 100, rho_threshold: float = 0.45, max_k: int = 6, seed: int = 0) -> DataFrame:
