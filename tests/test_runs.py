@@ -265,6 +265,23 @@ def test_streamed_cusum(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
+def test_isolation_forest_finds_the_odd_one(spark):
+    """Against a forest that walks each row through each tree by itself."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 5))
+    x[7] += 6
+    df = spark.createDataFrame([(f"s{i:02d}", f"t{j}", float(x[i, j])) for i in range(60) for j in range(5)], "sample string, taxon string, clr double")
+    got = {r["sample"]: r["isolation"] for r in novelty.isolation_scores(df, trees=40, subsample=32).collect()}
+    assert max(got, key=got.get) == "s07" and all(0 < v < 1 for v in got.values())
+    feature, cut, left, right, path = novelty._tree(x, 5, np.random.default_rng(1))
+    for row in x:
+        at, depth = 0, 0
+        while feature[at] >= 0:
+            at, depth = (left if row[feature[at]] < cut[at] else right)[at], depth + 1
+        assert depth <= 5 and path[at] >= depth
+    assert novelty.isolation_scores(df.where("false")).count() == 0
+
+
 def test_first_run_of_a_date(spark, tmp_path):
     rows = [("a", "2026-01-01", 1, 0.1), ("a", "2026-01-01", 2, 0.2), ("a", "2026-01-02", 90_000, 0.3), ("b", "2026-01-01", 3, 0.4)]
     spark.createDataFrame(rows, "site string, run_date string, s long, x double").selectExpr("site", "run_date", "timestamp_seconds(s) ts", "x").write.parquet(str(tmp_path / "in"))

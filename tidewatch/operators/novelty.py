@@ -20,43 +20,59 @@ def _average_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, all_rows: np.ndarray, depth: int, limit: int, rng: np.random.Generator, out: np.ndarray, who: np.ndarray) -> None:
-    """Adds each row's path length in one random tree, grown on x while all rows pass through it."""
-    spread = x.max(0) - x.min(0) if len(x) else np.zeros(all_rows.shape[1])
-    able = np.flatnonzero(spread > 0)
-    if depth >= limit or len(x) <= 1 or not len(able):
-        out[who] += depth + _average_path(len(x))
-        return
-    f = rng.choice(able)
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    left = all_rows[who, f] < cut
-    for side, rows in ((x[x[:, f] < cut], who[left]), (x[x[:, f] >= cut], who[~left])):
-        if len(rows):
-            _grow(side, all_rows, depth + 1, limit, rng, out, rows)
-
-
-def isolation_scores(values: DataFrame, value: str = "clr", trees: int = 200, subsample: int = 256, seed: int = 42) -> DataFrame:
-    """(sample, isolation): an isolation forest's anomaly score. Trees are dealt to tasks; a task returns path sums.
-
-    The cohort's matrix (samples by taxa, standardised) goes to each task; for larger cohorts filter taxa first."""
-    spark = values.sparkSession
+def _tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """A random tree on the rows of x: for each node its feature (-1: a leaf), cut, left and right node, and a leaf's path length."""
+    feature, cut, left, right, path = [], [], [], [], []
+
+    def node(rows: np.ndarray, depth: int) -> int:
+        me = len(feature)
+        for column in (feature, cut, left, right, path):
+            column.append(0)
+        spread = rows.max(0) - rows.min(0) if len(rows) else np.zeros(x.shape[1])
+        able = np.flatnonzero(spread > 0)
+        if depth >= limit or len(rows) <= 1 or not len(able):
+            feature[me], path[me] = -1, depth + _average_path(len(rows))
+            return me
+        feature[me] = int(rng.choice(able))
+        cut[me] = float(rng.uniform(rows[:, feature[me]].min(), rows[:, feature[me]].max()))
+        low = rows[:, feature[me]] < cut[me]
+        left[me], right[me] = node(rows[low], depth + 1), node(rows[~low], depth + 1)
+        return me
+
+    node(x, 0)
+    return np.array(feature), np.array(cut, float), np.array(left), np.array(right), np.array(path, float)
+
+
+def isolation_scores(values: DataFrame, value: str = "clr", trees: int = 200, subsample: int = 256, seed: int = 42, pool: int = 20_000) -> DataFrame:
+    """(sample, isolation): an isolation forest's anomaly score over the samples' standardised vectors.
+
+    Trees are grown on subsamples of at most `pool` samples, chosen by a hash (all, if fewer), which is all that the driver gets; the trees go to the
+    tasks, and every sample is scored where it is."""
     std = F.stddev_pop(value).over(W.partitionBy("taxon"))
     scaled = values.withColumn("z", F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(W.partitionBy("taxon")), std), F.lit(0.0)))
-    rows = scaled.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("taxon", "z"))), lambda s: s["z"]).alias("v")).orderBy("sample").collect()
-    names, matrix = [r["sample"] for r in rows], np.array([r["v"] for r in rows], float)
-    n = len(names)
-    psi = min(subsample, n)
+    rows = scaled.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("taxon", "z"))), lambda s: s["z"]).alias("v"))
+    some = np.array([r["v"] for r in rows.orderBy(F.xxhash64("sample"), "sample").limit(pool).select("v").collect()], float)
+    psi = min(subsample, len(some))
     limit = int(np.ceil(np.log2(max(psi, 2))))
+    forest = []
+    for tree in range(trees if psi else 0):
+        rng = np.random.default_rng([seed, tree])
+        forest.append(_tree(some[rng.choice(len(some), psi, replace=False)], limit, rng))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            total = np.zeros(n)
-            for tree in f["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                _grow(matrix[rng.choice(n, psi, replace=False)], matrix, 0, limit, rng, total, np.arange(n))
-            yield pd.DataFrame({"sample": names, "path": total})
-
-    paths = spark.range(trees).mapInPandas(run, "sample string, path double").groupBy("sample").agg((F.sum("path") / trees).alias("path"))
+            x = np.array(f["v"].tolist(), float).reshape(len(f), -1)
+            total, every = np.zeros(len(x)), np.arange(len(x))
+            for feature, cut, left, right, path in forest:
+                at = np.zeros(len(x), np.int64)
+                for _ in range(limit):
+                    inner = feature[at] >= 0
+                    low = x[every, np.maximum(feature[at], 0)] < cut[at]
+                    at = np.where(inner, np.where(low, left[at], right[at]), at)
+                total += path[at]
+            yield pd.DataFrame({"sample": f["sample"], "path": total / max(trees, 1)})
+
+    paths = rows.mapInPandas(run, f"sample {values.schema['sample'].dataType.simpleString()}, path double")
     return paths.select("sample", F.pow(F.lit(2.0), -F.col("path") / max(_average_path(psi), 1e-9)).alias("isolation"))
 
 
