@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import mate, read_windows
 from tidewatch.operators.abundance import merge_pairs, total_reads
+from tidewatch.sources import sequences
 
 # Columns and rank prefixes of the report formats.
 BRACKEN = ["name", "taxonomy_id", "taxonomy_lvl", "kraken_assigned_reads", "added_reads", "new_est_reads", "fraction_total_reads"]
@@ -71,7 +72,8 @@ PARSERS = {"kraken2": kraken2, "bracken": bracken, "metaphlan": metaphlan}
 
 
 def reports(spark: SparkSession, paths: str | list[str], rank: str = "G", format: str = "auto", pattern: str | None = None, pairs: bool = True) -> DataFrame:
-    """counts of report files of any of the formats, each file by its own (or all by the one given)."""
+    """counts of report files of any of the formats, each file by its own (or all by the one given). A file without a line that is not blank
+    is an error, as it has no format."""
     if format != "auto" and format not in PARSERS:
         raise ValueError(f"unknown format {format}")
     rows = lines(spark, paths, pattern)
@@ -79,7 +81,7 @@ def reports(spark: SparkSession, paths: str | list[str], rank: str = "G", format
         out = PARSERS[format](rows, rank)
     else:
         kinds = F.broadcast(formats(rows))
-        tagged = rows.join(kinds, "path")
+        tagged = rows.join(kinds, "path").withColumn("format", F.coalesce("format", F.raise_error(F.concat(F.lit("empty report: "), "path"))))
         usable = [k for k in PARSERS if k != "metaphlan" or rank in RANK_PREFIX]
         loose = {"bracken": {"strict": False}}
         parts = [PARSERS[k](tagged.where(F.col("format") == k), rank, **loose.get(k, {})) for k in usable]
@@ -108,32 +110,39 @@ def count_matrix(spark: SparkSession, path: str, transpose: bool = False) -> Dat
     return long.select(F.col(f"`{names[0]}`").alias("sample"), F.trim(F.col(f"`{names[1]}`")).alias("taxon"), F.coalesce(F.col("_value").try_cast("double"), F.lit(0.0)).alias("reads"))
 
 
-def fastq(spark: SparkSession, paths: str | list[str], limit: int | None = None) -> DataFrame:
-    """(sample, read_no, seq) of FASTQ files, gzipped or not; mates share their sample."""
-    rows = lines(spark, paths).where("line_no % 4 = 1")
-    out = rows.select(mate(F.col("sample"))["base"].alias("sample"), F.floor(F.col("line_no") / 4).alias("read_no"), F.trim("line").alias("seq"))
+def fastq(spark: SparkSession, paths: str | list[str], limit: int | None = None, numbered: bool = True, range_bytes: int = sequences.RANGE_BYTES) -> DataFrame:
+    """(sample, read_no, seq) of FASTQ files, gzipped or not; mates share their sample. Files are read in byte ranges, a row for each read.
+
+    read_no counts a file's reads from 0, for which the files are read twice; without numbered it is the place of a read's first byte. An empty file
+    has no reads, one that is cut off those whose letters are there."""
+    rows, number = sequences.place(sequences.records(spark, paths, "fastq", range_bytes), numbered)
+    out = rows.select(mate(_stem(F.col("path")))["base"].alias("sample"), number.alias("read_no"), "seq")
     return out if limit is None else out.limit(limit)
 
 
-def fasta(spark: SparkSession, paths: str | list[str], min_length: int = 0) -> DataFrame:
-    """(sample, read_no, name, seq) of FASTA files: a record's lines joined, its name the header's first word."""
-    files = spark.read.text(paths, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("sample"), F.posexplode(F.split("value", r"(^|\n)>")).alias("read_no", "body"))
-    record = F.split("body", r"\r?\n")
-    seq = F.array_join(F.transform(F.slice(record, 2, 1 << 30), lambda x: F.trim(x)), "")
-    rows = files.where("read_no > 0").select("sample", "read_no", F.split(F.trim(record[0]), r"\s+")[0].alias("name"), seq.alias("seq"))
-    return rows.where(F.length("seq") >= min_length)
+def fasta(spark: SparkSession, paths: str | list[str], min_length: int = 0, numbered: bool = True, range_bytes: int = sequences.RANGE_BYTES) -> DataFrame:
+    """(sample, read_no, name, seq) of FASTA files: a record's lines joined, its name the header's first word. Files are read in byte ranges; read_no counts
+    from 1, or is the place of a record's first byte (not numbered). Records without letters are left out."""
+    rows, number = sequences.place(sequences.records(spark, paths, "fasta", range_bytes), numbered)
+    out = rows.select(_stem(F.col("path")).alias("sample"), (number + 1 if numbered else number).alias("read_no"), F.split("name", r"\s+")[0].alias("name"), "seq")
+    return out.where(F.length("seq") >= min_length)
 
 
-def windows(reads: DataFrame, length: int = 150, stride: int = 75) -> DataFrame:
-    """reads cut into overlapping windows, numbered anew within a sample's read."""
-    return reads.select("sample", "read_no", F.posexplode(read_windows(F.col("seq"), length, stride)).alias("window_no", "seq"))
+def windows(reads: DataFrame, length: int = 150, stride: int = 75, most: int | None = None) -> DataFrame:
+    """reads cut into overlapping windows, numbered anew within a sample's read; of each sample the first `most`, in order of its reads."""
+    every = F.posexplode(read_windows(F.col("seq"), length, stride)).alias("window_no", "seq")
+    if most is None:
+        return reads.select("sample", "read_no", every)
+    count = F.when(F.length("seq") <= length, 1).otherwise(F.floor((F.length("seq") - length) / stride) + 1)
+    sizes = reads.groupBy("sample", "read_no").agg(F.sum(count).alias("_count"))
+    before = F.coalesce(F.sum("_count").over(Window.partitionBy("sample").orderBy("read_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select("sample", "read_no", before.alias("_before")).where(F.col("_before") < most)
+    return reads.join(first, ["sample", "read_no"]).select("sample", "read_no", every, "_before").where(F.col("window_no") < most - F.col("_before")).drop("_before")
 
 
 def subsample(reads: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n reads of each sample (all, if fewer), those of smallest hash: the same ones on each run."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("sample").orderBy(F.xxhash64(F.lit(seed), "read_no", "seq"), "read_no")
+    order = Window.partitionBy("sample").orderBy(F.xxhash64(F.lit(seed), "read_no", "seq"), "read_no")
     return reads.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
@@ -159,7 +168,8 @@ def ingest(spark: SparkSession, path: str, rank: str = "G", format: str = "auto"
     if sequences:
         fq = [n for n in sequences if re.search(r"\.(fastq|fq)(\.gz)?$", n)]
         fa = [n for n in sequences if n not in fq]
-        parts = ([fastq(spark, fq)] if fq else []) + ([windows(fasta(spark, fa)).select("sample", F.monotonically_increasing_id().alias("read_no"), "seq")] if fa else [])
+        pieces = windows(fasta(spark, fa, numbered=False), most=retain_reads and 4 * retain_reads) if fa else None
+        parts = ([fastq(spark, fq, numbered=False)] if fq else []) + ([pieces.select("sample", (F.col("read_no") + 75 * F.col("window_no")).alias("read_no"), "seq")] if fa else [])
         reads = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         out.reads = subsample(reads, retain_reads) if retain_reads else reads
         out.capabilities.add("reads")
