@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_path(spark: SparkSession, path: str, out_dir: str, config: object, history_root: str | None = None, site: str | None = None, frozen: str | None = None, external: str | None = None) -> dict:
+def run_path(spark: SparkSession, path: str, out_dir: str, config: object, history_root: str | None = None, site: str | None = None, frozen: str | None = None, external: str | None = None, prior: str | None = None) -> dict:
     """Analyses what a path holds; writes report, CSV, alerts and manifest to out_dir and, with a history, records the run."""
     from tidewatch.operators import baseline
     from tidewatch.operators.history import History
@@ -22,7 +22,7 @@ def run_path(spark: SparkSession, path: str, out_dir: str, config: object, histo
         raise SystemExit("no abundance in the input")
     history = History(spark, history_root) if history_root else None
     base = baseline.load(spark, frozen, site or "all") if frozen else None
-    out = analyse(spark, got.counts, config, history, frozen=base, reads=got.reads, external=external_signals(spark, external) if external else None)
+    out = analyse(spark, got.counts, config, history, frozen=base, reads=got.reads, external=external_signals(spark, external) if external else None, prior=baseline.load_document(spark, prior) if prior else None, species=got.species)
     text = outputs.report_document(out["report"], {"input": path, "rank": config.rank, "run_date": config.run_date or ""}).first()["json"]
     store = outputs.Storage(spark, out_dir)
     store.put_bytes("report.json", text.encode())
@@ -52,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         own.add_argument("--run-date")
         own.add_argument("--baseline", help="root of saved baselines")
         own.add_argument("--site")
+        own.add_argument("--prior", help="JSON document of a baseline for sites without history")
         own.add_argument("--external", help="table of an outside signal")
         if name == "watch":
             own.add_argument("--interval", default=None, help="as in '1 hour'; without it what is there is processed once")
@@ -88,12 +89,12 @@ def main(argv: list[str] | None = None) -> int:
         config = Config.read(args.settings) if args.settings else Config()
         config = replace(config, **{k: v for k, v in {"rank": args.rank, "scorer": args.scorer, "run_date": args.run_date, "with_network": False if args.no_network else None}.items() if v is not None})
         if args.command == "run":
-            print(json.dumps(run_path(spark, args.path, args.out, config, args.history, args.site, args.baseline, args.external)))
+            print(json.dumps(run_path(spark, args.path, args.out, config, args.history, args.site, args.baseline, args.external, args.prior)))
         else:
             from tidewatch.streaming.watch import watch
 
             def process(path: str, _: DataFrame) -> None:
-                run_path(spark, path, f"{args.out}/{path.rstrip('/').rsplit('/', 1)[-1]}", config, args.history, args.site, args.baseline, args.external)
+                run_path(spark, path, f"{args.out}/{path.rstrip('/').rsplit('/', 1)[-1]}", config, args.history, args.site, args.baseline, args.external, args.prior)
 
             watch(spark, args.path, f"{args.out}/state", process, interval=args.interval, run_on_start=args.run_on_start or not args.interval).awaitTermination()
     elif args.command == "summary":

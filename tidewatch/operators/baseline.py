@@ -6,14 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCALE_FLOOR, NOVEL_SCALE, MAD_FACTOR = 1e-3, 5e-3, 1.4826
+from tidewatch.operators.abundance import clr, dense
+from tidewatch.operators.ranks import median_and_mad
 
+SCALE_FLOOR, NOVEL_SCALE, MAD_FACTOR, PSEUDOCOUNT = 1e-3, 5e-3, 1.4826, 1e-6
 
-def fit(values: DataFrame, value: str = "rel") -> DataFrame:
-    """(taxon, median, scale) of dense values; scale is the scaled median absolute deviation, at least SCALE_FLOOR."""
-    middle = values.groupBy("taxon").agg(F.median(value).alias("median"))
-    off = values.join(middle, "taxon").groupBy("taxon", "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return off.select("taxon", "median", F.greatest(MAD_FACTOR * F.col("mad"), F.lit(SCALE_FLOOR)).alias("scale"))
+
+def fit(values: DataFrame, value: str = "rel", samples: int | None = None, taxa: DataFrame | None = None) -> DataFrame:
+    """(taxon, median, scale) of each taxon over all samples; scale is the scaled median absolute deviation, at least SCALE_FLOOR.
+
+    A sample without a row for a taxon has a zero there, so values need not be dense. samples: how many there are (else those that have
+    a row). taxa: those that get a row in any case, with median 0 where none of the samples has them."""
+    n = values.select("sample").distinct().count() if samples is None else samples
+    found = median_and_mad(values, value, n).select("taxon", "median", F.greatest(MAD_FACTOR * F.col("mad"), F.lit(SCALE_FLOOR)).alias("scale"))
+    if taxa is None:
+        return found
+    every = taxa.select("taxon").distinct().join(found, "taxon", "left")
+    return every.select("taxon", F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("scale", F.lit(SCALE_FLOOR)).alias("scale"))
+
+
+def fit_in(values: DataFrame, space: str = "relative", taxa: DataFrame | None = None) -> DataFrame:
+    """fit of relative abundances in a space. Log-ratios need all taxa of a sample at once: these are filled in, samples times taxa."""
+    if space == "relative":
+        return fit(values, taxa=taxa)
+    if space != "clr":
+        raise ValueError(f"unknown space {space}")
+    return fit(clr(dense(values, "rel", taxa=taxa), "rel", PSEUDOCOUNT), "clr")
 
 
 def without_outliers(values: DataFrame, pathogen_taxa: DataFrame, fraction: float = 0.1, value: str = "rel") -> DataFrame:
@@ -27,30 +45,39 @@ def without_outliers(values: DataFrame, pathogen_taxa: DataFrame, fraction: floa
     return values.join(load.orderBy(F.desc("load"), "sample").limit(drop), "sample", "left_anti")
 
 
-def fit_rolling(values: DataFrame, pathogen_taxa: DataFrame, fraction: float = 0.1) -> DataFrame:
-    return fit(without_outliers(values, pathogen_taxa, fraction))
+def fit_rolling(values: DataFrame, pathogen_taxa: DataFrame, fraction: float = 0.1, space: str = "relative") -> DataFrame:
+    """Without the samples of largest pathogen load; taxa that only these have are known to be absent."""
+    return fit_in(without_outliers(values, pathogen_taxa, fraction), space, values.select("taxon"))
 
 
-def fit_controls(values: DataFrame, controls: DataFrame) -> DataFrame:
+def fit_controls(values: DataFrame, controls: DataFrame, space: str = "relative") -> DataFrame:
     """From control samples only. Raises ValueError if there is none of them."""
-    own = values.join(F.broadcast(controls.select("sample").distinct()), "sample", "left_semi")
+    own = values.join(controls.select("sample").distinct(), "sample", "left_semi")
     if own.isEmpty():
         raise ValueError("no control sample in the matrix")
-    return fit(own)
+    return fit_in(own, space, values.select("taxon"))
 
 
-def resolve(values: DataFrame, controls: DataFrame | None = None, history: DataFrame | None = None, prior: DataFrame | None = None, pathogen_taxa: DataFrame | None = None, min_history: int = 8) -> tuple[str, DataFrame]:
-    """The best baseline there is: controls, rolling history (min_history columns), a prior, or the cohort itself."""
+def resolve(values: DataFrame, controls: DataFrame | None = None, history: DataFrame | None = None, prior: DataFrame | None = None, pathogen_taxa: DataFrame | None = None, min_history: int = 8, space: str = "relative") -> tuple[str, DataFrame]:
+    """The best baseline there is, with its space: controls, rolling history (min_history columns), a prior, or the cohort itself. A prior has its own space."""
     if controls is not None and not values.join(controls.select("sample"), "sample", "left_semi").isEmpty():
-        return "controls", fit_controls(values, controls)
-    if history is not None and history.select("sample").distinct().count() >= min_history:
-        return "rolling", fit_rolling(history, pathogen_taxa) if pathogen_taxa is not None else fit(history)
-    if prior is not None:
+        tier, base = "controls", fit_controls(values, controls, space)
+    elif history is not None and history.select("sample").distinct().count() >= min_history:
+        tier, base = "rolling", fit_rolling(history, pathogen_taxa, space=space) if pathogen_taxa is not None else fit_in(history, space)
+    elif prior is not None:
         return "prior", prior
-    return "self", fit(values)
+    else:
+        tier, base = "self", fit_in(values, space)
+    return tier, base.withColumn("space", F.lit(space))
 
 
-def sample_log_ratios(rel: DataFrame, base: DataFrame, pseudocount: float = 1e-6) -> DataFrame:
+def space_of(base: DataFrame, otherwise: str = "relative") -> str:
+    """The space that a baseline carries."""
+    row = base.select("space").first() if "space" in base.columns else None
+    return row["space"] if row and row["space"] else otherwise
+
+
+def sample_log_ratios(rel: DataFrame, base: DataFrame, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
     """rel with `clr`: log-ratios of each sample over the baseline's taxa and those that it brings along itself. A baseline taxon that a sample
     lacks counts as the pseudocount, so it needs no row: how many they are is enough."""
     here = rel.where("rel > 0")
@@ -62,10 +89,13 @@ def sample_log_ratios(rel: DataFrame, base: DataFrame, pseudocount: float = 1e-6
     return in_base.join(sums.select("sample", mean.alias("mean")), "sample").withColumn("clr", F.col("log") - F.col("mean")).drop("log", "mean", "hit")
 
 
-def save(base: DataFrame, root: str, site: str, org: str | None = None, space: str = "relative") -> str:
-    """Writes a baseline (taxon, median, scale) for an organisation's site; one that is there is replaced. Returns its path."""
+def save(base: DataFrame, root: str, site: str, org: str | None = None, space: str | None = None) -> str:
+    """Writes a baseline (taxon, median, scale, with the space that it carries or the one given) for an organisation's site; one that is there
+    is replaced. Returns its path."""
     path = _place(root, site, org)
-    base.select("taxon", "median", "scale", F.lit(space).alias("space")).coalesce(1).write.mode("overwrite").json(path)
+    if space and "space" in base.columns and space_of(base, space) != space:
+        raise ValueError(f"the baseline is in {space_of(base)} space, not {space}")
+    base.select("taxon", "median", "scale", F.lit(space or space_of(base)).alias("space")).coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
@@ -77,6 +107,13 @@ def load(spark: SparkSession, root: str, site: str, org: str | None = None) -> D
     return spark.read.schema("taxon string, median double, scale double, space string").json(at.toString())
 
 
+def load_document(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline in one JSON document: `median` and `scale` by taxon, and `space` (relative, if missing)."""
+    rows = spark.read.schema("median map<string,double>, scale map<string,double>, space string").json(path, multiLine=True)
+    each = rows.select(F.explode("median").alias("taxon", "median"), "scale", F.coalesce("space", F.lit("relative")).alias("space"))
+    return each.select("taxon", "median", F.coalesce(F.try_element_at("scale", "taxon"), F.lit(SCALE_FLOOR)).alias("scale"), "space")
+
+
 def _place(root: str, site: str, org: str | None) -> str:
     if "/" in site or ".." in site or (org and ("/" in org or ".." in org)):
         raise ValueError(f"not a name: {site}, {org}")
@@ -86,6 +123,7 @@ def _place(root: str, site: str, org: str | None) -> str:
 def with_baseline(rel: DataFrame, base: DataFrame, space: str = "relative") -> DataFrame:
     """rel with median and scale; taxa that the baseline lacks get 0 and NOVEL_SCALE, or in log-ratio space the least
     median and the middle scale."""
+    base = base.select("taxon", "median", "scale")
     joined = rel.join(base, "taxon", "left")
     if space == "relative":
         return joined.withColumns({"median": F.coalesce("median", F.lit(0.0)), "scale": F.coalesce("scale", F.lit(NOVEL_SCALE))})

@@ -57,13 +57,20 @@ class History:
         rows = self.table("abundances").where(F.col("taxon") == taxon).join(self.table("runs"), "run_id").select("site", F.struct("run_date", "run_ts", "run_id").alias("t"), F.col("rel_abund").alias("x"))
         return rows.withColumn("place", F.row_number().over(W.partitionBy("site").orderBy(F.desc("t")))).where(F.col("place") <= last).drop("place")
 
-    def abundance_columns(self, last_runs: int = 52, sites: list[str] | None = None) -> DataFrame:
-        """(sample, taxon, rel) of the newest runs, a sample for each run and site."""
-        newest = self.table("runs").orderBy(F.desc("run_date"), F.desc("run_ts"), F.desc("run_id")).limit(last_runs).select("run_id")
-        rows = self.table("abundances").join(newest, "run_id", "left_semi")
-        rows = rows if sites is None else rows.where(F.col("site").isin(sites))
+    def abundance_columns(self, last_runs: int = 26, sites: DataFrame | list[str] | None = None) -> DataFrame:
+        """(sample, taxon, rel) of the newest runs, a sample for each run and site, of all sites or those given (a list, or a table with `site`). A taxon that a
+        sample has no row for has a zero there."""
+        rows = self.table("abundances").join(self.newest(last_runs), "run_id", "left_semi")
+        if isinstance(sites, list):
+            rows = rows.where(F.col("site").isin(sites))
+        elif sites is not None:
+            rows = rows.join(sites.select("site").distinct(), "site", "left_semi")
         return rows.groupBy(F.concat_ws("::", F.col("run_id").cast("string"), "site").alias("sample"), "taxon").agg(F.avg("rel_abund").alias("rel"))
 
+    def newest(self, n: int) -> DataFrame:
+        """The ids of the newest runs."""
+        return self.table("runs").orderBy(F.desc("run_date"), F.desc("run_ts"), F.desc("run_id")).limit(n).select("run_id")
+
     def sites(self) -> DataFrame:
         return self.table("scores").select("site").distinct().orderBy("site")
 

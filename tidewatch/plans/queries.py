@@ -158,14 +158,14 @@ def pathogen_detect(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"WITH {COUNTS}, {BASE} SELECT taxon, round(median, 8) AS median, round(scale, 8) AS scale FROM base")
 def robust_baseline_fit(spark, sf):  # noqa: ANN001, ANN201
-    return baseline.fit(full(spark, sf)).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
+    return baseline.fit(rel(spark, sf)).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
 
 
 @query(f"""WITH {COUNTS}, {DIM}, l AS (SELECT sample, sum(CASE WHEN split_part(taxon, ' ', 1) IN (SELECT genus FROM dim) THEN rel ELSE 0 END) AS load FROM fullrel GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY load DESC, sample) AS i FROM l), kept AS (SELECT sample FROM o WHERE i > greatest(1, round((SELECT count(*) FROM l) * 0.1)))
 SELECT taxon, round(median(rel), 8) AS median, round(greatest(1.4826 * mad(rel), 1e-3), 8) AS scale FROM fullrel SEMI JOIN kept USING (sample) GROUP BY taxon""")
 def rolling_fit_exclude_outliers(spark, sf):  # noqa: ANN001, ANN201
-    values = full(spark, sf)
+    values = rel(spark, sf)
     known = values.select("taxon").distinct().join(F.broadcast(dimension(spark, sf)), C.genus("taxon") == F.col("genus")).select("taxon")
     return baseline.fit_rolling(values, known).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
 
@@ -174,7 +174,24 @@ def rolling_fit_exclude_outliers(spark, sf):  # noqa: ANN001, ANN201
 SELECT taxon, round(median(rel), 8) AS median, round(greatest(1.4826 * mad(rel), 1e-3), 8) AS scale FROM fullrel SEMI JOIN ctl USING (sample) GROUP BY taxon""")
 def controls_fit(spark, sf):  # noqa: ANN001, ANN201
     controls = load(spark, sf, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample"))
-    return baseline.fit_controls(full(spark, sf), controls).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
+    return baseline.fit_controls(rel(spark, sf), controls).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
+
+
+@query(f"""WITH {DIM.split("), det AS")[0]}), c AS (SELECT strftime(l_shipdate, '%Y-%m') AS run, 'S' || l_suppkey % 7 AS site, p_name AS taxon, sum(l_quantity) AS reads FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 7 > 0 GROUP BY ALL),
+nw AS (SELECT run FROM c GROUP BY 1 ORDER BY run DESC LIMIT 6), r AS (SELECT run || '::' || site AS sample, taxon, reads / sum(reads) OVER (PARTITION BY run, site) AS rel FROM c SEMI JOIN nw USING (run)),
+g AS (SELECT sample, taxon, coalesce(rel, 0) AS rel FROM (SELECT DISTINCT sample FROM r) CROSS JOIN (SELECT DISTINCT taxon FROM r) LEFT JOIN r USING (sample, taxon)),
+l AS (SELECT sample, sum(CASE WHEN split_part(taxon, ' ', 1) IN (SELECT genus FROM dim) THEN rel ELSE 0 END) AS load FROM g GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY load DESC, sample) AS i FROM l), kept AS (SELECT sample FROM o WHERE i > greatest(1, round((SELECT count(*) FROM l) * 0.1)))
+SELECT taxon, round(median(rel), 8) AS median, round(greatest(1.4826 * mad(rel), 1e-3), 8) AS scale FROM g SEMI JOIN kept USING (sample) GROUP BY taxon""")
+def history_baseline(spark, sf):  # noqa: ANN001, ANN201
+    """A rolling baseline of the newest six months as runs, a column for each month and site; most taxa are missing from most columns."""
+    rows = load(spark, sf, "lineitem").where("l_suppkey % 7 > 0").join(load(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    recent = rows.select(month.alias("run")).distinct().orderBy(F.desc("run")).limit(6)
+    runs = rows.withColumn("run", month).join(F.broadcast(recent), "run", "left_semi")
+    column = F.concat("run", F.lit("::S"), (F.col("l_suppkey") % 7).cast("string"))
+    past = abundance.normalized(abundance.total_reads(runs.select(column.alias("sample"), F.col("p_name").alias("taxon"), F.col("l_quantity").alias("reads"))))
+    known = past.select("taxon").distinct().join(F.broadcast(dimension(spark, sf)), C.genus("taxon") == F.col("genus")).select("taxon")
+    return baseline.fit_rolling(past, known).select("taxon", F.round("median", 8).alias("median"), F.round("scale", 8).alias("scale"))
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,10 +223,22 @@ scored AS (SELECT *, greatest(elevation + (1 - elevation) * .4 * corroboration,
 def score_relative(spark, sf):  # noqa: ANN001, ANN201
     dim = dimension(spark, sf)
     wires = dim.select("genus", (0.02 + F.col("risk_weight") / 100).alias("min_rel"))
-    out = scoring.score_relative(rel(spark, sf), baseline.fit(full(spark, sf)), dim, wires, _signals(spark, sf))
+    out = scoring.score_relative(rel(spark, sf), baseline.fit(rel(spark, sf)), dim, wires, _signals(spark, sf))
     return out.select("sample", F.round("score", 6).alias("score"), "level", F.round("elevation", 6).alias("elevation"), "driver", "tripwire", F.round("corroboration", 6).alias("corroboration"))
 
 
+@query(f"""WITH {COUNTS}, {DIM}, gc AS (SELECT sample, taxon, rel, ln(rel + 1e-6) - avg(ln(rel + 1e-6)) OVER (PARTITION BY sample) AS v FROM fullrel), base AS (SELECT taxon, median(v) AS median, greatest(1.4826 * mad(v), 1e-3) AS scale FROM gc GROUP BY taxon),
+e AS (SELECT sample, taxon, least(greatest((v - median) / scale, 0), 12) AS z, risk_weight FROM gc JOIN base USING (taxon) JOIN dim ON genus = split_part(taxon, ' ', 1) WHERE rel > 0),
+p AS (SELECT sample, max(z / (z + 2) * (.5 + .5 * risk_weight)) AS elevation, arg_min(taxon, (-(z / (z + 2) * (.5 + .5 * risk_weight)), taxon)) AS driver FROM e GROUP BY 1)
+SELECT sample, round(elevation, 5) AS score, {LEVEL.format('round(elevation, 5)')} AS level, driver FROM p""")
+def score_relative_clr(spark, sf):  # noqa: ANN001, ANN201
+    """Scores in log-ratio space: baseline, samples and squash are those of that space."""
+    own, dim = rel(spark, sf), dimension(spark, sf)
+    base = baseline.fit_in(own, "clr")
+    out = scoring.score_relative(baseline.sample_log_ratios(own, base), base, dim, dim.select("genus", F.lit(2.0).alias("min_rel")), None, "clr", "clr")
+    return out.select("sample", F.round("score", 5).alias("score"), C.risk_level(F.round("score", 5)).alias("level"), "driver")
+
+
 @query(f"WITH {RELATIVE} SELECT {LEVEL.format('score')} AS level, count(*) AS n FROM scored GROUP BY 1")
 def level_counts(spark, sf):  # noqa: ANN001, ANN201
     return score_relative(spark, sf).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
@@ -595,7 +624,7 @@ def embedding_novelty(spark, sf):  # noqa: ANN001, ANN201
 @query(f"""WITH {COUNTS}, {BASE}, b AS (SELECT taxon FROM base WHERE median > .005), pr AS (SELECT sample, taxon, ln(rel + 1e-6) AS l, rel FROM rel WHERE rel > 0), u AS (SELECT sample, sum(l) AS s, count(*) AS m, count(*) FILTER (taxon IN (SELECT taxon FROM b)) AS h FROM pr GROUP BY 1)
 SELECT sample, taxon, round(l - (s + ((SELECT count(*) FROM b) - h) * ln(1e-6)) / (m + (SELECT count(*) FROM b) - h), 6) AS clr FROM pr JOIN u USING (sample)""")
 def clr_sample(spark, sf):  # noqa: ANN001, ANN201
-    base = baseline.fit(full(spark, sf)).where("median > 0.005")
+    base = baseline.fit(rel(spark, sf)).where("median > 0.005")
     return baseline.sample_log_ratios(rel(spark, sf), base).select("sample", "taxon", F.round("clr", 6).alias("clr"))
 
 

@@ -71,12 +71,13 @@ class Config:
         return cls.of(yaml.safe_load(text) or {})
 
 
-def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None, history: History | None = None, controls: DataFrame | None = None, prior: DataFrame | None = None, frozen: DataFrame | None = None, reads: DataFrame | None = None, external: DataFrame | None = None) -> dict[str, DataFrame | str]:
+def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None, history: History | None = None, controls: DataFrame | None = None, prior: DataFrame | None = None, frozen: DataFrame | None = None, reads: DataFrame | None = None, external: DataFrame | None = None, species: DataFrame | None = None) -> dict[str, DataFrame | str]:
     """Scores, detections, network, communities, clusters and what differs between them, outbreaks, annotations, temporal signals, report
     rows and alerts of counts (sample, taxon, reads). Each is a DataFrame; what several of them need is written once. A sample's name is its site in the history.
 
     frozen: a saved baseline, which comes before controls, history and the prior. reads: k-mer novelty of samples joins the cohort's by the
-    larger. external: an outside signal (site, t as a date, value)."""
+    larger. external: an outside signal (site, t as a date, value). species: the same reports at species rank, not filtered, from which lineages
+    are told; without it, names among the counts that are species."""
     config = config or Config()
     kept = cut(abundance.filter_taxa(counts, config.min_prevalence, config.min_total_reads, config.rank_bump))
     rel = cut(abundance.normalized(kept))
@@ -95,11 +96,14 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
         out |= {"edges": edges, "communities": members}
     out["signals"] = signals = cut(signals)
     if config.scorer == "relative":
-        known = full.select("taxon").distinct().join(F.broadcast(pathogens), abundance.genus("taxon") == F.col("genus")).select("taxon")
-        past = history.abundance_columns() if history else None
-        tier, base = ("frozen", frozen) if frozen is not None else baseline.resolve(full, controls, past, prior, known)
-        values = baseline.sample_log_ratios(rel, base) if config.space == "clr" else rel
-        out |= {"baseline_tier": tier, "baseline": base, "scores": scoring.score_relative(values, base, pathogens, tripwires, signals, config.space, "clr" if config.space == "clr" else "rel")}
+        past = history.abundance_columns(2 * config.temporal_window, rel.select(F.col("sample").alias("site"))) if history else None
+        past = cut(past) if past is not None else None
+        known = (past if past is not None else rel).select("taxon").distinct().join(F.broadcast(pathogens), abundance.genus("taxon") == F.col("genus")).select("taxon")
+        tier, base = ("frozen", frozen) if frozen is not None else baseline.resolve(rel, controls, past, prior, known, space=config.space)
+        space = baseline.space_of(base, config.space)  # a saved baseline and a prior have their own
+        base = cut(base)
+        values = baseline.sample_log_ratios(rel, base) if space == "clr" else rel
+        out |= {"baseline_tier": tier, "baseline": base, "space": space, "scores": scoring.score_relative(values, base, pathogens, tripwires, signals, space, "clr" if space == "clr" else "rel")}
     else:
         absolute = scoring.score_absolute(rel, pathogens, signals)
         again = baseline.recalibrated(absolute)
@@ -113,7 +117,7 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
     out |= {
         "detected": found,
         "resistance": scoring.annotate_resistance(found, dims.resistance(spark)).orderBy("sample", F.desc("amr_score"), "genus"),
-        "lineages": scoring.annotate_lineages(rel, dims.lineages(spark)).orderBy("sample", F.desc("weight"), "species"),
+        "lineages": scoring.annotate_lineages(rel if species is None else abundance.normalized(species), dims.lineages(spark)).orderBy("sample", F.desc("weight"), "species"),
         "clusters": clusters,
         "differential": stats.kruskal(full, clusters.select("sample", "label"), alpha=config.alpha).orderBy("p_adj", "taxon"),
         "outbreaks": cluster.outbreak_clusters(distances, alarming, config.outbreak_distance),
@@ -157,7 +161,8 @@ def replay(spark: SparkSession, points: list[tuple[str, str, str]], history: His
         if hpath(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath(path)):
             own = replace(config or Config(with_network=False), run_date=date, min_prevalence=0.0)
             counts = reports(spark, path, own.rank).withColumn("sample", F.lit(site))
-            out = analyse(spark, counts, own, history)
+            species = reports(spark, path, "S").withColumn("sample", F.lit(site))
+            out = analyse(spark, counts, own, history, species=species)
             run_id, _ = record(spark, out, history, own, [path], {"site": site, "date": date})
         done.append((site, date, path, run_id))
     return spark.createDataFrame(done, "site string, date string, path string, run_id long")

@@ -148,9 +148,10 @@ def subsample(reads: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 @dataclass
 class Input:
-    """What a path held: counts, reads, or both."""
+    """What a path held: counts, reads, or both; and its reports' species, whatever the rank of the counts."""
 
     counts: DataFrame | None = None
+    species: DataFrame | None = None
     reads: DataFrame | None = None
     capabilities: set[str] = field(default_factory=set)
 
@@ -178,6 +179,7 @@ def ingest(spark: SparkSession, path: str, rank: str = "G", format: str = "auto"
         single = len(rest) == 1 and not sequences and next(iter(kinds.values())) == "kraken2"
         wide = single and len(spark.read.csv(rest[0], header=True, sep="\t" if rest[0].endswith((".tsv", ".txt")) else ",").columns) >= 3 and not lines(spark, rest).where(r"line rlike '^\\s*[0-9.]+\t[0-9]+\t[0-9]+\t'").limit(1).count()
         out.counts = count_matrix(spark, rest[0]) if wide else reports(spark, rest, rank, format)
+        out.species = None if wide else reports(spark, rest, "S", format)
         if not out.counts.where("reads > 0").isEmpty():
             out.capabilities.add("abundance")
     if not out.capabilities:
