@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tidewatch.llm.alignment import Ends, alignment, byte_letters, op13_alignment, rendered, shared_cuts
+from tidewatch.llm.alignment import Ends, Pieces, alignment, byte_letters, op13_alignment, rendered, shared_cuts
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -81,3 +81,13 @@ def test_bitsets():
         assert left.rank(places).tolist() == np.searchsorted(a, places, side="right").tolist()
     text, ends = rendered(np.array([0, 7, 10, 50257]), np.frombuffer(b",|;,", np.uint8))
     assert text == b"0,7|10;50257," and ends.tolist() == [2, 4, 7, 13]
+
+
+def test_long_texts_in_parts():
+    """Cut anywhere that the model allows, the ids are those of the whole text."""
+    rng, model = random.Random(11), Pieces()
+    for part in (1, 2, 5, 30):
+        model.PART = part
+        for _ in range(300):
+            text = "".join(rng.choice(["a", "the ", " ", "  ", "Zug", ".", "\n", "é", "😀", " x"]) for _ in range(rng.randrange(1, 60)))
+            assert model.encoded(text).tolist() == model.model.encode(text)

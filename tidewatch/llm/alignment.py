@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from .common import fresh, saved, table
 from .packing import Encoder
 
-B_BITS = 20  # ids of B are below 2**20; a pair of ids is one long
+B_BITS, PAIR_BITS = 20, 40  # ids are below 2**20; a pair of ids, and one of a batch's texts, are one long
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,42 +34,49 @@ class ByteLevel(Encoder):
         letters = byte_letters()
         self.bytes = [bytes(letters[c] for c in self.exact.id_to_token(i)) if all(c in letters for c in self.exact.id_to_token(i)) else self.exact.id_to_token(i).encode() for i in range(self.exact.get_vocab_size())]
 
-    def encoded(self, text: str) -> bytes:
-        return self(" " + text)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+
+    def encoded(self, text: str) -> np.ndarray | None:
+        """Ids, or None if they do not give the text back: merges only join bytes, so it is enough that none is missing."""
+        ids = np.frombuffer(self(" " + text), "<u4")
+        return ids if self.sizes[ids].sum() == len(text.encode()) + 1 else None
 
 
 class Pieces:
     """Ids and bytes of a piece model over a text, which puts a space before it.
 
-    No piece has a space after another character, so merges never cross the beginning of a run of spaces: runs with the word after them
-    are encoded apart and kept in a bounded cache. A model with other pieces is called for whole texts."""
+    Where no piece has a space after another character, merges never cross the beginning of a run of spaces, and long texts are
+    encoded a part at a time, cut there."""
 
-    CACHE = 300_000
+    PART = 1 << 16
 
     def __init__(self, name: str = "piece_bpe_32k") -> None:
         import public_tokenizers
-        import regex
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.model, self.whole = model, any("▁" in p.lstrip("▁") for p in pieces)
-        space = np.array([model.piece_to_id("▁")], "<u4").tobytes()
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= Pieces.CACHE:
-                    self.clear()
-                self[word] = out = np.array(model.encode(word[1:]), "<u4").tobytes() if len(word) > 1 else space
-                return out
-
-        self.words, self.split = Words(), regex.compile(r" +[^ ]*").findall
-
-    def encoded(self, text: str) -> bytes:
-        if self.whole or "▁" in text:
-            return np.array(self.model.encode(text), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.split(" " + text))) if text else b""
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.cut = None if any("▁" in p.lstrip("▁") for p in pieces) else re.compile(r"(?<=[^ ]) ")
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text without the spaces at which it is cut; each is what the model puts before a part."""
+        begin = 0
+        while self.cut and len(text) - begin > self.PART and (at := self.cut.search(text, begin + self.PART)):
+            yield text[begin : at.start()]
+            begin = at.end()
+        yield text[begin:]
+
+    def encoded(self, text: str) -> np.ndarray | None:
+        """Ids, or None if they do not give the text back."""
+        out = []
+        for part in self.parts(text):
+            ids = self.model.encode(part) if part else [self.model.piece_to_id("▁")]
+            if b"".join(map(self.bytes.__getitem__, ids)) != b" " + part.encode():
+                return None
+            out.append(np.array(ids, "<u4"))
+        return np.concatenate(out)
 
 
 class Ends:
@@ -125,7 +133,8 @@ def aligned(a: list[np.ndarray], b: list[np.ndarray], a_size: np.ndarray, b_size
     edges = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(n_a + n_b)])]
     view = memoryview(text)
     hashes = [hashlib.sha256(view[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(edges, edges[1:], strict=False)]
-    links, times = np.unique(np.stack([text_of, a_ids[last_a] << B_BITS | b_ids[last_b]]), axis=1, return_counts=True) if len(cuts) > 1 else (np.stack([text_of, a_ids[last_a] << B_BITS | b_ids[last_b]]), np.ones(len(cuts), np.int64))
+    links, times = np.unique(text_of << PAIR_BITS | a_ids[last_a] << B_BITS | b_ids[last_b], return_counts=True)
+    links = np.stack([links >> PAIR_BITS, links & (1 << PAIR_BITS) - 1])
     return [n_a, n_b, n_groups], hashes, links, times
 
 
@@ -137,7 +146,6 @@ def token_links(df: DataFrame, text: str = "text", key: str = "doc_id", a: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ByteLevel(a), Pieces(b)
-        a_size, b_size = (np.array([len(x) for x in s.bytes], np.int64) for s in (first, second))
         none = np.empty(0, "<u4")
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
@@ -145,11 +153,10 @@ def token_links(df: DataFrame, text: str = "text", key: str = "doc_id", a: str =
                 left, right = [], []
                 for t in rows.column("text"):
                     t = t.as_py() or ""
-                    x, y = np.frombuffer(first.encoded(t), "<u4") if t else none, np.frombuffer(second.encoded(t), "<u4")
-                    same = b"".join(map(first.bytes.__getitem__, x)) == b"".join(map(second.bytes.__getitem__, y)) == (b" " + t.encode() if t else b"")
-                    left.append(x if same else none)
-                    right.append(y if same else none)
-                (n_a, n_b, n_groups), hashes, links, times = aligned(left, right, a_size, b_size)
+                    x, y = (first.encoded(t), second.encoded(t)) if t else (none, none)
+                    left.append(none if x is None or y is None else x)
+                    right.append(none if x is None or y is None else y)
+                (n_a, n_b, n_groups), hashes, links, times = aligned(left, right, first.sizes, second.sizes)
                 edges = np.searchsorted(links[0], np.arange(len(left) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v, kind)) for v, kind in ((links[1], pa.int64()), (times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([rows.column("doc"), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_groups)], pa.array(hashes), *lists], names=schema.names)
