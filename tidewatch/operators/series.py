@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.special import normal_pvalue, normal_quantile
+from tidewatch.operators.kendall import trend_statistics
 
 
 def last_points(series: DataFrame, n: int = 52, oldest: bool = False) -> DataFrame:
@@ -66,21 +67,12 @@ def latest(points: DataFrame) -> DataFrame:
 def mann_kendall(series: DataFrame) -> DataFrame:
     """(site, n, s, tau, slope, p_value): Kendall's trend without tie correction, and the median of pairwise slopes.
 
-    Slopes are per step. A site's points are one ordered array, and its pairs are made within that: one exchange, no join.
-    """
-    rows = series.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda p: p["x"]).alias("xs"))
-    rows = rows.withColumn("n", F.size("xs").cast("long"))
-    steps = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.size("xs") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(steps, lambda d: F.zip_with(F.slice("xs", 1, F.size("xs") - d), F.slice("xs", d + 1, F.size("xs") - d), lambda x, y: F.struct((y - x).alias("up"), d.alias("d")))))
-    rows = rows.select("site", "n", pairs.alias("pairs"))
-    slopes = rows.select("site", "n", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.signum(p["up"])).alias("s"), F.array_sort(F.transform("pairs", lambda p: p["up"] / p["d"])).alias("slopes"))
-    half = F.size("slopes") / 2
-    middle = (F.try_element_at("slopes", F.ceil(half).cast("int")) + F.try_element_at("slopes", (F.floor(half) + 1).cast("int"))) / 2
+    Slopes are per step. Points without x are left out; with fewer than four points all but n is 0 (p_value 1)."""
+    few = F.col("n") < 4
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
     z = F.when(F.col("s") > 0, F.col("s") - 1).when(F.col("s") < 0, F.col("s") + 1).otherwise(0.0) / F.sqrt(var)
-    few = F.col("n") < 4
-    out = slopes.withColumn("z", F.when(few, 0.0).otherwise(z))
-    return out.select("site", "n", F.when(few, 0.0).otherwise(F.col("s")).alias("s"), F.when(few, 0.0).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"), F.when(few, 0.0).otherwise(middle).alias("slope"), normal_pvalue("z").alias("p_value"))
+    out = trend_statistics(series).withColumn("z", F.when(few, 0.0).otherwise(z))
+    return out.select("site", "n", F.when(few, 0.0).otherwise(F.col("s")).alias("s"), F.when(few, 0.0).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"), F.when(few, 0.0).otherwise(F.col("slope")).alias("slope"), normal_pvalue("z").alias("p_value"))
 
 
 def holt_forecast(series: DataFrame, alpha: float = 0.3, beta: float = 0.1, steps: int = 1) -> DataFrame:
