@@ -122,15 +122,51 @@ def log_depths(total: float, points: int) -> list[int]:
     return sorted({int(d) for d in np.geomspace(1, total, n)} | {int(total)}) if n > 1 else [1]
 
 
+def beta_inc_all(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """beta_inc of whole arrays, 0 < x < 1: the continued fraction of all of them at once, on the side where it converges fast."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    swap = x >= (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+    nonzero = lambda v: np.where(v == 0, 1e-300, v)
+    c, d = np.ones_like(x), 1 / nonzero(1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / nonzero(1 + term * d)
+            c = nonzero(1 + term / c)
+            out *= c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    part = front * out / a
+    return np.where(swap, 1 - part, part)
+
+
+def correlation_p(rho: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """p of correlations rho of n pairs, by Student's t; 1 where it is undefined."""
+    rho, n = (np.asarray(v, float) for v in np.broadcast_arrays(rho, n))
+    out = np.where(np.isnan(rho) | (n < 3) | (rho == 0), 1.0, 0.0)
+    able = (out == 0) & (np.abs(rho) < 1)
+    if able.any():
+        out[able] = beta_inc_all((n[able] - 2) / 2, np.full(int(able.sum()), 0.5), 1 - rho[able] * rho[able])
+    return out
+
+
+def least_correlation(n: int, alpha: float) -> float:
+    """A correlation of n pairs whose p is alpha (or a little more), so that pairs of smaller correlation have a larger one; 2 where none has."""
+    if n < 3:
+        return 2.0
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if correlation_p(np.array([middle]), np.array([n]))[0] <= alpha else (middle, high)
+    return low * (1 - 1e-9)
+
+
 @F.pandas_udf(DoubleType())
 def t_pvalue(rho: pd.Series, n: pd.Series) -> pd.Series:
     """p of a rank correlation rho of n pairs; 1 where it is undefined."""
-    def one(r: float, m: float) -> float:
-        if r is None or r != r or m < 3:
-            return 1.0
-        return 0.0 if abs(r) >= 1 else student_t_sf2(r * sqrt((m - 2) / (1 - r * r)), m - 2)
-
-    return pd.Series([one(r, m) for r, m in zip(rho, n, strict=True)], dtype=float)
+    return pd.Series(correlation_p(rho.astype(float).to_numpy(), n.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
