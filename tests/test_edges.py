@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import special
-from tidewatch.operators import stats
+from tidewatch.operators import blocks, stats
 
 
 def test_p_values_of_arrays():
@@ -20,12 +20,12 @@ def test_p_values_of_arrays():
     assert special.least_correlation(2, 0.05) == 2.0
 
 
-@pytest.mark.parametrize("blocks", [(256, 4096), (5, 7)])
-def test_block_pairs(spark, blocks):
+@pytest.mark.parametrize("size", [(256, 4096), (5, 7)])
+def test_block_pairs(spark, size):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 13)).round(2)
     df = spark.createDataFrame([(f"r{i}", f"c{k:02}", float(x[i, k])) for i in range(30) for k in range(13)], "r string, c string, v double")
-    got = {(r["a"], r["b"]): r["product"] for r in stats.block_pairs(df, "r", "c", "v", 4.0, *blocks).collect()}
+    got = {(r["a"], r["b"]): r["product"] for r in blocks.strong_pairs(df, "r", "c", "v", 4.0, *size).collect()}
     every = x.T @ x
     want = {(f"c{a:02}", f"c{b:02}"): every[a, b] for a in range(13) for b in range(a + 1, 13) if abs(every[a, b]) >= 4}
     assert got == pytest.approx(want) and 0 < len(got) < 78
@@ -43,3 +43,20 @@ def test_edges_equal_those_of_all_pairs(spark):
         for r in every:
             assert got[r["a"], r["b"]] == pytest.approx((r["rho"], r["p_adj"]), rel=1e-6, abs=1e-12)
     assert stats.cooccurrence(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [(256, 4096), (4, 7)])
+def test_nearest_columns(spark, size):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (30, 23)).astype(float)
+    rows = [(f"r{i}", f"c{k:02}", float(x[i, k])) for i in range(30) for k in range(23) if x[i, k]]
+    df = spark.createDataFrame(rows, "r string, c string, v double")
+    far = np.sqrt(((x[:, :, None] - x[:, None, :]) ** 2).sum(0))
+
+    def plain(queries, others, own):
+        return sorted((f"c{a:02}", f"c{b:02}", round(d, 9)) for a in queries for d, b in sorted((round(far[a, b], 12), b) for b in others if not (own and a == b))[:3])
+
+    shown = lambda got: sorted((r["a"], r["b"], round(r["distance"], 9)) for r in got.collect())
+    assert [d for _, _, d in shown(blocks.nearest_columns(df, None, "r", "c", "v", 3, *size))] == [d for _, _, d in plain(range(23), range(23), True)]
+    got = shown(blocks.nearest_columns(df.where("c < 'c06'"), df.where("c >= 'c06'"), "r", "c", "v", 3, *size))
+    assert [(a, d) for a, _, d in got] == [(a, d) for a, _, d in sorted(plain(range(6), range(6, 23), False))] or sorted((a, d) for a, _, d in got) == sorted((a, d) for a, _, d in plain(range(6), range(6, 23), False))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import clip
 from tidewatch.operators.baseline import cohort_spikes
+from tidewatch.operators.blocks import nearest_columns
+from tidewatch.operators.tables import cut
 
 
 def _average_path(n: int) -> float:
@@ -157,7 +159,7 @@ def kmer_profiles(reads: DataFrame, k: int = 6, alphabet: str = "ACGT", fold: bo
     text = known.decode()
     letter = lambda i: F.substring(F.lit(text), (F.floor(F.col("code") / base ** (k - 1 - i)) % base + 1).cast("int"), F.lit(1))
     whole = sums.where("code = -1").select("sample", F.col("n").alias("n_reads"))
-    return sums.where("code >= 0").join(F.broadcast(whole), "sample").select("sample", F.concat(*[letter(i) for i in range(k)]).alias("kmer"), (F.col("w") / F.col("n_reads")).alias("freq"))
+    return sums.where("code >= 0").join(whole, "sample").select("sample", F.concat(*[letter(i) for i in range(k)]).alias("kmer"), (F.col("w") / F.col("n_reads")).alias("freq"))
 
 
 def fit_kmer_reference(profiles: DataFrame, floor_quantile: float = 0.5) -> DataFrame:
@@ -169,34 +171,33 @@ def fit_kmer_reference(profiles: DataFrame, floor_quantile: float = 0.5) -> Data
     return stats.select("kmer", "mean", "std", (F.col("std") > F.greatest(F.lit(1e-9), floor)).alias("keep"))
 
 
-def standardized(profiles: DataFrame, reference: DataFrame, z_clip: float = 8.0) -> DataFrame:
-    """(sample, kmer, z) of all samples and kept k-mers."""
-    kept = reference.where("keep")
-    grid = profiles.select("sample").distinct().join(F.broadcast(kept))
-    z = (F.coalesce("freq", F.lit(0.0)) - F.col("mean")) / F.col("std")
-    return grid.join(profiles, ["sample", "kmer"], "left").select("sample", "kmer", clip(z, -z_clip, z_clip).alias("z"))
+def above_absence(profiles: DataFrame, reference: DataFrame, z_clip: float = 8.0) -> DataFrame:
+    """(sample, kmer, z) of the kept k-mers that a sample has: its clipped z-score less that of a sample without the k-mer. Distances are those of z-scores, as
+    what all samples have in common cancels out, and k-mers that a sample lacks need no row."""
+    score = lambda x: clip((x - F.col("mean")) / F.col("std"), -z_clip, z_clip)
+    return profiles.join(reference.where("keep"), "kmer").select("sample", "kmer", (score(F.col("freq")) - score(F.lit(0.0))).alias("z"))
 
 
-def neighbour_distance(queries: DataFrame, reference: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """(sample, distance): mean Euclidean distance to the k nearest reference samples; both (sample, kmer, z)."""
-    ref = reference.select(F.col("sample").alias("other"), "kmer", F.col("z").alias("y"))
-    pairs = queries.join(ref, "kmer").groupBy("sample", "other").agg(F.sqrt(F.sum((F.col("z") - F.col("y")) * (F.col("z") - F.col("y")))).alias("d"))
-    if exclude_self:
-        pairs = pairs.where("sample <> other")
-    near = pairs.withColumn("place", F.row_number().over(W.partitionBy("sample").orderBy("d", "other"))).where(F.col("place") <= k)
-    return near.groupBy("sample").agg(F.avg("d").alias("distance"))
+def neighbour_distance(queries: DataFrame, reference: DataFrame | None, k: int = 5) -> DataFrame:
+    """(sample, distance): mean Euclidean distance to the k nearest samples of the reference, or of the others (None); both (sample, kmer, z)."""
+    return nearest_columns(queries, reference, "kmer", "sample", "z", k).groupBy(F.col("a").alias("sample")).agg(F.avg("distance").alias("distance"))
 
 
 def kmer_novelty(queries: DataFrame, background: DataFrame | None = None, k: int = 5) -> DataFrame:
     """(sample, novelty) of k-mer profiles against background ones, or among themselves: distance to the nearest, over the
-    background's own leave-one-out distances (median and three scaled deviations)."""
+    background's own leave-one-out distances (median and three scaled deviations). A sample that has none of the kept k-mers is one without any."""
     base = queries if background is None else background
-    reference = fit_kmer_reference(base)
-    own = standardized(base, reference)
-    inner = neighbour_distance(own, own, k, exclude_self=True)
+    reference = cut(fit_kmer_reference(base))
+
+    def own(profiles: DataFrame) -> DataFrame:
+        found = above_absence(profiles, reference)
+        return found.unionByName(profiles.select("sample").distinct().select("sample", F.lit("").alias("kmer"), F.lit(0.0).alias("z")))
+
+    known = cut(own(base))
+    inner = cut(neighbour_distance(known, None, k))
     middle = inner.agg(F.median("distance").alias("m"))
     spread = inner.join(F.broadcast(middle)).agg(F.max("m").alias("m"), (3 * 1.4826 * F.median(F.abs(F.col("distance") - F.col("m"))) + 1e-9).alias("s"))
-    found = inner if background is None else neighbour_distance(standardized(queries, reference), own, k)
+    found = inner if background is None else neighbour_distance(own(queries), known, k)
     return found.join(F.broadcast(spread)).select("sample", F.round(clip((F.col("distance") - F.col("m")) / (F.col("s") + 1e-9), 0, 1), 4).alias("novelty"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
-from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats, temporal
+from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats, tables, temporal
 from tidewatch.streaming.watch import stream_daily_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,30 +447,44 @@ def iforest_novelty(spark, sf):  # noqa: ANN001, ANN201
     return novelty.cohort_novelty(abundance.clr(full(spark, sf)))
 
 
-KMERS = """r AS (SELECT source AS sample, doc_id, lower(text) AS s FROM documents), e AS (SELECT sample, doc_id, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM r),
-k AS (SELECT sample, doc_id, c || lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS kmer FROM e), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[a-z]{2}')),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM f), n AS (SELECT sample, count(*) AS reads FROM r GROUP BY 1), prof AS (SELECT sample, kmer, sum(CAST(1 AS DOUBLE) / c.n) / any_value(reads) AS freq FROM c JOIN n USING (sample) GROUP BY 1, 2)"""
+def kmers_sql(sample: str, k: int = 6) -> str:
+    """SQL of the profiles of documents' k-letter words, a sample for each value of an expression."""
+    word = " || ".join(["c", *[f"lead(c, {i}) OVER w" for i in range(1, k)]])
+    return f"""r AS (SELECT {sample} AS sample, row_number() OVER () AS id, lower(text) AS s FROM documents), e AS (SELECT sample, id, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM r),
+k AS (SELECT sample, id, {word} AS kmer FROM e WINDOW w AS (PARTITION BY id ORDER BY i)), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[a-z]{{{k}}}')),
+d AS (SELECT sample, id, kmer, count(*) AS c FROM f GROUP BY ALL), c AS (SELECT *, sum(c) OVER (PARTITION BY id) AS n FROM d), n AS (SELECT sample, count(*) AS reads FROM r GROUP BY 1), prof AS (SELECT sample, kmer, sum(c.c / CAST(c.n AS DOUBLE)) / any_value(reads) AS freq FROM c JOIN n USING (sample) GROUP BY 1, 2)"""
 
 
-def _profiles(spark: SparkSession, sf: str) -> DataFrame:
-    reads = load(spark, sf, "documents").select(F.col("source").alias("sample"), F.col("doc_id").alias("read_no"), F.lower("text").alias("seq"))
-    return novelty.kmer_profiles(reads, 2, "a-z", fold=False)
+REFERENCE = """m AS (SELECT kmer, sum(freq) / any_value(n) AS mean, sum(freq * freq) / any_value(n) AS sq FROM base CROSS JOIN (SELECT count(DISTINCT sample) AS n FROM base) GROUP BY 1),
+s AS (SELECT kmer, mean, sqrt(greatest(sq - mean * mean, 0)) AS sd FROM m), fl AS (SELECT greatest(quantile_cont(sd, .5), 1e-9) AS f FROM s WHERE sd > 0), kp AS (SELECT kmer, mean, sd FROM s, fl WHERE sd > f),
+z AS (SELECT a.sample, kp.kmer, least(greatest((coalesce(freq, 0) - mean) / sd, -8), 8) AS z FROM (SELECT DISTINCT sample FROM prof) a CROSS JOIN kp LEFT JOIN prof p ON p.sample = a.sample AND p.kmer = kp.kmer),
+zb AS (SELECT z.* FROM z SEMI JOIN base USING (sample)), ds AS (SELECT x.sample, y.sample AS other, sqrt(sum((x.z - y.z) * (x.z - y.z))) AS d FROM z x JOIN zb y ON x.kmer = y.kmer AND x.sample <> y.sample GROUP BY 1, 2),
+nn AS (SELECT sample, avg(d) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY d, other) AS i FROM ds) WHERE i <= 5 GROUP BY 1),
+own AS (SELECT nn.* FROM nn SEMI JOIN base USING (sample)), cal AS (SELECT median(distance) AS md, 3 * 1.4826 * mad(distance) + 1e-9 AS sc FROM own)
+SELECT sample, round(least(greatest((distance - md) / (sc + 1e-9), 0), 1), 4) AS novelty FROM nn, cal"""
+
+
+def _profiles(spark: SparkSession, sf: str, sample: str = "source", k: int = 6) -> DataFrame:
+    reads = load(spark, sf, "documents").select(F.expr(sample).alias("sample"), F.col("doc_id").alias("read_no"), F.lower("text").alias("seq"))
+    return novelty.kmer_profiles(reads, k, "a-z", fold=False)
 
 
-@query(f"WITH {KMERS} SELECT sample, kmer, round(freq, 8) AS freq FROM prof")
+@query(f"WITH {kmers_sql('source', 4)} SELECT sample, kmer, round(freq, 8) AS freq FROM prof")
 def kmer_profile(spark, sf):  # noqa: ANN001, ANN201
-    return _profiles(spark, sf).select("sample", "kmer", F.round("freq", 8).alias("freq"))
+    return _profiles(spark, sf, k=4).select("sample", "kmer", F.round("freq", 8).alias("freq"))
 
 
-@query(f"""WITH {KMERS}, m AS (SELECT kmer, sum(freq) / any_value(n) AS mean, sum(freq * freq) / any_value(n) AS sq FROM prof CROSS JOIN (SELECT count(DISTINCT sample) AS n FROM prof) GROUP BY 1),
-s AS (SELECT kmer, mean, sqrt(greatest(sq - mean * mean, 0)) AS sd FROM m), fl AS (SELECT greatest(quantile_cont(sd, .5), 1e-9) AS f FROM s WHERE sd > 0), kp AS (SELECT kmer, mean, sd FROM s, fl WHERE sd > f),
-z AS (SELECT a.sample, kp.kmer, least(greatest((coalesce(freq, 0) - mean) / sd, -8), 8) AS z FROM (SELECT DISTINCT sample FROM prof) a CROSS JOIN kp LEFT JOIN prof p ON p.sample = a.sample AND p.kmer = kp.kmer),
-d AS (SELECT x.sample, y.sample AS other, sqrt(sum((x.z - y.z) * (x.z - y.z))) AS d FROM z x JOIN z y ON x.kmer = y.kmer AND x.sample <> y.sample GROUP BY 1, 2),
-nn AS (SELECT sample, avg(d) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY d, other) AS i FROM d) WHERE i <= 5 GROUP BY 1),
-cal AS (SELECT median(distance) AS md, 3 * 1.4826 * mad(distance) + 1e-9 AS sc FROM nn)
-SELECT sample, round(least(greatest((distance - md) / (sc + 1e-9), 0), 1), 4) AS novelty FROM nn, cal""")
+@query(f"WITH {kmers_sql('source')}, base AS (SELECT * FROM prof), {REFERENCE}")
 def kmer_knn_novelty(spark, sf):  # noqa: ANN001, ANN201
-    return novelty.kmer_novelty(_profiles(spark, sf))
+    return novelty.kmer_novelty(tables.cut(_profiles(spark, sf)))
+
+
+@query(f"""WITH {kmers_sql("source || '-' || lang")}, base AS (SELECT * FROM prof WHERE ends_with(sample, '-en')), {REFERENCE} WHERE NOT ends_with(sample, '-en')""")
+def kmer_background_novelty(spark, sf):  # noqa: ANN001, ANN201
+    """Texts of other languages against English ones of all sources."""
+    every = tables.cut(_profiles(spark, sf, "source || '-' || lang"))
+    english = F.endswith("sample", F.lit("-en"))
+    return novelty.kmer_novelty(every.where(~english), every.where(english))
 
 
 @query("""WITH c AS (SELECT label AS code, pos, avg(x) AS c FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2),
