@@ -184,13 +184,16 @@ def aberration(history: list[float], current: float, alpha: float = 0.05, scale:
     return {k: v[0] if k == "note" else bool(v[0]) if k == "alarm" else None if np.isnan(v[0]) else float(v[0]) for k, v in out.items()}
 
 
+MOST_HISTORY = 1040  # twenty years of weeks
+
+
 def aberrations(series: DataFrame, window: int | None = 16, scale: float = 100.0, alpha: float = 0.05, min_history: int = 4, warmup: bool = False) -> DataFrame:
-    """Every point tested against the `window` points before it (None: all before it). warmup: points with fewer than min_history before them get
+    """Every point tested against the `window` points before it (None: all before it, the newest MOST_HISTORY). warmup: points with fewer than min_history before them get
     no expectation, no alarm and the note `warmup`.
 
     A window gathers each point's history; Arrow batches of points then solve all of one length together, so sites of any size share tasks."""
     kind = series.schema["t"].dataType.simpleString()
-    before = W.partitionBy("site").orderBy("t").rowsBetween(W.unboundedPreceding if window is None else -window, -1)
+    before = W.partitionBy("site").orderBy("t").rowsBetween(-(window or MOST_HISTORY), -1)
     rows = series.select("site", "t", F.col("x").cast("double").alias("x"), F.collect_list(F.col("x").cast("double")).over(before).alias("past"))
     schema = f"site string, t {kind}, x double, expected double, threshold double, dispersion double, trend_slope double, z double, exceedance double, alarm boolean, note string"
     digits = {"expected": 6, "threshold": 6, "dispersion": 4, "trend_slope": 5, "z": 4, "exceedance": 4}

@@ -324,9 +324,31 @@ def trend_report(spark, sf):  # noqa: ANN001, ANN201
     return series.trends(points(spark, sf, "user_id")).drop("summary", "sens_slope")
 
 
-@query()
+def fit_sql(name: str, source: str) -> str:
+    """SQL of reweighted least squares of a log-linear Poisson trend through lists y with weights w, as a recursion until the means are still: the CTE
+    `name` has each row's last step."""
+    total = lambda e: f"list_sum(list_transform(range(len(y)), lambda i: {e}))"
+    v, each = "w[i + 1] * exp(eta[i + 1])", "(w[i + 1] * exp(eta[i + 1]) * eta[i + 1] + w[i + 1] * (y[i + 1] - exp(eta[i + 1])))"
+    return f"""{name}_r AS (SELECT site, t, 0 AS k, y, w, list_transform(y, lambda u: ln(u)) AS eta, CAST(0 AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS slope, CAST(1 AS DOUBLE) AS moved FROM {source}
+UNION ALL SELECT site, t, k + 1, y, w, list_transform(range(len(y)), lambda i: lv + sl * i), lv, sl, list_max(list_transform(range(len(y)), lambda i: abs(lv + sl * i - eta[i + 1]))) FROM (
+  SELECT site, t, k, y, w, eta, (s2 * r0 - s1 * r1) / (s0 * s2 - s1 * s1) AS lv, (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) AS sl FROM (
+    SELECT site, t, k, y, w, eta, {total(v)} AS s0, {total(v + " * i")} AS s1, {total(v + " * i * i")} AS s2, {total(each)} AS r0, {total(each + " * i")} AS r1 FROM {name}_r WHERE moved >= 1e-10 AND k < 100))),
+{name} AS (SELECT *, len(y) AS n, greatest(1, {total("w[i + 1] * (y[i + 1] - exp(eta[i + 1])) ** 2 / exp(eta[i + 1])")} / greatest(len(y) - 2, 1)) AS phi, {total(v)} AS s0, {total(v + " * i")} AS s1, {total(v + " * i * i")} AS s2 FROM {name}_r QUALIFY row_number() OVER (PARTITION BY site, t ORDER BY k DESC) = 1)"""
+
+
+FARRINGTON = f"""{points_sql('user_id')}, h AS (SELECT site, t, x * 1.0266940451745 AS x, 100 * (x * 1.0266940451745) AS now, coalesce(list(100 * (x * 1.0266940451745)) OVER (PARTITION BY site ORDER BY t ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING), []) AS y FROM p),
+able AS (SELECT site, t, y, list_transform(y, lambda u: CAST(1 AS DOUBLE)) AS w FROM h WHERE len(y) >= 4 AND list_min(y) < list_max(y)), {fit_sql("f1", "able")},
+again AS (SELECT site, t, y, list_transform(range(n), lambda i: CASE WHEN abs(1.5 * (y[i + 1] ** (2 / 3) - exp(eta[i + 1]) ** (2 / 3)) / exp(eta[i + 1]) ** (1 / 6) / sqrt(phi)) > 2.58 THEN (2.58 / abs(1.5 * (y[i + 1] ** (2 / 3) - exp(eta[i + 1]) ** (2 / 3)) / exp(eta[i + 1]) ** (1 / 6) / sqrt(phi))) ** 2 ELSE CAST(1 AS DOUBLE) END) AS w FROM f1), {fit_sql("f2", "again")},
+g AS (SELECT h.site, h.t, h.x, now, h.y, phi, slope, exp(level + slope * n) AS ex, (s2 - 2 * n * s1 + n * n * s0) / (s0 * s2 - s1 * s1) AS spread FROM h LEFT JOIN f2 ON h.site = f2.site AND h.t = f2.t),
+q AS (SELECT *, 2 / 3 * ex ** (-1 / 3) * sqrt(greatest(phi * ex + ex * ex * spread, 1e-12)) AS sd FROM g),
+o AS (SELECT *, (ex ** (2 / 3) + 1.6448536269514722 * sd) ** 1.5 AS lim, (now ** (2 / 3) - ex ** (2 / 3)) / (sd + 1e-12) AS z, coalesce(list_avg(y), 0) AS m FROM q)"""
+
+
+@query(f"""WITH RECURSIVE {FARRINGTON} SELECT site, t, round(x, 6) AS x, round(coalesce(ex, m) / 100, 6) AS expected, round(coalesce(lim, 1.5 * m + 1e-6) / 100, 6) AS threshold, round(phi, 4) AS dispersion, round(slope, 5) AS trend_slope, round(coalesce(z, 0), 4) AS z,
+  round(coalesce(greatest(z, 0) / (greatest(z, 0) + 2), 0), 4) AS exceedance, now > coalesce(lim, 1.5 * m + 1e-6) AS alarm, CASE WHEN ex IS NULL THEN 'insufficient or flat history' ELSE 'ok' END AS note FROM o""")
 def farrington(spark, sf):  # noqa: ANN001, ANN201
-    return series.aberrations(points(spark, sf, "user_id"))
+    """Every user's day against a trend of the days before; the factor keeps values off the ties of rounding."""
+    return series.aberrations(points(spark, sf, "user_id").withColumn("x", F.col("x") * 1.0266940451745)).withColumn("x", F.round("x", 6))
 
 
 SHORT = f"""{points_sql('user_id')}, w AS (SELECT site, t, x * 1.0266940451745 AS x, coalesce(avg(x * 1.0266940451745) OVER b, 0) AS m FROM p WINDOW b AS (PARTITION BY site ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
