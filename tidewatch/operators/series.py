@@ -184,6 +184,23 @@ def aberration(history: list[float], current: float, alpha: float = 0.05, scale:
     return {k: v[0] if k == "note" else bool(v[0]) if k == "alarm" else None if np.isnan(v[0]) else float(v[0]) for k, v in out.items()}
 
 
+DIGITS = {"expected": 6, "threshold": 6, "dispersion": 4, "trend_slope": 5, "z": 4, "exceedance": 4}
+
+
+def aberrations_each(flat: np.ndarray, size: np.ndarray, x: np.ndarray, alpha: float = 0.05, scale: float = 1.0, min_history: int = 4, warmup: bool = False) -> dict[str, np.ndarray]:
+    """aberrations_of values whose histories, of any lengths, lie one after another in flat; rounded. All of one length are solved together."""
+    begin = np.cumsum(size) - size
+    out = {k: np.full(len(x), np.nan) for k in RESULTS[:-2]} | {"alarm": np.zeros(len(x), bool), "note": np.full(len(x), "warmup", object)}
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        if warmup and n < min_history:
+            out["z"][at] = out["exceedance"][at] = 0.0
+            continue
+        for k, v in aberrations_of(flat[begin[at][:, None] + np.arange(n)], x[at], alpha, scale, min_history).items():
+            out[k][at] = np.round(v, DIGITS[k]) if k in DIGITS else v
+    return out
+
+
 MOST_HISTORY = 1040  # twenty years of weeks
 
 
@@ -196,21 +213,11 @@ def aberrations(series: DataFrame, window: int | None = 16, scale: float = 100.0
     before = W.partitionBy("site").orderBy("t").rowsBetween(-(window or MOST_HISTORY), -1)
     rows = series.select("site", "t", F.col("x").cast("double").alias("x"), F.collect_list(F.col("x").cast("double")).over(before).alias("past"))
     schema = f"site string, t {kind}, x double, expected double, threshold double, dispersion double, trend_slope double, z double, exceedance double, alarm boolean, note string"
-    digits = {"expected": 6, "threshold": 6, "dispersion": 4, "trend_slope": 5, "z": 4, "exceedance": 4}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            past = b.column("past")
-            flat, size, x = past.flatten().to_numpy(zero_copy_only=False), past.value_lengths().to_numpy(zero_copy_only=False), b.column("x").to_numpy(zero_copy_only=False)
-            begin = np.cumsum(size) - size
-            out = {k: np.full(len(x), np.nan) for k in RESULTS[:-2]} | {"alarm": np.zeros(len(x), bool), "note": np.full(len(x), "warmup", object)}
-            for n in np.unique(size):
-                at = np.flatnonzero(size == n)
-                if warmup and n < min_history:
-                    out["z"][at] = out["exceedance"][at] = 0.0
-                    continue
-                for k, v in aberrations_of(flat[begin[at][:, None] + np.arange(n)], x[at], alpha, scale, min_history).items():
-                    out[k][at] = np.round(v, digits[k]) if k in digits else v
+            past, x = b.column("past"), b.column("x").to_numpy(zero_copy_only=False)
+            out = aberrations_each(past.flatten().to_numpy(zero_copy_only=False), past.value_lengths().to_numpy(zero_copy_only=False), x, alpha, scale, min_history, warmup)
             yield pa.RecordBatch.from_arrays([b.column("site"), b.column("t"), b.column("x"), *[pa.array(out[k], from_pandas=True) for k in RESULTS]], names=["site", "t", "x", *RESULTS])
 
     return rows.mapInArrow(run, schema)

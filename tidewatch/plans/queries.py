@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats, tables, temporal
+from tidewatch.streaming.signals import started, streamed_signals
 from tidewatch.streaming.watch import stream_daily_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,6 +647,22 @@ def stream_watch_available_now(spark, sf):  # noqa: ANN001, ANN201
     return spark.table(name).select("site", F.date_format("t", "yyyy-MM-dd").alias("t"), F.round("x", 6).alias("x"), "n")
 
 
+@query(f"""WITH RECURSIVE {FARRINGTON}, rz AS (SELECT site, t, x, row_number() OVER s AS i, count(*) OVER b AS n, avg(x) OVER b AS m, stddev_samp(x) OVER b AS sd FROM h WINDOW s AS (PARTITION BY site ORDER BY t), b AS (PARTITION BY site ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+cb AS (SELECT *, avg(CASE WHEN i <= 8 THEN x END) OVER (PARTITION BY site) AS bm, coalesce(nullif(stddev_samp(CASE WHEN i <= 8 THEN x END) OVER (PARTITION BY site), 0), 1) AS bs FROM rz),
+up AS (SELECT *, sum(CASE WHEN i > 8 THEN (x - bm) / bs - .5 ELSE 0 END) OVER (PARTITION BY site ORDER BY i) AS u FROM cb), cs AS (SELECT *, u - least(0, min(u) OVER (PARTITION BY site ORDER BY i)) AS c FROM up)
+SELECT cs.site, cs.t, round(CASE WHEN n < 2 THEN 0 ELSE (cs.x - cs.m) / (cs.sd + 1e-10) END, 6) AS z_score, round(c, 5) AS cusum, c > 4 AS cusum_alert, round(coalesce(ex, o.m) / 100, 6) AS expected, round(coalesce(lim, 1.5 * o.m + 1e-6) / 100, 6) AS threshold, round(coalesce(greatest(z, 0) / (greatest(z, 0) + 2), 0), 4) AS exceedance,
+  now > coalesce(lim, 1.5 * o.m + 1e-6) AS alarm, CASE WHEN ex IS NULL THEN 'insufficient or flat history' ELSE 'ok' END AS note FROM cs JOIN o ON cs.site = o.site AND cs.t = o.t""")
+def stream_signals(spark, sf):  # noqa: ANN001, ANN201
+    """Rolling z, CUSUM and Farrington's test of each user's day, from a stream with state; written and read as a table."""
+    line = points(spark, sf, "user_id").select("site", F.to_timestamp("t", "yyyy-MM-dd").alias("t"), (F.col("x") * 1.0266940451745).alias("x"))
+    path = tables.new_path(spark)
+    line.write.parquet(f"{path}/in")
+    source = spark.readStream.schema("site string, t timestamp, x double").parquet(f"{path}/in")
+    started(streamed_signals(source, "3650 days"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("site", F.date_format("t", "yyyy-MM-dd").alias("t"), F.round("z_score", 6).alias("z_score"), F.round("cusum", 5).alias("cusum"), "cusum_alert", "expected", "threshold", "exceedance", "alarm", "note")
+
+
 @query("SELECT array_to_string(list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda i: substr('ACGT', i + 1, 1)), '') AS kmer, CAST(k AS INTEGER) AS index FROM (SELECT unnest(range(0, 256)) AS k)")
 def kmer_vocabulary(spark, sf):  # noqa: ANN001, ANN201
     return novelty.kmer_vocabulary(spark, 4)
