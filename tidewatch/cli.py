@@ -1,4 +1,4 @@
-"""Command line: run, summary, benchmark, validate, plan, lineage, characterize, watch, verify."""
+"""Command line: run, watch, show, summary, benchmark, validate, plan, lineage, characterize, verify."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_path(spark: SparkSession, path: str, out_dir: str, config: object, history_root: str | None = None, site: str | None = None, frozen: str | None = None, external: str | None = None, prior: str | None = None) -> dict:
-    """Analyses what a path holds; writes report, CSV, alerts and manifest to out_dir and, with a history, records the run."""
+def run_path(spark: SparkSession, path: str, out_dir: str, config: object, history_root: str | None = None, site: str | None = None, frozen: str | None = None, external: str | None = None, prior: str | None = None, channels: dict | None = None) -> dict:
+    """Analyses what a path holds; writes report (JSON and a page), CSV, alerts and manifest to out_dir, sends alerts through the channels (those of the
+    settings, if none are given; one that fails is reported, and the run goes on) and, with a history, records the run."""
     from tidewatch.operators import baseline
     from tidewatch.operators.history import History
     from tidewatch.plans.run import analyse, record
@@ -26,6 +27,8 @@ def run_path(spark: SparkSession, path: str, out_dir: str, config: object, histo
     text = outputs.report_document(out["report"], {"input": path, "rank": config.rank, "run_date": config.run_date or ""}).first()["json"]
     store = outputs.Storage(spark, out_dir)
     store.put_bytes("report.json", text.encode())
+    store.put_bytes("report.html", outputs.write_html(out["report"]).encode())
+    sent = outputs.dispatch(out["alerts"], channels if channels is not None else outputs.channels_of(config.alert_channels, config.run_date or ""))
     outputs.csv_rows(out["report"], config.run_date or "").coalesce(1).write.mode("overwrite").csv(f"{out_dir}/csv", header=True)
     out["alerts"].coalesce(1).write.mode("overwrite").json(f"{out_dir}/alerts")
     if history:
@@ -34,7 +37,7 @@ def run_path(spark: SparkSession, path: str, out_dir: str, config: object, histo
         run_id, made = None, outputs.manifest(spark, path, {}, json.loads(text))
     store.put_bytes("manifest.json", json.dumps(made, default=str).encode())
     store.point("latest", "report.json")
-    return {"run_id": run_id, "report": f"{out_dir}/report.json"}
+    return {"run_id": run_id, "report": f"{out_dir}/report.json", "sent": sent}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -69,6 +72,11 @@ def main(argv: list[str] | None = None) -> int:
     lineage = sub.add_parser("lineage", help="species of a report with their context")
     lineage.add_argument("report")
     lineage.add_argument("--threshold", type=float, default=0.001)
+    show = sub.add_parser("show", help="what a recorded run left about a site")
+    show.add_argument("what", choices=["history", "pathogens", "cusum", "resistance", "curve", "network", "communities", "clusters", "outbreaks"])
+    show.add_argument("--history", required=True)
+    show.add_argument("--site")
+    show.add_argument("--run", type=int)
     shape = sub.add_parser("characterize", help="confidence and risk of predicted structures (PDB files)")
     shape.add_argument("path")
     check = sub.add_parser("verify", help="check a manifest against its files and report")
@@ -113,6 +121,25 @@ def main(argv: list[str] | None = None) -> int:
 
         found = annotate_lineages(normalized(reports(spark, args.report, "S")), lineages(spark), args.threshold)
         found.select("species", F.round("rel", 4).alias("share"), "who_label", "n_variants").orderBy(F.desc("share"), "species").show(100, truncate=False)
+    elif args.command == "show":
+        from tidewatch.operators.history import History
+
+        history = History(spark, args.history)
+        kinds = {"communities": "community", "clusters": "cluster"}
+        if args.what in ("history", "pathogens", "cusum", "resistance", "curve") and not args.site:
+            raise SystemExit("which site?")
+        if args.what == "history":
+            rows = history.series(site=args.site).select("site", "t.run_date", "x").orderBy("run_date")
+        elif args.what == "network":
+            rows = history.network(args.run)
+        elif args.what == "outbreaks":
+            rows = history.outbreaks(args.run)
+        elif args.what in kinds:
+            rows = history.members(kinds[args.what], args.run)
+        else:
+            rows = getattr(history, args.what)(args.site, args.run)
+        for line in rows.toJSON().toLocalIterator():
+            print(line)
     elif args.command == "characterize":
         from tidewatch.operators.characterize import risk_tiers, structure_confidence
         from tidewatch.sources.reports import lines

@@ -179,11 +179,6 @@ def chi2_pvalue(h: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(x, d) for x, d in zip(h, df, strict=True)], dtype=float)
 
 
-@F.pandas_udf(DoubleType())
-def richness_at(counts: pd.Series, depth: pd.Series) -> pd.Series:
-    return pd.Series([expected_richness(c, d) for c, d in zip(counts, depth, strict=True)], dtype=float)
-
-
 def required_rate(confidence: float, min_reads: int) -> float:
     """Least Poisson mean at which min_reads or more are seen with this confidence."""
     low, high = 1e-9, 1e9

@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import poisson_power
-from tidewatch.functions.special import log_depths, poisson_cdf, required_rate, richness_at, whole_depth
+from tidewatch.functions.special import log_depths, log_gamma, poisson_cdf, required_rate, whole_depth
 
 
-def rarefaction(counts: DataFrame, points: int = 20) -> DataFrame:
-    """(sample, depth, richness) at depths from 1 read to all, evenly spaced in the logarithm."""
+VALUES = 1 << 12  # distinct counts of a sample held against its depths at once
+
+
+def _expected(values: np.ndarray, times: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """Expected number of taxa among each of the depths reads drawn without replacement, values being counts of reads and times how many taxa have each."""
+    total = float((values * times).sum())
+    m = np.minimum(depths.astype(float), np.floor(total))
+    missing = np.zeros(len(m))
+    for k in range(0, len(values), VALUES):
+        rest = total - values[k : k + VALUES, None]
+        possible = rest >= m
+        safe = np.where(possible, rest - m, 0.0)
+        log = log_gamma(rest + 1) - log_gamma(safe + 1) - log_gamma(np.array([total + 1])) + log_gamma(total - m + 1)
+        missing += (np.where(possible, np.exp(np.where(possible, log, 0.0)), 0.0) * times[k : k + VALUES, None]).sum(0)
+    return np.where(m > 0, times.sum() - missing, 0.0)
+
 
-    @F.pandas_udf("array<bigint>")
-    def depths(total: pd.Series) -> pd.Series:
-        return total.map(lambda n: log_depths(n, points))
+def _curves(counts: DataFrame, depths: Callable[[float], list[int]]) -> DataFrame:
+    """(sample, depth, richness) at a sample's depths, all of them in one step from how many taxa have each count of reads."""
+    times = counts.where("reads > 0").groupBy("sample", F.col("reads").cast("double").alias("reads")).agg(F.count(F.lit(1)).cast("double").alias("times"))
+    each = times.groupBy("sample").agg(F.collect_list(F.struct("reads", "times")).alias("counts"))
 
-    each = counts.where("reads > 0").groupBy("sample").agg(F.sum("reads").alias("total"), F.collect_list("reads").alias("reads"))
-    return each.select("sample", "reads", F.explode(depths("total")).alias("depth")).select("sample", "depth", richness_at("reads", "depth").alias("richness"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("counts")
+            flat, size = rows.flatten(), rows.value_lengths().to_numpy(zero_copy_only=False)
+            values, many = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("reads", "times"))
+            end = np.cumsum(size)
+            at, found, place = [], [], []
+            for i, (s, e) in enumerate(zip(end - size, end, strict=True)):
+                own = np.array(depths(float((values[s:e] * many[s:e]).sum())), np.int64)
+                at.append(own)
+                found.append(_expected(values[s:e], many[s:e], own))
+                place += [i] * len(own)
+            join = lambda x, t: np.concatenate([*x, np.empty(0, t)])
+            yield pa.RecordBatch.from_arrays([b.column("sample").take(pa.array(place, pa.int64())), pa.array(join(at, np.int64)), pa.array(join(found, float))], names=["sample", "depth", "richness"])
+
+    return each.mapInArrow(run, f"sample {counts.schema['sample'].dataType.simpleString()}, depth long, richness double")
+
+
+def rarefaction(counts: DataFrame, points: int = 20) -> DataFrame:
+    """(sample, depth, richness) at depths from 1 read to all, evenly spaced in the logarithm."""
+    return _curves(counts, lambda total: log_depths(total, points))
 
 
 def richness(counts: DataFrame, depths: list[int]) -> DataFrame:
-    """(sample, depth, richness) at the given depths."""
-    each = counts.where("reads > 0").groupBy("sample").agg(F.collect_list("reads").alias("reads"))
-    at = each.withColumn("depth", F.explode(F.array(*[F.lit(d).cast("long") for d in sorted(set(depths))])))
-    return at.select("sample", "depth", richness_at("reads", "depth").alias("richness"))
+    """(sample, depth, richness) at the given depths; beyond a sample's reads its richness stays."""
+    return _curves(counts, lambda _: sorted(set(depths)))
 
 
 @dataclass(frozen=True)

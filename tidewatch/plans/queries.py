@@ -570,6 +570,13 @@ def rarefaction(spark, sf):  # noqa: ANN001, ANN201
     return planning.richness(counts(spark, sf), [10, 100, 1000]).withColumn("richness", F.round("richness", 4))
 
 
+@query("""WITH c AS (SELECT l_suppkey AS k, p_name AS taxon, CAST(sum(l_quantity) AS DOUBLE) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), n AS (SELECT k, sum(x) AS n, count(*) AS s FROM c GROUP BY 1),
+d AS (SELECT DISTINCT k, depth FROM (SELECT k, unnest(list_append(list_transform(range(0, 19), lambda i: CAST(floor(exp(ln(n) * i / 19)) AS BIGINT)), CAST(n AS BIGINT))) AS depth FROM n) WHERE depth >= 1)
+SELECT 'S' || k AS sample, depth, round(any_value(s) - coalesce(sum(exp(lgamma(n - x + 1) - lgamma(n - x - depth + 1) - lgamma(n + 1) + lgamma(n - depth + 1))) FILTER (n - x >= depth), 0), 4) AS richness FROM c JOIN n USING (k) JOIN d USING (k) GROUP BY k, depth""")
+def rarefaction_curve(spark, sf):  # noqa: ANN001, ANN201
+    return planning.rarefaction(counts(spark, sf)).withColumn("richness", F.round("richness", 4))
+
+
 @query("SELECT p_partkey, round(1 - exp(-p_retailprice / 500) * (1 + p_retailprice / 500 + p_retailprice / 500 * p_retailprice / 500 / 2), 8) AS power FROM part")
 def poisson_plan(spark, sf):  # noqa: ANN001, ANN201
     return load(spark, sf, "part").select("p_partkey", F.round(C.poisson_power(F.col("p_retailprice") / 500, 3), 8).alias("power"))

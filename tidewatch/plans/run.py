@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import abundance, baseline, cluster, graph, novelty, scoring, series, stats, temporal
+from tidewatch.operators import abundance, baseline, cluster, graph, novelty, planning, scoring, series, stats, temporal
 from tidewatch.operators.history import History
 from tidewatch.operators.tables import cut
 from tidewatch.sinks import outputs
@@ -42,6 +42,13 @@ class Config:
     output_dir: str = "./reports"
     alert_email: bool = False
     alert_slack: bool = False
+    channels: dict = field(default_factory=dict)  # of each channel, what its section of the settings says
+
+    @property
+    def alert_channels(self) -> dict:
+        """The sections of the channels that are on."""
+        return {name: self.channels.get(name, {}) for name, on in (("email", self.alert_email), ("slack", self.alert_slack)) if on}
+
 
     @classmethod
     def of(cls, values: dict) -> Config:
@@ -49,7 +56,7 @@ class Config:
         flat: dict = {}
         for name, v in values.items():
             if name == "alerting":
-                flat |= {f"alert_{channel}": bool((v.get(channel) or {}).get("enabled")) for channel in ("email", "slack")}
+                flat |= {f"alert_{channel}": bool((v.get(channel) or {}).get("enabled")) for channel in ("email", "slack")} | {"channels": {c: dict(x or {}) for c, x in v.items()}}
             elif isinstance(v, dict):
                 flat |= {SECTIONS.get((name, k), k): x for k, x in v.items()}
             else:
@@ -79,12 +86,13 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
     larger. external: an outside signal (site, t as a date, value). species: the same reports at species rank, not filtered, from which lineages
     are told; without it, names among the counts that are species."""
     config = config or Config()
+    curves = planning.rarefaction(counts).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("depth", F.round("richness", 4).alias("richness")))).alias("points"))
     kept = cut(abundance.filter_taxa(counts, config.min_prevalence, config.min_total_reads, config.rank_bump))
     rel = cut(abundance.normalized(kept))
     full = cut(abundance.normalized(abundance.dense(kept)))
     ratio = abundance.clr(full)
     pathogens, tripwires = dims.pathogens(spark), dims.tripwires(spark)
-    out: dict[str, DataFrame | str] = {"config": str(asdict(config)), "rel": rel}
+    out: dict[str, DataFrame | str] = {"config": str(asdict(config)), "rel": rel, "curves": curves}
     signals = novelty.cohort_novelty(ratio, trees=config.trees)
     if reads is not None:
         signals = novelty.fused_novelty(signals, novelty.kmer_novelty(novelty.kmer_profiles(reads)))
@@ -137,6 +145,20 @@ def analyse(spark: SparkSession, counts: DataFrame, config: Config | None = None
     return out
 
 
+def documents(out: dict) -> DataFrame:
+    """(kind, site, body) of what a run leaves to be looked up: samples of the report, edges, communities, clusters, outbreaks and rarefaction curves."""
+    body = lambda df: F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    parts = [out["report"].select(F.lit("sample").alias("kind"), F.col("sample").alias("site"), body(out["report"]).alias("body"))]
+    for kind, name, site in (("edge", "edges", "a"), ("community", "communities", "taxon"), ("cluster", "clusters", "sample"), ("outbreak", "outbreaks", "cluster"), ("curve", "curves", "sample")):
+        if name in out:
+            df = out[name]
+            parts.append(df.select(F.lit(kind).alias("kind"), F.col(site).cast("string").alias("site"), body(df).alias("body")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
 def record(spark: SparkSession, out: dict, history: History, config: Config, paths: list[str], document: dict, notes: str = "") -> tuple[int, dict]:
     """Writes a run's scores and abundances to the history, and returns its id and manifest: hashes of the inputs, the settings and the report."""
     made = outputs.manifest(spark, paths, asdict(config), document)
@@ -144,7 +166,7 @@ def record(spark: SparkSession, out: dict, history: History, config: Config, pat
     scores = out["scores"].join(found, "sample", "left").join(out["signals"].select("sample", *[F.col(c).alias(f"{c}_signal") for c in ("novelty", "community") if c in out["signals"].columns]), "sample", "left")
     rows = scores.select(F.col("sample").alias("site"), F.col("score").alias("risk_score"), F.col("level").alias("risk_level"), F.col("top.taxon").alias("top_pathogen"), F.col("top.abundance").alias("top_pathogen_abund"), *[c for c in ("abundance_score", "novelty_signal", "community_signal") if c in scores.columns])
     run = {"run_date": dt.date.fromisoformat(config.run_date) if config.run_date else dt.date.today(), "run_ts": dt.datetime.now(dt.UTC).replace(tzinfo=None), "input_path": ",".join(paths), "notes": notes, "engine_version": "1", "input_hash": made["input_hash"], "config_hash": made["config_hash"]}
-    return history.record(run, rows, out["rel"].select(F.col("sample").alias("site"), "taxon", F.col("rel").alias("rel_abund"))), made
+    return history.record(run, rows, out["rel"].select(F.col("sample").alias("site"), "taxon", F.col("rel").alias("rel_abund")), documents(out)), made
 
 
 def replay(spark: SparkSession, points: list[tuple[str, str, str]], history: History, config: Config | None = None) -> DataFrame:

@@ -191,6 +191,23 @@ def hook_channel(url: str, run_date: str = "") -> Callable[[list[dict]], bool]:
     return send
 
 
+def channels_of(sections: dict[str, dict], run_date: str = "") -> dict[str, Callable[[list[dict]], bool]]:
+    """The channels of a settings file's sections: `email` (smtp_host, smtp_port, user, sender, recipients) and `slack` (webhook_url). Secrets may be named by
+    the environment variables that hold them (password_env, webhook_env)."""
+    import os
+
+    out = {}
+    if "email" in sections:
+        own = sections["email"]
+        to = own.get("recipients") or own.get("to") or []
+        password = os.environ.get(own.get("password_env", ""), own.get("password", ""))
+        out["email"] = mail_channel(own.get("smtp_host", ""), int(own.get("smtp_port", 587)), own.get("user", ""), password, own.get("sender", own.get("user", "")), [to] if isinstance(to, str) else list(to), run_date)
+    if "slack" in sections:
+        own = sections["slack"]
+        out["slack"] = hook_channel(os.environ.get(own.get("webhook_env", ""), own.get("webhook_url", "")), run_date)
+    return out
+
+
 def dispatch(alerts: DataFrame, channels: dict[str, Callable[[list[dict]], bool]]) -> dict[str, bool]:
     """Sends alerts (one row for each sample that a rule fired for) through each channel; nothing for none. A channel that fails is False and
     does not keep the others from being used."""
