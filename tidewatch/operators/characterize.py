@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import keyword_hits, lat_lon
+from tidewatch.operators.words import longest_word
 
 # Words that mark a protein title.
 VIRULENCE_KEYWORDS = [
@@ -30,11 +31,12 @@ def risk_tiers(proteins: DataFrame, keywords: list[str] = VIRULENCE_KEYWORDS) ->
 
 def located(samples: DataFrame, places: DataFrame) -> DataFrame:
     """samples (sample, lat_lon, place) with lat and lon: those that are written, else those of the longest name of places
-    (name, lat, lon; a small gazetteer) that the place contains."""
+    (name, lat, lon; names in lower case) that the place contains. Different places are searched once, for all names in one pass."""
     own = samples.withColumn("own", lat_lon(F.col("lat_lon")))
-    hit = own.join(F.broadcast(places.select("name", F.struct("lat", "lon").alias("there"))), F.contains(F.lower("place"), F.col("name")), "left")
-    best = hit.groupBy("sample").agg(F.max_by("there", F.struct(F.length("name"), "name")).alias("there"))
-    out = own.join(best, "sample").withColumn("at", F.coalesce("own", "there"))
+    search = own.where("own is null").select(F.col("place").alias("text"))
+    hit = longest_word(search, places.select(F.col("name").alias("word"))).withColumnRenamed("text", "place")
+    there = hit.join(places.select(F.lower("name").alias("word"), F.struct("lat", "lon").alias("there")), "word").select("place", "there")
+    out = own.join(there, "place", "left").withColumn("at", F.coalesce("own", "there"))
     return out.select("sample", "place", F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"))
 
 

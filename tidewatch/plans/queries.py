@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
-from tidewatch.operators import abundance, baseline, cluster, graph, metrics, novelty, planning, scoring, series, stats, tables, temporal
+from tidewatch.operators import abundance, baseline, characterize, cluster, graph, metrics, novelty, planning, scoring, series, stats, tables, temporal
 from tidewatch.streaming.signals import started, streamed_signals
 from tidewatch.streaming.watch import stream_daily_scores
 
@@ -745,3 +745,95 @@ def synthetic_benchmark(spark, sf):  # noqa: ANN001, ANN201
     from tidewatch.synth import benchmark
 
     return benchmark(spark)
+
+
+MEMBERS = f"""{COUNTS}, {DIM}, mb AS (SELECT DISTINCT p_name AS taxon, length(p_name) % 5 AS label FROM part), fl AS (SELECT label FROM mb LEFT JOIN dim ON genus = split_part(taxon, ' ', 1) GROUP BY 1 HAVING avg(CASE WHEN genus IS NULL THEN 0 ELSE 1 END) >= .75)"""
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select(F.col("p_name").alias("taxon"), (F.length("p_name") % 5).alias("label")).distinct()
+
+
+@query(f"WITH {MEMBERS} SELECT label FROM fl")
+def pathogen_communities(spark, sf):  # noqa: ANN001, ANN201
+    """Communities (by length of name) in which known genera are enriched."""
+    return scoring.pathogen_communities(_members(spark, sf), dimension(spark, sf), 0.75)
+
+
+@query(f"WITH {MEMBERS} SELECT sample, CASE WHEN avg(CASE WHEN fl.label IS NULL THEN 0 ELSE 1 END) >= .6 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS community FROM rel JOIN mb USING (taxon) LEFT JOIN fl USING (label) WHERE rel > 0 GROUP BY 1")
+def community_share(spark, sf):  # noqa: ANN001, ANN201
+    """Samples of whose taxa most are in such a community."""
+    members = _members(spark, sf)
+    return scoring.community_signal(rel(spark, sf), members, scoring.pathogen_communities(members, dimension(spark, sf), 0.75), 0.6)
+
+
+@query(f"""WITH {COUNTS}, {DIM}, rs AS (SELECT split_part(p_name, ' ', 1) AS genus, CASE WHEN min(p_size) < 2 THEN 'critical' WHEN min(p_partkey) % 2 = 0 THEN 'high' ELSE 'medium' END AS priority, count(DISTINCT p_size) % 7 AS n FROM part GROUP BY 1),
+f AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY sample, genus ORDER BY contribution DESC, taxon) = 1)
+SELECT sample, genus, taxon, priority, round(.6 * CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN .7 ELSE .4 END + .2 * least(n / 5, 1) + .2 * rel, 4) AS amr_score FROM f JOIN rs USING (genus)""")
+def resistance_annotation(spark, sf):  # noqa: ANN001, ANN201
+    """The first detection of each genus in a sample, with the genus's resistance."""
+    priority = F.when(F.min("p_size") < 2, "critical").when(F.min("p_partkey") % 2 == 0, "high").otherwise("medium")
+    known = load(spark, sf, "part").groupBy(C.genus("p_name").alias("genus")).agg(priority.alias("priority"), (F.count_distinct("p_size") % 7).alias("n_resistances"))
+    out = scoring.annotate_resistance(scoring.detected(rel(spark, sf), dimension(spark, sf)), known)
+    return out.select("sample", "genus", "taxon", "priority", "amr_score")
+
+
+@query(f"""WITH {COUNTS}, ln AS (SELECT p_name AS species, round(avg(p_size) / 50, 4) AS e FROM part GROUP BY 1 HAVING min(p_size) < 3)
+SELECT sample, taxon AS species, round(e * rel, 8) AS weight FROM rel JOIN ln ON species = taxon WHERE rel >= .015""")
+def lineage_annotation(spark, sf):  # noqa: ANN001, ANN201
+    """Taxa at the threshold that a table of species knows, weighted by abundance."""
+    known = load(spark, sf, "part").groupBy(F.col("p_name").alias("species")).agg(F.round(F.avg("p_size") / 50, 4).alias("risk_elevation"), F.min("p_size").alias("least")).where("least < 3").drop("least")
+    return scoring.annotate_lineages(rel(spark, sf), known, 0.015).select("sample", "species", F.round("weight", 8).alias("weight"))
+
+
+PLACES = """pl AS (SELECT lower(p_name) AS name, min(p_size) AS lat, -max(p_size) AS lon FROM part GROUP BY 1 HAVING min(p_partkey) % 3 > 0 UNION ALL SELECT DISTINCT lower(split_part(p_name, ' ', 2)), 1, -1 FROM part),
+sm AS (SELECT p_partkey AS sample, 'USA: near ' || upper(p_name) || ' ' || p_type AS place, CASE WHEN p_partkey % 4 = 0 THEN printf('%.2f %s %.2f W', p_size / 2.0, CASE WHEN p_size % 2 = 0 THEN 'N' ELSE 'S' END, p_size * 1.5) END AS ll, p_size FROM part)"""
+
+
+def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A gazetteer of parts' names and of their second words, and samples near a part, one in four with its position written."""
+    part = load(spark, sf, "part")
+    full_names = part.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_size").alias("lat"), (-F.max("p_size")).alias("lon"), F.min("p_partkey").alias("k")).where("k % 3 > 0").drop("k")
+    seconds = part.select(F.lower(F.split("p_name", " ")[1]).alias("name"), F.lit(1).alias("lat"), F.lit(-1).alias("lon")).distinct()
+    written = F.when(F.col("p_partkey") % 4 == 0, F.format_string("%.2f %s %.2f W", F.col("p_size") / 2, F.when(F.col("p_size") % 2 == 0, "N").otherwise("S"), F.col("p_size") * F.lit(1.5).cast("double")))
+    samples = part.select(F.col("p_partkey").alias("sample"), F.concat(F.lit("USA: near "), F.upper("p_name"), F.lit(" "), F.col("p_type")).alias("place"), written.alias("lat_lon"))
+    return samples, full_names.unionByName(seconds).select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+
+
+@query(f"""WITH {PLACES}, ht AS (SELECT sample, arg_max(struct_pack(lat := lat, lon := lon), (length(name), name)) AS th FROM sm JOIN pl ON contains(lower(place), name) GROUP BY 1)
+SELECT sample, CAST(CASE WHEN ll IS NOT NULL THEN p_size / 2.0 * CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END ELSE th.lat END AS DOUBLE) AS lat, CAST(CASE WHEN ll IS NOT NULL THEN -p_size * 1.5 ELSE th.lon END AS DOUBLE) AS lon FROM sm LEFT JOIN ht USING (sample)""")
+def located_samples(spark, sf):  # noqa: ANN001, ANN201
+    """Positions that are written, or those of the longest known name in the place."""
+    return characterize.located(*_places(spark, sf)).select("sample", "lat", "lon")
+
+
+@query("""WITH t AS (SELECT page_id, list_filter(['toxin', 'nav', 'the', 'track', 'ouque'], lambda w: contains(lower(html), w)) AS f, page_id % 100 AS c FROM pages)
+SELECT page_id, array_to_string(f, ',') AS flags, CASE WHEN len(f) > 1 AND c > 70 THEN 'HIGH' WHEN len(f) > 1 THEN 'MODERATE' WHEN c > 70 THEN 'MONITOR' ELSE 'LOW' END AS tier FROM (SELECT page_id, list_filter(f, lambda w: w <> 'nav') AS f, c FROM t) WHERE len(f) <> 1
+UNION ALL SELECT page_id, f[1], CASE WHEN c > 70 THEN 'HIGH' ELSE 'MODERATE' END FROM (SELECT page_id, list_filter(f, lambda w: w <> 'nav') AS f, c FROM t) WHERE len(f) = 1""")
+def risk_tiers(spark, sf):  # noqa: ANN001, ANN201
+    """Tiers of pages by flag words and a confidence."""
+    titled = load(spark, sf, "pages").select("page_id", F.col("html").alias("title"), (F.col("page_id") % 100).alias("confidence"))
+    return characterize.risk_tiers(titled, ["toxin", "the", "track", "ouque"]).select("page_id", F.array_join("flags", ",").alias("flags"), "tier")
+
+
+@query("""SELECT p_partkey, round(avg(v), 6) AS confidence FROM (SELECT l_partkey AS p_partkey, l_quantity + 10 AS v FROM lineitem) GROUP BY 1""")
+def structure_confidence(spark, sf):  # noqa: ANN001, ANN201
+    """Mean of a fixed-width field of record lines, which are made of line items."""
+    line = F.concat(F.rpad(F.lit("ATOM"), 60, " "), F.lpad(F.format_string("%.2f", (F.col("l_quantity") + 10).cast("double")), 6, " "))
+    atoms = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), line.alias("line"))
+    return characterize.structure_confidence(atoms).select(F.col("name").alias("p_partkey"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS user_id, arg_min(event_type, (-n, event_type)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def majority_type(spark, sf):  # noqa: ANN001, ANN201
+    return metrics.majority(load(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_type"), ["user_id"], "event_type")
+
+
+@query("""SELECT s_suppkey, 'SRR' || (100000 + s_suppkey) AS accession, CASE WHEN s_suppkey % 3 = 0 THEN n_name || ', (2026-01-0' || (1 + s_suppkey % 9) || ')' WHEN s_suppkey % 3 = 1 THEN n_name ELSE '(2026-01-0' || (1 + s_suppkey % 9) || ')' END AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def sample_labels(spark, sf):  # noqa: ANN001, ANN201
+    """Accessions in file names and labels of place and date, either of which may be missing."""
+    rows = load(spark, sf, "supplier").join(F.broadcast(load(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.lit("run/SRR"), (100000 + F.col("s_suppkey")).cast("string"), F.lit("_1.fastq.gz"))
+    geo = F.when(F.col("s_suppkey") % 3 < 2, F.concat(F.lit("USA: "), "n_name"))
+    date = F.when(F.col("s_suppkey") % 3 != 1, F.concat(F.lit("2026-01-0"), (1 + F.col("s_suppkey") % 9).cast("string")))
+    return rows.select("s_suppkey", C.accession(name).alias("accession"), C.place_label(geo, date, F.lit("none")).alias("label"))
