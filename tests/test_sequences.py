@@ -97,3 +97,21 @@ def test_empty_report_is_an_error(spark, tmp_path):
     (tmp_path / "b.report").write_text("\n \n")
     with pytest.raises(Exception, match="empty report"):
         reports.reports(spark, f"{tmp_path}/*.report").collect()
+
+
+def test_sample_records(spark, tmp_path):
+    """Entities, CDATA, nesting, repeated and empty tags; broken records; files divided anywhere."""
+    records = [f'<SAMPLE accession="S{i}" alias="x"><TITLE>a &amp; b</TITLE><SAMPLE_ATTRIBUTES><SAMPLE_ATTRIBUTE><TAG> geo </TAG><VALUE>USA: &lt;Ohio&gt; {i}</VALUE></SAMPLE_ATTRIBUTE><SAMPLE_ATTRIBUTE><TAG>note</TAG><VALUE>x<![CDATA[ <b> & ]]>y</VALUE></SAMPLE_ATTRIBUTE>\n<SAMPLE_ATTRIBUTE><TAG>geo</TAG><VALUE>later</VALUE></SAMPLE_ATTRIBUTE><SAMPLE_ATTRIBUTE><TAG>none</TAG><VALUE/></SAMPLE_ATTRIBUTE></SAMPLE_ATTRIBUTES></SAMPLE>' for i in range(300)]
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?><SAMPLE_SET>\n" + "\n".join(records) + '<SAMPLE accession="BAD"><TAG>x</SAMPLE></SAMPLE_SET>')
+    (tmp_path / "b.xml").write_text('<BioSampleSet><BioSample id="1" accession="B1"><Attributes><Attribute attribute_name="date" x="1">2026<i>-01</i></Attribute></Attributes></BioSample><BioSample><Attribute attribute_name="q">1</Attribute></BioSample></BioSampleSet>')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = reports.sample_attributes(spark, str(tmp_path))
+        rows = df.collect()
+        assert df.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {r["accession"]: r["attributes"] for r in rows}
+    assert len(rows) == len(got) == 302 and got["BAD"] is None and got["B1"] == {"date": "2026-01"}
+    assert got["S7"] == {"geo": "USA: <Ohio> 7", "note": "x <b> & y", "none": ""}

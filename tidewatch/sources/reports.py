@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -218,12 +220,35 @@ def newest_runs(accessions: DataFrame, prefix: str, model: str, n: int) -> DataF
 
 
 def sample_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, attributes) of XML files of sample records: a map of attribute names to values for each record with an accession."""
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<SAMPLE\b.*?</SAMPLE>|<BioSample\b.*?</BioSample>)"), F.lit(1))).alias("x"))
-    tags = F.regexp_extract_all("x", F.lit(r"(?s)<TAG>(.*?)</TAG>"), F.lit(1))
-    values = F.regexp_extract_all("x", F.lit(r"(?s)<VALUE>(.*?)</VALUE>"), F.lit(1))
-    named = F.regexp_extract_all("x", F.lit(r'(?s)<Attribute\b[^>]*attribute_name="([^"]*)"[^>]*>.*?</Attribute>'), F.lit(1))
-    named_values = F.regexp_extract_all("x", F.lit(r"(?s)<Attribute\b[^>]*>(.*?)</Attribute>"), F.lit(1))
-    pairs = F.arrays_zip(F.concat(tags, named).alias("k"), F.concat(values, named_values).alias("v"))
-    kept = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(p["k"]).alias("key"), F.trim(p["v"]).alias("value"))), lambda p: p["key"] != "")
-    return text.select(F.regexp_extract("x", r'accession="([^"]+)"', 1).alias("accession"), F.map_from_entries(F.aggregate(kept, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.when(F.exists(a, lambda q: q["key"] == p["key"]), a).otherwise(F.array_append(a, p)))).alias("attributes")).where("accession <> ''")
+    """(accession, attributes) of XML files of sample records (SAMPLE with TAG and VALUE, or BioSample with named Attribute, however nested): a map of
+    attribute names to values for each record with an accession, the first of equal names. Files are divided at the ends of records; a record is
+    parsed by itself. One that is not well formed has null attributes."""
+    parts = []
+    for tag in ("SAMPLE", "BioSample"):
+        rows = spark.read.text(path, lineSep=f"</{tag}>").select(F.regexp_extract("value", rf"(?s)(<{tag}\b.*)$", 1).alias("x")).where("x <> ''")
+        parts.append(rows.select(F.concat("x", F.lit(f"</{tag}>")).alias("x")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xml.etree.ElementTree as Tree
+
+        kind = pa.map_(pa.string(), pa.string())
+        for b in batches:
+            names, maps = [], []
+            for x in b.column("x").to_pylist():
+                try:
+                    record = Tree.fromstring(x)
+                except Tree.ParseError:
+                    names.append((re.search(r'accession="([^"]+)"', x.split(">", 1)[0]) or [None, None])[1])
+                    maps.append(None)
+                    continue
+                found: dict[str, str] = {}
+                for e in record.iter():
+                    name = e.get("attribute_name") if e.tag == "Attribute" else (e.findtext("TAG") if e.find("TAG") is not None else None)
+                    value = "".join(e.itertext()) if e.tag == "Attribute" else e.findtext("VALUE")
+                    if name and name.strip():
+                        found.setdefault(name.strip(), (value or "").strip())
+                names.append(record.get("accession"))
+                maps.append(list(found.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(maps, kind)], names=["accession", "attributes"])
+
+    return parts[0].unionByName(parts[1]).mapInArrow(run, "accession string, attributes map<string,string>").where("accession <> ''")
