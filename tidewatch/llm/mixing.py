@@ -83,6 +83,8 @@ def _regression(rows: DataFrame, ridge: float = 0.1, rounds: int = 25) -> list[l
         p = p + step
         if np.abs(step).max() < 1e-7:
             break
+    else:
+        warnings.warn(f"the posteriors' regression has not settled in {rounds} steps; the last one was {np.abs(step).max():.2g}", stacklevel=3)
     return p.tolist()
 
 
@@ -193,6 +195,8 @@ def mixing_rates(members: DataFrame, targets: dict[str, float], total: float | N
             if not far[best] < np.linalg.norm(miss / np.sqrt(size)) * (1 - 1e-6):
                 break
             at, (now, moments) = places[best], found[best]
+        else:
+            warnings.warn(f"the rates have not settled in {rounds} rounds at slack {slack:g}", stacklevel=2)
     return members.withColumn("rate", rate(at)), at.tolist(), float(np.abs(now - goal).max() / total) if total else 0.0
 
 
@@ -205,8 +209,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     warned of."""
     coefficients, weights = fit_domains(docs, labels, text, key)
     rated, _, residual = mixing_rates(saved(domain_posteriors(docs, coefficients, weights, text, key)), targets, total, keep, most)
-    if residual > 0.01 and most is None:
-        warnings.warn(f"no document rates match the targets; the largest miss is {residual:.4f} of the tokens", stacklevel=2)
+    if residual > 0.01:
+        within = "" if most is None else f" up to {most:g}"
+        warnings.warn(f"no document rates{within} match the targets; the largest miss is {residual:.4f} of the tokens", stacklevel=2)
     draw = F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(1 << 30)) / F.lit(1 << 30)
     each = rated.withColumn("repeats", F.floor(F.col("rate") + draw).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
     return each.withColumnRenamed("k", key)
