@@ -470,11 +470,11 @@ def iforest_novelty(spark, sf):  # noqa: ANN001, ANN201
     return novelty.cohort_novelty(abundance.clr(full(spark, sf)))
 
 
-def kmers_sql(sample: str, k: int = 6) -> str:
+def kmers_sql(sample: str, k: int = 6, letters: str = "a-z") -> str:
     """SQL of the profiles of documents' k-letter words, a sample for each value of an expression."""
     word = " || ".join(["c", *[f"lead(c, {i}) OVER w" for i in range(1, k)]])
     return f"""r AS (SELECT {sample} AS sample, row_number() OVER () AS id, lower(text) AS s FROM documents), e AS (SELECT sample, id, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM r),
-k AS (SELECT sample, id, {word} AS kmer FROM e WINDOW w AS (PARTITION BY id ORDER BY i)), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[a-z]{{{k}}}')),
+k AS (SELECT sample, id, {word} AS kmer FROM e WINDOW w AS (PARTITION BY id ORDER BY i)), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[{letters}]{{{k}}}')),
 d AS (SELECT sample, id, kmer, count(*) AS c FROM f GROUP BY ALL), c AS (SELECT *, sum(c) OVER (PARTITION BY id) AS n FROM d), n AS (SELECT sample, count(*) AS reads FROM r GROUP BY 1), prof AS (SELECT sample, kmer, sum(c.c / CAST(c.n AS DOUBLE)) / any_value(reads) AS freq FROM c JOIN n USING (sample) GROUP BY 1, 2)"""
 
 
@@ -510,13 +510,20 @@ def kmer_background_novelty(spark, sf):  # noqa: ANN001, ANN201
     return novelty.kmer_novelty(every.where(~english), every.where(english))
 
 
-@query("""WITH c AS (SELECT label AS code, pos, avg(x) AS c FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2),
-d AS (SELECT vec_id, code, sum((x - c) * (x - c)) AS d2 FROM (SELECT vec_id, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) JOIN c USING (pos) GROUP BY 1, 2)
-SELECT vec_id, arg_min(code, (d2, code)) AS code, round(min(d2), 5) AS distance2 FROM d GROUP BY 1""")
-def nearest_code(spark, sf):  # noqa: ANN001, ANN201
+CODES = """WITH c AS (SELECT label AS code, pos, avg(x) AS c FROM (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2),
+d AS (SELECT vec_id, code, sum((x - c) * (x - c)) AS d2 FROM (SELECT vec_id, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) JOIN c USING (pos) GROUP BY 1, 2)"""
+
+
+def _codes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors, and the mean of each label's as a codebook."""
     vectors = load(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = vectors.select("label", F.posexplode("v")).groupBy("label", "pos").agg(F.avg("col").alias("x")).groupBy(F.col("label").alias("code")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centre"))
-    return novelty.nearest_codes(vectors, means).select("vec_id", "code", F.round("distance2", 5).alias("distance2"))
+    return vectors, means
+
+
+@query(f"{CODES} SELECT vec_id, arg_min(code, (d2, code)) AS code, round(min(d2), 5) AS distance2 FROM d GROUP BY 1")
+def nearest_code(spark, sf):  # noqa: ANN001, ANN201
+    return novelty.nearest_codes(*_codes(spark, sf)).select("vec_id", "code", F.round("distance2", 5).alias("distance2"))
 
 
 SCORED = "s AS (SELECT lang, n_chars / (n_chars + 2000.0) AS score, CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS label FROM documents LEFT JOIN labels USING (doc_id))"
@@ -670,15 +677,20 @@ def stream_signals(spark, sf):  # noqa: ANN001, ANN201
     return out.select("site", F.date_format("t", "yyyy-MM-dd").alias("t"), F.round("z_score", 6).alias("z_score"), F.round("cusum", 5).alias("cusum"), "cusum_alert", "expected", "threshold", "exceedance", "alarm", "note")
 
 
-@query("SELECT array_to_string(list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda i: substr('ACGT', i + 1, 1)), '') AS kmer, CAST(k AS INTEGER) AS index FROM (SELECT unnest(range(0, 256)) AS k)")
+@query(f"""WITH {kmers_sql("source", 4, "acgt")}, v AS (SELECT array_to_string(list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda i: substr('ACGT', i + 1, 1)), '') AS kmer, CAST(k AS INTEGER) AS index FROM (SELECT unnest(range(0, 256)) AS k))
+SELECT v.kmer, index, round(coalesce(sum(freq), 0), 8) AS freq FROM v LEFT JOIN prof ON upper(prof.kmer) = v.kmer GROUP BY 1, 2""")
 def kmer_vocabulary(spark, sf):  # noqa: ANN001, ANN201
-    return novelty.kmer_vocabulary(spark, 4)
+    """All words of four of the letters, in order, with how much of the documents' words of these letters they are, added up over sources."""
+    reads = load(spark, sf, "documents").select(F.col("source").alias("sample"), F.col("doc_id").alias("read_no"), F.lower("text").alias("seq"))
+    seen = novelty.kmer_profiles(reads, 4).groupBy("kmer").agg(F.sum("freq").alias("freq"))
+    return novelty.kmer_vocabulary(spark, 4).join(seen, "kmer", "left").select("kmer", "index", F.round(F.coalesce("freq", F.lit(0.0)), 8).alias("freq"))
 
 
-@query("SELECT doc_id, least(n_chars / 4000.0, 1) AS novelty, n_chars / 40000.0 > .05 AS is_novel FROM documents")
+@query(f"""{CODES} SELECT vec_id, round(least(min(d2) / 64, 1), 5) AS novelty, round(min(d2) / 64, 5) > .015 AS is_novel FROM d GROUP BY 1""")
 def embedding_novelty(spark, sf):  # noqa: ANN001, ANN201
-    losses = load(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 40000.0).alias("loss"))
-    return novelty.embedding_novelty(losses).select("doc_id", F.round("novelty", 12).alias("novelty"), "is_novel")
+    """How far vectors lie from their nearest code, the mean square of a component's difference being the loss."""
+    losses = novelty.nearest_codes(*_codes(spark, sf)).select("vec_id", F.round(F.col("distance2") / 64, 5).alias("loss"))
+    return novelty.embedding_novelty(losses, 0.015, 1.0).select("vec_id", F.round("novelty", 5).alias("novelty"), "is_novel")
 
 
 @query(f"""WITH {COUNTS}, {BASE}, b AS (SELECT taxon FROM base WHERE median > .005), pr AS (SELECT sample, taxon, ln(rel + 1e-6) AS l, rel FROM rel WHERE rel > 0), u AS (SELECT sample, sum(l) AS s, count(*) AS m, count(*) FILTER (taxon IN (SELECT taxon FROM b)) AS h FROM pr GROUP BY 1)
@@ -697,31 +709,33 @@ def cluster_profiles(spark, sf):  # noqa: ANN001, ANN201
     return out.select("taxon", means.alias("means"), F.round("fold_change", 6).alias("fold_change"))
 
 
-@query("""WITH a AS (SELECT vec_id AS sample, vec_id % 100 / 100.0 AS x, vec_id % 37 / 37.0 AS y FROM embeddings)
-SELECT sample, round(greatest(x, CASE WHEN sample % 2 = 0 THEN y ELSE 0 END), 9) AS novelty FROM a""")
+@query(f"""WITH {COUNTS}, sp AS (SELECT sample, least(max(abs(clr - m) / (s + 1e-10)) / 7.5, 1) AS spike FROM (SELECT *, avg(clr) OVER (PARTITION BY taxon) AS m, stddev_pop(clr) OVER (PARTITION BY taxon) AS s FROM clr) GROUP BY sample),
+mr AS (SELECT sample, rel, sum(rel) OVER (PARTITION BY taxon) / (SELECT count(DISTINCT sample) FROM counts) AS m FROM rel), nv AS (SELECT sample, least(4 * sum(rel), 1) AS share FROM mr WHERE rel > 1.4 * m GROUP BY 1)
+SELECT sample, round(greatest(spike, coalesce(share, 0)), 6) AS novelty FROM sp LEFT JOIN nv USING (sample)""")
 def novelty_fusion(spark, sf):  # noqa: ANN001, ANN201
-    base = load(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"))
-    cohort, more = base.withColumn("novelty", F.col("sample") % 100 / 100), base.where("sample % 2 = 0").withColumn("novelty", F.col("sample") % 37 / 37)
-    return novelty.fused_novelty(cohort, more).select("sample", F.round("novelty", 9).alias("novelty"))
+    """The larger of a sample's spike over the cohort and its share of reads of taxa far beyond their mean."""
+    spikes = baseline.cohort_spikes(abundance.clr(full(spark, sf))).withColumnRenamed("spike", "novelty")
+    shares = abundance.novel_taxa(rel(spark, sf), None, 0.001, 1.4).groupBy("sample").agg(F.least(4 * F.sum("rel"), F.lit(1.0)).alias("novelty"))
+    return novelty.fused_novelty(spikes, shares).select("sample", F.round("novelty", 6).alias("novelty"))
 
 
-@query("""WITH g AS (SELECT c_custkey, c_acctbal / 500.0 AS e, c_nationkey / 25.0 AS w, CASE WHEN c_custkey % 9 = 0 THEN .85 ELSE 0 END AS t, c_acctbal > 3000 AS label FROM customer WHERE c_acctbal >= 0), k AS (SELECT unnest([.75, 1, 1.25, 1.5, 2, 2.5, 3]) AS k),
+@query("""WITH g AS (SELECT c_custkey, greatest(c_acctbal, 0) / 500.0 AS e, c_nationkey / 25.0 AS w, CASE WHEN c_custkey % 9 = 0 THEN .85 ELSE 0 END AS t, c_acctbal > 3000 AS label FROM customer), k AS (SELECT unnest([.75, 1, 1.25, 1.5, 2, 2.5, 3]) AS k),
 s AS (SELECT k, label, greatest(e / (e + k) * (.5 + .5 * w), t) AS score FROM g, k), c AS (SELECT k, count(*) FILTER (score >= .6 AND label) AS tp, count(*) FILTER (score >= .6 AND NOT label) AS fp, count(*) FILTER (score < .6 AND NOT label) AS tn, count(*) FILTER (score < .6 AND label) AS fn FROM s GROUP BY 1)
 SELECT CAST(k AS DOUBLE) AS k, tp, fp, tn, fn, round(tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE) - 1, 6) AS youden FROM c""")
 def squash_calibration(spark, sf):  # noqa: ANN001, ANN201
     from tidewatch.synth import calibrate_squash
 
-    own = load(spark, sf, "customer").where("c_acctbal >= 0")
-    rows = own.select((F.col("c_acctbal") / 500.0).cast("double").alias("exceedance"), (F.col("c_nationkey") / 25.0).cast("double").alias("risk_weight"), F.when(F.col("c_custkey") % 9 == 0, 0.85).otherwise(0.0).alias("tripwire"), (F.col("c_acctbal") > 3000).alias("label"))
+    own = load(spark, sf, "customer")
+    rows = own.select((F.greatest("c_acctbal", F.lit(0)) / 500.0).cast("double").alias("exceedance"), (F.col("c_nationkey") / 25.0).cast("double").alias("risk_weight"), F.when(F.col("c_custkey") % 9 == 0, 0.85).otherwise(0.0).alias("tripwire"), (F.col("c_acctbal") > 3000).alias("label"))
     return calibrate_squash(spark, rows).select("k", "tp", "fp", "tn", "fn", F.round("youden", 6).alias("youden"))
 
 
-@query(f"""WITH {points_sql()}, s AS (SELECT site || t AS sample, x AS score, CAST(t AS DATE) AS date FROM p WHERE site = 'view'), i AS (SELECT *, row_number() OVER (ORDER BY date, sample) AS i, count(*) OVER () AS n FROM s),
+@query(f"""WITH {points_sql()}, s AS (SELECT site || t AS sample, x AS score, CAST(t AS DATE) AS date FROM p), i AS (SELECT *, row_number() OVER (ORDER BY date, sample) AS i, count(*) OVER () AS n FROM s),
 b AS (SELECT *, avg(CASE WHEN i <= greatest(2, n // 2) THEN score END) OVER () AS m, stddev_samp(CASE WHEN i <= greatest(2, n // 2) THEN score END) OVER () AS sd FROM i),
 u AS (SELECT *, sum((score - m) / sd - .5) OVER (ORDER BY i) AS up FROM b)
 SELECT sample, strftime(date, '%Y-%m-%d') AS date, i - 1 AS run_index, round(up - least(0, min(up) OVER (ORDER BY i)), 6) AS cusum FROM u""")
 def chronological_cusum(spark, sf):  # noqa: ANN001, ANN201
-    own = points(spark, sf).where("site = 'view'").select(F.concat("site", "t").alias("sample"), F.col("x").alias("score"), F.to_date("t").alias("date"))
+    own = points(spark, sf).select(F.concat("site", "t").alias("sample"), F.col("x").alias("score"), F.to_date("t").alias("date"))
     out = temporal.chronological(own.select("sample", "score"), own.select("sample", "date"))
     return out.select("sample", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("run_index").cast("long").alias("run_index"), F.round("cusum", 6).alias("cusum"))
 
