@@ -4,9 +4,10 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 
-from tidewatch.llm.conversations import CUT_OFF, DELETE, FINE, INSERT, LAST_INSERTS, MUST_GO, REROLE, STATES, TRUNCATED, op11_repair, plans, repair_conversations
+from tidewatch.llm.conversations import CUT_OFF, DELETE, FINE, INSERT, LAST_INSERTS, MUST_GO, REROLE, STATES, OP11_SQL, TRUNCATED, op11_repair, plans, repair_conversations
 
 WHITE = " \t\n\v\f\r"
 NEXT = {("0", "s"): "s", ("0", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
@@ -111,6 +112,10 @@ def test_odd_rows_and_long_conversations(spark, tmp_path, hot):
     df.write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((tuple(r) for r in op11_repair(spark, str(tmp_path)).select(*COLUMNS).collect()), key=str)
     assert got == plain(rows)
+    if not hot:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert got == sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({OP11_SQL})").fetchall(), key=str)
 
 
 def test_parts(spark):

@@ -329,3 +329,35 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = every.join(found, F.col("c").eqNullSafe(F.col("conv_id")), "left")
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     return out.select(F.col("c").alias("conv_id"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _plus(x: str, cost: int | str, letter: str) -> str:
+    """SQL of a cost and audit, written as one string, after another edit."""
+    return f"printf('%012d', CAST(left({x}, 12) AS BIGINT) + {cost}) || '{letter}' || substr({x}, 13)"
+
+
+def _edits(state: str, to: str, keeps: tuple[str, ...]) -> str:
+    """SQL of the least of deleting a row, keeping it in one of its own roles, and reroling it to what a state asks for."""
+    more = f"CASE kind WHEN {CUT_OFF} THEN {TRUNCATED} ELSE 0 END"
+    kept = ", ".join(f"CASE WHEN kind < {MUST_GO} AND initial = '{k}' THEN {_plus(f'b{k}', more, 'K')} END" for k in keeps)
+    return f"least({_plus(state, DELETE, 'D')}, {kept}, CASE WHEN kind < {MUST_GO} THEN {_plus(f'b{to}', f'({REROLE} + {more})', 'R')} END)"
+
+
+OP11_SQL = f"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, x: list_reduce(list_prepend(xor(h, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda g, _z: CASE WHEN g % 2 = 1 THEN xor(g >> 1, CAST(3988292384 AS BIGINT)) ELSE g >> 1 END)), CAST(4294967295 AS BIGINT)) % 20 AS how FROM src),
+dmg AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE how > 0),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+ord AS MATERIALIZED (SELECT c, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS closed FROM dmg JOIN ids ON dmg.conv_id IS NOT DISTINCT FROM ids.conv_id),
+flt AS MATERIALIZED (SELECT *, CASE WHEN blank OR dup THEN {MUST_GO} WHEN NOT closed THEN {CUT_OFF} ELSE {FINE} END AS kind FROM (SELECT *, NOT blank AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS dup, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM ord)),
+dp AS (SELECT c, max(i) AS i, printf('%012d', 0) AS b0, printf('%012d', {2 * INSERT}) || 'II' AS bs, printf('%012d', {INSERT}) || 'I' AS bu, printf('%012d', 0) AS ba FROM flt GROUP BY 1
+UNION ALL SELECT c, i, least(h0, {_plus("g", INSERT, "I")}), least(hs, {_plus("g", INSERT, "I")}), g, least(ha, {_plus("hu", INSERT, "I")}) FROM (
+  SELECT *, least(hu, {_plus("ha", INSERT, "I")}) AS g FROM (
+    SELECT dp.c, dp.i - 1 AS i, {_edits("b0", "u", ("s", "u"))} AS h0, {_edits("bs", "u", ("u",))} AS hs, {_edits("bu", "a", ("a",))} AS hu, {_edits("ba", "u", ("u",))} AS ha FROM dp JOIN flt ON flt.c = dp.c AND flt.i = dp.i))),
+pln AS (SELECT c, CAST(left(b0, 12) AS BIGINT) AS cost, substr(b0, 13) AS audit FROM dp WHERE i = 0),
+ltr AS (SELECT c, unnest(string_split(audit, '')) AS l, unnest(range(1, length(audit) + 1)) AS p FROM pln WHERE audit <> ''),
+pos AS (SELECT *, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w AS o FROM ltr WINDOW w AS (PARTITION BY c ORDER BY p)),
+lin AS (SELECT pos.c, p, l, o, role, text, bool_or(o = 1 AND l = 'K' AND initial = 's') OVER (PARTITION BY pos.c) AS s FROM pos LEFT JOIN flt ON flt.c = pos.c AND flt.i = pos.i),
+txt AS (SELECT c, string_agg(CASE WHEN l = 'K' THEN role ELSE CASE WHEN (o - CASE WHEN s THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body FROM lin WHERE l <> 'D' GROUP BY 1),
+cnt AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (kind = {CUT_OFF}) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN cnt ON cnt.c = ids.c LEFT JOIN pln ON pln.c = ids.c LEFT JOIN txt ON txt.c = ids.c"""
