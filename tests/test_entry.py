@@ -16,7 +16,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", ["rel_abundance", "clr_counts", "score_absolute", "score_relative", "rolling_z", "cusum_upper_lower", "holt_forecast", "kruskal_h", "roc_points", "set_ops", "rarefaction"])
+@pytest.mark.parametrize("name", ["rel_abundance", "clr_counts", "score_absolute", "score_relative", "rolling_z", "cusum_upper_lower", "holt_forecast", "kruskal_h", "roc_points", "set_ops", "rarefaction", "history_baseline", "score_relative_clr", "farrington", "located_samples", "resistance_annotation", "rarefaction_curve", "stream_signals"])
 def test_query_agrees_with_sql(spark, oracle, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = oracle.execute(ORACLES[name]).df()[list(got.columns)]
