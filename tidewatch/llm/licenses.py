@@ -162,7 +162,7 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", phrases
 
     Votes are gathered by a text's hash (128 bits), so equal texts are scanned as one and rows with null or repeated keys stay apart. What they
     lead to is verified on the texts themselves: a phrase by its words, a sentence by its longest common subsequence with the words
-    about its diagonals, of which it must have `coverage`. Candidates are broadcast to the texts if they are `bound` texts at most, and
+    about its diagonals, of which it must have `coverage`. Candidates are broadcast to the texts if they are `bound` texts and spans at most, and
     joined by a shuffle otherwise. Null texts are empty ones; empty in, empty out."""
     spark, known = df.sparkSession, templates(phrases, sentences)
     keys = ["__a", "__b"]
@@ -171,7 +171,8 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", phrases
     sizes = spark.createDataFrame([(i, len(words) - GRAM + 1, exact) for i, (_, words, exact) in enumerate(known)], "template int, grams int, exact boolean")
     votes = diagonals(text_grams(docs, keys, F.col("own")), keys, template_grams(spark, known))
     found = saved(candidates(votes, keys, sizes).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("template", "low", "high"))).alias("found")))
-    found = F.broadcast(found) if found.count() <= bound else found.hint("merge")
+    size = found.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("spans")).first()
+    found = F.broadcast(found) if size["texts"] + size["spans"] <= bound else found.hint("merge")
     both = docs.join(found, keys, "left").select("doc", F.concat("own", F.lit("\0")).cast("binary").alias("text"), "found")
     span = "array<struct<label:string,start:bigint,end:bigint,coverage:double,exact:boolean>>"
     schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(span))])
