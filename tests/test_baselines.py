@@ -14,8 +14,9 @@ from tidewatch.plans.run import Config, analyse
 from tidewatch.sources import dims
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 3])
-def test_order_statistics_with_implied_zeros(spark, hot):
+@pytest.mark.parametrize(("hot", "few"), [(1 << 20, 10_000), (3, 10_000), (3, 1)])
+def test_order_statistics_with_implied_zeros(spark, monkeypatch, hot, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     rng = random.Random(hot)
     for n in (1, 2, 9, 40):
         dense = {f"t{k}": [rng.choice([0.0, 0.0, 0.25, 0.25, -0.5, rng.random()]) * (rng.random() < k / 5) for _ in range(n)] for k in range(1, 7)}

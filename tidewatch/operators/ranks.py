@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 HOT = 1 << 20  # rows of a key that one task sorts
 CELLS = 256
+FEW = 10_000  # keys whose cuts, 2 kB each, may be broadcast
 
 
 def _pick(points: DataFrame, key: str, low: int, high: int) -> DataFrame:
@@ -17,18 +18,23 @@ def _pick(points: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return points.withColumn("so_far", so_far).groupBy(key).agg(((at(low) + at(high)) / 2).alias("middle"))
 
 
-def celled_medians(points: DataFrame, n: int, key: str, cells: int = CELLS) -> DataFrame:
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df.hint("merge")
+
+
+def celled_medians(points: DataFrame, n: int, key: str, cells: int = CELLS, few: bool = False) -> DataFrame:
     """(key, middle): medians of points (key, v, w) whose weights add up to n for each key, for keys with more rows than a task should sort.
 
     A key's values are dealt over cells between approximate quantiles; weights are added up by cell, and only the cells that hold the middle
-    ranks are sorted, equal values as one. So a task gets about one row in `cells` of a key, whatever the quantiles' errors."""
+    ranks are sorted, equal values as one. So a task gets about one row in `cells` of a key, whatever the quantiles' errors. few: there are FEW keys
+    at most, and what is known of them is broadcast."""
     low, high = (n - 1) // 2, n // 2
     cuts = points.groupBy(key).agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 8 * cells).alias("cuts"))
-    dealt = points.join(F.broadcast(cuts), key).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    dealt = points.join(_sent(cuts, few), key).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sums = dealt.groupBy(key, "cell").agg(F.sum("w").alias("own"))
     before = F.sum("own").over(W.partitionBy(key).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("own")
     middle = sums.withColumn("before", before).where((F.col("before") <= high) & (F.col("before") + F.col("own") > low))
-    kept = dealt.join(F.broadcast(middle.select(key, "cell", "before")), [key, "cell"])  # two cells of a key at most
+    kept = dealt.join(_sent(middle.select(key, "cell", "before"), few), [key, "cell"])  # two cells of a key at most
     return _pick(kept.groupBy(key, "v").agg(F.sum("w").alias("w"), F.min("before").alias("before")).withColumn("before", F.min("before").over(W.partitionBy(key))), key, low, high)
 
 
@@ -57,12 +63,14 @@ def median_and_mad(values: DataFrame, value: str | Column, n: int, key: str = "t
     own = values.select(key, (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v is not null")
     sizes = own.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > hot) if n > hot else None
-    if large is None or large.isEmpty():
+    many = large.count() if large is not None else 0
+    if many == 0:
         return _direct(own, n, key)
+    few = many <= FEW
     small = _direct(own.join(large, key, "left_anti"), n, key)
-    points = own.join(F.broadcast(large.select(key)), key, "left_semi").withColumn("w", F.lit(1).cast("long"))  # few: each has over `hot` rows
+    points = own.join(_sent(large.select(key), few), key, "left_semi").withColumn("w", F.lit(1).cast("long"))
     zeros = large.select(key, F.lit(0.0).alias("v"), (F.lit(n) - F.col("rows")).alias("w")).where("w > 0")
-    medians = celled_medians(points.unionByName(zeros), n, key).withColumnRenamed("middle", "median")
-    off = points.unionByName(zeros).join(F.broadcast(medians), key).select(key, F.abs(F.col("v") - F.col("median")).alias("v"), "w")
-    both = medians.join(celled_medians(off, n, key).withColumnRenamed("middle", "mad"), key)
+    medians = celled_medians(points.unionByName(zeros), n, key, few=few).withColumnRenamed("middle", "median")
+    off = points.unionByName(zeros).join(_sent(medians, few), key).select(key, F.abs(F.col("v") - F.col("median")).alias("v"), "w")
+    both = medians.join(celled_medians(off, n, key, few=few).withColumnRenamed("middle", "mad"), key)
     return small.unionByName(both.select(*small.columns))

@@ -69,7 +69,7 @@ def pathogen_communities(members: DataFrame, pathogens: DataFrame, enrichment: f
 
 def community_signal(rel: DataFrame, members: DataFrame, flagged: DataFrame, least: float = 0.15) -> DataFrame:
     """(sample, community): 1 where at least this share of a sample's taxa with a community are in a flagged one."""
-    own = rel.where("rel > 0").join(F.broadcast(members), "taxon").join(F.broadcast(flagged.withColumn("hit", F.lit(1.0))), "label", "left")
+    own = rel.where("rel > 0").join(members, "taxon").join(F.broadcast(flagged.withColumn("hit", F.lit(1.0))), "label", "left")
     return own.groupBy("sample").agg(F.when(F.avg(F.coalesce("hit", F.lit(0.0))) >= least, 1.0).otherwise(0.0).alias("community"))
 
 
