@@ -245,6 +245,28 @@ def test_near_duplicates_of_one_large_family(spark):
     assert [out[i] for i in range(len(texts))] == want.tolist() and out[None] == want[7]
 
 
+def test_united_near_duplicates_are_not_linked_again(spark, monkeypatch):
+    """Links of a later step are of the roots of the step before, however many texts of a family these have united."""
+    rng = np.random.default_rng(14)
+    base = rng.choice([f"w{i}" for i in range(3000)], 150)
+    texts = []
+    for i in range(300):
+        own = base.copy()
+        own[rng.choice(150, i % 10, replace=False)] = rng.choice(["x", "y", "z"], i % 10)
+        texts.append(" ".join(own))
+    calls, components = [], simhash.components
+
+    def recorded(links):
+        out = components(links)
+        calls.append(({x for r in links.select("a", "b").collect() for x in r}, {r["node"]: r["root"] for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "components", recorded)
+    simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = calls[0][1]
+    assert len(calls) == 3 and first and all(first.get(x, x) == x for ends, _ in calls[1:] for x in ends)
+
+
 def test_near_pairs_leave_out_what_is_united():
     rng = np.random.default_rng(17)
     fps = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
