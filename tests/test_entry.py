@@ -33,3 +33,15 @@ def test_query_agrees_with_sql(spark, oracle, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["synthetic_benchmark"])
+def test_benchmarks_read_tables(spark, oracle, name):
+    out = QUERIES[name](spark, SF)
+    assert {f.rsplit("/", 1)[-1] for f in out.inputFiles()} >= {"lineitem.parquet", "part.parquet"}
+    got = out.toPandas()
+    assert len(got) and not got[got.columns[-1]].isna().all()
+    if name in ORACLES:
+        want, key = oracle.execute(ORACLES[name]).df(), got.columns[0]
+        got, want = (x.sort_values(key).reset_index(drop=True) for x in (got, want[list(got.columns)]))
+        assert len(got) == len(want) and got.fillna(-1).equals(want.fillna(-1).astype(got.dtypes.to_dict()))
