@@ -35,7 +35,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["benchmark_comparison", "synthetic_benchmark"])
+@pytest.mark.parametrize("name", ["benchmark_comparison", "abundance_sweep", "synthetic_benchmark"])
 def test_benchmarks_read_tables(spark, oracle, name):
     out = QUERIES[name](spark, SF)
     assert {f.rsplit("/", 1)[-1] for f in out.inputFiles()} >= {"lineitem.parquet", "part.parquet"}
