@@ -292,6 +292,35 @@ def test_large_groups_are_cut_into_chunks(monkeypatch):
     assert len(set(simhash.roots(300, iter([(a, b)])).tolist())) == 1 and (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
 
 
+def test_proposals_and_links_of_a_task_follow_its_nodes():
+    """A family that is in many groups of a task gets a row for each node and kind of proposal, and as many links as connect it, not one for each group or pair."""
+    rng = np.random.default_rng(19)
+    n, groups = 60, 12
+    base = rng.integers(0, 2**63, 1, dtype=np.uint64)
+    fps = (base ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))).view(np.int64)
+    bits = rng.integers(0, 8, n)
+    every = np.arange(n * groups) % n
+    columns = {"s": every, "g": (np.arange(n * groups) // n).astype(np.int32), "fp": fps[every], "bits": bits[every]}
+    run = lambda table, thin: pa.Table.from_batches(list(simhash.close_pairs(iter(table.to_batches()), 4, 40, 0.8, thin))).to_pandas()
+    out = run(pa.table(columns), 1)
+    named = out[out["kind"] > 0].astype(int, errors="ignore")
+    assert out["open"].notna().sum() == groups and len(named) <= 2 * n and not (named["kind"] == 0).any()
+    same = 64 - np.bitwise_count((bits[:, None] ^ bits[None]).astype(np.uint64)).astype(int)
+    np.fill_diagonal(same, -1)
+    for a, b, kind, weight in named[["a", "b", "kind", "weight"]].astype(int).itertuples(index=False):
+        if kind & simhash.LIKE:
+            assert weight % (1 << simhash.AGREED) == same[a].max() and b == same[a].argmax()
+        if kind & simhash.HUB:
+            assert b == (0 if a else 1) and weight >> simhash.AGREED == n - 1
+    for kind in (simhash.LIKE, simhash.HUB):
+        assert sorted(named.loc[named["kind"].astype(int) & kind > 0, "a"].astype(int)) == list(range(n))
+
+    one = pa.table(columns | {"root": every, "size": np.full(len(every), 100), "own": np.zeros(len(every), np.int64), "hub": np.zeros(len(every), np.int64)})
+    links = run(one.append_column("delta", pa.array([[]] * len(every), pa.list_(pa.int32()))), None)
+    assert len(links) == n - 1 and (links["weight"] == 1).all()
+    assert len(set(simhash.roots(n, iter([(links["a"].to_numpy(int), links["b"].to_numpy(int))])).tolist())) == 1
+
+
 def test_near_duplicates_recall_at_the_similarity(spark):
     """Pairs of texts at similarity 0.8 or just above, and of repeated shingles, are found."""
     rng = np.random.default_rng(3)
