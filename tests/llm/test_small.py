@@ -321,6 +321,35 @@ def test_proposals_and_links_of_a_task_follow_its_nodes():
     assert len(set(simhash.roots(n, iter([(links["a"].to_numpy(int), links["b"].to_numpy(int))])).tolist())) == 1
 
 
+def test_both_proposals_of_a_node_are_one_row_of_a_task(spark, monkeypatch):
+    """A node gives one row in a task for both kinds of proposals, which are those of close_pairs."""
+    rng = np.random.default_rng(20)
+    base = rng.choice([f"w{i}" for i in range(3000)], 150)
+    texts = []
+    for i in range(300):
+        own = base.copy()
+        own[rng.choice(150, i % 10, replace=False)] = rng.choice(["x", "y", "z"], i % 10)
+        texts.append(" ".join(own))
+    calls, candidates = [], simhash.candidates
+
+    def recorded(nodes, *args, **kind):
+        out = simhash.saved(candidates(nodes, *args, **kind).withColumn("task", F.spark_partition_id()))
+        calls.append((nodes, args, out))
+        return out.drop("task")
+
+    monkeypatch.setattr(simhash, "candidates", recorded)
+    simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    nodes, args, out = calls[0]
+    rows = out.where("kind > 0").collect()
+    assert len({r["task"] for r in rows}) > 1 and len({(r["task"], r["a"]) for r in rows}) == len(rows)
+    monkeypatch.setattr(simhash, "with_hubs", lambda batches: (b.append_column("hub", pa.nulls(len(b), pa.int64())).append_column("partners", pa.nulls(len(b), pa.int64())) for b in batches))
+    want = set()
+    for r in candidates(nodes, *args).where("kind > 0").collect():
+        want |= {("like", r["a"], r["b"], r["weight"] % (1 << simhash.AGREED))} if r["kind"] & simhash.LIKE else set()
+        want |= {("hub", r["a"], r["b"], r["weight"] >> simhash.AGREED)} if r["kind"] & simhash.HUB else set()
+    assert want == {("like", r["a"], r["b"], r["weight"]) for r in rows} | {("hub", r["a"], r["hub"], r["partners"]) for r in rows}
+
+
 def test_near_duplicates_recall_at_the_similarity(spark):
     """Pairs of texts at similarity 0.8 or just above, and of repeated shingles, are found."""
     rng = np.random.default_rng(3)
