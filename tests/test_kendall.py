@@ -64,3 +64,33 @@ def test_a_site_of_100000_points():
     total = 100_000 * 99_999 // 2
     assert abs(below - total / 2) <= 2
     assert kendall.kendall_s(x) > 0
+
+
+def test_equal_days_are_equal_however_the_table_is_cut(spark, tmp_path):
+    """Days of the same values in the same order, some of them cut between two tasks, neither rise nor fall."""
+    from datetime import datetime
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewatch.plans.queries import ORACLES, QUERIES
+
+    rows = [[(day, v) for day in (1, 2, 3, 4, 5) for v in ((0.1,) if day < 4 else (0.1, 0.2, 0.3))], [(day, v) for day in (1, 2, 3) for v in (0.2, 0.3)]]
+    (tmp_path / "events.parquet").mkdir()
+    for i, part in enumerate(rows):
+        table = pa.table({"ts": [datetime(2024, 1, day) for day, _ in part], "user_id": [7] * len(part), "event_type": ["view"] * len(part), "value": [v for _, v in part]})
+        pq.write_table(table, tmp_path / "events.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for bytes_ in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+            for name in ("mann_kendall", "trend_report"):
+                out = QUERIES[name](spark, str(tmp_path))
+                want = con.execute(ORACLES[name]).df()[out.columns].iloc[0].tolist()
+                assert list(out.first()) == want and want[out.columns.index("tau")] == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
